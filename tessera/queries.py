@@ -375,7 +375,7 @@ simple("f16_web_urls", "pages", lambda t: t.select("page_id", F.explode(T.web_ur
 simple("f18_file_kind", "pages", lambda t: t.select("page_id", T.file_kind(F.concat(F.lit("a/b."), F.when(F.col("page_id") % 4 == 0, "py").when(F.col("page_id") % 4 == 1, "css").when(F.col("page_id") % 4 == 2, "md").otherwise("zzz"))).alias("kind")), "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'style' WHEN 2 THEN 'document' ELSE 'other' END AS kind FROM pages")
 
 
-@query("f19_embedding_text", "SELECT o_orderkey, '[ORDER] ' || o_orderstatus || chr(10) || '[ITEM] ' || concat_ws(' ', i1, i2) AS t FROM orders JOIN (SELECT l_orderkey, max(CAST(l_partkey AS VARCHAR)) FILTER (l_linenumber = 1) AS i1, max(CAST(l_partkey AS VARCHAR)) FILTER (l_linenumber = 2) AS i2 FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("f19_embedding_text", "SELECT o_orderkey, '[ORDER] ' || any_value(o_orderstatus) || chr(10) || '[ITEM] ' || string_agg(p, ' ' ORDER BY r) AS t FROM orders JOIN (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS r FROM lineitem WHERE l_linenumber <= 2) ON l_orderkey = o_orderkey WHERE r <= 2 GROUP BY 1")
 def f19(spark, d):
     near = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p")))), 1, 2).alias("x"))
     return table(spark, d, "orders").join(near, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.concat_ws("\n", F.concat(F.lit("[ORDER] "), "o_orderstatus"), F.concat(F.lit("[ITEM] "), F.array_join(F.transform("x", lambda r: r["p"]), " "))).alias("t"))
