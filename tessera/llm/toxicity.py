@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import ALNUM, U64, Words, gram_hash, lists, map_texts, signed, span_hash, sums
 
 #: Labelled documents that training reads at most: half of each class, those of smallest hash.
-SAMPLE = 12_000
+SAMPLE = 6_000
 BUCKETS = 1 << 18
 EPOCHS = 80
 
@@ -68,15 +68,23 @@ def fit(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nd
     else at 0; words of fewer than three documents, or than a hundredth of the toxic ones, keep weight 0, so no document is learnt by heart, as do words that the classes hold about alike. The order of rows has no effect
     but on rounding."""
     model = Model(np.zeros(BUCKETS), -5.5)
-    used, where = np.unique(buckets, return_inverse=True)
     n_sent, n = len(doc), len(label)
-    pairs = np.unique(where * n + doc[sentence])
+    # buckets and documents as one number each, so that only distinct pairs are counted
+    pairs = buckets.astype(np.int64) * n
+    pairs += doc[sentence]
+    pairs = np.unique(pairs)
     toxic = label[pairs % n] == 1
-    of = [np.bincount(pairs[k] // n, minlength=len(used)) for k in (toxic, ~toxic)]
+    of = [np.bincount(pairs[k] // n, minlength=BUCKETS) for k in (toxic, ~toxic)]
+    del pairs, toxic
     size = [max(1, int((label == k).sum())) for k in (1, 0)]
     odds = np.log((of[0] + 0.1) / (size[0] + 0.2)) - np.log((of[1] + 0.1) / (size[1] + 0.2))
-    live = (of[0] + of[1] >= max(3, 0.01 * size[0])) & (odds > 2)
-    w = np.where(live, 1.4 * odds, 0.0)
+    used = np.flatnonzero((of[0] + of[1] >= max(3, 0.01 * size[0])) & (odds > 2))
+    w = 1.4 * odds[used]
+    # other words have no weight: only the places of these take part
+    spot = np.full(BUCKETS, -1, np.int32)
+    spot[used] = np.arange(len(used))
+    where = spot[buckets]
+    sentence, where = sentence[where >= 0], where[where >= 0]
     # a step is the plain gradient, so a word moves as far as documents ask for it; the bias steps by its own size
     share = np.where(label == 1, 0.5 / size[0], 0.5 / size[1])
     bias = model.bias
@@ -87,7 +95,7 @@ def fit(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nd
         # d log-likelihood / dz: for label 1, p * clean / (1 - clean); for label 0, -p
         pull = np.where(label == 1, clean / np.maximum(1 - clean, 1e-9), -1.0) * share
         g = pull[doc] * p
-        w += rate * (np.bincount(where, weights=g[sentence], minlength=len(used)) - decay * w) * live
+        w += rate * (np.bincount(where, weights=g[sentence], minlength=len(used)) - decay * w)
         bias += min(0.1, max(-0.1, g.sum()))
     model.weights[used], model.bias = w, float(bias)
     return model
@@ -117,9 +125,9 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
         return Model(np.zeros(BUCKETS), -5.0)
     bucket, sentence = got["bucket"].combine_chunks(), got["sentence"].combine_chunks()
     counts = np.diff(np.asarray(bucket.offsets))
-    doc, number = np.repeat(np.arange(len(y)), counts), np.asarray(sentence.flatten())
+    doc, number = np.repeat(np.arange(len(y), dtype=np.int32), counts), np.asarray(sentence.flatten())
     new = np.append(True, (np.diff(doc) > 0) | (np.diff(number) != 0))
-    return fit(np.asarray(bucket.flatten()), np.cumsum(new) - 1, doc[new], y)
+    return fit(np.asarray(bucket.flatten()), np.cumsum(new, dtype=np.int32) - 1, doc[new], y)
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
