@@ -254,8 +254,11 @@ RULES = [
     for label, priority, keyword, pattern in (map(str.strip, line.split("|", 3)) for line in _RULES.strip().splitlines())
 ] + [{"label": label, "priority": 0, "keyword": phrase, "pattern": f"(?<= )(?:{phrase})(?= )", "base": True} for phrase, label in BASE.items()]
 
-#: Strings of which the lower-cased text of every match holds one. "cc" is asked for "by" as well.
-GATE = ("licen", "gpl", "copyleft", "spdx", "domain", "reserved", "apache", "mpl", "cc0", "creative", "granted", "cddl", "eupl", "bsl", "wtfpl", "commons", "odbl", "ofl", "cecill", "evil",
-        "openrail", "open rail", "gemma", "mulan", "lppl", "proprietary", "prohibited", "commercial", "research", "restriction", "redistribution", "endorse", "advertising", "warranty", "perl", "unencumbered", "bsd", "mit", "permission", "clause")
+#: Beginnings of words of which every match holds one.
+GATE = ("licen", "unlicen", "cc by ", "gpl", "lgpl", "agpl", "copyleft", "spdx", "domain", "reserved", "apache", "mpl", "cc0", "creative", "granted", "cddl", "eupl", "bsl", "wtfpl", "commons", "odbl", "ofl", "cecill", "evil",
+        "openrail", "open rail", "gemma", "mulan", "lppl", "proprietary", "prohibited", "commercial", "research", "restriction", "redistribution", "endorse", "advertising", "warranty", "perl", "unencumbered", "bsd", "under mit ", "under the mit ", "terms of the mit ", "mit no attribution ", "permission", "clause")
+
+#: First words of the keywords, longer ones first: a rule is tried where a word of the text begins with its keyword's.
+LEADS = sorted({r["keyword"].split(" ")[0] for r in RULES}, key=lambda w: (-len(w), w))
 
 AS_JSON = json.dumps([r | {"rule": i} for i, r in enumerate(RULES)])

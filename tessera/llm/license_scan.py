@@ -5,55 +5,83 @@ DataFrame functions only: the text never leaves the JVM.
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.license_rules import AS_JSON, GATE
+from tessera.llm.batches import written
+from tessera.llm.license_rules import AS_JSON, GATE, LEADS
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_BREAK = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Breaks but for the space: most words are parted by one space alone, which needs no replacement.
+_SIGN = r"\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _RULE = "array<struct<label:string,priority:int,keyword:string,pattern:string,base:boolean,rule:int>>"
 _OPEN, _CLOSE = "\x01", "\x02"  # not in normalised text, whose words hold no ASCII control characters
+#: The only capitals outside ASCII whose lower case has an ASCII letter.
+_KELVIN, _DOTTED_I, _OTHER = "\u212a", "\u0130", "\u00e9"
 
 
-def gate(text: Column) -> Column:
-    """Whether a rule can match: one of a few plain strings occurs."""
-    low = F.lower(text)
-    out = low.contains("cc") & text.rlike(rf"(?i)(?<![a-z0-9])cc{_BREAK}+by(?![a-z0-9])")
-    for word in GATE:
-        out = out | (low.contains(word) if " " not in word else text.rlike("(?i)" + word.replace(" ", _BREAK + "+")))
-    return out
+def _either(words: Iterable[str]) -> str:
+    """A pattern of the words as they are ordered, grouped by first letter, so that few alternatives are tried at a place."""
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items()) + ")"
+
+
+def gate(norm: Column) -> Column:
+    """Whether a rule can match normalised text: one of a few words begins there."""
+    return norm.rlike(" " + _either(GATE))
 
 
 def normalised(text: Column) -> Column:
-    """Words in lower case (A-Z only), each with a space before it, and a space at the end."""
-    words = F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), " ")
-    return F.concat(F.lit(" "), F.translate(words, string.ascii_uppercase, string.ascii_lowercase), F.lit(" "))
+    """Words in lower case, each with a space before it, and a space at the end; a text without words is one space.
+
+    Letters outside ASCII are lower-cased too, which no rule sees; the two whose lower case would be an ASCII letter are replaced."""
+    parted = F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), f"[{_SIGN}][{_BREAK}]*", " ")
+    single = F.regexp_replace(parted, " {2,}", " ")
+    return F.lower(F.replace(F.replace(single, F.lit(_KELVIN), F.lit(_OTHER)), F.lit(_DOTTED_I), F.lit(_OTHER)))
 
 
 def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def marked(norm: Column) -> Column:
+    """The rules that match normalised text: label, priority, base, rule, and the text's parts before and after each match, as numbers
+    of words. Null if the gate lets none through."""
+    rules = F.from_json(F.lit(AS_JSON), _RULE)
+
+    def match(r: Column) -> Column:
+        cut = F.split(F.regexp_replace(norm, r["pattern"], F.lit(_OPEN + "$0" + _CLOSE)), _OPEN)
+        parts = F.transform(cut, lambda p: F.struct(_spaces(p).alias("gap"), (_spaces(F.substring_index(p, _CLOSE, 1)) + 1).alias("n")))
+        return F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["base"].alias("base"), r["rule"].alias("rule"), parts.alias("parts"))
+
+    leads = F.array_distinct(F.regexp_extract_all(norm, F.lit(f" ({_either(LEADS)})"), F.lit(1)))
+    led = F.flatten(F.transform(leads, lambda w: F.filter(rules, lambda r: F.startswith(w, F.substring_index(r["keyword"], " ", 1)))))
+    tried = F.transform(F.filter(F.array_distinct(led), lambda r: F.contains(norm, r["keyword"])), match)
+    return F.when(gate(norm), F.filter(tried, lambda m: F.size(m["parts"]) > 1))
 
 
 def detections(texts: DataFrame) -> DataFrame:
     """(key, label, priority, base, start, end) for texts (key, text): words start..end-1 of the text match a rule of that label.
 
-    Every place of a base phrase is there. Of the other detections, one whose interval lies in another's is suppressed (of equal
-    intervals the one of highest priority stays, then of the earlier rule), then one that overlaps a neighbour of higher
-    priority. The work for a text is sorting its own detections."""
-    rules = F.from_json(F.lit(AS_JSON), _RULE)
-    hits = texts.select("key", normalised(F.col("text")).alias("norm")).select(
-        "key", "norm", F.explode(F.filter(rules, lambda r: F.contains(F.col("norm"), r["keyword"]))).alias("r")
-    )
-    marked = F.regexp_replace("norm", F.col("r.pattern"), F.lit(_OPEN + "$0" + _CLOSE))
-    parts = F.transform(F.split(marked, _OPEN), lambda p: F.struct(_spaces(p).alias("gap"), (_spaces(F.substring_index(p, _CLOSE, 1)) + 1).alias("n")))
+    Every place of a base phrase is there. The others are those that ``resolved`` leaves."""
+    norm = texts.select("key", F.explode_outer(F.array(normalised(F.col("text")))).alias("norm"))
+    return resolved(norm.select("key", marked(F.col("norm")).alias("hits")))
+
+
+def resolved(matched: DataFrame) -> DataFrame:
+    """Detections of texts (key, hits), texts of one key being equal.
+
+    Of detections of no base phrase, one whose interval lies in another's is suppressed (of equal intervals the one of highest
+    priority stays, then of the earlier rule), then one that overlaps a neighbour of higher priority. The work for a text is
+    sorting its own detections."""
+    places = matched.select("key", F.explode("hits").alias("r")).select("key", "r.label", "r.priority", "r.base", "r.rule", F.posexplode("r.parts").alias("i", "p"))
     order = Window.partitionBy("key", "rule").orderBy("i")
     spans = (
-        hits.select("key", "r.label", "r.priority", "r.base", "r.rule", parts.alias("parts"))
-        .where(F.size("parts") > 1)
-        .select("key", "label", "priority", "base", "rule", F.posexplode("parts").alias("i", "p"))
+        places.dropDuplicates(["key", "rule", "i"])
         .withColumn("start", F.sum("p.gap").over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1)
         .where("i > 0")
         .select("key", "label", "priority", "base", "rule", "start", (F.col("start") + F.col("p.n")).alias("end"))
@@ -71,13 +99,16 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     n_base counts the places of base phrases; first_word and last_word are the smallest and largest word number at which one
     starts (null without any); labels lists the surviving labels and the base ones; score is the highest priority of a surviving
-    detection over 100 (a base place alone gives 0.5), 0 without any. Only texts that pass the gate are scanned, each distinct
-    text once. A null text counts as empty: no words, empty label lists, score 0. Null and repeated ids are passed on.
+    detection over 100 (a base place alone gives 0.5), 0 without any. Each text is read once, and its rules
+    matched there; what is shuffled are places of matches, those of equal texts once. A null text counts as empty: no words, empty label lists, score 0. Null and repeated ids are passed on.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.when(gate(F.col("text")), F.md5("text")))
+    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # the outer explode of one element is not moved or repeated by the optimizer: each text is normalised once
+    norm = source.select("doc_id", F.explode_outer(F.array(normalised(F.col("text")))).alias("norm"))
+    hits = norm.select("doc_id", (_spaces(F.col("norm")) - 1).cast("long").alias("n_words"), marked(F.col("norm")).alias("hits"), F.md5("norm").alias("key"))
+    rows = written(hits.withColumn("key", F.when(F.size("hits") > 0, F.col("key"))))
     found = (
-        detections(rows.where("key is not null").select("key", "text").dropDuplicates(["key"]))
+        resolved(rows.where("key is not null").select("key", "hits"))
         .groupBy("key")
         .agg(
             F.count_if("base").alias("n_base"),
@@ -88,8 +119,8 @@ def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             F.max(F.when(F.col("base"), 0.5).otherwise(F.col("priority") / 100.0)).alias("score"),
         )
     )
-    # texts that don't pass have keys that match nothing and are dealt evenly
-    base = rows.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("text").cast("string"))).alias("key"))
+    # texts without a match have keys that match nothing and are dealt evenly
+    base = rows.select("doc_id", "n_words", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string"))).alias("key"))
     return base.join(found, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
