@@ -127,6 +127,30 @@ def test_leaks(spark, empty):
     assert decontamination.decontaminate(spark.createDataFrame(rows[:3], "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def test_leaks_edited(spark):
+    """Edits up to the threshold, beside exact copies that make the lost seeds rarer than the kept ones."""
+    rng = random.Random(11)
+    items = [(k, " ".join(f"v{rng.randrange(60)}" if rng.random() < 0.3 else f"i{k}w{j}" for j in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 8, 10, 10, 13, 20, 30, 45])]
+    items.append((99, " ".join("abcde")))
+    texts = [t for _, t in items]
+    for _, t in items * 20:
+        words, rate = t.split(), rng.choice([0.1, 0.2, 0.3, 0.4])
+        kind = rng.choice(["insert", "delete", "replace", "any"])
+        out = []
+        for w in words:
+            do = rng.choice(["insert", "delete", "replace"]) if kind == "any" else kind
+            if rng.random() < rate:
+                out += {"insert": [f"x{rng.randrange(999)}", w], "delete": [], "replace": [f"x{rng.randrange(999)}"]}[do]
+            else:
+                out.append(w)
+        texts.append(" ".join([f"v{rng.randrange(60)}" for _ in range(rng.randrange(30))] + out + [f"v{rng.randrange(60)}" for _ in range(rng.randrange(30))]))
+    texts += [" ".join(x for w in t.split() for x in (w, "between")) for _, t in items]
+    texts += [" ".join(x for j, w in enumerate(t.split()) for x in ((w, "between") if j % 2 else (w,))) for _, t in items]
+    rows = list(enumerate(texts))
+    got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == brute.leaks(rows, items, 0.6)
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(2)
     a, b = rng.integers(2, 6, (40, 9)).astype(np.uint64), rng.integers(2, 6, (40, 14)).astype(np.uint64)
