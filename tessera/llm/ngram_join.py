@@ -3,7 +3,7 @@
 Exact for any data. (1) Equal sets become one. (2) Sets of Jaccard >= t share one of their first n - ceil(t n) + 1 grams in any
 order that is the same for all; frequent grams come last in it. The holders of a gram are a bucket, and each is paired with the
 bucket's smallest; pairs are bounded by their count vectors and verified. (3) Buckets whose members are still in several parts,
-each set of members once, are searched for the links between these: small ones pair by pair, with the size and count-vector
+each set of members once and those of two members too unless these were the pair tried, are searched for the links between these: small ones pair by pair, with the size and count-vector
 bounds inside the join; large ones by an R-tree over count vectors, whose leaf boxes rule out an overlap by summed coordinate minima.
 """
 
@@ -203,7 +203,10 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
     proved = written(_verify(rows, _bounded(tried, light, percent), n, percent))
     parts = components(proved)
     state = members.join(parts.select(F.col("node").alias("lead"), F.col("component").alias("part")), "lead", "left").select("family", "n", F.col("lead").alias("doc_id"), F.coalesce("part", "lead").alias("part"))
-    split = state.groupBy("family").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("n").alias("n")).where("p0 <> p1 and n > 2").select("family")
+    ends = state.groupBy("family").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("n").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("p0 <> p1")
+    # a bucket of two is done only if its one pair is the one that was tried
+    done = tried.select("a", "b", F.lit(2).cast("long").alias("n"))
+    split = ends.join(done, ["a", "b", "n"], "left_anti").select("family")
     open_ = written(state.join(split, "family", "left_semi").join(light, "doc_id"))
     near = written(_near(open_.where(F.col("n") <= SMALL), percent))
     large = open_.where(F.col("n") > SMALL).drop("n")

@@ -83,6 +83,21 @@ def test_components(spark, docs, n, percent):
     assert by_id(got, "n_shingles", "component_id") == brute.jaccard_components(rows, n, percent)
 
 
+def test_components_refuted_first(spark):
+    """The set of most prefix grams in common is refuted, and the partner that links shares a bucket of two members."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(11)]
+        more = f"g{g}x"
+        other = [f"g{g}o{j}" for j in range(30)]
+        rows += [(3 * g + 1, " ".join([*other, base[-2], base[-1], more])), (3 * g + 2, " ".join(base)), (3 * g + 3, " ".join([*base, more]))]
+    want = brute.jaccard_components(rows, 3, 90)
+    assert all(want[3 * g + 3][1] == 3 * g + 2 for g in range(60))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert by_id(got, "n_shingles", "component_id") == want
+
+
 def test_components_nulls(spark, empty):
     rows = [(None, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, None), (4, "a b c d")]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
