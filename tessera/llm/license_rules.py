@@ -1,7 +1,7 @@
 """Signature rules of the license scan, one a line: label | priority | keyword | pattern.
 
 Patterns are Java regular expressions over lower-cased words joined by single spaces; a pattern matches whole words. The keyword
-is a plain string that every match contains; a rule is tried only where it occurs. Higher priorities are more specific.
+is a plain string that every match contains, from the beginning of a word on; a rule is tried only where it occurs. Higher priorities are more specific.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ isc | 70 | isc | (?:the )?isc licen[sc]e
 isc | 86 | permission to use copy | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 bsd-0 | 80 | bsd | (?:0 clause bsd|bsd zero clause|zero clause bsd)(?: licen[sc]e)?
 bsd-1 | 80 | bsd | (?:1 clause bsd|bsd 1 clause)(?: licen[sc]e)?
-bsd-2 | 80 | bsd | (?:2 clause bsd|bsd 2 clause|two clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?
+bsd-2 | 80 | bsd | (?:2 clause bsd|bsd 2 clause|two clause bsd|simplified bsd)(?: licen[sc]e)?
+bsd-2 | 80 | freebsd | freebsd(?: licen[sc]e)?
 bsd-3 | 80 | bsd | (?:3 clause bsd|bsd 3 clause|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?
 bsd-4 | 80 | bsd | (?:4 clause bsd|bsd 4 clause|four clause bsd|original bsd)(?: licen[sc]e)?
 bsd | 60 | bsd | bsd(?: style)? licen[sc]e
@@ -199,7 +200,8 @@ cecill | 62 | cecill | cecill(?: free software)?(?: licen[sc]e)?(?: agreement)?
 mulan-psl-2.0 | 78 | mulan | mulan p(?:ermissive )?s(?:oftware )?l(?:icen[sc]e)?(?: v(?:ersion )?)?(?: ?2)?
 json | 76 | good not evil | (?:the software )?shall be used for good not evil
 json | 62 | json | json licen[sc]e
-openrail-m | 78 | openrail | (?:creativeml |bigscience |bigcode )?open ?rail m?(?: licen[sc]e)?
+openrail-m | 78 | openrail | (?:creativeml |bigscience |bigcode )?openrail m?(?: licen[sc]e)?
+openrail-m | 78 | open rail | (?:creativeml |bigscience |bigcode )?open rail m?(?: licen[sc]e)?
 rail | 66 | responsible ai | responsible ai licen[sc]e
 llama-2 | 78 | llama | llama 2 community licen[sc]e(?: agreement)?
 llama-3 | 78 | llama | llama 3(?: [123])? community licen[sc]e(?: agreement)?
@@ -220,7 +222,8 @@ eula | 68 | end user | end user licen[sc]e agreement
 shareware | 60 | shareware | shareware licen[sc]e
 freeware | 60 | freeware | freeware licen[sc]e
 evaluation | 66 | evaluation | evaluation licen[sc]e agreement
-non-commercial | 64 | commercial | (?:for )?non ?commercial use only
+non-commercial | 64 | commercial | (?:for )?non commercial use only
+non-commercial | 64 | noncommercial | (?:for )?noncommercial use only
 research-only | 64 | research | (?:for )?(?:academic )?research (?:use|purposes) only
 copyleft | 50 | copyleft | copyleft(?: licen[sc]ed?)?
 spdx-mit | 92 | spdx | spdx licen[sc]e identifier mit
@@ -244,7 +247,8 @@ spdx-cc-by-sa-4.0 | 93 | spdx | spdx licen[sc]e identifier cc by sa 4 0
 spdx-bsl-1.0 | 92 | spdx | spdx licen[sc]e identifier bsl 1 0
 spdx-zlib | 92 | spdx | spdx licen[sc]e identifier zlib
 spdx | 60 | spdx | spdx licen[sc]e identifier
-unknown-license | 20 | license | (?:this|the) (?:work|file|document|software|program|page|text|content|dataset|model) is licen[sc]ed under
+unknown-license | 20 | license | (?:this|the) (?:work|file|document|software|program|page|text|content|dataset|model) is licensed under
+unknown-license | 20 | licence | (?:this|the) (?:work|file|document|software|program|page|text|content|dataset|model) is licenced under
 unknown-license | 22 | license | see (?:the )?license(?: file)?(?: for (?:more )?(?:details|information))?
 unknown-license | 24 | licence | see (?:the )?licence(?: file)?(?: for (?:more )?(?:details|information))?
 """
@@ -256,7 +260,7 @@ RULES = [
 
 #: Beginnings of words of which every match holds one.
 GATE = ("licen", "unlicen", "cc by ", "gpl", "lgpl", "agpl", "copyleft", "spdx", "domain", "reserved", "apache", "mpl", "cc0", "creative", "granted", "cddl", "eupl", "bsl", "wtfpl", "commons", "odbl", "ofl", "cecill", "evil",
-        "openrail", "open rail", "gemma", "mulan", "lppl", "proprietary", "prohibited", "commercial", "research", "restriction", "redistribution", "endorse", "advertising", "warranty", "perl", "unencumbered", "bsd", "under mit ", "under the mit ", "terms of the mit ", "mit no attribution ", "permission", "clause")
+        "openrail", "open rail", "gemma", "mulan", "lppl", "proprietary", "prohibited", "commercial", "noncommercial", "research", "restriction", "redistribution", "endorse", "advertising", "warranty", "perl", "unencumbered", "bsd", "freebsd", "under mit ", "under the mit ", "terms of the mit ", "mit no attribution ", "permission", "clause")
 
 #: First words of the keywords, longer ones first: a rule is tried where a word of the text begins with its keyword's.
 LEADS = sorted({r["keyword"].split(" ")[0] for r in RULES}, key=lambda w: (-len(w), w))

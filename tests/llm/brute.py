@@ -118,3 +118,31 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str]], simi
             if item and sum(w in have for w in item) >= similarity * len(item) and smith_waterman(item, words) >= similarity * 2 * len(item):
                 out.add((d, i))
     return out
+
+
+def alternatives(pattern: str) -> list[str]:
+    """A match for each choice that a pattern of words leaves, each repeat at its least and one more."""
+    from re import _constants as k
+    from re import _parser
+
+    def build(tree) -> list[str]:
+        out = [""]
+        for op, arg in tree:
+            if op is k.LITERAL:
+                part = [chr(arg)]
+            elif op is k.ANY:
+                part = ["q"]
+            elif op is k.IN:
+                part = sorted({chr(c) for o, a in arg for c in ([a] if o is k.LITERAL else range(a[0], a[1] + 1))})
+            elif op is k.SUBPATTERN:
+                part = build(arg[3])
+            elif op is k.BRANCH:
+                part = [x for branch in arg[1] for x in build(branch)]
+            elif op in (k.MAX_REPEAT, k.MIN_REPEAT):
+                part = [x * arg[0] for x in build(arg[2])[:1]] + [x * (arg[0] + 1) for x in build(arg[2])]
+            else:
+                raise ValueError(op)
+            out = [x + y for x in out for y in part]
+        return out
+
+    return sorted(set(build(_parser.parse(pattern))))

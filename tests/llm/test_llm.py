@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import decontamination, license_scan, lm_scoring, ngram_join, quality_rules, queries, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from tessera.llm import decontamination, license_rules, license_scan, lm_scoring, ngram_join, quality_rules, queries, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score string, key string"
@@ -61,6 +61,20 @@ def test_containment(spark):
     assert {r.label for r in license_scan.detections(texts).where("not base").collect()} == {"lgpl-2.1"}
 
 
+def test_license_filters(spark):
+    """Gate, lead and keyword let every alternative of every rule through."""
+    cases = [(i, m, r) for i, r in enumerate(license_rules.RULES) for m in brute.alternatives(r["pattern"].removeprefix("(?<= )(?:").removesuffix(")(?= )")) if m == " ".join(m.split())]
+    for _, m, r in cases:
+        norm = f" {m} "
+        assert any(" " + w in norm for w in license_rules.GATE) and " " + r["keyword"].split(" ")[0] in norm and r["keyword"] in norm, m
+    texts = spark.createDataFrame([(i, m) for i, m, _ in cases], "rule int, text string")
+    hits = license_scan.marked(license_scan.normalised(F.col("text")))
+    assert texts.select("text", F.exists(F.coalesce(hits["rule"], F.array()), lambda x: x == F.col("rule")).alias("ok")).where("not ok").collect() == []
+    lost = ["Noncommercial use only", "FreeBSD", "a FreeBSD license", "BigCode Open RAIL-M", "the dataset is licenced under terms"]
+    found = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(lost)), "doc_id long, text string")), "labels")
+    assert [found[i][0] for i in range(5)] == ["non-commercial", "bsd-2", "bsd-2", "openrail-m", "unknown-license"]
+
+
 def test_tokenizers_match_libraries(table, docs, empty):
     lib = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     got = by_id(token_counts.token_counts(table, queries.tokenizer("byte_bpe_50k.json")), "n_bytes", "n_tokens")
