@@ -230,6 +230,17 @@ def test_lm_base(table, docs, empty):
     assert lm_scoring.lm_score(empty, path).count() == 0
 
 
+def test_training_takes_all(spark):
+    """Every document takes part in training, whatever its place."""
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    voc = lm_scoring.Vocabulary(np.ones(lm_scoring._encoding(path)[1] + 1))
+    texts = [f"the sun is warm and low {i}" for i in range(13)]
+    fit = lambda rows: lm_scoring.train(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), voc, path)
+    whole = fit(texts)
+    for k in (1, 12):
+        assert not np.allclose(whole, fit([*texts[:k], "a cold wind blows here", *texts[k + 1 :]]), atol=1e-6)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     model = lm_scoring.Attention.fresh(np.zeros(lm_scoring.CLASSES, np.float32))
