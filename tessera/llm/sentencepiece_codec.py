@@ -8,20 +8,25 @@ one: a lattice that Viterbi solves from left to right, for all words of one leng
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import U64, lists, map_texts, mix, powers
+from tessera.llm.batches import U64, lists, map_texts, mix, powers, runs, span_hash, sums
+from tessera.llm.batches import pieces as pieces_of
 
 SPACE = "▁"
-CACHE = 150_000
-PAIRS = 400_000
+#: Slots of the table of known units and of the one of known pairs; an entry gives way to another of the same slot. Ids remembered.
+UNITS, PAIRS, IDS = 1 << 21, 1 << 22, 1 << 23
+#: Bytes of texts, or ids, that are looked at together.
+PART = 1 << 21
+#: Bits of a key that a table of present keys is asked for before the sorted keys are searched.
+SEEN = 20
 _LENGTH = U64(0xD6E8FEB86659FD93)
 
 
@@ -49,9 +54,19 @@ class Pieces:
         order = np.argsort(keys)
         self.sorted, self.ids = keys[order], np.array(good, np.int64)[order]
         assert len(np.unique(keys)) == len(keys), "two pieces have one key"
-        self.units = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if not any("\n" in x for x in self.score) else rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.present = np.zeros(1 << SEEN, bool)
+        self.present[(keys >> U64(64 - SEEN)).astype(np.int64)] = True
+        self.line_ends = any("\n" in x for x in self.score)  # else a line end is a unit by itself
+        self.parts = np.frombuffer(b"".join(self.decoded), np.uint8)
+        self.part_sizes = np.array([len(x) for x in self.decoded], np.int64)
+        self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
+        self.pair, self.apart = np.full(PAIRS, -2, np.int64), np.zeros(PAIRS, bool)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of units: of each, its hash, and where its ids stand in ``flat``."""
+        self.unit, self.at, self.n = np.zeros(UNITS, U64), np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int32)
+        self.flat, self.used = np.zeros(IDS, np.int32), 0
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the two neighbours whose join scores highest, the first such two, become one piece, until none can."""
@@ -81,17 +96,19 @@ class Pieces:
 
     def follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE leaves each two pieces apart; a character without a piece (-1) merges with nothing."""
-        key, where = np.unique(left << 32 | (right & 0xFFFFFFFF), return_inverse=True)
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        known, names, out = self.pairs, self.names, np.empty(len(key), bool)
-        for i, k in enumerate(key.tolist()):
-            ok = known.get(k)
-            if ok is None:
-                a, b = k >> 32, k & 0xFFFFFFFF
-                ok = known[k] = a < 0 or b >= 0xFFFFFFFF or self.merged(names[a] + names[b]) == [names[a], names[b]]
-            out[i] = ok
-        return out[where]
+        key = left << 32 | (right & 0xFFFFFFFF)
+        slot = (mix(key.view(U64)) & U64(PAIRS - 1)).astype(np.int64)
+        out = self.apart[slot]
+        miss = np.flatnonzero(self.pair[slot] != key)
+        if len(miss):
+            new, where = np.unique(key[miss], return_inverse=True)
+            names = self.names
+            found = np.array([a < 0 or b >= 0xFFFFFFFF or self.merged(names[a] + names[b]) == [names[a], names[b]] for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True)])
+            out[miss] = found[where]
+            slot = (mix(new.view(U64)) & U64(PAIRS - 1)).astype(np.int64)
+            _, last = np.unique(slot, return_index=True)
+            self.pair[slot[last]], self.apart[slot[last]] = new[last], found[last]
+        return out
 
     def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For a matrix of code points, a word a row: the piece that ends the best path to each place, and where it begins."""
@@ -99,14 +116,18 @@ class Pieces:
         last, back = np.full((n_words, n + 1), -1, np.int64), np.zeros((n_words, n + 1), np.int32)
         for end, keys in enumerate(self.keys(words), 1):
             first = end - keys.shape[1]
-            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
-            piece = np.where(self.sorted[at] == keys, self.ids[at], -2)
+            piece = np.full(keys.shape, -2, np.int64)
+            maybe = self.present[(keys >> U64(64 - SEEN)).astype(np.int64)]
+            some = keys[maybe]
+            at = np.minimum(np.searchsorted(self.sorted, some), len(self.sorted) - 1)
+            piece[maybe] = np.where(self.sorted[at] == some, self.ids[at], -2)
             piece[:, -1][piece[:, -1] == -2] = -1  # a character without a piece
             row, col = np.nonzero(piece > -2)
             found, start = piece[row, col], col + first
             ok = start == 0
             inner = np.flatnonzero(~ok)
-            ok[inner] = self.follows(last[row[inner], start[inner]], found[inner])
+            if len(inner):
+                ok[inner] = self.follows(last[row[inner], start[inner]], found[inner])
             # the score of a path is 0 if all its pieces may follow each other, else minus infinity; exactly one start has 0
             score = np.full(piece.shape, -np.inf)
             score[row[ok], col[ok]] = 0.0
@@ -114,52 +135,112 @@ class Pieces:
             last[:, end], back[:, end] = piece[np.arange(n_words), best], best + first
         return last, back
 
-    def ids_of(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, as packed int32."""
-        out: list[bytes] = [b""] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        for n, of in by_length.items():
-            size = max(1, 200_000 // (n * min(n, self.longest)))
-            for lo in range(0, len(of), size):
-                part = of[lo : lo + size]
-                words = codes("".join(units[i] for i in part)).reshape(len(part), n)
+    def solve(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units points[start : start + size], one after the other, and the number of each one's."""
+        count, found, owner = np.zeros(len(starts), np.int64), [], []
+        order = np.argsort(sizes, kind="stable")
+        for lo, hi in _runs(sizes[order]):
+            n = int(sizes[order[lo]])
+            step = max(1, 400_000 // (n * min(n, self.longest)))
+            for k in range(lo, hi, step):
+                of = order[k : min(hi, k + step)]
+                words = points[starts[of][:, None] + np.arange(n)]
                 last, back = self.viterbi(words)
-                spots = np.full(len(part), n)
-                taken: list[list[int]] = [[] for _ in part]
-                live = np.arange(len(part))
+                spots, live = np.full(len(of), n), np.arange(len(of))
                 while len(live):  # all words step back together
                     here = spots[live]
-                    piece = last[live, here]
                     begin = back[live, here]
-                    for w, p, b in zip(live.tolist(), piece.tolist(), begin.tolist(), strict=True):
-                        taken[w] += [p] if p >= 0 else self.spelt(int(words[w, b]))
+                    found.append(last[live, here])
+                    lost = np.flatnonzero(found[-1] < 0)
+                    if len(lost):  # the code point of a character without a piece, as a number below 0
+                        found[-1][lost] = -2 - words[live[lost], begin[lost]].astype(np.int64)
+                    owner.append(of[live])
                     spots[live] = begin
                     live = live[begin > 0]
-                for i, ids in zip(part, taken, strict=True):
-                    out[i] = np.array(ids[::-1], np.int32).tobytes()
-        return out
+        if not found:
+            return np.zeros(0, np.int32), count
+        # pieces came last first: the order of rounds is turned round
+        ids, owner = np.concatenate(found[::-1]), np.concatenate(owner[::-1])
+        order = np.argsort(owner, kind="stable")
+        ids, owner = ids[order], owner[order]
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):
+            spelt = [self.spelt(-2 - x) for x in ids[lost].tolist()]
+            size = np.ones(len(ids), np.int64)
+            size[lost] = [len(x) for x in spelt]
+            ids, owner, new = np.repeat(ids, size), np.repeat(owner, size), np.repeat(ids < 0, size)
+            ids[new] = np.concatenate(spelt)
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(starts))
 
     def spelt(self, code: int) -> list[int]:
-        """The byte pieces of a character, last first; the unknown id if the model has none."""
-        return [self.bytes[b] for b in chr(code).encode()[::-1]] if self.bytes else [self.unknown]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.units(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*rows).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*rows)
-        todo = list(new)
-        self.known.update(zip(todo, self.ids_of(todo), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
-
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the text; the space that encoding puts first goes."""
-        get = self.decoded.__getitem__
-        return b"".join(map(get, ids)).removeprefix(b" ")
+        """The byte pieces of a character; the unknown id if the model has none."""
+        return [self.bytes[b] for b in chr(code).encode()] if self.bytes else [self.unknown]
+
+    def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts, each that is not empty with a space before it and spaces as SPACE; where units start, with the end of all; each one's text.
+
+        A unit is a run of spaces with the other characters after it, or a line end; no piece reaches over its ends."""
+        full = np.flatnonzero(np.diff(at))
+        points = codes(np.insert(data, at[full], 0x20).tobytes().decode("utf-8", "replace"))
+        points = np.where(points == 0x20, ord(SPACE), points)
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at[full]] + np.arange(len(full))
+        space, line = points == ord(SPACE), (points == 0x0A) & (not self.line_ends)
+        begin = line.copy()
+        begin[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        begin[lead] = True
+        starts = np.flatnonzero(begin)
+        return points, np.append(starts, len(points)), full[np.searchsorted(lead, starts, "right") - 1] if len(full) else starts
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each one's. Units met before are looked up."""
+        points, edges, doc = self.units(data, at)
+        if not len(doc):
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        if self.used > IDS // 2:
+            self.forget()
+        h = span_hash(mix(points.astype(U64)), edges[:-1], edges[1:])
+        slot = (h & U64(UNITS - 1)).astype(np.int64)
+        start, n = self.at[slot], self.n[slot].astype(np.int64)
+        miss = np.flatnonzero(self.unit[slot] != h)
+        if len(miss):
+            new, one, where = np.unique(h[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            ids, count = self.solve(points, edges[one], edges[one + 1] - edges[one])
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(ids), np.int32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            begin = self.used + np.cumsum(count) - count
+            self.used += len(ids)
+            start[miss], n[miss] = begin[where], count[where]
+            _, last = np.unique(slot[one], return_index=True)
+            kept = slot[one[last]]
+            self.unit[kept], self.at[kept], self.n[kept] = new[last], begin[last], count[last]
+        return self.flat[np.repeat(start, n) + runs(n)], sums(n, doc, len(at) - 1).astype(np.int64)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of consecutive runs of ids; the space that encoding puts first goes."""
+        size = self.part_sizes[ids]
+        raw = self.parts[np.repeat(self.part_starts[ids], size) + runs(size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        full = np.flatnonzero(np.diff(ends))
+        lead = ends[full][raw[ends[full]] == 0x20]
+        raw, ends = np.delete(raw, lead), ends - np.searchsorted(lead, ends)
+        out = raw.tobytes()
+        cut = ends[ends < len(raw)]
+        try:
+            out.decode()
+            whole = not ((raw[cut] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
+        return pa.array([out[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def codes(text: str) -> np.ndarray:
@@ -181,15 +262,15 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
         model = pieces(path)
 
         def f(batch, data, at):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = model.encode(texts)
-            crc = np.array([zlib.crc32(t.replace(SPACE, " ").encode()) for t in texts], np.int64)
-            return [batch.column(0), lists(np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)), pa.array(crc)]
+            ids, counts = model.encode(data, at)
+            raw, dots = data.tobytes(), SPACE.encode()
+            crc = np.array([zlib.crc32(raw[a:b].replace(dots, b" ")) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
+            return [batch.column(0), lists(ids, counts), pa.array(crc)]
 
         return f
 
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_texts(source, make, "doc_id long, ids array<int>, text_crc32 long")
+    return map_texts(source, make, "doc_id long, ids array<int>, text_crc32 long", PART)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -201,11 +282,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         model = pieces(path)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                column = part.column(at)
-                texts = [model.decode(x or []).decode("utf-8", "replace") for x in (column[i].values.to_numpy(zero_copy_only=False).tolist() if column[i].is_valid else [] for i in range(len(column)))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            column = batch.column(at)
+            if column.null_count:
+                column = pc.fill_null(column, pa.scalar([], column.type))
+            ends = np.asarray(column.offsets).astype(np.int64)
+            for lo, hi in pieces_of(ends - ends[0], PART):
+                flat = column.values[ends[lo] : ends[hi]].to_numpy(zero_copy_only=False)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(flat, np.diff(ends[lo : hi + 1]))], [*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string"
     return encoded.mapInArrow(run, schema)
