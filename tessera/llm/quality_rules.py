@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import CODES, SPACED, U64, Words, gram_hash, map_texts, mix, span_hash, sums
+from tessera.llm.bitmap import maybe
 
 BUCKETS = 1 << 16
 #: A document is kept if its mean log ratio per n-gram (natural logarithm) is at least this.
@@ -60,6 +61,15 @@ def counts(df: DataFrame, text: str) -> np.ndarray:
     return out
 
 
+def texts_of(df: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text): the rows of df whose id is among the ids of ``ids`` (doc_id). A null id is among none; repeated ids count once.
+
+    A bitmap of fixed size drops most other texts first; what is left meets the ids in one shuffle, whatever their number."""
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return maybe(rows, known, "doc_id").join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
+
+
 def ratios(df: DataFrame, trusted: DataFrame, smooth: float = 1.0, text: str = "text") -> np.ndarray:
     """log(p_trusted / p_corpus) of each bucket, both multinomials smoothed by adding ``smooth``; zeros if nothing is trusted.
 

@@ -27,8 +27,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    trusted = docs.select("doc_id", "text").join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    out = quality_rules.quality(docs, quality_rules.ratios(docs, trusted))
+    trusted = labels.where("quality = 1").select("doc_id")
+    out = quality_rules.quality(docs, quality_rules.ratios(docs, quality_rules.texts_of(docs, trusted)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("trusted")).alias("kept"), "llr")
 
