@@ -136,6 +136,41 @@ def lists(values: pa.Array | np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
+class Memo:
+    """Runs of numbers by 64-bit key, remembered in a table of fixed size: a key gives way to another of its slot. Key 0 is not remembered."""
+
+    def __init__(self, slots: int, room: int):
+        self.slots, self.room = slots, room
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at, self.n = np.zeros(self.slots, U64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.flat, self.used = np.zeros(self.room, np.int32), 0
+
+    def look(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of each key, one after the other, and how many each has. make(places), for one place of each key that is not
+        known, gives these keys' numbers and how many each has."""
+        if self.used > self.room // 2:
+            self.clear()
+        slot = (keys & U64(self.slots - 1)).astype(np.int64)
+        start, n = self.at[slot], self.n[slot].astype(np.int64)
+        miss = np.flatnonzero((self.key[slot] != keys) | (keys == 0))
+        if len(miss):
+            new, one, where = np.unique(keys[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            values, count = make(one)
+            if self.used + len(values) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(values), np.int32)])
+            self.flat[self.used : self.used + len(values)] = values
+            begin = self.used + np.cumsum(count) - count
+            self.used += len(values)
+            start[miss], n[miss] = begin[where], count[where]
+            _, last = np.unique(slot[one], return_index=True)
+            kept = slot[one[last]]
+            self.key[kept], self.at[kept], self.n[kept] = new[last], begin[last], count[last]
+        return self.flat[np.repeat(start, n) + runs(n)], n
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.batches import U64, lists, map_texts, mix, powers, runs, span_hash, sums
+from tessera.llm.batches import U64, Memo, lists, map_texts, mix, powers, runs, span_hash, sums
 from tessera.llm.batches import pieces as pieces_of
 
 SPACE = "▁"
-#: Slots of the table of known units and of the one of known pairs; an entry gives way to another of the same slot. Ids remembered.
-UNITS, PAIRS, IDS = 1 << 21, 1 << 22, 1 << 23
+#: Slots of the table of known units and of the one of known pairs, and ids remembered.
+UNITS, PAIRS, IDS = 1 << 20, 1 << 21, 1 << 22
 #: Bytes of texts, or ids, that are looked at together.
-PART = 1 << 21
+PART = 1 << 20
 #: Bits of a key that a table of present keys is asked for before the sorted keys are searched.
 SEEN = 20
 _LENGTH = U64(0xD6E8FEB86659FD93)
@@ -61,12 +61,7 @@ class Pieces:
         self.part_sizes = np.array([len(x) for x in self.decoded], np.int64)
         self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
         self.pair, self.apart = np.full(PAIRS, -2, np.int64), np.zeros(PAIRS, bool)
-        self.forget()
-
-    def forget(self) -> None:
-        """Empties the table of units: of each, its hash, and where its ids stand in ``flat``."""
-        self.unit, self.at, self.n = np.zeros(UNITS, U64), np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int32)
-        self.flat, self.used = np.zeros(IDS, np.int32), 0
+        self.known = Memo(UNITS, IDS)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the two neighbours whose join scores highest, the first such two, become one piece, until none can."""
@@ -196,26 +191,9 @@ class Pieces:
         points, edges, doc = self.units(data, at)
         if not len(doc):
             return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
-        if self.used > IDS // 2:
-            self.forget()
         h = span_hash(mix(points.astype(U64)), edges[:-1], edges[1:])
-        slot = (h & U64(UNITS - 1)).astype(np.int64)
-        start, n = self.at[slot], self.n[slot].astype(np.int64)
-        miss = np.flatnonzero(self.unit[slot] != h)
-        if len(miss):
-            new, one, where = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[one]
-            ids, count = self.solve(points, edges[one], edges[one + 1] - edges[one])
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(ids), np.int32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            begin = self.used + np.cumsum(count) - count
-            self.used += len(ids)
-            start[miss], n[miss] = begin[where], count[where]
-            _, last = np.unique(slot[one], return_index=True)
-            kept = slot[one[last]]
-            self.unit[kept], self.at[kept], self.n[kept] = new[last], begin[last], count[last]
-        return self.flat[np.repeat(start, n) + runs(n)], sums(n, doc, len(at) - 1).astype(np.int64)
+        ids, n = self.known.look(h, lambda one: self.solve(points, edges[one], edges[one + 1] - edges[one]))
+        return ids, sums(n, doc, len(at) - 1).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """The texts of consecutive runs of ids; the space that encoding puts first goes."""
