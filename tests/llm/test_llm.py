@@ -230,33 +230,51 @@ def test_lm_base(table, docs, empty):
     assert lm_scoring.lm_score(empty, path).count() == 0
 
 
-def test_training_takes_all(spark):
-    """Every document takes part in training, whatever its place."""
+def trained(spark, texts, partitions=1):
     path = queries.tokenizer("byte_bpe_50k.tiktoken")
-    voc = lm_scoring.Vocabulary(np.ones(lm_scoring._encoding(path)[1] + 1))
-    texts = [f"the sun is warm and low {i}" for i in range(13)]
-    fit = lambda rows: lm_scoring.train(spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1), voc, path)
-    whole = fit(texts)
-    for k in (1, 12):
-        assert not np.allclose(whole, fit([*texts[:k], "a cold wind blows here", *texts[k + 1 :]]), atol=1e-6)
+    _, end, leads = lm_scoring._encoding(path)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(partitions)
+    return lm_scoring.train(lm_scoring.gather(rows, path), end, leads)
+
+
+def test_training_takes_all(spark):
+    """Every document takes part in training, whatever its place, and every window of a long one."""
+    texts = [f"the sun is warm and low {i}" for i in range(5)] + [" ".join(f"word{i} is here" for i in range(300))]
+    whole = trained(spark, texts)[1]
+    for k in (1, 4):
+        assert not np.allclose(whole, trained(spark, [*texts[:k], "a cold wind blows here", *texts[k + 1 :]])[1], atol=1e-6)
+    assert not np.allclose(whole, trained(spark, [*texts[:5], texts[5].replace("word170 is", "word170 was")])[1], atol=1e-6)
+
+
+def test_lm_layout(spark, docs):
+    """Scores don't depend on partitions; held-out text scores better than by the unigram."""
+    path, rows = queries.tokenizer("byte_bpe_50k.tiktoken"), spark.createDataFrame(docs, "doc_id long, text string")
+    one, many = (lm_scoring.lm_score(rows.repartition(n), path).toPandas().sort_values("doc_id") for n in (1, 7))
+    assert np.allclose(one.score, many.score, rtol=1e-5, atol=1e-3)
+    held = one[one.held_out]
+    assert held.score.sum() > held.base_score.sum()
 
 
 def test_attention_gradients():
     rng = np.random.default_rng(3)
-    model = lm_scoring.Attention.fresh(np.zeros(lm_scoring.CLASSES, np.float32))
-    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    x, before = rng.integers(0, 50, (3, lm_scoring.STEP)), rng.integers(0, 50, (3, lm_scoring.STEP))
-    first, y, live = np.array([True, False, False]), rng.integers(0, lm_scoring.CLASSES, (3, lm_scoring.STEP)), np.ones((3, lm_scoring.STEP))
-    d = model.gradients(x, before, first, y, live)
-    for k in ("q", "k", "v", "w", "out", "far", "emb", "b"):
-        i = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
-        keep = model.p[k][i]
+    shapes = lm_scoring.Attention.SHAPES
+    flat = {k: rng.normal(size=s) * 0.5 for k, s in shapes.items()}
+    make = lambda p: lm_scoring.Attention({k: v.copy() for k, v in p.items()})
+    n = 3 * lm_scoring.STEP
+    x, first = rng.integers(0, 50, n + lm_scoring.STEP), np.array([True, False, False])
+    at = np.sort(rng.choice(n, n // 2, replace=False))
+    y = rng.integers(0, lm_scoring.CLASSES, len(at))
+    d, lo = make(flat).gradients(x, first, at, y), 0
+    for k, s in shapes.items():
+        size = int(np.prod(s))
+        g, lo = d[lo : lo + size].reshape(s), lo + size
+        i = np.unravel_index(np.abs(g).argmax(), s)
         loss = []
-        for step in (1e-5, -1e-5):
-            model.p[k][i] = keep + step
-            loss.append(-model.log_probs(x, before, first, y).mean())
-        model.p[k][i] = keep
-        assert abs((loss[0] - loss[1]) / 2e-5 - d[k][i]) < 1e-4 * max(1, abs(d[k][i]))
+        for step in (1e-3, -1e-3):
+            moved = {j: v.copy() for j, v in flat.items()}
+            moved[k][i] += step
+            loss.append(-make(moved).log_probs(x, first, at, y).astype(np.float64).sum())
+        assert abs((loss[0] - loss[1]) / 2e-3 - g[i]) < 2e-2 * max(1, abs(g[i])), k
 
 
 def test_pipeline(spark):
@@ -285,4 +303,3 @@ def test_pipeline(spark):
             break
         now = {r.doc_id: r.text for r in after.collect()}
         stage = spark.createDataFrame(pd.DataFrame([r.asDict() for r in after.collect()]), docs.schema)
-    assert F.lit(1) is not None
