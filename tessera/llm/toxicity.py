@@ -104,30 +104,51 @@ def fit(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nd
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of at most ``sample`` labelled documents, half of each class: of either, those whose id has the smallest hash.
 
-    Rows with a null id, label or text are no training rows; an id labelled more than once counts as its largest label; of rows
-    with one id all are read; of near copies (equal smallest hash of five words) one is. Without a document of each class nothing is learnt and every score is near 0. ``sample`` bounds what reaches the driver."""
+    Rows with a null id, label or text are no training rows; an id labelled more than once counts as its largest label. Of near copies
+    in one class (equal smallest hash of five words), those of one id included, one takes part: that of the smallest id, then of the
+    smallest hash of its words. Of texts that are left, each class has at most half of ``sample``, those of smallest signature.
+    Without a document of each class nothing is learnt and every score is near 0. The model is fitted by one task on these rows, whose
+    number ``sample`` bounds; the driver gets the weights that are not 0, BUCKETS at most."""
     known = labels.where(f"`{doc_id}` is not null and `{label}` is not null").groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     half = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for c in ("label > 0", "label <= 0")]
     picked = half[0].unionByName(half[1])  # at most ``sample`` rows of two numbers
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("label", "text")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(picked), "doc_id").select("label", "text", "doc_id")
 
     def make():
         def f(batch, data, at):
             words, bucket, sentence = features(data, at)
-            return [batch.column(0), pa.array(signed(signatures(words, len(at) - 1))), lists(pa.array(bucket.astype(np.int32)), words.counts), lists(pa.array(sentence.astype(np.int32)), words.counts)]
+            return [batch.column(0), batch.column(2), pa.array(signed(signatures(words, len(at) - 1))), lists(pa.array(bucket.astype(np.int32)), words.counts), lists(pa.array(sentence.astype(np.int32)), words.counts)]
 
         return f
 
-    got = map_texts(rows, make, "label int, signature long, bucket array<int>, sentence array<int>").limit(2 * sample).toArrow()
-    _, once = np.unique(got["signature"].to_numpy() * 2 + got["label"].to_numpy(), return_index=True)
-    got = got.take(pa.array(np.sort(once)))
-    if not got.num_rows or not 0 < (y := (got["label"].to_numpy() > 0).astype(int)).sum() < len(y):
-        return Model(np.zeros(BUCKETS), -5.0)
-    bucket, sentence = got["bucket"].combine_chunks(), got["sentence"].combine_chunks()
-    counts = np.diff(np.asarray(bucket.offsets))
-    doc, number = np.repeat(np.arange(len(y), dtype=np.int32), counts), np.asarray(sentence.flatten())
-    new = np.append(True, (np.diff(doc) > 0) | (np.diff(number) != 0))
-    return fit(np.asarray(bucket.flatten()), np.cumsum(new, dtype=np.int32) - 1, doc[new], y)
+    each = map_texts(rows, make, "label int, doc_id long, signature long, bucket array<int>, sentence array<int>")
+    once = each.groupBy((F.col("label") > 0).cast("int").alias("label"), "signature").agg(F.min_by(F.struct("bucket", "sentence"), F.struct("doc_id", F.xxhash64("bucket"))).alias("t"))
+    parts = [once.where(c).orderBy("signature").limit(sample // 2) for c in ("label = 1", "label = 0")]
+    taken = parts[0].unionByName(parts[1]).select("label", "signature", "t.bucket", "t.sentence")
+
+    def fitted(batches):
+        got = pa.Table.from_batches(list(batches))
+        if not got.num_rows:
+            return
+        got = got.sort_by([("label", "ascending"), ("signature", "ascending")]).combine_chunks()
+        y = got["label"].to_numpy()
+        if not 0 < y.sum() < len(y):
+            return
+        bucket, sentence = got["bucket"].combine_chunks(), got["sentence"].combine_chunks()
+        counts = np.diff(np.asarray(bucket.offsets))
+        doc, number = np.repeat(np.arange(len(y), dtype=np.int32), counts), np.asarray(sentence.flatten())
+        new = np.append(True, (np.diff(doc) > 0) | (np.diff(number) != 0))[: len(doc)]
+        model = fit(np.asarray(bucket.flatten()), np.cumsum(new, dtype=np.int32) - 1, doc[new], y)
+        some = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(model.weights[some], model.bias))], ["bucket", "weight"])
+
+    got = taken.coalesce(1).mapInArrow(fitted, "bucket long, weight double").toArrow()
+    model = Model(np.zeros(BUCKETS), -5.0)
+    if got.num_rows:
+        bucket, weight = got["bucket"].to_numpy(), got["weight"].to_numpy()
+        model.weights[bucket[bucket >= 0]], model.bias = weight[bucket >= 0], float(weight[bucket < 0][0])
+    return model
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
