@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def shared_keys(df: DataFrame, with_first: bool) -> DataFrame:
+def shared_keys(df: DataFrame, with_first: bool, salted: bool = False) -> DataFrame:
     """For df (key long, doc_id long, ...): its rows whose key two or more documents hold, with first, the key's smallest doc_id;
     without ``with_first`` only those of other documents than the first. One shuffle. Keys and ids must not be null.
 
+    If ``salted``, df is (key, doc_id, salt): rows of a salt other than 0 have keys that are known to be shared by many; they are
+    dealt by the salt, too, and all are returned, with a first that means nothing.
+
     The rows of the first document of the key at hand are all that is kept back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,6 +36,8 @@ def shared_keys(df: DataFrame, with_first: bool) -> DataFrame:
             if known is not None and known[0] == key[0]:
                 many[0] = True
             take = many[run_of]
+            if salted:
+                take = take | (batch.column(2).to_numpy() != 0)
             if not with_first:
                 take &= doc != first[run_of]
             if many[-1]:
@@ -45,4 +50,5 @@ def shared_keys(df: DataFrame, with_first: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(first[run_of[rows]])], [*out.schema.names, "first"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", first long"
-    return df.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
+    by = ["key", "salt"] if salted else ["key"]
+    return df.repartition(*by).sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)

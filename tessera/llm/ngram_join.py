@@ -9,6 +9,8 @@ bounds inside the join; large ones by an R-tree over count vectors, whose leaf b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +25,8 @@ from tessera.llm.keyed import shared_keys
 #: Coordinates of a count vector, and grams of an R-tree leaf's members together (or one larger member).
 DIMS = 256
 LEAF = 400_000
+#: Leaves of a node; members of a part of a family that get leaves of their own.
+FAN, CROWD = 32, 64
 #: Members up to which a bucket is searched pair by pair.
 SMALL = 32
 #: Documents, those of smallest hash, whose grams tell which are frequent (held by FREQUENT_IN of them), and grams remembered at most.
@@ -117,20 +121,37 @@ def leaf_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tu
 def rtree_links(members: DataFrame, texts: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
     """(a, b): links that join parts of a family, for members (family, part, doc_id, size, vec) and the texts (doc_id, text).
 
-    Members are packed, in the order of part, size and coordinates, into leaves of about ``leaf`` grams and coordinates together; a
-    leaf's box has the largest count in each coordinate and the range of sizes. Leaves of one family whose boxes allow a link and
-    that do not lie in one same part are searched, each such two as one group of a task: first by count vectors alone, and then
-    the members that still have a partner by their sets, which only these need."""
-    order = Window.partitionBy("family").orderBy("part", "size", "vec", "doc_id")
-    run = F.sum(F.col("size") + DIMS).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = written(members.withColumn("leaf", F.floor(run / leaf)))
-    most = F.array(*(F.max(F.col("vec")[d]) for d in range(DIMS)))
-    box = rows.groupBy("family", "leaf").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("part").alias("p0"), F.max("part").alias("p1"), most.alias("most"))
-    x, y = box.select("family", *(F.col(c).alias(c + "_x") for c in box.columns if c != "family")), box.select("family", *(F.col(c).alias(c + "_y") for c in box.columns if c != "family"))
-    may = (F.col("leaf_x") <= F.col("leaf_y")) & (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent)
-    may &= _overlap("most_x", "most_y") * (100 + percent) >= (F.col("lo_x") + F.col("lo_y")) * percent
-    may &= ~((F.col("p0_x") == F.col("p1_x")) & (F.col("p0_y") == F.col("p1_y")) & (F.col("p0_x") == F.col("p0_y")))
-    pairs = x.join(y, "family").where(may).select("family", F.col("leaf_x").alias("i"), F.col("leaf_y").alias("j"))
+    Members of a family are packed in order: those of a large part together, the others by size; into leaves of about ``leaf`` grams
+    and coordinates together, and FAN leaves into a node. A box, of a leaf or node, has the largest count in each coordinate and the
+    range of sizes. From pairs of nodes of a family whose boxes allow a link and that do not lie in one same part the search goes down
+    to pairs of leaves, and each such two are searched as one group of a task: first by count vectors alone, and then the members
+    that still have a partner by their sets, which only these need. No family is sorted, paired or held by one task."""
+    crowd = members.groupBy("family", "part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("family", "part", F.col("part").alias("crowd"))
+    placed = members.join(crowd, ["family", "part"], "left").select("family", "crowd", "size", "doc_id", "part", "vec")
+    order = ["family", "crowd", "size", "doc_id"]
+    packed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(packed.mapInArrow(lambda batches: _pack(batches, leaf), "family long, crowd long, size long, doc_id long, part long, vec array<int>, node long, leaf long"))
+    box = "lo long, hi long, p0 long, p1 long, most array<int>"
+
+    def leaf_box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, pdf["size"].min(), pdf["size"].max(), pdf["part"].min(), pdf["part"].max(), np.stack(pdf["vec"].to_numpy()).max(0)]])
+
+    def node_box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, pdf["lo"].min(), pdf["hi"].max(), pdf["p0"].min(), pdf["p1"].max(), np.stack(pdf["most"].to_numpy()).max(0)]])
+
+    leaves = written(rows.groupBy("family", "node", "leaf").applyInPandas(leaf_box, f"family long, node long, leaf long, {box}"))
+    nodes = leaves.groupBy("family", "node").applyInPandas(node_box, f"family long, node long, {box}")
+
+    def side(df: DataFrame, k: str) -> DataFrame:
+        return df.select("family", *(F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "family"))
+
+    def may(level: str):
+        fit = (F.col(f"{level}_x") <= F.col(f"{level}_y")) & (F.col("hi_x") * 100 >= F.col("lo_y") * percent) & (F.col("hi_y") * 100 >= F.col("lo_x") * percent)
+        fit &= _overlap("most_x", "most_y") * (100 + percent) >= (F.col("lo_x") + F.col("lo_y")) * percent
+        return fit & ~((F.col("p0_x") == F.col("p1_x")) & (F.col("p0_y") == F.col("p1_y")) & (F.col("p0_x") == F.col("p0_y")))
+
+    upper = side(nodes, "x").join(side(nodes, "y"), "family").where(may("node")).select("family", "node_x", "node_y")
+    pairs = upper.join(side(leaves, "x"), ["family", "node_x"]).join(side(leaves, "y"), ["family", "node_y"]).where(may("leaf")).select("family", F.col("leaf_x").alias("i"), F.col("leaf_y").alias("j"))
     sides = F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("leaf")
     work = pairs.select("family", "i", "j", sides).join(rows, ["family", "leaf"]).select("family", "i", "j", "leaf", "part", "doc_id", "vec")
 
@@ -150,6 +171,32 @@ def rtree_links(members: DataFrame, texts: DataFrame, n: int, percent: int, leaf
     return some.join(grams.select("doc_id", "grams"), "doc_id").groupBy("family", "i", "j").applyInPandas(links, "a long, b long")
 
 
+def _pack(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches (family, crowd, size, ...) with the node and the leaf of each."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    node, inside, last = number, 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        family, crowd, size = (batch.column(i).fill_null(np.iinfo(np.int64).min).to_numpy() for i in range(3))
+        new = np.append(True, (np.diff(family) != 0) | (np.diff(crowd) != 0))
+        run = np.cumsum(size + DIMS)
+        start = np.flatnonzero(new)
+        which = (run - np.repeat((run - size - DIMS)[start], np.diff(np.append(start, len(new))))) // leaf
+        head = new | np.append(True, np.diff(which) != 0)
+        leaves = np.cumsum(head)
+        nodes = np.zeros(leaves[-1], np.int64)
+        for i, of in enumerate(family[head].tolist()):
+            if of != last or inside == FAN:
+                node, inside, last = node + 1, 0, of
+            inside += 1
+            nodes[i] = node
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes[leaves - 1]), pa.array(number + leaves)], [*batch.schema.names, "node", "leaf"])
+        number += int(leaves[-1])
+
+
 def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when 100 * |A and B| >= percent * |A or B| for their sets of n-word shingles
     (A-Z lower-cased; a shorter text is one shingle); component_id is the smallest doc_id that links lead to, itself included.
@@ -171,8 +218,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
         return f
 
     each = written(map_texts(rows, make, "doc_id long, n_shingles long, h1 long, h2 long, vec array<int>"))
-    # one document stands for all of equal sets
-    lead = each.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"))
+    # one document stands for all of equal sets; written, so that joins with it can split what very many copies share
+    lead = written(each.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("lead")))
 
     valid = rows.where("doc_id is not null")
     frequent = valid.sparkSession.sparkContext.broadcast(frequent_grams(valid, n))
@@ -183,11 +230,15 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
         def f(batch, data, at):
             grams, sizes = gram_sets(data, at, n)
             keys, per = prefix(grams, sizes, percent, late)
-            return [pa.array(signed(keys)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), per)))]
+            salt = np.zeros(len(keys), np.int32)
+            if len(late):  # grams that several documents are known to hold are dealt by document, too
+                known = late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys
+                salt[known] = 1 + np.flatnonzero(known) % 255
+            return [pa.array(signed(keys)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), per))), pa.array(salt)]
 
         return f
 
-    held = written(shared_keys(map_texts(valid, make_keys, "key long, doc_id long"), with_first=True).select("key", "doc_id"))
+    held = written(shared_keys(map_texts(valid, make_keys, "key long, doc_id long, salt int"), with_first=True, salted=True).select("key", "doc_id"))
     # copies of one set stand behind their lead; buckets of the same members are one
     same = each.join(lead, ["h1", "h2"]).select("doc_id", "lead").distinct()
     member = held.join(same, "doc_id").select("key", "lead").distinct()
