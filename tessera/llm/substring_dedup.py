@@ -9,6 +9,7 @@ are not broadcast to all tasks: a document is streamed through those shards alon
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,11 +114,13 @@ def repeats(automaton: Automaton, seq: list[int], window: int) -> list[tuple[int
 
 
 def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text", stream: int = STREAM) -> DataFrame:
-    """(doc_id, spans): for each document with words to remove, disjoint spans (start, end) of word numbers, ascending.
+    """(doc_id, tag, spans): for each text with words to remove, disjoint spans (start, end) of word numbers, ascending; tag is a hash
+    of the text.
 
-    A word is removed if a window of ``window`` words of its document that covers it also stands in a document with a smaller id.
-    Rows with a null id neither lose words nor make others lose some. Rows that share an id must be one document."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    A word is removed if a window of ``window`` words of its text that covers it also stands in a text with a smaller id.
+    Rows with a null id neither lose words nor make others lose some. Rows that share an id are texts of their own, none of which
+    makes another lose words; equal rows get equal spans."""
+    rows = _tagged(df, doc_id, text).where("doc_id is not null")
 
     def anchors_of():
         def f(batch, data, at):
@@ -131,7 +134,7 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
         return f
 
     # anchors that two or more documents hold, and with them the stretches that may be repeated
-    held = shared_keys(map_texts(rows, anchors_of, "key long, doc_id long").distinct(), with_first=True)
+    held = shared_keys(map_texts(rows.select("doc_id", "text"), anchors_of, "key long, doc_id long").distinct(), with_first=True)
     mine = written(held.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
     texts = maybe(rows, mine, "doc_id").join(mine, "doc_id")
 
@@ -156,41 +159,42 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
             which = np.cumsum(begin) - 1
             sizes = np.bincount(which[inside], minlength=len(starts))
             doc = words.docs[starts]
-            return [batch.column(0).take(pa.array(doc)), pa.array((starts - words.first[doc]).astype(np.int32)), lists(signed(own[inside]), sizes)]
+            return [batch.column(0).take(pa.array(doc)), batch.column(3).take(pa.array(doc)), pa.array((starts - words.first[doc]).astype(np.int32)), lists(signed(own[inside]), sizes)]
 
         return f
 
-    found = written(map_texts(texts.select("doc_id", "text", "keys"), stretches, "doc_id long, start int, words array<long>").distinct())
+    found = written(map_texts(texts.select("doc_id", "text", "keys", "tag"), stretches, "doc_id long, tag long, start int, words array<long>").dropDuplicates(["doc_id", "tag", "start"]))
 
     def windows_of(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                lists_ = part.column(2)
+                lists_ = part.column(3)
                 own = lists_.flatten().to_numpy().view(U64)
                 n = np.diff(np.asarray(lists_.offsets))
                 which = np.repeat(np.arange(len(n)), n)
                 ok = np.flatnonzero(which[: max(0, len(own) - window + 1)] == which[window - 1 :])
                 if not len(ok):
                     continue
-                place = runs(n)[ok] + np.asarray(part.column(1))[which[ok]]
+                place = runs(n)[ok] + np.asarray(part.column(2))[which[ok]]
                 key = gram_hash(own, window)[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), part.column(0).take(pa.array(which[ok])), pa.array(place.astype(np.int32))], ["key", "doc_id", "place"])
+                which = pa.array(which[ok])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), part.column(0).take(which), part.column(1).take(which), pa.array(place.astype(np.int32))], ["key", "doc_id", "tag", "place"])
 
-    windows = shared_keys(found.select("doc_id", "start", "words").mapInArrow(windows_of, "key long, doc_id long, place int"), with_first=True)
+    windows = shared_keys(found.mapInArrow(windows_of, "key long, doc_id long, tag long, place int"), with_first=True)
 
-    # lists of a document's own windows, by the document that has them first
-    routed = windows.select("doc_id", "first", "place").groupBy("doc_id", "first").agg(F.collect_list("place").alias("places"))
-    per_doc = routed.groupBy("doc_id").agg(F.collect_list(F.struct("first", "places")).alias("owners"))
-    pieces_in = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("stretches")).join(per_doc, "doc_id")
+    # lists of a text's own windows, by the document that has them first
+    routed = windows.groupBy("doc_id", "tag", "first").agg(F.collect_list("place").alias("places"))
+    per_doc = routed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "places")).alias("owners"))
+    pieces_in = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "words")).alias("stretches")).join(per_doc, ["doc_id", "tag"])
 
     def cut(batches):
-        """Pieces of documents: for each owner, the words that its windows cover, run by run."""
+        """Pieces of texts: for each owner, the words that its windows cover, run by run."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 16):
-                out: dict[str, list] = {"owner": [], "doc_id": [], "start": [], "words": []}
+                out: dict[str, list] = {"owner": [], "doc_id": [], "tag": [], "start": [], "words": []}
                 for row in batch.slice(lo, 16).to_pylist():
-                    held = _longest(row["stretches"])
+                    held = sorted((x["start"], np.array(x["words"], np.int64)) for x in row["stretches"])
                     heads = np.array([s for s, _ in held])
                     for owner in row["owners"]:
                         p = np.unique(owner["places"])
@@ -199,14 +203,15 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                             k = int(np.searchsorted(heads, a, "right")) - 1
                             out["owner"].append(owner["first"])
                             out["doc_id"].append(row["doc_id"])
+                            out["tag"].append(row["tag"])
                             out["start"].append(int(a))
                             out["words"].append(held[k][1][a - heads[k] : z + window - heads[k]])
                 sizes = np.array([len(w) for w in out["words"]], np.int64)
                 if len(sizes):
                     flat = pa.array(np.concatenate(out["words"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(out["owner"]), pa.array(out["doc_id"]), pa.array(out["start"], pa.int32()), lists(flat, sizes)], list(out))
+                    yield pa.RecordBatch.from_arrays([pa.array(out["owner"]), pa.array(out["doc_id"]), pa.array(out["tag"]), pa.array(out["start"], pa.int32()), lists(flat, sizes)], list(out))
 
-    parts = written(pieces_in.select("doc_id", "stretches", "owners").mapInArrow(cut, "owner long, doc_id long, start int, words array<long>"))
+    parts = written(pieces_in.mapInArrow(cut, "owner long, doc_id long, tag long, start int, words array<long>"))
     # equal pieces of one owner are streamed once; a much repeated owner gets a copy of its automaton for every ``stream`` of them
     keyed = parts.withColumn("piece", F.xxhash64("words"))
     distinct = keyed.where("doc_id <> owner").groupBy("owner", "piece").agg(F.any_value("words").alias("words"))
@@ -223,10 +228,10 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
         return pd.DataFrame({"owner": ask["owner"], "piece": ask["piece"], "found": [[{"a": a, "b": b} for a, b in s] for s in spans]})
 
     matched = both.groupBy("owner", "copy").applyInPandas(match, "owner long, piece long, found array<struct<a:int,b:int>>")
-    spans = keyed.where("doc_id <> owner").select("owner", "piece", "doc_id", "start").join(matched, ["owner", "piece"]).select("doc_id", F.explode("found").alias("s"), "start")
-    ends = spans.select("doc_id", F.struct((F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("end")).alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("s"))
+    spans = keyed.where("doc_id <> owner").select("owner", "piece", "doc_id", "tag", "start").join(matched, ["owner", "piece"]).select("doc_id", "tag", F.explode("found").alias("s"), "start")
+    ends = spans.select("doc_id", "tag", F.struct((F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("end")).alias("s")).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("s")).alias("s"))
     merged = F.aggregate("s", F.expr("cast(array() as array<struct<start:int,end:int>>)"), _join_spans)
-    return ends.select("doc_id", merged.alias("spans"))
+    return ends.select("doc_id", "tag", merged.alias("spans"))
 
 
 def _join_spans(done, s):
@@ -235,12 +240,8 @@ def _join_spans(done, s):
     return F.when((F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
 
-def _longest(stretches: list[dict]) -> list[tuple[int, np.ndarray]]:
-    best: dict[int, np.ndarray] = {}
-    for s in stretches:
-        if len(s["words"]) > len(best.get(s["start"], ())):
-            best[s["start"]] = np.array(s["words"], np.int64)
-    return sorted(best.items(), key=lambda x: x[0])
+def _tagged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
 
 
 def _digests(data: np.ndarray, words: Words, keep: np.ndarray) -> list[str]:
@@ -260,9 +261,8 @@ def _digests(data: np.ndarray, words: Words, keep: np.ndarray) -> list[str]:
 
 
 def removal(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text (the kept words, joined by single spaces), n_words, n_removed for the documents of ``spans``."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    hit = maybe(rows, spans, "doc_id").join(spans, "doc_id").select("doc_id", "text", "spans")
+    """doc_id, tag, text (the kept words, joined by single spaces), n_words, n_removed, once for each text of ``spans``."""
+    hit = maybe(_tagged(df, doc_id, text), spans, "doc_id").join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans", "tag")
 
     def make():
         def f(batch, data, at):
@@ -276,11 +276,11 @@ def removal(df: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str =
                 lo = int(words.first[i])
                 texts.append(b" ".join(raw[starts[lo + j] : ends[lo + j]] for j in np.flatnonzero(keep).tolist()).decode())
                 gone.append(int((~keep).sum()))
-            return [batch.column(0), pa.array(texts, pa.string()), pa.array(words.counts.astype(np.int64)), pa.array(gone, pa.int64())]
+            return [batch.column(0), batch.column(3), pa.array(texts, pa.string()), pa.array(words.counts.astype(np.int64)), pa.array(gone, pa.int64())]
 
         return f
 
-    return map_texts(hit, make, "doc_id long, text string, n_words long, n_removed long")
+    return map_texts(hit, make, "doc_id long, tag long, text string, n_words long, n_removed long").dropDuplicates(["doc_id", "tag"])
 
 
 def dedup(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,20 +291,22 @@ def dedup(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "
     def make():
         def f(batch, data, at):
             words = Words(data, at)
-            return [batch.column(0), pa.array(words.counts.astype(np.int64)), pa.array(_digests(data, words, np.ones(len(words.starts), bool)))]
+            return [batch.column(0), batch.column(2), pa.array(words.counts.astype(np.int64)), pa.array(_digests(data, words, np.ones(len(words.starts), bool)))]
 
         return f
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    plain = map_texts(rows, make, "doc_id long, n_words long, kept_sha256 string")
+    plain = map_texts(_tagged(df, doc_id, text), make, "doc_id long, tag long, n_words long, kept_sha256 string")
     spans = written(repeated_spans(df, window, doc_id, text))
-    cut = removal(df, spans, doc_id, text).select("doc_id", "n_removed", F.sha2("text", 256).alias("cut")).dropDuplicates(["doc_id"])
-    return plain.join(cut, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut", "kept_sha256").alias("kept_sha256"))
+    cut = removal(df, spans, doc_id, text).select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("cut"))
+    return plain.join(cut, ["doc_id", "tag"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut", "kept_sha256").alias("kept_sha256"))
 
 
 def strip(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows and columns of df with repeated stretches removed from the text; texts without one stay as they are."""
+    """The rows and columns of df, whatever their names, with repeated stretches removed from the text; texts without one stay as they are.
+
+    Null and empty texts and rows with a null id stay as they are; of rows that share an id each text is cut by itself."""
     spans = written(repeated_spans(df, window, doc_id, text))
-    cut = removal(df, spans, doc_id, text).select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).dropDuplicates(["_doc"])
-    kept = df.join(cut, F.col(doc_id) == F.col("_doc"), "left")
-    return kept.withColumn(text, F.coalesce("_text", F.col(text))).select(*df.columns)
+    own, tag, new = (f"{k}_{uuid.uuid4().hex}" for k in ("doc", "tag", "text"))
+    cut = removal(df, spans, doc_id, text).select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("text").alias(new))
+    kept = df.join(cut, (F.col(doc_id).cast("long") == F.col(own)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag)), "left")
+    return kept.withColumn(text, F.coalesce(new, F.col(text))).select(*df.columns)
