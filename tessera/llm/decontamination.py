@@ -20,8 +20,8 @@ from tessera.llm.batches import ALNUM, U64, Words, gram_hash, map_texts, mix, ru
 #: An alignment counts if its score is at least this share of the item's score with itself.
 SIMILARITY = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items that are broadcast at a time (their number of words is bounded, too); more are taken in rounds.
-ITEMS, ITEM_WORDS = 10_000, 200
+#: Items, and bytes of their texts, that are broadcast at a time, about; more are taken in rounds. One item is never cut.
+ITEMS, ITEM_BYTES = 10_000, 1 << 23
 #: Pairs of a place and a seed, and words of candidates, that are looked at together.
 PAIRS = 1 << 20
 
@@ -57,25 +57,19 @@ def seeds_of(own: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read_items(rows: pa.Table, similarity: float = SIMILARITY) -> Items:
-    """Items of (item_id, text), each cut into even parts of at most ITEM_WORDS words with its id repeated."""
+    """Items of (item_id, text)."""
     from tessera.llm.batches import buffers
 
     data, at = buffers(rows["text"])
     words = Words(data, at, ALNUM)
     own = words.hashes(fold=True)
-    parts = np.maximum(1, -(-words.counts // ITEM_WORDS))
-    of = np.repeat(np.arange(len(parts)), parts)
-    first = np.append(words.first[of] + runs(parts) * words.counts[of] // parts[of], len(own))
-    part = np.searchsorted(first[:-1], np.arange(len(own)), "right") - 1
-    cut = object.__new__(Words)
-    cut.docs, cut.first, cut.counts = part, first, np.diff(first)
-    key, at = seeds_of(own, cut)
+    key, at = seeds_of(own, words)
     order = np.argsort(key, kind="stable")
     at, wide = at[order], np.where(order < len(own), 1, 2)
-    item = part[at] if len(at) else np.zeros(0, np.int64)
-    place = at - first[item]
-    least = np.maximum(1, np.ceil(similarity * MATCH * cut.counts - 1e-6).astype(np.int64))
-    return Items(rows["item_id"].to_numpy()[of], own, first, key[order], item, place, place, wide, least)
+    item = words.docs[at] if len(at) else np.zeros(0, np.int64)
+    place = at - words.first[item]
+    least = np.maximum(1, np.ceil(similarity * MATCH * words.counts - 1e-6).astype(np.int64))
+    return Items(rows["item_id"].to_numpy(), own, words.first, key[order], item, place, place, wide, least)
 
 
 def rare(items: Items, seen: np.ndarray) -> Items:
@@ -176,8 +170,8 @@ def align(items: Items, own: np.ndarray, words: Words, similarity: float) -> lis
         return empty
     share, end = np.zeros(len(lo)), np.zeros(len(lo), np.int64)
     order = np.argsort(hi - lo, kind="stable")
-    for k in range(0, len(order), 128):
-        o = order[k : k + 128]
+    for a, b in _ranges(np.cumsum((hi - lo)[order]) // (PAIRS >> 4)):
+        o = order[a:b]
         share[o], end[o] = _scores(items, own, item[o], lo[o], hi[o])
     lo = np.maximum(lo, end - items.size[item] - items.slack[item])
     ok = share >= similarity
@@ -205,11 +199,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     Words are letters and digits with A-Z lower-cased. A document and an item are aligned wherever similarity can reach
     the bound, which is the Smith-Waterman score (match 2, mismatch and gap -1) over that of the item with itself; start and
     end bound the words of the alignment. A document without such an item has no row. Null or empty texts match nothing; rows
-    with a null id are found like others; equal rows are found as often as they occur. An item longer than ITEM_WORDS counts if
-    one of its parts does. All items take part, ITEMS at a time, so what is broadcast is bounded."""
+    with a null id are found like others; equal rows are found as often as they occur. Items are aligned
+    whole, whatever their length. All items take part, about ITEMS or ITEM_BYTES at a time, so what is broadcast is bounded."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tests = benchmark.where(f"`{item_id}` is not null and `{text}` is not null").select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
-    rounds = max(1, -(-tests.count() // ITEMS))
+    size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    rounds = max(1, -(-size.n // ITEMS), -(-size.b // ITEM_BYTES))
     out = None
     for r in range(rounds):
         part = tests if rounds == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
