@@ -76,8 +76,9 @@ def resolved(matched: DataFrame) -> DataFrame:
     """Detections of texts (key, hits), texts of one key being equal.
 
     Of detections of no base phrase, one whose interval lies in another's is suppressed (of equal intervals the one of highest
-    priority stays, then of the earlier rule), then one that overlaps a neighbour of higher priority. The work for a text is
-    sorting its own detections."""
+    priority stays, then of the earlier rule). Of those left that overlap one another, the ones of highest priority are taken first
+    (then the earlier ones), and each later one only if it overlaps none that was taken. The work for a text is sorting its own
+    detections, and comparing those of one chain of overlaps."""
     places = matched.select("key", F.explode("hits").alias("r")).select("key", "r.label", "r.priority", "r.base", "r.rule", F.posexplode("r.parts").alias("i", "p"))
     order = Window.partitionBy("key", "rule").orderBy("i")
     spans = (
@@ -88,10 +89,14 @@ def resolved(matched: DataFrame) -> DataFrame:
     )
     outer = Window.partitionBy("key", "base").orderBy("start", F.desc("end"), F.desc("priority"), "rule")
     kept = spans.withColumn("reach", F.max("end").over(outer.rowsBetween(Window.unboundedPreceding, -1))).where("base or reach is null or reach < end")
-    side = Window.partitionBy("key", "base").orderBy("start", "end")
-    last, following = F.lag(F.struct("end", "priority")).over(side), F.lead(F.struct("start", "priority")).over(side)
-    weak = ((last["end"] > F.col("start")) & (last["priority"] > F.col("priority"))) | ((following["start"] < F.col("end")) & (following["priority"] > F.col("priority")))
-    return kept.withColumn("weak", F.coalesce(weak, F.lit(False))).where("base or not weak").select("key", "label", "priority", "base", "start", "end")
+    # what is left has ascending starts and ends: where one begins at or after the last one's end, a new chain of overlaps begins
+    side = Window.partitionBy("key").orderBy("start", "end", "rule")
+    other = kept.where("not base").withColumn("new", F.coalesce(F.col("start") >= F.lag("end").over(side), F.lit(True)).cast("int"))
+    chains = other.withColumn("chain", F.sum("new").over(side)).groupBy("key", "chain").agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("low"), "start", "rule", "end", "label", "priority"))).alias("all"))
+    first = F.slice("all", 1, 1)
+    taken = F.aggregate(F.slice(F.col("all"), 2, F.size("all")), first, lambda got, d: F.when(F.exists(got, lambda g: (g["start"] < d["end"]) & (d["start"] < g["end"])), got).otherwise(F.concat(got, F.array(d))))
+    free = chains.select("key", F.explode(F.when(F.size("all") > 1, taken).otherwise(F.col("all"))).alias("d")).select("key", "d.label", "d.priority", F.lit(False).alias("base"), "d.start", "d.end")
+    return kept.where("base").select("key", "label", "priority", "base", "start", "end").unionByName(free)
 
 
 def license_scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
