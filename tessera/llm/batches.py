@@ -6,6 +6,7 @@ so a task's memory does not depend on how many rows Spark puts into one batch. A
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -211,8 +212,11 @@ def _fields(schema: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, as in tests, a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset and all work is on one machine, as in
+    tests, a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not where and not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return (where or _own_dir[0]).rstrip("/")
