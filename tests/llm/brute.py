@@ -146,3 +146,59 @@ def alternatives(pattern: str) -> list[str]:
         return out
 
     return sorted(set(build(_parser.parse(pattern))))
+
+
+def dedup_rows(rows: list[tuple[int | None, str | None]], window: int) -> list[tuple[int | None, int, int, str]]:
+    """dedup for rows with null and repeated ids: a row loses what a row of a smaller id holds; null ids take no part."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    first: dict = {}
+    for d, i in sorted((d, i) for i, (d, _) in enumerate(rows) if d is not None):
+        for j in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][j : j + window]), d)
+    out = []
+    for (d, _), ws in zip(rows, words, strict=True):
+        starts = range(len(ws) - window + 1) if d is not None else ()
+        gone = {i + j for i in starts if first[tuple(ws[i : i + window])] < d for j in range(window)}
+        kept = " ".join(w for i, w in enumerate(ws) if i not in gone)
+        out.append((d, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def component_rows(rows: list[tuple[int | None, str | None]], n: int, percent: int) -> list[tuple[int | None, int, int | None]]:
+    """jaccard_components for rows with null and repeated ids: rows of one id are one document with several texts."""
+    tagged = [(i, t) for i, (d, t) in enumerate(rows) if d is not None]
+    linked = jaccard_components(tagged, n, percent)
+    up: dict = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, _ in tagged:
+        x, y = root(rows[i][0]), root(rows[linked[i][1]][0])
+        up[max(x, y)] = min(x, y)
+    return [(d, len(shingles(t, n)), None if d is None else root(d)) for d, t in rows]
+
+
+def mean_log_ratio(docs: list[str | None], trusted: list[str | None], buckets, n_buckets: int) -> list[float]:
+    """Mean log ratio of each document, from plain counts; buckets(text) lists the buckets of a text's n-grams."""
+    raw, target = Counter(), Counter()
+    for t in docs:
+        raw.update(buckets(t))
+    for t in trusted:
+        target.update(buckets(t))
+    a, b = sum(raw.values()), sum(target.values())
+    if not b:
+        return [0.0] * len(docs)
+    add = b / max(1, a)
+    ratio = lambda k: math.log((target[k] + add) / (b + add * n_buckets)) - math.log((raw[k] + 1) / (a + n_buckets))
+    return [sum(map(ratio, g)) / max(1, len(g)) for g in map(buckets, docs)]
+
+
+def without(rows: list[tuple[int | None, str | None]], doc_id: int, text: str, window: int) -> str:
+    """The text of one row with repeated words cut, the kept ones joined by spaces."""
+    have = {tuple(w[j : j + window]) for d, t in rows if d is not None and d < doc_id for w in [WORD.findall(t or "")] for j in range(len(w) - window + 1)}
+    words = WORD.findall(text)
+    gone = {i + j for i in range(len(words) - window + 1) if tuple(words[i : i + window]) in have for j in range(window)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
