@@ -80,11 +80,15 @@ def fixed_chunks(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     step = size - overlap
     n = chunk_count(text, size, overlap)
 
+    breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    # line breaks before each chunk: those of the steps before it, added up
+    per_step = F.transform(F.sequence(F.lit(0), n - 1), lambda i: breaks(F.substring(text, i * step + 1, F.lit(step))))
+    before = F.aggregate(per_step, F.array(F.lit(0)), lambda got, x: F.concat(got, F.array(F.element_at(got, -1) + x)))
+
     def one(i):
         start = i * step
         body = F.substring(text, start + 1, F.lit(size))
-        breaks = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-        line = breaks(F.substring(text, F.lit(1), start)) + 1
+        line = F.get(before, i) + 1
         return F.struct(i.alias("index"), body.alias("text"), start.alias("start_char"), (start + F.length(body)).alias("end_char"), line.alias("start_line"), (line + breaks(body)).alias("end_line"))
 
     return F.transform(F.sequence(F.lit(0), n - 1), one)

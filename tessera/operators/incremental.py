@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.functions.text import content_hash, text_uuid
 
@@ -93,20 +97,40 @@ def reset_stuck(state: DataFrame, now: Column, minutes: int = 5, busy: str = "in
 
 
 def change_records(old: DataFrame, new: DataFrame, key: str, text: str, at: Column) -> DataFrame:
-    """One record a changed row: type, hashes and lines added and removed (as multisets of lines)."""
+    """One record a changed row: type, hashes and the lines that a shortest edit adds and removes."""
     o, n = old.select(key, F.col(text).alias("_o")), new.select(key, F.col(text).alias("_n"))
     j = o.join(n, key, "full").where(~F.col("_o").eqNullSafe(F.col("_n")))
     lines = lambda c: F.coalesce(F.split(c, "\n"), F.expr("cast(array() as array<string>)"))
-    keep = _common(lines(F.col("_o")), lines(F.col("_n")))
+    keep = F.when(F.col("_o").isNull() | F.col("_n").isNull(), 0).otherwise(kept_lines(F.col("_o"), F.col("_n")))
     kind = F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "deleted").otherwise("updated")
     h = content_hash(F.col("_n"))
     return j.select(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), at.cast("string"), h), 256), 1, 16).alias("id"), key, kind.alias("change_type"), content_hash(F.col("_o")).alias("old_hash"), h.alias("new_hash"), (F.size(lines(F.col("_n"))) - keep).alias("lines_added"), (F.size(lines(F.col("_o"))) - keep).alias("lines_removed"))
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Number of equal elements of two arrays, counted as often as both hold them."""
-    both = F.array_intersect(a, b)
-    return F.aggregate(F.transform(both, lambda x: F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))), F.lit(0), lambda s, x: s + x)
+@F.pandas_udf(IntegerType())
+def kept_lines(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Lines that a shortest edit keeps of a text."""
+    return pd.Series([0 if a is None or b is None else longest_common(a.split("\n"), b.split("\n")) for a, b in zip(old, new, strict=True)])
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence. Equal ends and lines of one side only go first; then, for each length, the earliest
+    end in b of a common subsequence of that length is kept, and moved by the places of each line of a."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - hi - 1, lo - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    ends: list[int] = []
+    for line in a[lo : len(a) - hi]:
+        for j in places.get(line, ()):
+            i = bisect_left(ends, j)
+            ends[i : i + 1] = [j]
+    return lo + hi + len(ends)
 
 
 def history(changes: DataFrame, where: Column, order: list[Column], limit: int, cap: int = 50) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +46,49 @@ def budget_cut(df: DataFrame, by: list[str], best: list[Column], text: str, budg
 
 
 def budget_skip(df: DataFrame, by: str, newest: list[str], key: str, size: str, budget: int, gap: int = 100) -> DataFrame:
-    """Rows that fit, in order; one that doesn't is skipped if at most ``gap`` remains, else it ends the list. A fold over each
-    group's own sizes."""
-    items = F.array_sort(F.collect_list(F.struct(*newest, F.col(key).alias("key"), F.col(size).cast("long").alias("size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.expr("cast(array() as array<bigint>)").alias("taken"))
+    """(by, key) of the rows that fit, in order; one that doesn't is skipped if at most ``gap`` remains, else it ends the list."""
+    rows = df.select(by, *newest, F.col(key), F.col(size).cast("long").alias("_size"))
 
-    def step(s, x):
-        fits = ~s["over"] & (s["used"] + x["size"] <= budget)
-        return F.struct(F.when(fits, s["used"] + x["size"]).otherwise(s["used"]).alias("used"), (s["over"] | (~fits & (budget - s["used"] > gap))).alias("over"), F.when(fits, F.concat(s["taken"], F.array(x["key"].cast("long")))).otherwise(s["taken"]).alias("taken"))
+    def step(state, n):
+        used, over = state or (0, False)
+        fits = not over and used + n <= budget
+        return (used + n if fits else used, over or (not fits and budget - used > gap)), fits
 
-    return df.groupBy(by).agg(items.alias("items")).select(by, F.explode(F.aggregate("items", start, step)["taken"]).alias(key))
+    return _folded(rows, [by], newest, "_size", step, "boolean").where("_out").select(by, key)
 
 
-def pack(df: DataFrame, by: list[str], order: list[str], tokens: Column, limit: int, base: int = 500, most: int = 1 << 30) -> DataFrame:
-    """Consecutive packs of each group's rows: a row that would pass the limit of tokens or of rows opens the next pack.
+def _folded(df: DataFrame, by: list[str], order: list[str], value: str, step: Callable, kind: str) -> DataFrame:
+    """df with _out, what ``step(state, value) -> state, out`` gives along each group's rows in order; a group begins with state None.
+
+    Sorted partitions are streamed with one state at a time: no group is held in memory."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = state = None
+        for p in parts:
+            out, groups = [], list(zip(*(p[c].astype(object).where(p[c].notna(), None) for c in by), strict=True))
+            for g, v in zip(groups, p[value].tolist(), strict=True):
+                if g != last:
+                    last, state = g, None
+                state, o = step(state, v)
+                out.append(o)
+            yield p.assign(_out=out)
 
-    The fold runs over one group's (order, tokens); split a group that is a whole corpus by a salt in ``by``."""
-    items = F.array_sort(F.collect_list(F.struct(*order, tokens.cast("long").alias("t"))))
-    start = F.struct(F.lit(0).alias("pack"), F.lit(base).cast("long").alias("used"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("packs"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", _out {kind}"
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def pack(df: DataFrame, by: list[str], order: list[str], tokens: Column, limit: int, base: int = 500, most: int = 1 << 30) -> DataFrame:
+    """(by, order, tokens, pack): consecutive packs of each group's rows: a row that would pass the limit of tokens or of rows opens the
+    next pack. ``base`` tokens are spent on each pack. A group is streamed by one task, whatever its size."""
+    rows = df.select(*by, *order, tokens.cast("long").alias("tokens"))
 
-    def step(s, x):
-        new = (s["n"] > 0) & ((s["used"] + x["t"] > limit) | (s["n"] >= most))
-        pack_id = s["pack"] + new.cast("int")
-        return F.struct(pack_id.alias("pack"), F.when(new, base + x["t"]).otherwise(s["used"] + x["t"]).alias("used"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["packs"], F.array(pack_id)).alias("packs"))
+    def step(state, t):
+        number, used, n = state or (0, base, 0)
+        if n and (used + t > limit or n >= most):
+            number, used, n = number + 1, base, 0
+        return (number, used + t, n + 1), number
 
-    folded = df.groupBy(*by).agg(items.alias("items")).select(*by, "items", F.aggregate("items", start, step)["packs"].alias("packs"))
-    return folded.select(*by, F.explode(F.arrays_zip("items", "packs")).alias("z")).select(*by, *(F.col(f"z.items.{c}").alias(c) for c in order), F.col("z.items.t").alias("tokens"), F.col("z.packs").alias("pack"))
+    return _folded(rows, by, order, "tokens", step, "int").withColumnRenamed("_out", "pack")
 
 
 def batches(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -68,6 +70,26 @@ def fulltext_search(index: DataFrame, docs: DataFrame, query: str, k: int, edits
     return top_k(j.groupBy("id").agg(F.sum(part).alias("score")), k, least=least)
 
 
+def text_search(docs: DataFrame, query: str, k: int, least: float | None = None, key: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score): fulltext_search without an index, for the exact words of a query. Each text is read once and gives its length and
+    its count of each query word; statistics and scores come from one shuffle of these few numbers."""
+    terms = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    if not terms:
+        return docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    low, letter = F.lower(text), r"[\p{L}\p{N}]"
+    tf = [F.regexp_count(low, F.lit(f"(?<!{letter}){re.escape(t)}(?!{letter})")) for t in terms]
+    counted = docs.select(F.col(key).alias("id"), F.regexp_count(low, F.lit(letter + "+")).alias("length"), F.array(*tf).alias("tf")).repartition("id")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
+    j = counted.crossJoin(F.broadcast(stats))  # one row
+
+    def part(i: int) -> Column:
+        n, df, f = F.col("n"), F.col(f"df{i}"), F.col("tf")[i]
+        return F.log(1 + (n - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+
+    score = reduce(lambda x, y: x + y, (F.when(F.col("tf")[i] > 0, part(i)).otherwise(0.0) for i in range(len(terms))))
+    return top_k(j.select("id", score.alias("score")).where("score > 0"), k, least=least)
+
+
 def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("length"))
 
@@ -124,7 +146,10 @@ def grep(docs: DataFrame, pattern: str, ignore_case: bool = False, key: str = "d
 def fuzzy_grep(docs: DataFrame, keywords: list[str], threshold: float = 0.7, need_all: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, keyword, similarity) for each line word of at least 3 characters that resembles a keyword, the first such keyword."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "l"))
-    words = lines.select(key, (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.filter(F.split(F.lower("l"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))).alias("word"))
+    # by length alone most words can't reach the threshold, and the others are compared up to the distance that it allows
+    near = lambda w, k: F.length(w).between(math.ceil(threshold * len(k) - 1e-9), math.floor(len(k) / threshold + 1e-9)) & (F.levenshtein(w, F.lit(k.lower()), math.floor((1 - threshold) * len(k) / threshold + 1e-9)) >= 0)
+    able = lambda w: (F.length(w) >= 3) & reduce(lambda x, y: x | y, (near(w, k) for k in keywords))
+    words = lines.select(key, (F.col("i") + 1).alias("line"), F.explode(F.array_distinct(F.filter(F.split(F.lower("l"), r"[^\p{L}\p{N}]+"), able))).alias("word"))
     first = F.coalesce(*(F.when(edit_similarity(F.col("word"), F.lit(k)) >= threshold, F.struct(F.lit(k).alias("keyword"), edit_similarity(F.col("word"), F.lit(k)).alias("similarity"))) for k in keywords))
     out = words.withColumn("m", first).where("m is not null").select(key, "line", "word", "m.*")
     if need_all:

@@ -30,11 +30,13 @@ def related_to(nodes: DataFrame, edges: DataFrame, kind: str, name: str, directi
 
 def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, direction: str = "out", target: DataFrame | None = None) -> DataFrame:
     """(start, id, depth): nodes reached in 1..depth steps, each with its smallest number of steps; target restricts the reached ones."""
-    walk = directed(edges, direction, kind).select("src", "dst").distinct()
+    walk = directed(edges, direction, kind).select("src", "dst")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     seen = None
     for level in range(1, depth + 1):
         front = front.join(walk, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
+        if seen is not None:  # what was reached before is not walked from again
+            front = front.join(seen.select("start", F.col("id").alias("at")), ["start", "at"], "left_anti")
         now = front.select("start", F.col("at").alias("id"), F.lit(level).alias("depth"))
         seen = now if seen is None else seen.unionByName(now)
     out = seen.groupBy("start", "id").agg(F.min("depth").alias("depth")).where("start <> id")

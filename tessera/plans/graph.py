@@ -36,11 +36,11 @@ _EDGES = {
 }
 
 
-def edges(spark: SparkSession, d: str, kinds: list[str] | None = None) -> DataFrame:
-    """(src, dst, type), each triple once."""
+def edges(spark: SparkSession, d: str, kinds: list[str] | None = None, unique: bool = True) -> DataFrame:
+    """(src, dst, type), each triple once; without ``unique`` as often as rows name it, which spares a shuffle where it doesn't matter."""
     parts = []
     for kind, (t, a, ka, b, kb) in _EDGES.items():
         if kinds is None or kind in kinds:
             e = table(spark, d, t).select(node_id(a, ka).alias("src"), node_id(b, kb).alias("dst"), F.lit(kind).alias("type"))
-            parts.append(e.distinct() if t == "lineitem" else e)
+            parts.append(e.distinct() if unique and t == "lineitem" else e)
     return reduce(DataFrame.unionByName, parts)
