@@ -196,17 +196,28 @@ def reference_kind(value: Column) -> Column:
 
 
 def python_imports(text: Column) -> Column:
-    """(line, module, symbols, local) of each Python import."""
-    lines = F.transform(F.split(text, "\n"), lambda s, i: F.struct((i + 1).alias("line"), s.alias("s")))
-    rx = r"^\s*(?:from\s+([.\w]+)\s+import\s+(.+)|import\s+([\w.]+))"
-    hit = F.filter(lines, lambda x: x["s"].rlike(rx))
+    """(line, module, symbols, local) of each Python import, names in parentheses over several lines too; by line and module.
 
-    def one(x):
-        module = F.coalesce(F.nullif(F.regexp_extract(x["s"], rx, 1), F.lit("")), F.regexp_extract(x["s"], rx, 3))
-        names = F.filter(F.transform(F.split(F.regexp_extract(x["s"], rx, 2), ","), lambda s: F.trim(F.regexp_replace(s, r"\s+as\s+.*|[()]", ""))), lambda s: s != "")
-        return F.struct(x["line"].alias("line"), module.alias("module"), names.alias("symbols"), module.startswith(".").alias("local"))
+    Equal statements of one text count once."""
+    rx = r"(?m)^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^()]*\)|[^\n(]+)|import[ \t]+([\w.]+))"
 
-    return F.transform(hit, one)
+    def one(s):
+        module = F.concat(F.regexp_extract(s, rx, 1), F.regexp_extract(s, rx, 3))
+        names = F.filter(F.transform(F.split(F.regexp_extract(s, rx, 2), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*|[()]|#.*|\s+", " "))), lambda x: x != "")
+        return F.struct(_line_of(s, text).alias("line"), module.alias("module"), names.alias("symbols"), module.startswith(".").alias("local"))
+
+    return F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rx), F.lit(0))), one))
+
+
+def _before(part: Column, text: Column) -> Column:
+    """What stands before the first place of a part in a text."""
+    return F.call_function("substring_index", text, part, F.lit(1))
+
+
+def _line_of(part: Column, text: Column) -> Column:
+    """Number of the line on which a part of a text first begins."""
+    before = _before(part, text)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
 _JS = (
@@ -217,9 +228,19 @@ _JS = (
 
 
 def script_imports(text: Column) -> Column:
-    """(module, local) of static, re-exported, required and dynamic imports of script sources."""
-    found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in _JS))))
-    return F.transform(found, lambda m: F.struct(m.alias("module"), m.rlike(r"^[./]").alias("local")))
+    """(line, module, symbols, local) of static, re-exported, required and dynamic imports of script sources, by line and module.
+
+    symbols are names as the module has them; ``default`` and ``*`` stand for a default import and a whole module. Equal statements of one text count once."""
+    found = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx), F.lit(0)) for rx in _JS))))
+
+    def one(s):
+        module = F.regexp_extract(s, r"['\"]([^'\"]+)['\"]", 1)
+        named = F.filter(F.transform(F.split(F.regexp_extract(s, r"\{([^}]*)\}", 1), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*|\btype\s+", ""))), lambda x: x != "")
+        head = F.regexp_extract(s, r"^import\s+(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", 1)
+        symbols = F.concat(F.when((head != "") & (head != "type"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")), F.when(s.rlike(r"^(import|export)\s[^'\"]*\*"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")), named)
+        return F.struct(_line_of(s, text).alias("line"), module.alias("module"), symbols.alias("symbols"), module.rlike(r"^[./]").alias("local"))
+
+    return F.array_sort(F.transform(found, one))
 
 
 def markdown_links(text: Column) -> Column:
@@ -235,10 +256,13 @@ def style_links(text: Column) -> Column:
 
 
 def loose_paths(text: Column) -> Column:
-    """File paths in prose, confidence 0.9 with a slash and 0.6 without."""
+    """(path, confidence, context): file paths in prose, confidence 0.9 with a slash and 0.6 without, with 20 characters on each side of
+    the first place. Lines that look like code (imports, declarations, ends in ; or brace) are left out."""
+    code = r"(?m)^(?:\s*(?:import|export|from|const|let|var|require|def|class|function|return)\b.*|.*[;{}]\s*)$"
+    text = F.regexp_replace(text, code, "")
     exts = "|".join(sorted({n for names in KINDS.values() for n in names}, key=len, reverse=True))
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?<![\w/.:@-])((?:[\w.@-]+/)*[\w@-][\w.@-]*\.(?:{exts}))(?![\w/-])"), F.lit(1)))
-    return F.transform(found, lambda p: F.struct(p.alias("path"), F.when(p.contains("/"), 0.9).otherwise(0.6).alias("confidence")))
+    return F.transform(found, lambda p: F.struct(p.alias("path"), F.when(p.contains("/"), 0.9).otherwise(0.6).alias("confidence"), F.concat(F.substring(_before(p, text), -20, 20), p, F.substring(F.substring(text, F.length(_before(p, text)) + F.length(p) + 1, F.lit(20)), 1, 20)).alias("context")))
 
 
 def component_section(text: Column, name: str) -> Column:

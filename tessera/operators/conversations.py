@@ -80,3 +80,65 @@ def tool_mentions(calls: DataFrame) -> DataFrame:
     found = F.from_json(F.get_json_object("result", "$.results"), "array<struct<uuid:string,file:string>>")
     rows = ok.select("message", F.explode(found).alias("r"))
     return paths.unionByName(rows.select("message", F.lit("node").alias("kind"), F.col("r.uuid").alias("value"))).unionByName(rows.select("message", F.lit("file").alias("kind"), F.col("r.file").alias("value"))).where("value is not null").distinct()
+
+
+def messages_with_tools(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """Messages (conv_id, turn, ...) with tools, their calls (conv_id, turn, call, tool, arguments, result, success) in order; an empty
+    list without any."""
+    rest = [c for c in calls.columns if c not in ("conv_id", "turn")]
+    listed = calls.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("call", *(c for c in rest if c != "call")))).alias("tools"))
+    return messages.join(listed, ["conv_id", "turn"], "left").withColumn("tools", F.coalesce("tools", F.array().cast(listed.schema["tools"].dataType)))
+
+
+def turns_with_tools(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """(conv_id, turn_id, question, answer, tools): turns as in ``turns``, with the calls of all their assistant messages in order; a turn
+    with calls and no text stays, its answer empty."""
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    m = messages.where("role <> 'system'").withColumn("turn_id", F.sum((F.col("role") == "user").cast("int")).over(w)).where("turn_id > 0")
+    said = (F.col("role") == "assistant") & (F.trim("text") != "")
+    full = messages_with_tools(m, calls).withColumn("tools", F.when(F.col("role") == "assistant", F.transform("tools", lambda c: F.struct(F.col("turn").alias("turn"), c["call"].alias("call"), c["tool"].alias("tool"), c["success"].alias("success")))))
+    g = full.groupBy("conv_id", "turn_id").agg(
+        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"),
+        F.coalesce(F.max_by("text", F.when(said, F.col("turn"))), F.lit("")).alias("last"),
+        F.count_if(said).alias("n_said"),
+        F.sort_array(F.flatten(F.collect_list("tools"))).alias("tools"),
+    )
+    return g.where((F.col("n_said") > 0) | (F.size("tools") > 0)).select("conv_id", "turn_id", "question", F.when(F.col("n_said") > 0, F.col("last")).otherwise("").alias("answer"), "tools")
+
+
+#: How far a hit in messages, in summaries of them, and in summaries of summaries is trusted.
+LEVEL_CONFIDENCE = {0: 1.0, 1: 0.7, 2: 0.5}
+
+
+def history_search(rows: DataFrame, score: Column, levels: tuple[int, ...] = (0, 1, 2), k: int = 10, least: float = 0.3) -> DataFrame:
+    """(id, level, score, confidence): of rows (id, level, ...) the k best of each level from ``least`` up, and of these the k best."""
+    scored = rows.where(F.col("level").isin(*levels)).select("id", "level", score.alias("score")).where(F.col("score") >= least)
+    first = scored.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
+    sure = F.create_map(*(F.lit(x) for kv in LEVEL_CONFIDENCE.items() for x in kv))
+    return first.select("id", "level", "score", F.element_at(sure, F.col("level")).alias("confidence")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def enriched_context(messages: DataFrame, history: DataFrame, summaries: DataFrame, query_chars: int, recent_chars: int, most_turns: int, most_summaries: int) -> dict[str, DataFrame]:
+    """The parts of a prompt's context for each conversation: last user queries, recent messages, history hits, and level-1 summaries
+    that no level-2 one names, the newest first."""
+    used = summaries.where("level = 2").select(F.explode("parents").alias("id"))
+    w = Window.partitionBy("conv_id").orderBy(F.desc("end"), "id")
+    newest = summaries.where("level = 1").join(used, "id", "left_anti").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most_summaries).drop("r")
+    run = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0))
+    queries = messages.where("role = 'user'").withColumn("used", run).where(F.col("used") <= query_chars).drop("used")
+    return {"queries": queries, "recent": recent(messages, recent_chars, most_turns), "history": history, "summaries": newest}
+
+
+def summary_links(summaries: DataFrame, files: DataFrame, nodes: DataFrame, messages: DataFrame) -> DataFrame:
+    """(src, dst, type) of summaries (id, conv_id, first_turn, last_turn, files, nodes): to the file of that path or, with the smallest
+    path, of a path that ends in it; to existing nodes; to the messages (id, conv_id, turn) in range."""
+    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.call_function("substring_index", F.col("path"), F.lit("/"), -i))
+    known = files.select("path", F.col("id").alias("dst"), F.explode(tails).alias("tail"))
+    wanted = summaries.select("id", F.explode("files").alias("f")).withColumn("tail", F.regexp_replace("f", r"^(\./|/)", ""))
+    hit = wanted.join(known, "tail").groupBy("id", "f").agg(F.min_by("dst", F.struct(F.length("path"), "path")).alias("dst"))
+    to_nodes = summaries.select("id", F.explode("nodes").alias("dst")).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    inside = summaries.where("first_turn is not null").select("id", "conv_id", F.explode(F.sequence("first_turn", "last_turn")).alias("turn"))
+    to_messages = inside.join(messages.select("conv_id", "turn", F.col("id").alias("dst")), ["conv_id", "turn"])
+    parts = ((hit, "MENTIONS_FILE"), (to_nodes, "MENTIONS_NODE"), (to_messages, "SUMMARIZES"))
+    out = [p.select(F.col("id").alias("src"), "dst", F.lit(t).alias("type")).distinct() for p, t in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -135,3 +135,31 @@ def longest_common(a: list[str], b: list[str]) -> int:
 
 def history(changes: DataFrame, where: Column, order: list[Column], limit: int, cap: int = 50) -> DataFrame:
     return changes.where(where).orderBy(*order).limit(min(limit, cap))
+
+
+#: The way of a document through its states; from any it may fail, and from a failure or the end start again.
+DOCUMENT_STATES = ("pending", "parsing", "parsed", "linking", "linked", "embedding", "ready")
+
+
+def document_transitions() -> list[tuple[str, str]]:
+    """(from, to): the next state, error from any but the end, pending from error and ready."""
+    ahead = list(zip(DOCUMENT_STATES, DOCUMENT_STATES[1:], strict=False))
+    return [*ahead, *((s, "error") for s in DOCUMENT_STATES[:-1]), ("error", "pending"), ("ready", "pending")]
+
+
+def document_progress(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(state, documents, retries, pending_vectors): documents (id, state, retries) by state, with their nodes (doc, embedding) that have no vector."""
+    waiting = nodes.where("embedding is null").groupBy(F.col("doc").alias("id")).agg(F.count("*").alias("n"))
+    return documents.join(waiting, "id", "left").groupBy("state").agg(F.count("*").alias("documents"), F.sum("retries").alias("retries"), F.sum(F.coalesce("n", F.lit(0))).alias("pending_vectors"))
+
+
+def apply_batch(rows: DataFrame, batch: DataFrame, key: str = "key") -> DataFrame:
+    """Rows (key, hash, provider, embedding) after a batch (key, change_type, hash, provider, embedding): deletes first, then upserts, which
+    keep the old vector if they bring none and hash and provider are the same."""
+    gone = batch.where("change_type = 'deleted'").select(key)
+    left = rows.join(gone, key, "left_anti")
+    new = batch.where("change_type <> 'deleted'").select(key, "hash", "provider", "embedding")
+    old = rows.select(key, F.col("hash").alias("_h"), F.col("provider").alias("_p"), F.col("embedding").alias("_e"))
+    same = F.col("hash").eqNullSafe(F.col("_h")) & F.col("provider").eqNullSafe(F.col("_p"))
+    carried = new.join(old, key, "left").select(key, "hash", "provider", F.coalesce("embedding", F.when(same, F.col("_e"))).alias("embedding"))
+    return left.join(carried.select(key), key, "left_anti").select(key, "hash", "provider", "embedding").unionByName(carried)

@@ -59,3 +59,23 @@ def merge_groups(tags: DataFrame, groups: DataFrame) -> DataFrame:
 def dedup_mentions(mentions: DataFrame, least: float = 0.6) -> DataFrame:
     """Per document, type and lower-cased name the mention of highest confidence, aliases united."""
     return mentions.where(F.col("confidence") >= least).groupBy("doc", "type", F.lower("name").alias("norm")).agg(F.max_by("name", F.struct("confidence", "name")).alias("name"), F.max("confidence").alias("confidence"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
+
+
+def merge_mention(mentions: DataFrame, canonicals: DataFrame, kind: str = "other") -> DataFrame:
+    """Canonicals (canonical, name, aliases, docs) with the mentions (canonical, name, aliases, doc) that were matched to them: the best of
+    all names, the others as aliases, documents united."""
+    part = lambda df, docs: df.select("canonical", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array()))).alias("n"), docs.alias("d"))
+    every = part(canonicals, F.col("docs")).unionByName(part(mentions.join(canonicals.select("canonical"), "canonical", "left_semi"), F.array("doc")))
+    g = every.groupBy("canonical").agg(F.min_by("n", name_rank(F.col("n"), kind)).alias("name"), F.collect_set("n").alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("d")))).alias("docs"))
+    return g.select("canonical", "name", F.sort_array(F.array_except("all", F.array("name"))).alias("aliases"), "docs")
+
+
+def entity_text(name: Column, aliases: Column, kind: Column) -> Column:
+    """What an entity's vector is made of: its name, aliases and type, a line each."""
+    return F.concat_ws("\n", name, F.when(F.size(aliases) > 0, F.concat(F.lit("Aliases: "), F.array_join(aliases, ", "))), F.concat(F.lit("Type: "), kind))
+
+
+def entity_vectors(entities: DataFrame, stored: DataFrame) -> DataFrame:
+    """Entities (id, name, aliases, type) whose text has another hash than the stored one (id, hash), with text and hash."""
+    t = entities.withColumn("text", entity_text(F.col("name"), F.col("aliases"), F.col("type"))).withColumn("hash", F.sha2("text", 256))
+    return t.join(stored.select("id", F.col("hash").alias("_h")), "id", "left").where(~F.col("hash").eqNullSafe(F.col("_h"))).drop("_h")

@@ -170,3 +170,10 @@ def resolve_loose(refs: DataFrame, files: DataFrame, least: float = 0.7) -> Data
     like = left.join(f.select("path", F.col("name").alias("other"), block(F.col("name")).alias("block")), "block").select("ref", "path", edit_similarity(F.col("name"), F.col("other")).alias("score"))
     found = same.unionByName(like.where(F.col("score") >= least))
     return found.groupBy("ref").agg(F.min_by(F.struct("path", "score"), F.struct((-F.col("score")).alias("s"), "path")).alias("b")).select("ref", "b.path", "b.score")
+
+
+def resolve_mentions(mentions: DataFrame, files: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Mentions (mention, ref, confidence) of files: resolved ones (mention, path, confidence times match score), and those to try again."""
+    found = resolve_loose(mentions.select("ref").distinct(), files, least)
+    resolved = mentions.join(found, "ref").select("mention", "path", (F.coalesce("confidence", F.lit(0.5)) * F.col("score")).alias("confidence"))
+    return resolved, mentions.join(found.select("ref"), "ref", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import file_kind
+
 
 def directed(edges: DataFrame, direction: str = "out", kind: str | None = None) -> DataFrame:
     """(src, dst, type) in walking direction: out, in or both."""
@@ -110,7 +112,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     folder = F.regexp_replace("file", "/?[^/]*$", "")
     joined = F.concat_ws("/", F.when(folder != "", folder), F.regexp_replace("module", r"^\./", ""))
     base = F.regexp_replace(joined, r"(?:^|(?<=/))[^/]+/\.\./", "")
-    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
+    endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/__init__.py"]
     options = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.concat(base, F.lit(x)).alias("path")) for i, x in enumerate(endings)), F.struct(F.lit(0).alias("rank"), F.regexp_replace(base, r"\.js$", ".ts").alias("path")))
     tried = imports.select("file", "module", F.explode(options).alias("o")).select("file", "module", "o.*")
     return tried.join(files.select("path"), "path").groupBy("file", "module").agg(F.min_by("path", "rank").alias("target"))
@@ -141,3 +143,45 @@ def mentions_of(nodes: DataFrame, entities: DataFrame, name: str) -> DataFrame:
     """Nodes (id, entity) whose entity (entity, name, aliases) has that name or alias, case ignored."""
     hit = entities.where((F.lower("name") == name.lower()) | F.array_contains(F.transform("aliases", F.lower), name.lower()))
     return nodes.join(hit.select("entity"), "entity", "left_semi")
+
+
+#: Edge types by kind of target; any other kind is code.
+TARGET_TYPES = {"asset": "REFERENCES_ASSET", "document": "REFERENCES_DOC", "style": "REFERENCES_STYLE", "data": "REFERENCES_DATA"}
+
+
+def reference_type(path: Column) -> Column:
+    """Edge type of a reference to a file, by its extension."""
+    pairs = [F.lit(x) for kv in TARGET_TYPES.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), file_kind(path)), F.lit("CONSUMES"))
+
+
+def reference_edges(references: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(src, dst, type) of resolved references (src, path, symbols): to the scopes (id, file, name) of the target file that a symbol
+    names, or to the file where none does."""
+    refs = references.select("src", "path", F.explode_outer("symbols").alias("name"), reference_type(F.col("path")).alias("type"))
+    named = refs.join(scopes.select(F.col("file").alias("path"), "name", F.col("id").alias("dst")), ["path", "name"])
+    whole = references.select("src", "path").distinct().join(named.select("src", "path"), ["src", "path"], "left_anti")
+    return named.select("src", "dst", "type").unionByName(whole.select("src", F.col("path").alias("dst"), reference_type(F.col("path")).alias("type"))).distinct()
+
+
+def library_edges(imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of imports (scope, module, symbols, local) that are not local: libraries (id, name, symbols), and edges (src, dst, type, symbols)."""
+    outer = imports.where(~F.col("local")).withColumn("dst", F.concat(F.lit("lib:"), "module"))
+    pick = F.sort_array(F.array_distinct(F.flatten(F.collect_list("symbols"))))
+    return outer.groupBy(F.col("dst").alias("id"), F.col("module").alias("name")).agg(pick.alias("symbols")), outer.groupBy(F.col("scope").alias("src"), "dst").agg(pick.alias("symbols")).withColumn("type", F.lit("USES_LIBRARY"))
+
+
+def complete_imports(pending: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pending imports (src_file, dst_file, symbols, scope) whose target file has scopes (id, file, name) by now: edges from each scope of
+    the source file (or the one named) to each scope that a symbol names; and the imports whose target file is still unknown."""
+    target = scopes.select(F.col("file").alias("dst_file"), "name", F.col("id").alias("dst"))
+    wanted = pending.select("src_file", "dst_file", "scope", F.explode("symbols").alias("name")).join(target, ["dst_file", "name"])
+    source = scopes.select(F.col("file").alias("src_file"), F.col("id").alias("src"))
+    edges = wanted.join(source, "src_file").where(F.col("scope").isNull() | (F.col("scope") == F.col("src")))
+    return edges.select("src", "dst", F.lit("CONSUMES").alias("type")).distinct(), pending.join(target.select("dst_file"), "dst_file", "left_anti")
+
+
+def parent_scopes(scopes: DataFrame) -> DataFrame:
+    """(child, parent): scopes (id, file, name, parent_name) with the scope of their file that has the parent's name."""
+    parents = scopes.select("file", F.col("name").alias("parent_name"), F.col("id").alias("parent"))
+    return scopes.where("parent_name is not null").select(F.col("id").alias("child"), "file", "parent_name").join(parents, ["file", "parent_name"]).where("child <> parent").select("child", "parent")

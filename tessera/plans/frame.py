@@ -91,3 +91,24 @@ def register(tables: dict[str, DataFrame]) -> None:
     """Temporary views for raw SQL."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def summarise(df: DataFrame, key: str, field: str, fn: Callable[[pd.Series], pd.Series], least: int, out: str = "summary") -> DataFrame:
+    """df with a summary, by a user's function of a series of texts, of fields longer than ``least`` characters; null for the others."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({key: p[key], out: fn(p[field])})
+
+    kind = df.schema[key].dataType.simpleString()
+    return generate(df.where(F.length(field) > least).select(key, field), run, f"`{key}` {kind}, `{out}` string", df, key)
+
+
+def examples(tables: dict[str, DataFrame]) -> DataFrame:
+    """(label, field, type, example): the fields of the tables, each with its smallest value as text."""
+    out = None
+    for label, df in tables.items():
+        fields = [F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.min(F.col(f.name).cast("string")).alias("example")) for f in df.schema]
+        now = df.agg(F.array(*fields).alias("f")).select(F.lit(label).alias("label"), F.inline("f"))
+        out = now if out is None else out.unionByName(now)
+    return out

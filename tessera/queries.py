@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +17,10 @@ from tessera.operators import search as S
 from tessera.operators import traverse as X
 from tessera.plans import frame, graph
 from tessera.plans.graph import table
+from tessera.registry import ORACLE_SQL, QUERIES, query, simple
 from tessera.sources import files
 from tessera.streaming import feed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def simple(name: str, source: str, make: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    """A query of one table."""
-    QUERIES[name] = lambda spark, d: make(table(spark, d, source))
-    ORACLE_SQL[name] = sql
-
-
 def vec_of(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
     """One stored vector, as a query vector."""
     return table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
@@ -518,14 +497,6 @@ simple("s17_grep", "documents", lambda t: S.grep(t, "th[aeiou]re").select("doc_i
 simple("s18_fuzzy_grep", "documents", lambda t: S.fuzzy_grep(t, ["thing", "pour"], 0.8).groupBy("doc_id", "keyword").agg(F.count("*").alias("n")), r"WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(l), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 3))) AS word FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)), m AS (SELECT doc_id, CASE WHEN 1 - levenshtein(word, 'thing') / greatest(length(word), 5) >= 0.8 THEN 'thing' WHEN 1 - levenshtein(word, 'pour') / greatest(length(word), 4) >= 0.8 THEN 'pour' END AS keyword FROM w) SELECT doc_id, keyword, count(*) AS n FROM m WHERE keyword IS NOT NULL GROUP BY 1, 2")
 
 
-@query("s21_within_conversation")
-def s21(spark, d):
-    m = table(spark, d, "conversations")
-    shaped = m.select("conv_id", "turn", F.array(*(F.pmod(F.xxhash64(F.lit(i), "text"), F.lit(1000)).cast("float") for i in range(8))).alias("v"))
-    q = shaped.where("turn = 0").select("conv_id", F.col("v").alias("q"))
-    return shaped.where("turn > 0").join(q, "conv_id").select("conv_id", "turn", cosine(F.col("v"), F.col("q")).alias("score")).where("score > 0.7")
-
-
 # --- sources --------------------------------------------------------------------------------------------------------
 
 simple("a1_discover", "pages", lambda t: files.discover(t.select("page_id", F.concat(F.lit("src"), T.url_path(F.col("url"))).alias("path")), ["src/**"], ["**/*9*"]).select("page_id"), r"SELECT page_id FROM (SELECT page_id, 'src' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS p FROM pages) WHERE regexp_matches(p, '^src/') AND NOT regexp_matches(p, '^(?:[^/]+/)*[^/]*9[^/]*$')")
@@ -752,3 +723,6 @@ simple("r7_running", "events", lambda t: feed.running_statistics(_feed(t)), f"SE
 def x6(spark, d):
     frame.register({t: table(spark, d, t) for t in ("customer", "nation")})
     return spark.sql("SELECT n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+
+
+from tessera import code_queries  # noqa: E402, F401 - registers its queries

@@ -92,3 +92,19 @@ def write_snapshot(df: DataFrame, path: str, *by: str) -> None:
 
 
 __all__ = ["absolute", "crawl", "directory_edges", "discover", "json_sections", "page_links", "pages", "read_files", "reassign", "url_path", "write_snapshot"]
+
+
+def data_entries(files: DataFrame) -> DataFrame:
+    """(path, key, value): top-level entries of data files (path, content), read by extension: json, xml, and line formats (env, toml,
+    yaml, yml), of which sections prefix the key. Null or broken content has no entries."""
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    as_map = F.from_json("content", "map<string,string>")
+    from_json = F.transform(F.map_entries(as_map), lambda e: pair(e["key"], e["value"]))
+    tag = r"<(\w+)(?:\s[^>]*)?>([^<]*)</\1>"
+    from_xml = F.transform(F.regexp_extract_all("content", F.lit(tag), F.lit(0)), lambda m: pair(F.regexp_extract(m, tag, 1), F.regexp_extract(m, tag, 2)))
+    line = r"^\s*(?:export\s+)?([\w.-]+)\s*[=:]\s*(.*?)\s*$"
+    lines = F.filter(F.split("content", r"\r?\n"), lambda s: s.rlike(line) & ~s.rlike(r"^\s*#"))
+    from_lines = F.transform(lines, lambda s: pair(F.regexp_extract(s, line, 1), F.regexp_replace(F.regexp_extract(s, line, 2), "^[\"']|[\"']$", "")))
+    found = F.when(ext == "json", from_json).when(ext == "xml", from_xml).when(ext.isin("env", "toml", "yaml", "yml"), from_lines)
+    return files.select("path", F.explode(found).alias("e")).select("path", "e.key", "e.value")

@@ -39,3 +39,22 @@ def retained(rows: DataFrame, now, days: int, ts: str = "last_access") -> DataFr
 def apply_batches(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs what is available in micro-batches; ``apply`` must give the same result when a batch id comes twice."""
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def due(feed: DataFrame, now, minutes: int = 5, most: int = 3, key: str = "key", ts: str = "ts") -> DataFrame:
+    """(key, state, retries) of those that go back to pending: in progress for longer than ``minutes``, or failed fewer than ``most``
+    times, by the last state of each key in a feed (key, state, ts). On a stream, in update mode, ``now`` is current_timestamp()."""
+    last = feed.groupBy(key).agg(F.max_by("state", ts).alias("state"), F.max(ts).alias("at"), F.count_if(F.col("state") == "error").alias("retries"))
+    stuck = (F.col("state") == "in_progress") & (F.col("at") < now - F.expr(f"interval {minutes} minutes"))
+    return last.where(stuck | ((F.col("state") == "error") & (F.col("retries") < most))).select(key, "state", "retries")
+
+
+def apply_to_snapshots(root: str, apply: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A function for ``apply_batches``: batch n turns the snapshot of batch n - 1 (``start`` before the first) into that of batch n, in a
+    folder of its own under ``root``; a batch that comes twice overwrites its own result only."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        old = start if n == 0 else batch.sparkSession.read.parquet(f"{root}/batch={n - 1}")
+        apply(old, batch).write.mode("overwrite").parquet(f"{root}/batch={n}")
+
+    return run
