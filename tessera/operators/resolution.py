@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import edit_similarity, normalise_tag
+from tessera.functions.text import normalise_tag
+from tessera.operators.similar import similar
 
 
 def unresolved(mentions: DataFrame, links: DataFrame, least: float = 0.6) -> DataFrame:
     return mentions.where(F.col("confidence") >= least).join(links.select("mention"), "mention", "left_anti").orderBy("type", "name")
 
 
-def match(mentions: DataFrame, canonicals: DataFrame, least: float = 0.8, prefix: int = 3) -> DataFrame:
-    """(mention, canonical, similarity): the best canonical of the same type and first letters; null where none is near enough."""
-    block = lambda c: F.substring(F.lower(c), 1, prefix)
-    m, c = mentions.withColumn("_b", block(F.col("name"))), canonicals.select("canonical", "type", F.col("name").alias("_name"), block(F.col("name")).alias("_b"))
-    pairs = m.join(c, ["type", "_b"]).withColumn("similarity", edit_similarity(F.col("name"), F.col("_name"))).where(F.col("similarity") >= least)
+def match(mentions: DataFrame, canonicals: DataFrame, least: float = 0.8) -> DataFrame:
+    """(mention, type, name, canonical, similarity): the canonical of the same type with the most similar name; null where none is near
+    enough. All names are compared in effect: see ``similar``."""
+    close = similar(mentions, canonicals, least, ["type"])
+    pairs = mentions.select("mention", "type", "name").join(close.withColumnRenamed("a", "name"), ["type", "name"])
+    pairs = pairs.join(canonicals.select("canonical", "type", F.col("name").alias("b")), ["type", "b"])
     best = pairs.groupBy("mention").agg(F.min_by(F.struct("canonical", "similarity"), F.struct((-F.col("similarity")).alias("s"), "canonical")).alias("b"))
     return mentions.join(best, "mention", "left").select("mention", "type", "name", "b.canonical", "b.similarity")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import edit_similarity
 from tessera.functions.vectors import cosine, vector
 from tessera.operators.ranking import top_k
+from tessera.operators.similar import similar
 
 
 def vector_search(vectors: DataFrame, query: Sequence[float] | Column, k: int, least: float = -1.0, where: Column | None = None, key: str = "id", field: str = "embedding") -> DataFrame:
@@ -159,16 +160,23 @@ def fuzzy_grep(docs: DataFrame, keywords: list[str], threshold: float = 0.7, nee
 
 
 def resolve_loose(refs: DataFrame, files: DataFrame, least: float = 0.7) -> DataFrame:
-    """(ref, path, score) for loose references: a path suffix 1.0, a unique file name 0.95, an ambiguous one 0.7, else a like name with
-    the same extension and first letter, compared inside that block only."""
+    """(ref, path, score) for loose references: a path suffix 1.0, a unique file name 0.95, an ambiguous one 0.7; else the similarity of a
+    like name with the same extension, or 0.9 times that of the names without extensions. The best file wins, then the first path."""
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    f = files.select("path", F.lower(name(F.col("path"))).alias("name")).withColumn("n", F.count("*").over(Window.partitionBy("name")))
+    ext = lambda c: F.regexp_extract(c, r"(\.[^.]*)$", 1)
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    f = files.select("path", F.lower(name(F.col("path"))).alias("name"))
+    f = f.join(f.groupBy("name").agg(F.count("*").alias("n")), "name")
     r = refs.select("ref", F.regexp_replace("ref", r"^\./", "").alias("clean")).withColumn("name", F.lower(name(F.col("clean"))))
     same = r.join(f, "name").select("ref", "path", F.when((F.col("path") == F.col("clean")) | F.col("path").endswith(F.concat(F.lit("/"), "clean")), 1.0).when(F.col("n") == 1, 0.95).otherwise(0.7).alias("score"))
-    block = lambda c: F.concat(F.substring(c, 1, 1), F.regexp_extract(c, r"(\.[^.]*)$", 1))
-    left = r.join(same.select("ref"), "ref", "left_anti").withColumn("block", block(F.col("name")))
-    like = left.join(f.select("path", F.col("name").alias("other"), block(F.col("name")).alias("block")), "block").select("ref", "path", edit_similarity(F.col("name"), F.col("other")).alias("score"))
-    found = same.unionByName(like.where(F.col("score") >= least))
+    left = r.join(same.select("ref"), "ref", "left_anti").select("ref", ext(F.col("name")).alias("ext"), "name")
+    right = f.select("path", ext(F.col("name")).alias("ext"), "name")
+    one = similar(left, right, least, ["ext"])
+    like = left.join(one.withColumnRenamed("a", "name"), ["ext", "name"]).join(right.withColumnRenamed("name", "b"), ["ext", "b"]).select("ref", "path", F.col("similarity").alias("score"))
+    bare_left, bare_right = left.select("ref", stem(F.col("name")).alias("name")), right.select("path", stem(F.col("name")).alias("name"))
+    two = similar(bare_left, bare_right, min(1.0, least / 0.9))
+    bare = bare_left.join(two.withColumnRenamed("a", "name"), "name").join(bare_right.withColumnRenamed("name", "b"), "b").select("ref", "path", (0.9 * F.col("similarity")).alias("score"))
+    found = same.unionByName(like).unionByName(bare)
     return found.groupBy("ref").agg(F.min_by(F.struct("path", "score"), F.struct((-F.col("score")).alias("s"), "path")).alias("b")).select("ref", "b.path", "b.score")
 
 

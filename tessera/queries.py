@@ -46,7 +46,7 @@ simple("p3_in_lists", "customer", lambda t: t.where(P.compare("c_nationkey", "IN
 simple("p4_operator_map", "lineitem", lambda t: t.where(P.where_map({"l_quantity": {"gte": 10, "lt": 20}, "l_returnflag": "R", "l_linestatus": None, "l_linenumber": {"in": [1, 2]}})).select("l_orderkey", "l_linenumber", "l_quantity"), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag = 'R' AND l_linenumber IN (1, 2)")
 simple("p5_regex", "customer", lambda t: t.where(P.where_pattern("c_name", "0[13]")).withColumn("whole", P.where_pattern("c_name", "Customer#.*[02468]", whole=True)).select("c_custkey", "whole"), "SELECT c_custkey, regexp_full_match(c_name, 'Customer#.*[02468]') AS whole FROM customer WHERE regexp_matches(c_name, '0[13]')")
 simple("p6_glob_path", "pages", lambda t: t.withColumn("path", T.url_path(F.col("url"))).where(F.col("path").rlike(P.glob_regex("/**/*[0-9]*", path=True))).select("page_id", "path"), r"SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path FROM pages) WHERE regexp_matches(path, '^/([^/]+/)*[^/]*[0-9][^/]*$')")
-simple("p7_glob_search", "part", lambda t: P.glob_search(t.select("p_type").distinct(), "p_type", "*s?eel*"), "SELECT DISTINCT p_type FROM part WHERE p_type ILIKE '%s_eel%' ORDER BY p_type LIMIT 50")
+simple("p7_glob_search", "part", lambda t: P.glob_search(t.select("p_type").distinct(), "p_type", "*t?el*"), "SELECT DISTINCT p_type FROM part WHERE p_type ILIKE '%t_el%' ORDER BY p_type LIMIT 50")
 simple("p8_result_glob", "pages", lambda t: t.where(F.col("url").rlike(P.glob_regex("https://*.*"))).select("page_id"), "SELECT page_id FROM pages WHERE url LIKE 'https://%.%'")
 simple("p9_dispatch", "part", lambda t: t.where(P.compare("p_type", "GLOB", "*S*") & P.compare("p_name", "REGEX", ".*e.*") & P.compare("p_size", "<=", 30)).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_type LIKE '%S%' AND p_name LIKE '%e%' AND p_size <= 30")
 
@@ -140,7 +140,14 @@ def t7(spark, d):
     return X.hierarchy(n.where("id = 'customer:1'"), e, "PLACED_BY", "IN_NATION", 1, 10_000)
 
 
-@query("t8_neighbourhood")
+_T8 = """WITH e AS (SELECT 'orders:' || CAST(o_orderkey AS VARCHAR) AS src, 'customer:' || CAST(o_custkey AS VARCHAR) AS dst, 'PLACED_BY' AS type FROM orders UNION ALL SELECT 'customer:' || CAST(c_custkey AS VARCHAR), 'nation:' || CAST(c_nationkey AS VARCHAR), 'IN_NATION' FROM customer
+UNION ALL SELECT DISTINCT 'orders:' || CAST(l_orderkey AS VARCHAR), 'part:' || CAST(l_partkey AS VARCHAR), 'CONTAINS' FROM lineitem), w AS (SELECT src AS id, dst AS nxt, type, 'o' AS way FROM e UNION ALL SELECT dst, src, type, 'i' FROM e),
+k AS (SELECT id, nxt FROM (SELECT *, row_number() OVER (PARTITION BY id, way ORDER BY type, nxt) AS r FROM w) WHERE r <= 15), s AS (SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS id FROM customer ORDER BY c_acctbal DESC, id LIMIT 10),
+a AS (SELECT DISTINCT nxt AS id FROM k JOIN s USING (id) WHERE nxt NOT IN (SELECT id FROM s)), b AS (SELECT DISTINCT nxt AS id FROM k JOIN a USING (id) WHERE nxt NOT IN (SELECT id FROM s) AND nxt NOT IN (SELECT id FROM a))
+SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM a UNION ALL SELECT id, 2 FROM b"""
+
+
+@query("t8_neighbourhood", _T8)
 def t8(spark, d):
     hits = table(spark, d, "customer").select(graph.node_id("customer", "c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     nodes, _ = X.neighbourhood(hits, graph.edges(spark, d, ["PLACED_BY", "IN_NATION", "CONTAINS"]), depth=2)
@@ -285,9 +292,31 @@ simple("w3_ranks", "documents", lambda t: R.ranks(t.select("source", F.col("doc_
 simple("w4_latest", "conversations", lambda t: R.latest(t.select("conv_id", "role", "turn", "text"), ["conv_id", "role"], ["turn"]), "SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
 simple("w5_budget_suffix", "conversations", lambda t: R.budget_suffix(t, ["conv_id"], [F.desc("turn")], F.length("text"), 800).select("conv_id", "turn", "used"), "SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 800")
 simple("w6_budget_cut", "documents", lambda t: R.budget_cut(t.select("source", "doc_id", "text"), ["source"], [F.col("doc_id")], "text", 5000), "SELECT source, doc_id, CASE WHEN used <= 5000 THEN text ELSE substr(text, 1, CAST(5000 - used + length(text) AS BIGINT)) || '...' END AS text FROM (SELECT source, doc_id, text, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE 5000 - used + length(text) > 0 AND (used <= 5000 OR 5000 - used + length(text) > 100)")
-QUERIES["w7_budget_skip"] = lambda s, d: R.budget_skip(table(s, d, "conversations").withColumns({"newest": -F.col("turn"), "size": F.length("text")}), "conv_id", ["newest"], "turn", "size", 700)
-QUERIES["w8_pack_tokens"] = lambda s, d: R.pack(table(s, d, "documents").withColumn("salt", F.col("doc_id") % 16), ["lang", "salt"], ["doc_id"], F.ceil(F.length("text") / 4) + 1400, 20_000)
-QUERIES["w9_pack_batches"] = lambda s, d: R.pack(table(s, d, "documents").withColumn("salt", F.col("doc_id") % 16), ["source", "salt"], ["doc_id"], F.ceil(F.length("text") / 4) + 200, 20_000, most=10)
+@query(
+    "w7_budget_skip",
+    """WITH RECURSIVE d AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), p AS (SELECT conv_id, turn, r, n <= 700 AS fits, CASE WHEN n <= 700 THEN n ELSE 0 END AS used, n > 700 AS over FROM d WHERE r = 1
+UNION ALL SELECT d.conv_id, d.turn, d.r, NOT over AND used + d.n <= 700, CASE WHEN NOT over AND used + d.n <= 700 THEN used + d.n ELSE used END, over OR (used + d.n > 700 AND 700 - used > 100) FROM p JOIN d ON d.conv_id = p.conv_id AND d.r = p.r + 1) SELECT conv_id, turn FROM p WHERE fits""",
+)
+def w7(spark, d):
+    m = table(spark, d, "conversations").withColumns({"newest": -F.col("turn"), "size": F.length("text")})
+    return R.budget_skip(m, "conv_id", ["newest"], "turn", "size", 700)
+
+
+_PACK = """WITH RECURSIVE d AS (SELECT {g}, doc_id, row_number() OVER (PARTITION BY {g} ORDER BY doc_id) AS r, CAST(ceil(length(text) / 4) + {t} AS BIGINT) AS t FROM documents),
+p AS (SELECT {g}, doc_id, r, t, 0 AS pack, 500 + t AS used, 1 AS n FROM d WHERE r = 1 UNION ALL SELECT d.{g}, d.doc_id, d.r, d.t, pack + CASE WHEN {full} THEN 1 ELSE 0 END, CASE WHEN {full} THEN 500 ELSE used END + d.t, CASE WHEN {full} THEN 1 ELSE n + 1 END FROM p JOIN d ON d.{g} = p.{g} AND d.r = p.r + 1)
+SELECT {g}, doc_id, t AS tokens, pack FROM p"""
+
+
+@query("w8_pack_tokens", _PACK.format(g="lang", t=1400, full="used + d.t > 20000"))
+def w8(spark, d):
+    return R.pack(table(spark, d, "documents"), ["lang"], ["doc_id"], F.ceil(F.length("text") / 4) + 1400, 20_000)
+
+
+@query("w9_pack_batches", _PACK.format(g="source", t=200, full="used + d.t > 20000 OR n >= 10"))
+def w9(spark, d):
+    return R.pack(table(spark, d, "documents"), ["source"], ["doc_id"], F.ceil(F.length("text") / 4) + 200, 20_000, most=10)
+
+
 simple("w10_batches", "documents", lambda t: R.batches(t.select("source", "doc_id"), ["source"], ["doc_id"], 10).select("doc_id", "batch"), "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS batch FROM documents")
 
 
@@ -344,10 +373,35 @@ def f5(spark, d):
 
 simple("f6_normalise_url", "pages", lambda t: t.select("page_id", T.normalise_url(F.col("url")).alias("u")), "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS u FROM pages")
 simple("f7_host", "pages", lambda t: t.groupBy(T.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n")), "SELECT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
-QUERIES["f8_sentences"] = lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+_CUT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({t}, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '\x01|\n+'), lambda p: trim(p)), lambda p: p <> '')"
+# pieces of one text are folded into one string, parted by chr(2)
+_SENTENCES = "string_split(list_reduce(" + _CUT + ", lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + length(x) < 100 THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2))"
+_PACKED = "string_split(list_reduce({u}, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + length(x) + {j} <= 2000 THEN a || {s} || x ELSE a || chr(2) || right(string_split(a, chr(2))[-1], 200) || {s} || x END), chr(2))"
+_MERGED = "SELECT doc_id, unnest(range(len(c))) AS index, unnest(c) AS text FROM (SELECT doc_id, CASE WHEN len(c) > 1 AND length(c[-1]) < 100 THEN list_concat(c[:-3], [c[-2] || {s} || c[-1]]) ELSE c END AS c FROM (SELECT doc_id, {p} AS c FROM {t}))"
+
+
+@query("f8_sentences", f"SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS sentence FROM (SELECT doc_id, {_SENTENCES.replace('{t}', 'text')} AS x FROM documents WHERE len({_CUT.replace('{t}', 'text')}) > 0)")
+def f8(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence"))
+
+
 simple("f9_chunks_fixed", "documents", lambda t: t.select("doc_id", F.explode(T.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", "c.index", "c.start_char", "c.end_char", "c.start_line", F.length("c.text").alias("n")), "SELECT doc_id, CAST(i AS INTEGER) AS index, CAST(1800 * i AS INTEGER) AS start_char, CAST(least(1800 * i + 2000, length(text)) AS INTEGER) AS end_char, CAST(1800 * 0 + 1 + length(substr(text, 1, 1800 * i)) - length(replace(substr(text, 1, 1800 * i), chr(10), '')) AS INTEGER) AS start_line, CAST(least(2000, length(text) - 1800 * i) AS INTEGER) AS n FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 2000 THEN 1 ELSE CAST(ceil((length(text) - 200) / 1800) AS BIGINT) END)) AS i FROM documents)")
-QUERIES["f9_chunks_paragraph"] = lambda s, d: table(s, d, "documents").select("doc_id", F.inline(T.chunks(F.col("text"), strategy="paragraph")))
-QUERIES["f9_chunks_sentence"] = lambda s, d: table(s, d, "documents").select("doc_id", F.inline(T.chunks(F.col("text"), strategy="sentence")))
+_WITH_TEXT = f"(SELECT doc_id, text FROM documents WHERE len({_CUT.replace('{t}', 'text')}) > 0)"
+
+
+@query("f9_chunks_sentence", _MERGED.format(s="' '", p=_PACKED.format(u="u", j=1, s="' '"), t=f"(SELECT doc_id, {_SENTENCES.replace('{t}', 'text')} AS u FROM {_WITH_TEXT})"))
+def f9_sentence(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.inline(T.chunks(F.col("text"), strategy="sentence")))
+
+
+_UNITS = f"(SELECT doc_id, flatten(list_transform(list_filter(regexp_split_to_array(text, '\\n\\s*\\n'), lambda q: trim(q) <> ''), lambda v: CASE WHEN length(v) > 3000 THEN {_SENTENCES.replace('{t}', 'v')} ELSE [v] END)) AS u FROM {_WITH_TEXT})"
+
+
+@query("f9_chunks_paragraph", _MERGED.format(s="(chr(10) || chr(10))", p=_PACKED.format(u="u", j=2, s="(chr(10) || chr(10))"), t=_UNITS))
+def f9_paragraph(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.inline(T.chunks(F.col("text"), strategy="paragraph")))
+
+
 simple("f10_chunk_estimate", "documents", lambda t: t.select("doc_id", T.needs_chunking(F.col("text")).alias("needed"), T.chunk_count(F.col("text")).alias("n")), "SELECT doc_id, length(text) > 2000 AS needed, CAST(CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil((length(text) - 200) / 1800) END AS INTEGER) AS n FROM documents")
 simple("f14_hrefs", "pages", lambda t: t.select("page_id", F.explode(F.array_distinct(T.hrefs(F.col("html")))).alias("href")), "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 simple("f16_web_urls", "pages", lambda t: t.select("page_id", F.explode(T.web_urls(F.concat(F.lit("see "), "url", F.lit("). and more"), ))).alias("u")), r"SELECT page_id, regexp_replace(url || ').', '[.,;:!?)\]}''\x22]+$', '') AS u FROM pages")
@@ -503,9 +557,32 @@ simple("a1_discover", "pages", lambda t: files.discover(t.select("page_id", F.co
 simple("a3_sections", "events", lambda t: files.json_sections(t.select("event_id", "props"), "props", ["event_id"], 1).select("event_id", "path", "value"), "SELECT event_id, k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 simple("a4_reference_kind", "pages", lambda t: t.select("page_id", T.reference_kind(F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "./lib/").otherwise("./a.json")).alias("kind")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'directory' ELSE 'config' END AS kind FROM pages")
 simple("a5_pages", "pages", lambda t: files.pages(t).select("page_id", "url", "host", "n_headings", "n_links"), "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') AS url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)) AS host, CAST(len(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS INTEGER) AS n_headings, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS INTEGER) AS n_links FROM pages")
-QUERIES["a5_page_links"] = lambda s, d: files.page_links(table(s, d, "pages"), inside=False)
-QUERIES["a6_crawl"] = lambda s, d: files.crawl(files.page_links(table(s, d, "pages"), inside=False), table(s, d, "pages").agg(F.min(T.normalise_url(F.col("url")))).first()[0], 2, 100)
-QUERIES["a7_directories"] = lambda s, d: files.directory_edges(table(s, d, "pages").select(F.regexp_replace("url", "^[a-z]+://|[?#].*$", "").alias("path")))
+_NORM = "regexp_replace(regexp_replace({u}, '#.*$', ''), '/$', '')"
+_LINKS = f"(SELECT DISTINCT src, {_NORM.format(u="CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN site || h ELSE base || h END")} AS dst FROM (SELECT {_NORM.format(u='url')} AS src, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+') AS site, regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS base, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM pages))"
+
+
+@query("a5_page_links", f"SELECT src, dst FROM {_LINKS}")
+def a5_links(spark, d):
+    return files.page_links(table(spark, d, "pages"), inside=False)
+
+
+@query(
+    "a6_crawl",
+    f"""WITH l AS {_LINKS}, s AS (SELECT min({_NORM.format(u="url")}) AS url FROM pages), one AS (SELECT DISTINCT dst AS url FROM l JOIN s ON src = url WHERE dst <> s.url), two AS (SELECT DISTINCT dst AS url FROM l JOIN one ON src = url WHERE dst NOT IN (SELECT url FROM one) AND dst NOT IN (SELECT url FROM s))
+SELECT * FROM (SELECT url, 0 AS depth FROM s UNION ALL SELECT url, 1 FROM one UNION ALL SELECT url, 2 FROM two) ORDER BY depth, url LIMIT 100""",
+)
+def a6(spark, d):
+    pages = table(spark, d, "pages")
+    return files.crawl(files.page_links(pages, inside=False), pages.agg(F.min(T.normalise_url(F.col("url")))).first()[0], 2, 100)
+
+
+@query(
+    "a7_directories",
+    """SELECT DISTINCT array_to_string(p[1:i + 1], '/') AS child, array_to_string(p[1:i], '/') AS parent, CASE WHEN i = len(p) - 1 THEN 'IN_DIRECTORY' ELSE 'PARENT_OF' END AS type
+FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT list_filter(string_split(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/'), lambda x: x <> '') AS p FROM pages))""",
+)
+def a7(spark, d):
+    return files.directory_edges(table(spark, d, "pages").select(F.regexp_replace("url", "^[a-z]+://|[?#].*$", "").alias("path")))
 
 
 @query("a8_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders UNION ALL SELECT o_orderkey + 1000000000, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 10 = 2")
@@ -514,11 +591,13 @@ def a8(spark, d):
     return I.upsert(old.drop("hash"), new.drop("hash", "o_orderstatus").where("id < 1000000000").unionByName(new.drop("hash").where("id >= 1000000000"), allowMissingColumns=True), ["id"])
 
 
-@query("a9_upsert_edges", "SELECT count(*) AS n FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0))")
+@query("a9_upsert_edges", "SELECT count(*) AS n, count(*) FILTER (o_custkey % 3 = 0) AS old FROM (SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 4 = 0 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0))")
 def a9(spark, d):
     e = graph.edges(spark, d, ["PLACED_BY"])
     some = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(graph.node_id("customer", "c_custkey").alias("id")).unionByName(graph.nodes(spark, d, ["orders"]).select("id"))
-    return I.upsert_edges(e.limit(0), e.unionByName(e), some).agg(F.count("*").alias("n"))
+    old = e.where(F.regexp_extract("src", r"(\d+)$", 1).cast("long") % 4 == 0)
+    merged = I.upsert_edges(old, e.unionByName(e), some)
+    return merged.agg(F.count("*").alias("n"), F.count_if(F.regexp_extract("dst", r"(\d+)$", 1).cast("long") % 3 == 0).alias("old"))
 
 
 @query("a10_delete", "SELECT count(*) AS n FROM orders WHERE o_custkey % 5 <> 0")
@@ -640,7 +719,12 @@ def i19(spark, d):
     return j.where((F.length("text") > 1000) & (F.col("stored").isNull() | (F.col("stored") != h))).select("doc_id")
 
 
-@query("c1_change_records")
+@query(
+    "c1_change_records",
+    """SELECT substr(sha256(concat_ws(':', CAST(doc_id AS VARCHAR), '2024-01-01 00:00:00', nh)), 1, 16) AS id, doc_id, CASE WHEN nh IS NULL THEN 'deleted' ELSE 'updated' END AS change_type, sha256(text) AS old_hash, nh AS new_hash,
+CASE WHEN nh IS NULL THEN 0 ELSE 1 END AS lines_added, CASE WHEN nh IS NULL THEN len(string_split(text, chr(10))) ELSE 0 END AS lines_removed
+FROM (SELECT doc_id, text, CASE WHEN doc_id % 10 = 1 THEN sha256(text || chr(10) || 'added') END AS nh FROM documents WHERE doc_id % 10 < 2)""",
+)
 def c1(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     new = docs.where("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("\nadded"))).otherwise(F.col("text")))
@@ -662,7 +746,7 @@ def e1(spark, d):
     return E.unresolved(m, m.where("mention % 3 = 0")).select("mention")
 
 
-@query("e2_match", "SELECT count(*) AS n, count(canonical) AS matched FROM (SELECT a.p_type, max(b.p_type) AS canonical FROM (SELECT DISTINCT p_type FROM part) a LEFT JOIN (SELECT DISTINCT p_type FROM part) b ON substr(lower(a.p_type), 1, 3) = substr(lower(b.p_type), 1, 3) AND 1 - levenshtein(lower(a.p_type), lower(b.p_type)) / greatest(length(a.p_type), length(b.p_type)) >= 0.8 GROUP BY 1)")
+@query("e2_match", "SELECT count(*) AS n, count(canonical) AS matched FROM (SELECT a.p_type, max(b.p_type) AS canonical FROM (SELECT DISTINCT p_type FROM part) a LEFT JOIN (SELECT DISTINCT p_type FROM part) b ON 1 - levenshtein(lower(a.p_type), lower(b.p_type)) / greatest(length(a.p_type), length(b.p_type)) >= 0.8 GROUP BY 1)")
 def e2(spark, d):
     t = table(spark, d, "part").select("p_type").distinct()
     m = t.select(F.col("p_type").alias("mention"), F.lit("t").alias("type"), F.col("p_type").alias("name"))
