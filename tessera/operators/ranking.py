@@ -47,7 +47,7 @@ def budget_cut(df: DataFrame, by: list[str], best: list[Column], text: str, budg
 
 def budget_skip(df: DataFrame, by: str, newest: list[str], key: str, size: str, budget: int, gap: int = 100) -> DataFrame:
     """(by, key) of the rows that fit, in order; one that doesn't is skipped if at most ``gap`` remains, else it ends the list."""
-    rows = df.select(by, *newest, F.col(key), F.col(size).cast("long").alias("_size"))
+    rows = df.select(*dict.fromkeys([by, *newest, key]), F.col(size).cast("long").alias("_size"))
 
     def step(state, n):
         used, over = state or (0, False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ def related_to(nodes: DataFrame, edges: DataFrame, kind: str, name: str, directi
     return nodes.join(directed(edges, direction, kind).join(target, "dst", "left_semi").select(F.col("src").alias("id")), "id", "left_semi")
 
 
-def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, direction: str = "out", target: DataFrame | None = None) -> DataFrame:
-    """(start, id, depth): nodes reached in 1..depth steps, each with its smallest number of steps; target restricts the reached ones."""
+def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, direction: str = "out", target: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(start, id, depth): nodes reached in 1..depth steps, each with its smallest number of steps; target restricts the reached ones.
+
+    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
     walk = directed(edges, direction, kind).select("src", "dst")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     seen = None
@@ -39,6 +43,7 @@ def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, di
         front = front.join(walk, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at")).distinct()
         if seen is not None:  # what was reached before is not walked from again
             front = front.join(seen.select("start", F.col("id").alias("at")), ["start", "at"], "left_anti")
+        front = cut(front) if cut else front
         now = front.select("start", F.col("at").alias("id"), F.lit(level).alias("depth"))
         seen = now if seen is None else seen.unionByName(now)
     out = seen.groupBy("start", "id").agg(F.min("depth").alias("depth")).where("start <> id")
@@ -62,8 +67,10 @@ def hierarchy(start: DataFrame, edges: DataFrame, uses: str, inherits: str, dept
     return out.groupBy("relation", "id").agg(F.min("depth").alias("depth")).orderBy("depth", "relation", "id").limit(limit)
 
 
-def neighbourhood(hits: DataFrame, edges: DataFrame, depth: int = 1, seeds: int = 10, per_node: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) around the best ``seeds`` hits (id, score): per node and direction the first ``per_node`` edges by type and id."""
+def neighbourhood(hits: DataFrame, edges: DataFrame, depth: int = 1, seeds: int = 10, per_node: int = 15, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around the best ``seeds`` hits (id, score): per node and direction the first ``per_node`` edges by type and id.
+
+    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
     front = hits.orderBy(F.desc("score"), "id").limit(seeds).select("id")
     nodes, kept = front.withColumn("depth", F.lit(0)), None
     for level in range(1, depth + 1):
@@ -74,6 +81,7 @@ def neighbourhood(hits: DataFrame, edges: DataFrame, depth: int = 1, seeds: int
             e = e.withColumn("r", rank).where(F.col("r") <= per_node)
             e = e.select(*(("id", "dst") if way == "out" else (F.col("dst").alias("id"), F.col("id").alias("dst"))), "type", F.col("dst").alias("next"))
             found = e if found is None else found.unionByName(e)
+        found = cut(found) if cut else found
         kept = found.drop("next") if kept is None else kept.unionByName(found.drop("next"))
         front = found.select(F.col("next").alias("id")).distinct().join(nodes, "id", "left_anti")
         nodes = nodes.unionByName(front.withColumn("depth", F.lit(level)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,10 @@ def page_links(df: DataFrame, inside: bool = True) -> DataFrame:
     return links.join(df.select(normalise_url(F.col("url")).alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst") if inside else links
 
 
-def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """(url, depth) reached from a start URL over a link table (src, dst), breadth first; excludes win. ``limit`` is the page cap."""
+def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | None = None, exclude: str | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(url, depth) reached from a start URL over a link table (src, dst), breadth first; excludes win. ``limit`` is the page cap.
+
+    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
     ok = links
     if include:
         ok = ok.where(F.col("dst").rlike(include))
@@ -66,6 +69,7 @@ def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | N
     front = seen.select("url")
     for d in range(1, depth + 1):
         front = front.join(ok, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
+        front = cut(front) if cut else front
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
     return seen.orderBy("depth", "url").limit(limit)
 
