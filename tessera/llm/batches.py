@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 20
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 U64 = np.uint64
 
 #: White space is \x20 and \x09-\x0D; everything else belongs to a word.
@@ -184,6 +185,9 @@ def map_texts(df: DataFrame, make: Callable[[], Callable], schema: str, limit: i
     called after the last batch and yields further lists of arrays.
     """
     names = [x.split()[0].strip("`") for x in _fields(schema)]
+    conf = df.sparkSession.conf
+    if conf.get(ROWS, None) is None:  # texts are long: Spark's own number of rows would be some 30 MB a batch, in the JVM and in Python
+        conf.set(ROWS, "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -22,9 +22,9 @@ from tessera.llm.batches import pieces as pieces_of
 
 SPACE = "▁"
 #: Slots of the table of known units and of the one of known pairs, and ids remembered.
-UNITS, PAIRS, IDS = 1 << 20, 1 << 21, 1 << 22
+UNITS, PAIRS, IDS = 1 << 19, 1 << 20, 1 << 21
 #: Bytes of texts, or ids, that are looked at together.
-PART = 1 << 20
+PART = 1 << 19
 #: Bits of a key that a table of present keys is asked for before the sorted keys are searched.
 SEEN = 20
 _LENGTH = U64(0xD6E8FEB86659FD93)
