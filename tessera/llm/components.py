@@ -32,3 +32,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if busy.isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError("components did not settle")
+
+
+def roots(parents: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, component) of a forest (b, a), where each b occurs once and a < b: the root above each node, and each root itself.
+
+    Every round points each node at its parent's parent, so there are as many rounds as the depth has binary digits."""
+    now = written(parents.select("b", "a"))
+    for _ in range(rounds):
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("higher"))
+        after = written(now.join(up, "a", "left").select("b", F.coalesce("higher", "a").alias("a"), F.col("higher").isNotNull().alias("moved")))
+        now = after.select("b", "a")
+        if after.where("moved").isEmpty():
+            return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    raise RuntimeError("the parents do not form a forest")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.batches import U64, Words, gram_hash, lists, map_texts, mix, runs, signed, span_hash, written
 from tessera.llm.bitmap import maybe
-from tessera.llm.components import components
+from tessera.llm.components import components, roots
 from tessera.llm.keyed import shared_keys
 
 #: Coordinates of a count vector, and grams of an R-tree leaf's members together (or one larger member).
@@ -252,7 +252,8 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
     tried = written(close.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
     light = written(each.join(lead, ["h1", "h2"]).where("doc_id = lead").dropDuplicates(["h1", "h2", "doc_id"]).select("doc_id", F.col("n_shingles").alias("size"), "vec"))
     proved = written(_verify(rows, _bounded(tried, light, percent), n, percent))
-    parts = components(proved)
+    # each set has one smaller partner at most: a forest
+    parts = written(roots(proved))
     state = members.join(parts.select(F.col("node").alias("lead"), F.col("component").alias("part")), "lead", "left").select("family", "n", F.col("lead").alias("doc_id"), F.coalesce("part", "lead").alias("part"))
     ends = state.groupBy("family").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("n").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("p0 <> p1")
     # a bucket of two is done only if its one pair is the one that was tried
@@ -262,9 +263,16 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
     near = written(_near(open_.where(F.col("n") <= SMALL), percent))
     large = open_.where(F.col("n") > SMALL).drop("n")
     more = written(_verify(rows, near, n, percent).unionByName(rtree_links(large, rows, n, percent)))
-    edges = proved.select("a", "b").unionByName(more).unionByName(same.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
-    final = components(edges).withColumnRenamed("node", "doc_id")
-    return each.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # what is left to join are parts: by links found between their members, and by documents of one id with several texts
+    part_of = same.join(parts.select(F.col("node").alias("lead"), "component"), "lead", "left").select("doc_id", F.coalesce("component", "lead").alias("part"))
+    part_of = written(part_of.distinct())
+    several = part_of.groupBy("doc_id").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a <> z").drop("z")
+    ends = more
+    for end in "ab":
+        ends = ends.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    final = components(ends.select("a", "b").unionByName(part_of.join(several, "doc_id").select("a", F.col("part").alias("b"))))
+    placed = part_of.join(final.withColumnRenamed("node", "part"), "part", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "part")).alias("component"))
+    return each.join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def frequent_grams(rows: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
