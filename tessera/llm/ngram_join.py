@@ -118,8 +118,9 @@ def leaf_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tu
     return found
 
 
-def rtree_links(members: DataFrame, texts: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
-    """(a, b): links that join parts of a family, for members (family, part, doc_id, size, vec) and the texts (doc_id, text).
+def rtree_links(members: DataFrame, light: DataFrame, texts: DataFrame, n: int, percent: int, leaf: int = LEAF) -> DataFrame:
+    """(a, b): links that join parts of a family, for members (family, part, doc_id), their sizes and vectors (doc_id, size, vec) and the
+    texts (doc_id, text).
 
     Members of a family are packed in order: those of a large part together, the others by size; into leaves of about ``leaf`` grams
     and coordinates together, and FAN leaves into a node. A box, of a leaf or node, has the largest count in each coordinate and the
@@ -127,19 +128,17 @@ def rtree_links(members: DataFrame, texts: DataFrame, n: int, percent: int, leaf
     to pairs of leaves, and each such two are searched as one group of a task: first by count vectors alone, and then the members
     that still have a partner by their sets, which only these need. No family is sorted, paired or held by one task."""
     crowd = members.groupBy("family", "part").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("family", "part", F.col("part").alias("crowd"))
-    placed = members.join(crowd, ["family", "part"], "left").select("family", "crowd", "size", "doc_id", "part", "vec")
+    placed = members.join(crowd, ["family", "part"], "left").join(light, "doc_id").select("family", "crowd", "size", "doc_id", "part", "vec")
     order = ["family", "crowd", "size", "doc_id"]
     packed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = written(packed.mapInArrow(lambda batches: _pack(batches, leaf), "family long, crowd long, size long, doc_id long, part long, vec array<int>, node long, leaf long"))
+    kind = "family long, crowd long, size long, doc_id long, part long, vec array<int>, node long, leaf long"
+    rows = written(packed.mapInArrow(lambda batches: _pack(batches, leaf), f"{kind}, box struct<lo:long,hi:long,p0:long,p1:long,most:array<int>>"))
+    leaves = rows.where("box is not null").select("family", "node", "leaf", "box.*")  # each leaf's first row has its box
     box = "lo long, hi long, p0 long, p1 long, most array<int>"
 
-    def leaf_box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, pdf["size"].min(), pdf["size"].max(), pdf["part"].min(), pdf["part"].max(), np.stack(pdf["vec"].to_numpy()).max(0)]])
-
     def node_box(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, pdf["lo"].min(), pdf["hi"].max(), pdf["p0"].min(), pdf["p1"].max(), np.stack(pdf["most"].to_numpy()).max(0)]])
 
-    leaves = written(rows.groupBy("family", "node", "leaf").applyInPandas(leaf_box, f"family long, node long, leaf long, {box}"))
     nodes = leaves.groupBy("family", "node").applyInPandas(node_box, f"family long, node long, {box}")
 
     def side(df: DataFrame, k: str) -> DataFrame:
@@ -172,7 +171,8 @@ def rtree_links(members: DataFrame, texts: DataFrame, n: int, percent: int, leaf
 
 
 def _pack(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted batches (family, crowd, size, ...) with the node and the leaf of each."""
+    """The rows of sorted batches (family, crowd, size, doc_id, part, vec) with the node and the leaf of each, and on the first row of
+    each leaf its box: the ranges of sizes and parts, and the largest count in each coordinate."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -193,7 +193,12 @@ def _pack(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBat
                 node, inside, last = node + 1, 0, of
             inside += 1
             nodes[i] = node
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes[leaves - 1]), pa.array(number + leaves)], [*batch.schema.names, "node", "leaf"])
+        at = np.flatnonzero(head)
+        part, vec = batch.column(4).to_numpy(), batch.column(5).flatten().to_numpy().reshape(-1, DIMS)
+        sides = [f.reduceat(x, at) for x in (size, part) for f in (np.minimum, np.maximum)]
+        boxes = pa.StructArray.from_arrays([*map(pa.array, sides), lists(np.maximum.reduceat(vec, at).ravel(), np.full(len(at), DIMS))], ["lo", "hi", "p0", "p1", "most"])
+        boxes = boxes.take(pa.array(np.where(head, leaves - 1, 0), mask=~head))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes[leaves - 1]), pa.array(number + leaves), boxes], [*batch.schema.names, "node", "leaf", "box"])
         number += int(leaves[-1])
 
 
@@ -259,10 +264,10 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
     # a bucket of two is done only if its one pair is the one that was tried
     done = tried.select("a", "b", F.lit(2).cast("long").alias("n"))
     split = ends.join(done, ["a", "b", "n"], "left_anti").select("family")
-    open_ = written(state.join(split, "family", "left_semi").join(light, "doc_id"))
-    near = written(_near(open_.where(F.col("n") <= SMALL), percent))
+    open_ = written(state.join(split, "family", "left_semi"))
+    near = written(_near(open_.where(F.col("n") <= SMALL).join(light, "doc_id"), percent))
     large = open_.where(F.col("n") > SMALL).drop("n")
-    more = written(_verify(rows, near, n, percent).unionByName(rtree_links(large, rows, n, percent)))
+    more = written(_verify(rows, near, n, percent).unionByName(rtree_links(large, light, rows, n, percent)))
     # what is left to join are parts: by links found between their members, and by documents of one id with several texts
     part_of = same.join(parts.select(F.col("node").alias("lead"), "component"), "lead", "left").select("doc_id", F.coalesce("component", "lead").alias("part"))
     part_of = written(part_of.distinct())
