@@ -10,10 +10,11 @@ from tessera.functions import text as T
 from tessera.functions.vectors import cosine, vector
 from tessera.operators import conversations as V
 from tessera.operators import incremental as I
+from tessera.operators import ranking as R
 from tessera.operators import resolution as E
 from tessera.operators import search as S
 from tessera.operators import traverse as X
-from tessera.plans import frame
+from tessera.plans import frame, graph
 from tessera.plans.graph import table
 from tessera.registry import query, simple
 from tessera.sources import files
@@ -482,3 +483,94 @@ def x5(spark, d):
 )
 def x7(spark, d):
     return frame.examples({"nation": table(spark, d, "nation")})
+
+
+# --- one call for several operators ---------------------------------------------------------------------------------
+
+
+@query(
+    "s9_text_page",
+    """WITH h AS (SELECT doc_id AS id, length(text) - length(replace(lower(text), 'e', '')) AS n, lang, source FROM documents)
+SELECT id, lang, total FROM (SELECT id, lang, row_number() OVER (ORDER BY n DESC, id) AS r, count(*) OVER () AS total FROM h WHERE lang = 'en' AND n >= 50 AND regexp_matches('s/' || source || '/x', '^s/[^/]*1[^/]*/x$')) WHERE r > 3 AND r <= 10""",
+)
+def s9_page(spark, d):
+    docs = table(spark, d, "documents")
+    hits = docs.select(F.col("doc_id").alias("id"), (F.length("text") - F.length(F.replace(F.lower("text"), F.lit("e"), F.lit("")))).cast("double").alias("score"))
+    rows = docs.select(F.col("doc_id").alias("id"), "lang", F.concat(F.lit("s/"), "source", F.lit("/x")).alias("path"))
+    return S.search(None, hits, rows, 7, 3, F.col("lang") == "en", "s/*1*/x", least=50).select("id", "lang", "total")
+
+
+@query(
+    "s17_grep_context",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE lang = 'en'), c AS (SELECT *, concat_ws(chr(10), lag(l) OVER w, l, lead(l) OVER w) AS context FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+SELECT doc_id, line, context FROM c WHERE regexp_matches(l, '(?i)THE') ORDER BY doc_id, line LIMIT 40""",
+)
+def s17_context(spark, d):
+    docs = table(spark, d, "documents").withColumn("path", F.concat(F.lit("d/"), "lang", F.lit(".txt")))
+    return S.grep(docs, "THE", True, glob="d/en*", context=1, most=40).select("doc_id", F.col("line").cast("long").alias("line"), "context")
+
+
+@query(
+    "a8_upsert_nodes",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE 'pending' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 2023 ELSE 2024 END AS created, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 2023 ELSE 2024 END AS updated FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 1""",
+)
+def a8(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
+    then = F.lit("2023-01-01").cast("timestamp")
+    old = o.where("id % 3 = 0").withColumns({"created_at": then, "updated_at": then, "state": F.lit("old")})
+    return I.upsert_nodes(old, o.where("id % 2 = 1"), ["id"], F.lit("2024-01-01").cast("timestamp")).select("id", "state", F.year("created_at").alias("created"), F.year("updated_at").alias("updated"))
+
+
+@query(
+    "a10_edit_graph",
+    """SELECT 'node' AS kind, count(*) AS n, CAST(sum(CASE WHEN c_custkey % 5 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM customer WHERE c_custkey % 5 <> 0
+UNION ALL SELECT 'edge', count(*), CAST(sum(CASE WHEN o_orderkey % 2 = 1 AND o_custkey % 5 <> 2 THEN 0 ELSE 0 END) AS BIGINT) FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey % 5 <> 2 AND o_custkey IN (SELECT c_custkey FROM customer)""",
+)
+def a10(spark, d):
+    key = lambda t: t.select("c_custkey", graph.node_id("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    c = key(table(spark, d, "customer"))
+    orders = graph.nodes(spark, d, ["orders"]).select("id", "name")
+    e = graph.edges(spark, d, ["PLACED_BY"])
+    last = F.regexp_extract("dst", r"(\d+)$", 1).cast("long") % 5
+    start = c.where("c_custkey % 5 <> 4").drop("c_custkey").unionByName(orders)
+    n, left = I.edit_graph(
+        start, e.where(last != 4), c.where("c_custkey % 5 in (3, 4)").drop("c_custkey"), c.where("c_custkey % 5 = 1").select("id", F.lit("new").alias("name")),
+        c.where("c_custkey % 5 = 0").select("id"), e.where(last == 4), e.where(last == 2),
+    )
+    mine = n.where(F.col("id").startswith("customer:"))
+    return mine.agg(F.lit("node").alias("kind"), F.count("*").alias("n"), F.count_if(F.col("name") == "new").alias("changed")).unionByName(left.agg(F.lit("edge").alias("kind"), F.count("*").alias("n"), F.lit(0).cast("long").alias("changed")))
+
+
+@query("a11_without_files", "SELECT count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 4 <> 0")
+def a11(spark, d):
+    nodes = table(spark, d, "part").select(graph.node_id("part", "p_partkey").alias("id"), (F.col("p_size") % 4).alias("file"))
+    edges = table(spark, d, "lineitem").select(graph.node_id("orders", "l_orderkey").alias("src"), graph.node_id("part", "l_partkey").alias("dst"), F.lit("CONTAINS").alias("type"))
+    _, left = I.without_files(nodes, edges, nodes.where("file = 0").select("file").distinct())
+    return left.agg(F.count("*").alias("n"))
+
+
+@query("a12_collect_garbage", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey % 3 <> 0) AND o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING max(o_orderdate) >= TIMESTAMP '1998-01-01')")
+def a12(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "project_id")
+    used = o.groupBy("project_id").agg(F.max("o_orderdate").alias("last_used"))
+    projects = table(spark, d, "customer").select(F.col("c_custkey").alias("project_id"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_name")).alias("owner")).join(used, "project_id")
+    return I.collect_garbage(o, projects, F.lit("1998-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@query(
+    "v1_list_filtered",
+    """SELECT conv_id, n_messages FROM (SELECT conv_id, count(*) AS n_messages FROM conversations WHERE conv_id % 2 = 0 AND conv_id % 5 IN (1, 2) GROUP BY 1) ORDER BY conv_id DESC LIMIT 15""",
+)
+def v1(spark, d):
+    m = table(spark, d, "conversations")
+    c = m.groupBy("conv_id").agg(F.max("conv_id").alias("created_at")).select("conv_id", F.when(F.col("conv_id") % 2 == 0, "active").otherwise("archived").alias("status"), F.array(F.concat(F.lit("t"), s(F.col("conv_id") % 5))).alias("tags"), "created_at")
+    return R.page(V.listed(c, m, "active", ["t1", "t2"]).select("conv_id", "n_messages"), [F.desc("conv_id")], 15)
+
+
+@query(
+    "v17_session_list",
+    """SELECT user_id AS session, event_type AS domain, count(*) AS n, max(ts) AS last FROM events WHERE event_type = 'click' GROUP BY 1, 2""",
+)
+def v17(spark, d):
+    visits = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("domain"), F.col("ts").alias("at"))
+    return V.sessions(visits, "click").select("session", "domain", "n", "last")

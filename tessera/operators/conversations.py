@@ -142,3 +142,16 @@ def summary_links(summaries: DataFrame, files: DataFrame, nodes: DataFrame, mess
     parts = ((hit, "MENTIONS_FILE"), (to_nodes, "MENTIONS_NODE"), (to_messages, "SUMMARIZES"))
     out = [p.select(F.col("id").alias("src"), "dst", F.lit(t).alias("type")).distinct() for p, t in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def listed(conversations: DataFrame, messages: DataFrame, status: str | None = None, tags: list[str] | None = None) -> DataFrame:
+    """Conversations (conv_id, status, tags, created_at) of a status with any of the tags, with counters, the newest first."""
+    some = conversations if status is None else conversations.where(F.col("status") == status)
+    some = some if tags is None else some.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+    return some.join(counters(messages), "conv_id", "left").orderBy(F.desc("created_at"), "conv_id")
+
+
+def sessions(visits: DataFrame, domain: str | None = None) -> DataFrame:
+    """(session, domain, n, first, last) of visits (session, domain, at), of one domain or all, the newest first."""
+    some = visits if domain is None else visits.where(F.col("domain") == domain)
+    return some.groupBy("session", "domain").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).orderBy(F.desc("last"), "session", "domain")

@@ -163,3 +163,32 @@ def apply_batch(rows: DataFrame, batch: DataFrame, key: str = "key") -> DataFram
     same = F.col("hash").eqNullSafe(F.col("_h")) & F.col("provider").eqNullSafe(F.col("_p"))
     carried = new.join(old, key, "left").select(key, "hash", "provider", F.coalesce("embedding", F.when(same, F.col("_e"))).alias("embedding"))
     return left.join(carried.select(key), key, "left_anti").select(key, "hash", "provider", "embedding").unionByName(carried)
+
+
+def upsert_nodes(old: DataFrame, new: DataFrame, key: list[str], at: Column, state: str = "pending") -> DataFrame:
+    """``upsert`` of nodes (key, ..., created_at, updated_at, state): rows of new get the time, and those that were not there a first state."""
+    known = old.select(*key, F.lit(True).alias("_known"))
+    stamped = new.join(known, key, "left").withColumns({
+        "created_at": F.when(F.col("_known").isNull(), at), "updated_at": at, "state": F.when(F.col("_known").isNull(), F.lit(state)),
+    })
+    return upsert(old, stamped.drop("_known"), key)
+
+
+def edit_graph(nodes: DataFrame, edges: DataFrame, create: DataFrame, update: DataFrame, delete: DataFrame, link: DataFrame, unlink: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, ...) and edges (src, dst, type) after one batch, in this order: deletes (id) with their edges, creates of ids that are
+    not there, updates of ids that are, unlinked triples, and links whose ends exist."""
+    n, e = delete_nodes(nodes, edges, delete)
+    fresh = create.join(n.select("id"), "id", "left_anti")
+    n = upsert(n, update.join(n.select("id"), "id", "left_semi"), ["id"]).unionByName(fresh, allowMissingColumns=True)
+    e = e.select("src", "dst", "type").join(unlink.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
+    return n, upsert_edges(e, link, n)
+
+
+def without_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, file: str = "file") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without what belongs to the files (file)."""
+    return delete_nodes(nodes, edges, nodes.join(files.select(file), file, "left_semi").select("id"))
+
+
+def collect_garbage(rows: DataFrame, projects: DataFrame, since: Column) -> DataFrame:
+    """Rows (project_id, ...) whose project (project_id, owner, last_used) has an owner and was used since."""
+    return rows.join(projects.where(F.col("owner").isNotNull() & (F.col("last_used") >= since)).select("project_id"), "project_id", "left_semi")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import edit_similarity
 from tessera.functions.vectors import cosine, vector
-from tessera.operators.ranking import top_k
+from tessera.operators.predicates import glob_regex
+from tessera.operators.ranking import page, top_k
 from tessera.operators.similar import similar
 
 
@@ -137,9 +138,33 @@ def merge_scores(results: DataFrame, evaluations: DataFrame, strategy: str = "we
     return results.join(evaluations, "id").select("id", merged.alias("score"))
 
 
-def grep(docs: DataFrame, pattern: str, ignore_case: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, text, match, n_lines): lines that match, trimmed and cut at 200 characters, with the first match."""
+def search(vector_hits: DataFrame | None, text_hits: DataFrame | None, rows: DataFrame, limit: int, offset: int = 0, where: Column | None = None, glob: str | None = None, path: str = "path", least: float | None = None) -> DataFrame:
+    """The front door: hits of one kind, or of both as ``hybrid`` ranks them, with the fields of rows (id, ...). Filters, a glob over the
+    path and the minimum score hold before the page is cut; total is how many hits passed them."""
+    if vector_hits is not None and text_hits is not None:
+        hits = hybrid(vector_hits, text_hits, limit=1 << 30)
+    else:
+        hits = (vector_hits if vector_hits is not None else text_hits).select("id", "score")
+    passed = hits.join(rows, "id")
+    for test in (where, None if glob is None else F.col(path).rlike(glob_regex(glob, path=True)), None if least is None else F.col("score") >= least):
+        passed = passed if test is None else passed.where(test)
+    total = passed.agg(F.count("*").alias("total"))
+    return page(passed, [F.desc("score"), F.col("id")], limit, offset).crossJoin(F.broadcast(total))  # one row
+
+
+def grep(docs: DataFrame, pattern: str, ignore_case: bool = False, key: str = "doc_id", text: str = "text", glob: str | None = None, path: str = "path", context: int = 0, most: int | None = None) -> DataFrame:
+    """(key, line, text, match, n_lines): lines that match, trimmed and cut at 200 characters, with the first match. ``glob`` restricts the
+    paths, ``context`` adds that many lines before and after as one text, ``most`` caps the rows, by key and line."""
     rx = ("(?i)" if ignore_case else "") + pattern
+    docs = docs if glob is None else docs.where(F.col(path).rlike(glob_regex(glob, path=True)))
+    if context:
+        every = F.split(text, "\n")
+        around = F.transform(every, lambda s, i: F.array_join(F.slice(every, F.greatest(i + 1 - context, F.lit(1)), F.least(i, F.lit(context)) + 1 + context), "\n"))
+        found = docs.select(key, F.size(every).alias("n_lines"), F.posexplode(F.arrays_zip(every.alias("l"), around.alias("c"))).alias("i", "z")).where(F.col("z.l").rlike(rx))
+        out = found.select(key, (F.col("i") + 1).alias("line"), F.substring(F.trim("z.l"), 1, 200).alias("text"), F.regexp_extract("z.l", rx, 0).alias("match"), "n_lines", F.col("z.c").alias("context"))
+        return out if most is None else page(out, [F.col(key), F.col("line")], most)
+    if most is not None:
+        return page(grep(docs, pattern, ignore_case, key, text), [F.col(key), F.col("line")], most)
     lines = docs.select(key, F.size(F.split(text, "\n")).alias("n_lines"), F.posexplode(F.split(text, "\n")).alias("i", "l"))
     return lines.where(F.col("l").rlike(rx)).select(key, (F.col("i") + 1).alias("line"), F.substring(F.trim("l"), 1, 200).alias("text"), F.regexp_extract("l", rx, 0).alias("match"), "n_lines")
 
