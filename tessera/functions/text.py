@@ -268,3 +268,17 @@ def loose_paths(text: Column) -> Column:
 def component_section(text: Column, name: str) -> Column:
     """The script, style or template part of a component file."""
     return F.regexp_extract(text, rf"(?s)<{re.escape(name)}[^>]*>(.*?)</{re.escape(name)}>", 1)
+
+
+def labelled_lines(parts: dict[str, Column]) -> Column:
+    """What a vector is made of: each part on a line of its own, its name in brackets before it; null parts are left out."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"[{name}] "), value) for name, value in parts.items()))
+
+
+def cost(tokens: Column, price: Column) -> Column:
+    """Price of some tokens, at a price for a million."""
+    return tokens * price / 1_000_000
+
+
+def token_estimate(text: Column) -> Column:
+    return F.ceil(F.length(text) / 4)

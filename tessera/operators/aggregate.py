@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import extension, file_kind
+from tessera.functions.text import chunk_count, extension, file_kind
 
 _AGGS = {"COUNT": F.count, "AVG": F.avg, "SUM": F.sum, "MIN": F.min, "MAX": F.max}
 
@@ -86,3 +86,9 @@ def kind_profile(paths: DataFrame, root: str = "root", path: str = "path", thres
     out = out.withColumns({"other": F.col("total") - F.col("code") - F.col("document") - F.col("data"), "code_ratio": code, "document_ratio": doc})
     top = F.greatest("code_ratio", "document_ratio")
     return out.withColumn("dominant", F.when(top < threshold, F.when(top < 0.5, "mixed").when(code >= doc, "code").otherwise("document")).when(code >= doc, "code").otherwise("document"))
+
+
+def section_chunks(sections: DataFrame, documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, n): chunks of the documents of each section; a section without any has 0."""
+    n = documents.groupBy(key).agg(F.sum(chunk_count(F.col(text))).alias("n"))
+    return sections.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))

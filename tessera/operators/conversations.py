@@ -155,3 +155,19 @@ def sessions(visits: DataFrame, domain: str | None = None) -> DataFrame:
     """(session, domain, n, first, last) of visits (session, domain, at), of one domain or all, the newest first."""
     some = visits if domain is None else visits.where(F.col("domain") == domain)
     return some.groupBy("session", "domain").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).orderBy(F.desc("last"), "session", "domain")
+
+
+def turn_texts(messages: DataFrame, cut: int = 200) -> DataFrame:
+    """(conv_id, t): what a conversation's vector is made of: role and first ``cut`` characters of each message but the system's, in order."""
+    line = F.struct("turn", F.concat(F.initcap("role"), F.lit(": "), F.substring("text", 1, cut)).alias("s"))
+    own = messages.where("role <> 'system'").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return own.select("conv_id", F.array_join(F.transform("lines", lambda r: r["s"]), "\n").alias("t"))
+
+
+def chars_by(messages: DataFrame, *by: str) -> DataFrame:
+    return messages.groupBy(*by).agg(F.sum(F.length("text")).alias("chars"))
+
+
+def budget_report(messages: DataFrame, by: str, budget: int) -> DataFrame:
+    """(by, chars, percent): characters and their share of the budget."""
+    return chars_by(messages, by).withColumn("percent", 100 * F.col("chars") / budget)

@@ -192,3 +192,35 @@ def without_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, file: st
 def collect_garbage(rows: DataFrame, projects: DataFrame, since: Column) -> DataFrame:
     """Rows (project_id, ...) whose project (project_id, owner, last_used) has an owner and was used since."""
     return rows.join(projects.where(F.col("owner").isNotNull() & (F.col("last_used") >= since)).select("project_id"), "project_id", "left_semi")
+
+
+def patch(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows with new values in the named columns where the condition holds; the number of these is ``rows.where(where).count()``."""
+    return rows.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def mark_dirty(rows: DataFrame, where: Column) -> DataFrame:
+    """Rows with dirty, true where the condition holds; a null condition does not."""
+    return rows.withColumn("dirty", F.coalesce(where, F.lit(False)))
+
+
+def stale_chunks(chunks: DataFrame, changed: DataFrame, parent: str) -> DataFrame:
+    """Chunks without those of parents that are chunked again (parent)."""
+    return chunks.join(changed.select(parent), parent, "left_anti")
+
+
+def initialise_states(rows: DataFrame, path: str, skip: str, state: str = "state") -> DataFrame:
+    """Rows without a state get one: skip where the path matches, else discovered."""
+    first = F.when(F.col(path).rlike(skip), "skip").otherwise("discovered")
+    return rows.withColumn(state, F.coalesce(state, first) if state in rows.columns else first)
+
+
+def drop_vectors(rows: DataFrame, where: Column, columns: tuple[str, ...] = ("embedding",)) -> DataFrame:
+    """Rows with null vectors (and hashes, if named) where the condition holds."""
+    return rows.withColumns({c: F.when(~F.coalesce(where, F.lit(False)), F.col(c)) for c in columns})
+
+
+def needs_summary(rows: DataFrame, stored: DataFrame, text: str, least: int, key: str = "id") -> DataFrame:
+    """Rows (key, text) longer than ``least`` characters whose text has another hash than that of the stored summary (key, hash)."""
+    j = rows.join(stored.select(key, F.col("hash").alias("_h")), key, "left")
+    return j.where((F.length(text) > least) & ~content_hash(F.col(text)).eqNullSafe(F.col("_h"))).drop("_h")

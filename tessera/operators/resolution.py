@@ -81,3 +81,8 @@ def entity_vectors(entities: DataFrame, stored: DataFrame) -> DataFrame:
     """Entities (id, name, aliases, type) whose text has another hash than the stored one (id, hash), with text and hash."""
     t = entities.withColumn("text", entity_text(F.col("name"), F.col("aliases"), F.col("type"))).withColumn("hash", F.sha2("text", 256))
     return t.join(stored.select("id", F.col("hash").alias("_h")), "id", "left").where(~F.col("hash").eqNullSafe(F.col("_h"))).drop("_h")
+
+
+def tag_usage(nodes: DataFrame) -> DataFrame:
+    """(tag, usage) of nodes (tag), null tags left out: what a tag's usage count is set to."""
+    return nodes.where("tag is not null").groupBy("tag").agg(F.count("*").alias("usage"))

@@ -256,9 +256,9 @@ def g15(spark, d):
     return A.orphans(table(spark, d, "part").select("p_partkey"), table(spark, d, "lineitem").where("l_quantity > 49").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
 
 
-simple("g16_section_chunks", "documents", lambda t: t.select("source", T.chunk_count(F.col("text")).alias("c")).groupBy("source").agg(F.sum("c").alias("n")), "SELECT source, CAST(sum(CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil((length(text) - 200) / 1800) END) AS BIGINT) AS n FROM documents GROUP BY 1")
+simple("g16_section_chunks", "documents", lambda t: A.section_chunks(t, t, "source"), "SELECT source, CAST(sum(CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil((length(text) - 200) / 1800) END) AS BIGINT) AS n FROM documents GROUP BY 1")
 simple("g17_best_per_parent", "conversations", lambda t: A.best_per_parent(t.withColumn("score", F.length("text")), "conv_id", "score", 25), "SELECT conv_id, max(length(text)) AS score FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
-simple("g18_role_chars", "conversations", lambda t: t.groupBy("conv_id", "role").agg(F.sum(F.length("text")).alias("chars")), "SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1, 2")
+simple("g18_role_chars", "conversations", lambda t: V.chars_by(t, "conv_id", "role"), "SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1, 2")
 
 
 def _snapshots(spark, d):
@@ -411,11 +411,11 @@ simple("f18_file_kind", "pages", lambda t: t.select("page_id", T.file_kind(F.con
 @query("f19_embedding_text", "SELECT o_orderkey, '[ORDER] ' || any_value(o_orderstatus) || chr(10) || '[ITEM] ' || string_agg(p, ' ' ORDER BY r) AS t FROM orders JOIN (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS r FROM lineitem WHERE l_linenumber <= 2) ON l_orderkey = o_orderkey WHERE r <= 2 GROUP BY 1")
 def f19(spark, d):
     near = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p")))), 1, 2).alias("x"))
-    return table(spark, d, "orders").join(near, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.concat_ws("\n", F.concat(F.lit("[ORDER] "), "o_orderstatus"), F.concat(F.lit("[ITEM] "), F.array_join(F.transform("x", lambda r: r["p"]), " "))).alias("t"))
+    return table(spark, d, "orders").join(near, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", T.labelled_lines({"ORDER": F.col("o_orderstatus"), "ITEM": F.array_join(F.transform("x", lambda r: r["p"]), " ")}).alias("t"))
 
 
 simple("f20_entity_text", "nation", lambda t: t.select("n_nationkey", F.concat_ws("\n", F.concat(F.lit("Name: "), "n_name"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("Region: "), F.col("n_regionkey").cast("string"))), F.lit("Type: nation")).alias("t")), "SELECT n_nationkey, concat_ws(chr(10), 'Name: ' || n_name, CASE WHEN n_regionkey > 1 THEN 'Region: ' || CAST(n_regionkey AS VARCHAR) END, 'Type: nation') AS t FROM nation")
-simple("f21_turn_text", "conversations", lambda t: t.where("role <> 'system'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.initcap("role"), F.lit(": "), F.substring("text", 1, 200)).alias("s")))), lambda r: r["s"]), "\n").alias("t")), "SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY 1")
+simple("f21_turn_text", "conversations", V.turn_texts, "SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn) AS t FROM conversations WHERE role <> 'system' GROUP BY 1")
 simple("f22_field_format", "documents", lambda t: t.select("doc_id", T.truncate(F.col("text"), 300).alias("t")), "SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS t FROM documents")
 simple("f24_tags", "part", lambda t: t.select("p_partkey", T.normalise_tag(F.col("p_type")).alias("tag")), "SELECT p_partkey, regexp_replace(lower(p_type), ' +', '-', 'g') AS tag FROM part")
 
@@ -423,7 +423,7 @@ simple("f24_tags", "part", lambda t: t.select("p_partkey", T.normalise_tag(F.col
 @query("f25_cost", "SELECT role, CAST(round(sum(ceil(length(text) / 4) * CASE role WHEN 'assistant' THEN 15.0 ELSE 3.0 END / 1000000), 6) AS DOUBLE) AS cost FROM conversations GROUP BY 1")
 def f25(spark, d):
     prices = spark.createDataFrame([("assistant", 15.0), ("user", 3.0), ("system", 3.0)], "role string, price double")
-    return table(spark, d, "conversations").join(F.broadcast(prices), "role").groupBy("role").agg(r6(F.sum(F.ceil(F.length("text") / 4) * F.col("price") / 1_000_000)).alias("cost"))
+    return table(spark, d, "conversations").join(F.broadcast(prices), "role").groupBy("role").agg(r6(F.sum(T.cost(T.token_estimate(F.col("text")), F.col("price")))).alias("cost"))
 
 
 simple("f26_headings", "pages", lambda t: t.select("page_id", F.array_join(T.headings(F.col("html")), "|").alias("h")), "SELECT page_id, array_to_string(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), '|') AS h FROM pages")
@@ -623,8 +623,8 @@ def a15(spark, d):
     return files.reassign(rows, spark.createDataFrame([("https:", "s")], "path string, project_id string")).select("page_id", "project_id")
 
 
-simple("a16_patch", "documents", lambda t: t.select("doc_id", F.when(F.col("source") == "src2", "archived").otherwise(F.col("lang")).alias("lang")), "SELECT doc_id, CASE WHEN source = 'src2' THEN 'archived' ELSE lang END AS lang FROM documents")
-simple("a17_dirty", "documents", lambda t: t.select("doc_id", (F.col("source") == "src4").alias("dirty")), "SELECT doc_id, source = 'src4' AS dirty FROM documents")
+simple("a16_patch", "documents", lambda t: I.patch(t, F.col("source") == "src2", {"lang": F.lit("archived")}).select("doc_id", "lang"), "SELECT doc_id, CASE WHEN source = 'src2' THEN 'archived' ELSE lang END AS lang FROM documents")
+simple("a17_dirty", "documents", lambda t: I.mark_dirty(t, F.col("source") == "src4").select("doc_id", "dirty"), "SELECT doc_id, source = 'src4' AS dirty FROM documents")
 
 # --- incremental maintenance, state, history ------------------------------------------------------------------------
 
@@ -677,7 +677,7 @@ def i7(spark, d):
 @query("i8_stale_chunks", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 <> 1")
 def i8(spark, d):
     changed = table(spark, d, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(changed, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return I.stale_chunks(table(spark, d, "lineitem"), changed, "l_orderkey").select("l_orderkey", "l_linenumber")
 
 
 simple("i9_dirty_count", "embeddings", lambda t: A.coverage(t, F.col("label") == 0), "SELECT count(*) AS total, count(*) FILTER (label = 0) AS covered, count(*) FILTER (label <> 0) AS missing FROM embeddings")
@@ -708,15 +708,16 @@ def i12(spark, d):
 simple("i13_retry", "orders", lambda t: I.retry_errors(_states(t)).select("id", "state"), f"SELECT id, CASE WHEN state = 'error' AND retries < 3 THEN 'pending' ELSE state END AS state FROM {_ST}")
 simple("i14_stuck", "events", lambda t: I.reset_stuck(t.select("event_id", F.when(F.col("event_type") == "view", "in_progress").otherwise("ready").alias("state"), F.col("ts").alias("changed_at")), F.lit("2024-01-15").cast("timestamp")).select("event_id", "state"), "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-14 23:55:00' THEN 'pending' WHEN event_type = 'view' THEN 'in_progress' ELSE 'ready' END AS state FROM events")
 simple("i15_list_states", "orders", lambda t: R.page(_states(t).where("state = 'error'").select("id", "changed_at"), [F.col("changed_at"), F.col("id")], 20, 5), "SELECT o_orderkey AS id, o_orderdate AS changed_at FROM orders WHERE o_orderstatus NOT IN ('O', 'F') ORDER BY 2, 1 LIMIT 20 OFFSET 5")
-simple("i16_initialise", "orders", lambda t: t.select("o_orderkey", F.coalesce(F.when(F.col("o_orderpriority").rlike("^[12]"), "skip"), F.lit("discovered")).alias("state")), "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'skip' ELSE 'discovered' END AS state FROM orders")
-simple("i18_drop_vectors", "embeddings", lambda t: t.withColumn("embedding", F.when(F.col("label") != 1, F.col("embedding"))).groupBy("label").agg(F.count("embedding").alias("left")), "SELECT label, count(*) FILTER (label <> 1) AS left FROM embeddings GROUP BY 1")
+simple("i16_initialise", "orders", lambda t: I.initialise_states(t, "o_orderpriority", "^[12]").select("o_orderkey", "state"), "SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'skip' ELSE 'discovered' END AS state FROM orders")
+simple("i18_drop_vectors", "embeddings", lambda t: I.drop_vectors(t, F.col("label") == 1).groupBy("label").agg(F.count("embedding").alias("left")), "SELECT label, count(*) FILTER (label <> 1) AS left FROM embeddings GROUP BY 1")
 
 
 @query("i19_needs_summary", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE length(text) > 1000 AND (quality IS NULL OR quality = 0)")
 def i19(spark, d):
     h = T.content_hash(F.col("text"))
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("stored", F.when(F.col("quality") == 1, h).when(F.col("quality") == 0, "stale"))
-    return j.where((F.length("text") > 1000) & (F.col("stored").isNull() | (F.col("stored") != h))).select("doc_id")
+    docs = table(spark, d, "documents")
+    stored = docs.join(table(spark, d, "labels"), "doc_id").select("doc_id", F.when(F.col("quality") == 1, h).when(F.col("quality") == 0, "stale").alias("hash"))
+    return I.needs_summary(docs, stored, "text", 1000, "doc_id").select("doc_id")
 
 
 @query(
@@ -768,7 +769,7 @@ simple("e7_merge_tags", "part", lambda t: E.merge_tags(t.groupBy(F.col("p_type")
 
 @query("e8_tag_upsert", "SELECT source AS tag, count(*) AS usage FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def e8(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id").groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("usage"))
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id").transform(lambda t: E.tag_usage(t.select(F.col("source").alias("tag"))))
 
 
 simple("e10_preview", "documents", lambda t: R.page(t.where("source = 'src5'").select("doc_id", F.substring("text", 1, 150).alias("preview")), [F.col("doc_id")], 20), "SELECT doc_id, substr(text, 1, 150) AS preview FROM documents WHERE source = 'src5' ORDER BY 1 LIMIT 20")
@@ -784,7 +785,7 @@ simple("v5_effective_size", "conversations", lambda t: t.select("conv_id", "turn
 simple("v6_summary_window", "conversations", lambda t: V.summary_window(t, F.lit(0), 500), "WITH m AS (SELECT conv_id, turn, length(text) AS l, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM conversations WHERE turn > 0) SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, CAST(max(run) AS BIGINT) AS chars FROM m WHERE run - l < 500 GROUP BY 1 HAVING max(run) >= 500")
 simple("v8_recent_queries", "conversations", lambda t: R.budget_suffix(t.where("role = 'user'"), ["conv_id"], [F.desc("turn")], F.length("text"), 300).select("conv_id", "turn"), "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations WHERE role = 'user') WHERE used <= 300")
 simple("v10_recall", "conversations", lambda t: V.recall(t.select("conv_id", "turn", (F.col("turn") % 3).cast("int").alias("level"), F.lit(0.9).alias("score"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(turn as int))").alias("at")), F.lit("2024-02-01").cast("timestamp"), {0: 1.0, 1: 1.1, 2: 1.2}, 7.0, 0.5).select("conv_id", "turn", r6(F.col("score")).alias("score")), "SELECT conv_id, turn, round(0.9 * (1.0 + 0.1 * (turn % 3)) * (0.5 + 0.5 * exp(-(31 - turn) / 7.0)), 6) AS score FROM conversations")
-simple("v12_budget_report", "conversations", lambda t: t.groupBy("role").agg(F.sum(F.length("text")).alias("chars")).withColumn("percent", r6(100 * F.col("chars") / 100000)), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS chars, round(100 * sum(length(text)) / 100000, 6) AS percent FROM conversations GROUP BY 1")
+simple("v12_budget_report", "conversations", lambda t: V.budget_report(t, "role", 100_000).withColumn("percent", r6(F.col("percent"))), "SELECT role, CAST(sum(length(text)) AS BIGINT) AS chars, round(100 * sum(length(text)) / 100000, 6) AS percent FROM conversations GROUP BY 1")
 simple("v15_recent", "conversations", lambda t: V.recent(t, 600, 2).select("conv_id", "turn"), "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER w AS used, sum(CASE role WHEN 'user' THEN 1 ELSE 0 END) OVER w AS users FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE used <= 600 AND users <= 2")
 simple("v17_sessions", "conversations", lambda t: R.page(t.where("conv_id = 2").select("turn", "role"), [F.desc("turn")], 5), "SELECT turn, role FROM conversations WHERE conv_id = 2 ORDER BY turn DESC LIMIT 5")
 
