@@ -178,13 +178,15 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                     continue
                 place = runs(n)[ok] + np.asarray(part.column(2))[which[ok]]
                 key = gram_hash(own, window)[ok]
-                which = pa.array(which[ok])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), part.column(0).take(which), part.column(1).take(which), pa.array(place.astype(np.int32))], ["key", "doc_id", "tag", "place"])
+                # a window that one stretch holds often, as periodic text does, is one row
+                one, more = _grouped(mix(key ^ mix(which[ok].astype(U64))), place.astype(np.int32))
+                which = pa.array(which[ok][one])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[one])), part.column(0).take(which), part.column(1).take(which), pa.array(place[one].astype(np.int32)), more], ["key", "doc_id", "tag", "place", "more"])
 
-    windows = shared_keys(found.mapInArrow(windows_of, "key long, doc_id long, tag long, place int"), with_first=True)
+    windows = shared_keys(found.mapInArrow(windows_of, "key long, doc_id long, tag long, place int, more array<int>"), with_first=True)
 
     # lists of a text's own windows, by the document that has them first
-    routed = windows.groupBy("doc_id", "tag", "first").agg(F.collect_list("place").alias("places"))
+    routed = windows.groupBy("doc_id", "tag", "first").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places"))
     per_doc = routed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "places")).alias("owners"))
     pieces_in = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "words")).alias("stretches")).join(per_doc, ["doc_id", "tag"])
 
@@ -240,6 +242,18 @@ def _join_spans(done, s):
     return F.when((F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
 
+def _grouped(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A place of each distinct key, and the values at its other places; null where there are none."""
+    order = np.argsort(key)
+    head = np.append(True, np.diff(key[order]) != 0)
+    if head.all():
+        return np.arange(len(key)), pa.nulls(len(key), pa.list_(pa.int32()))
+    n = np.diff(np.append(np.flatnonzero(head), len(key))) - 1
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    offsets = pa.array(ends, mask=np.append(n == 0, False))
+    return order[head], pa.ListArray.from_arrays(offsets, pa.array(values[order[~head]]))
+
+
 def _tagged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
 
