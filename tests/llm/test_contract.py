@@ -162,3 +162,41 @@ def test_pipeline_empty(spark, rows, tmp_path):
     assert corpus_pipeline.run(spark, to).count() == 0
     for f in queries.QUERIES.values():
         assert f(spark, to).count() == 0
+
+
+def test_overlaps_by_priority(spark):
+    """Of A, B, C in order the last outranks both and overlaps both; D overlaps C only and E nothing."""
+    from tessera.llm import license_scan
+
+    spans = {"A": (0, 6, 50), "B": (2, 8, 50), "C": (5, 12, 90), "D": (11, 14, 60), "E": (13, 16, 40)}
+    hits = [(k, p, False, i, [(a + 1, 1), (b - a, b - a)]) for i, (k, (a, b, p)) in enumerate(spans.items())]
+    df = spark.createDataFrame([("t", hits)], "key string, hits array<struct<label:string,priority:int,base:boolean,rule:int,parts:array<struct<gap:int,n:int>>>>")
+    assert {(r.label, r.start, r.end) for r in license_scan.resolved(df).collect()} == {("C", 5, 12), ("E", 13, 16)}
+
+
+def test_long_items(spark):
+    """An item of many words counts as a whole, not by a part of it."""
+    from tessera.llm import decontamination
+
+    for n in (203, 205, 1200):
+        item = [f"w{i}" for i in range(n)]
+        edited = [w if i % 8 else "x" for i, w in enumerate(item)]
+        rows = [(1, "other text " + " ".join(item[-5:])), (2, " ".join(item[:50])), (3, "a b " + " ".join(item) + " c"), (4, " ".join(edited))]
+        got = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(3, 7), (4, 7)} == brute.leaks(rows, [(7, " ".join(item))], 0.6)
+
+
+def test_repeated_training_rows(spark):
+    """Rows of one id, copies and other texts alike, leave room for the other documents."""
+    from tessera.llm import toxicity
+
+    rng = random.Random(4)
+    clean = [(i, " ".join(rng.choice(["sun", "low", "tree", "river", "stone", "cloud"]) for _ in range(12))) for i in range(40)]
+    toxic = [(100 + i, f"tree {i} cloud. you vile fool {i}! stone {i}") for i in range(40)]
+    many = [(0, clean[0][1])] * 500 + [(0, f"sun tree {i} low sun") for i in range(30)]
+    docs = spark.createDataFrame(clean + toxic + many, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in clean + toxic], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample=60)
+    ask = spark.createDataFrame([(1, "a calm river. you vile fool!"), (2, "a calm river and a tree")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score(ask, model).collect()}
+    assert score[1] > 0.7 > 0.3 > score[2]
