@@ -96,14 +96,17 @@ def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("length"))
 
 
-def hybrid(vector_hits: DataFrame, text_hits: DataFrame, limit: int, boost: float = 0.3, extra: int = 5, extra_top: float = 0.4, extra_step: float = 0.05, least: float | None = None) -> DataFrame:
+def hybrid(vector_hits: DataFrame, text_hits: DataFrame, limit: int | None, boost: float = 0.3, extra: int = 5, extra_top: float = 0.4, extra_step: float = 0.05, least: float | None = None) -> DataFrame:
     """Vector hits boosted by 1 + boost / sqrt(full-text rank); the first ``extra`` text-only hits follow at 0.4, 0.35, ...
 
-    A minimum score cuts at the end, appended hits too."""
+    A minimum score cuts at the end, appended hits too. Without a limit all hits are returned, in no order."""
     ranked = text_hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "rank")  # a result list
     both = vector_hits.join(ranked, "id", "left").select("id", (F.col("score") * F.when(F.col("rank").isNull(), 1.0).otherwise(1 + boost / F.sqrt("rank"))).alias("score"))
     only = ranked.join(vector_hits.select("id"), "id", "left_anti").withColumn("i", F.row_number().over(Window.orderBy("rank"))).where(F.col("i") <= extra)
-    return top_k(both.unionByName(only.select("id", (extra_top - extra_step * (F.col("i") - 1)).alias("score"))), limit, least=least)
+    every = both.unionByName(only.select("id", (extra_top - extra_step * (F.col("i") - 1)).alias("score")))
+    if limit is None:
+        return every if least is None else every.where(F.col("score") >= least)
+    return top_k(every, limit, least=least)
 
 
 def keyword_boost(hits: DataFrame, fields: list[str], keywords: list[str], weight: float = 0.15, least: float = 0.6) -> DataFrame:
@@ -142,7 +145,7 @@ def search(vector_hits: DataFrame | None, text_hits: DataFrame | None, rows: Dat
     """The front door: hits of one kind, or of both as ``hybrid`` ranks them, with the fields of rows (id, ...). Filters, a glob over the
     path and the minimum score hold before the page is cut; total is how many hits passed them."""
     if vector_hits is not None and text_hits is not None:
-        hits = hybrid(vector_hits, text_hits, limit=1 << 30)
+        hits = hybrid(vector_hits, text_hits, None)
     else:
         hits = (vector_hits if vector_hits is not None else text_hits).select("id", "score")
     passed = hits.join(rows, "id")

@@ -174,3 +174,12 @@ def test_text_search_is_fulltext(spark):
     one = {r.id: round(r.score, 9) for r in S.text_search(docs, "red FOX", 9).collect()}
     two = {r.id: round(r.score, 9) for r in S.fulltext_search(S.postings(docs), S.lengths(docs.where("text is not null")), "red FOX", 9).collect()}
     assert set(one) == {1, 2} == set(two)
+
+
+def test_search_modes(spark):
+    v = spark.createDataFrame([(1, 0.9), (2, 0.5)], "id int, score double")
+    t = spark.createDataFrame([(2, 3.0), (3, 2.0)], "id int, score double")
+    rows = spark.createDataFrame([(1, "a/x.ts"), (2, "a/y.ts"), (3, "b/z.ts")], "id int, path string")
+    assert [(r.id, r.total) for r in S.search(v, t, rows, 9).collect()] == [(1, 3), (2, 3), (3, 3)]
+    assert [(r.id, r.total) for r in S.search(v, t, rows, 1, 1, glob="a/*").collect()] == [(2, 2)]
+    assert [r.id for r in S.search(None, t, rows, 9, least=2.5).collect()] == [2] and [r.id for r in S.search(v, None, rows, 9).collect()] == [1, 2]
