@@ -128,10 +128,10 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     taken = parts[0].unionByName(parts[1]).select("label", "signature", "t.bucket", "t.sentence")
 
     def fitted(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        got = got.sort_by([("label", "ascending"), ("signature", "ascending")]).combine_chunks()
+        got = pa.Table.from_batches(held).sort_by([("label", "ascending"), ("signature", "ascending")]).combine_chunks()
         y = got["label"].to_numpy()
         if not 0 < y.sum() < len(y):
             return
