@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import U64, Words, gram_hash, lists, map_texts, mix, runs, signed, span_hash, written
@@ -265,7 +265,9 @@ def jaccard_components(df: DataFrame, n: int = 3, percent: int = 90, doc_id: str
     done = tried.select("a", "b", F.lit(2).cast("long").alias("n"))
     split = ends.join(done, ["a", "b", "n"], "left_anti").select("family")
     open_ = written(state.join(split, "family", "left_semi"))
-    near = written(_near(open_.where(F.col("n") <= SMALL).join(light, "doc_id"), percent))
+    # pairs by coarse vectors first, as these go with every member of every bucket; the few that are left by the whole ones
+    coarse = light.select("doc_id", "size", _coarse(F.col("vec")).alias("vec"))
+    near = _bounded(written(_near(open_.where(F.col("n") <= SMALL).join(coarse, "doc_id"), percent)), light, percent)
     large = open_.where(F.col("n") > SMALL).drop("n")
     more = written(_verify(rows, near, n, percent).unionByName(rtree_links(large, light, rows, n, percent)))
     # what is left to join are parts: by links found between their members, and by documents of one id with several texts
@@ -304,6 +306,11 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "family").where(fit & (_overlap("vx", "vy") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)).select("a", "b").distinct()
 
 
+def _coarse(vec: Column) -> Column:
+    """A count vector of a quarter of the coordinates, each the sum of four: what it bounds an overlap by is never less."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMS - 4), F.lit(4)), lambda i: sum((F.get(vec, i + k) for k in range(1, 4)), F.get(vec, i)))
+
+
 def _overlap(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
 
