@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, license_scan, lm_scoring, ngram_join, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity
+from tessera.llm import decontamination, html_extraction, license_scan, lm_scoring, ngram_join, prefix_trie, quality_rules, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity, whitening
 from tessera.llm.batches import fold_of
+from tessera.llm.sql import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -71,6 +72,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_quality_rules, op3_license_scan, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_decontamination, op10_sharding, pipeline)
+    for f in (
+        op1_lm_scoring, op2_quality_rules, op3_license_scan, op4_sentencepiece, op5_ngram_join, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_decontamination, op10_sharding, op11_html_extraction,
+        op12_whitening, op13_prefix_trie, pipeline,
+    )
 }
-
-ORACLE_SQL: dict[str, str] = {}

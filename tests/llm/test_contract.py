@@ -160,8 +160,9 @@ def test_pipeline_empty(spark, rows, tmp_path):
 
     to = write(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, to).count() == 0
-    for f in queries.QUERIES.values():
-        assert f(spark, to).count() == 0
+    for name, f in queries.QUERIES.items():
+        if name not in ("op11_html_extraction", "op12_whitening", "op13_prefix_trie"):  # of other tables: test_pages_vectors_trie.py
+            assert f(spark, to).count() == 0
 
 
 def test_overlaps_by_priority(spark):
