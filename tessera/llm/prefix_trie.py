@@ -229,7 +229,8 @@ def prefix_trie(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     root = seqs.groupBy().agg(F.min("s").alias("k"), F.sum("w").alias("n_convs"), F.sum("n_turns").alias("turns"), F.count("*").alias("n_seqs"), F.max(F.when(F.col("n_turns") == 0, F.col("s"))).alias("end_s"))
     level = root.where("n_seqs > 0").select("k", F.lit(None).cast("long").alias("up"), "n_convs", F.lit(0).cast("long").alias("nb"), "end_s", over.alias("over"), long.alias("long"))
     level = written(level)
-    inside = seqs.crossJoin(F.broadcast(level.select("k", "over", "long")))  # with the one row of the root
+    top = level.first() or {"k": None, "over": False, "long": False}  # one row
+    inside = seqs.select("*", F.lit(top["k"]).cast("long").alias("k"), F.lit(top["over"]).alias("over"), F.lit(top["long"]).alias("long"))
     levels, placed = [level], [inside.where("not over").withColumn("d", F.lit(0).cast("long"))]
     while not levels[-1].where("over").isEmpty():
         d = len(levels) - 1
