@@ -49,9 +49,14 @@ def merge_filtered(rows: DataFrame, hits: DataFrame, keep: float = 0.3) -> DataF
     return rows.join(h, "id", "left").select("id", F.coalesce("hit", F.col("score") * keep).alias("score"))
 
 
+def words_of(text: str | Column) -> Column:
+    """Words of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(term, id, tf, length): words of letters and digits in lower case. Written once, it serves any number of searches."""
-    words = docs.select(F.col(key).alias("id"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
+    words = docs.select(F.col(key).alias("id"), words_of(text).alias("w"))
     return words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
@@ -63,13 +68,17 @@ def fulltext_search(index: DataFrame, docs: DataFrame, query: str, k: int, edits
     if not terms:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     near = reduce(lambda x, y: x | y, (F.levenshtein("term", F.lit(t), edits) >= 0 for t in terms)) if edits else F.col("term").isin(*terms)
+    return top_k(bm25(index.where(near), docs, k1, b), k, least=least)
+
+
+def bm25(hit: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of postings (term, id, tf, length) of the terms of a query, among docs (length)."""
     stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    hit = index.where(near)
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     j = hit.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return top_k(j.groupBy("id").agg(F.sum(part).alias("score")), k, least=least)
+    return j.groupBy("id").agg(F.sum(part).alias("score"))
 
 
 def text_search(docs: DataFrame, query: str, k: int, least: float | None = None, key: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -93,7 +102,7 @@ def text_search(docs: DataFrame, query: str, k: int, least: float | None = None,
 
 
 def lengths(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(key).alias("id"), F.size(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("length"))
+    return docs.select(F.col(key).alias("id"), F.size(words_of(text)).alias("length"))
 
 
 def hybrid(vector_hits: DataFrame, text_hits: DataFrame, limit: int | None, boost: float = 0.3, extra: int = 5, extra_top: float = 0.4, extra_step: float = 0.05, least: float | None = None) -> DataFrame:
