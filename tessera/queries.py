@@ -733,7 +733,7 @@ def c1(spark, d):
 
 
 simple("c2_history", "events", lambda t: I.history(t, F.col("user_id") == 1, [F.desc("ts"), F.col("event_id")], 30).select("event_id"), "SELECT event_id FROM events WHERE user_id = 1 ORDER BY ts DESC, event_id LIMIT 30")
-simple("c3_recent", "events", lambda t: I.history(t, F.col("event_type").isin("error", "signup"), [F.desc("ts"), F.col("event_id")], 500).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') ORDER BY ts DESC, event_id LIMIT 50")
+simple("c3_recent", "events", lambda t: I.history(t, F.col("event_type").isin("error", "signup"), [F.desc("ts"), F.col("event_id")], 500).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') ORDER BY ts DESC, event_id LIMIT 500")
 simple("c4_statistics", "events", lambda t: A.histogram(_changes(t), "change_type"), f"SELECT change_type, count(*) AS n FROM {_CH} GROUP BY 1")
 simple("c5_range", "events", lambda t: t.where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-06").cast("timestamp"))).select("event_id"), "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'")
 simple("c6_user_history", "events", lambda t: I.history(t, F.col("value") > 50, [F.desc("ts"), F.col("event_id")], 50).select("event_id"), "SELECT event_id FROM events WHERE value > 50 ORDER BY ts DESC, event_id LIMIT 50")
@@ -796,7 +796,7 @@ def _feed(t: DataFrame) -> DataFrame:
     return _changes(t).select(F.col("user_id").cast("string").alias("key"), "change_type", "ts")
 
 
-simple("r1_coalesce", "events", lambda t: feed.coalesce_changes(_feed(t), seconds=86400), f"SELECT date_trunc('day', ts) AS window_start, CAST(user_id AS VARCHAR) AS key, CASE WHEN count(*) FILTER (change_type = 'deleted') > 0 THEN 'deleted' WHEN count(*) FILTER (change_type = 'updated') > 0 THEN 'updated' ELSE 'created' END AS change_type, coalesce(max(ts) FILTER (change_type = 'deleted'), max(ts) FILTER (change_type = 'updated'), max(ts) FILTER (change_type = 'created')) AS ts FROM {_CH} GROUP BY 1, 2")
+simple("r1_coalesce", "events", lambda t: feed.coalesce_changes(_feed(t), seconds=86400), f"SELECT date_trunc('day', ts) AS window_start, CAST(user_id AS VARCHAR) AS key, CASE WHEN count(*) FILTER (change_type = 'deleted') > 0 THEN 'deleted' WHEN count(*) FILTER (change_type = 'updated') > 0 THEN 'updated' ELSE 'created' END AS change_type, coalesce(max(ts) FILTER (change_type = 'deleted'), max(ts) FILTER (change_type = 'updated'), min(ts) FILTER (change_type = 'created')) AS ts FROM {_CH} GROUP BY 1, 2")
 ORACLE_SQL["r1_coalesce"] = ORACLE_SQL["r1_coalesce"].replace("date_trunc('day', ts)", "CAST(date_trunc('day', ts) AS TIMESTAMP)")
 simple("r2_by_project", "events", lambda t: feed.by_project(t.withColumn("project_id", F.when(F.col("user_id") % 4 > 0, (F.col("user_id") % 4).cast("string")))), "SELECT coalesce(CASE WHEN user_id % 4 > 0 THEN CAST(user_id % 4 AS VARCHAR) END, '_orphan') AS project, count(*) AS n FROM events GROUP BY 1")
 simple("r4_retention", "events", lambda t: feed.retained(feed.touched(_feed(t)), F.lit("2024-01-30").cast("timestamp"), 3).select("key"), "SELECT CAST(user_id AS VARCHAR) AS key FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-27'")

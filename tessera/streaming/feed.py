@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def coalesce_changes(feed: DataFrame, key: str = "key", ts: str = "ts", seconds: int = 1, delay: str = "10 seconds") -> DataFrame:
     """(window_start, key, change_type, ts): one change a key and interval of a feed (key, change_type, ts).
 
-    A delete wins; else an update beats a create; within its kind the last record counts. The rule doesn't depend on order."""
+    A delete wins, the last one; else an update, the last one; else it is the first create. The rule doesn't depend on order.
+    ``keyed.coalesce_stream`` ends batches by their size, too."""
     feed = feed.withWatermark(ts, delay) if feed.isStreaming else feed
     t = F.col("change_type")
-    g = feed.groupBy(F.window(ts, f"{seconds} seconds").alias("w"), key).agg(*(F.max(F.when(t == k, F.col(ts))).alias(k) for k in ("deleted", "updated", "created")))
+    g = feed.groupBy(F.window(ts, f"{seconds} seconds").alias("w"), key).agg(*(f(F.when(t == k, F.col(ts))).alias(k) for k, f in (("deleted", F.max), ("updated", F.max), ("created", F.min))))
     kind = F.when(F.col("deleted").isNotNull(), "deleted").when(F.col("updated").isNotNull(), "updated").otherwise("created")
     return g.select(F.col("w.start").alias("window_start"), key, kind.alias("change_type"), F.coalesce("deleted", "updated", "created").alias("ts"))
 
@@ -43,7 +44,7 @@ def apply_batches(feed: DataFrame, apply: Callable[[DataFrame, int], None], chec
 
 def due(feed: DataFrame, now, minutes: int = 5, most: int = 3, key: str = "key", ts: str = "ts") -> DataFrame:
     """(key, state, retries) of those that go back to pending: in progress for longer than ``minutes``, or failed fewer than ``most``
-    times, by the last state of each key in a feed (key, state, ts). On a stream, in update mode, ``now`` is current_timestamp()."""
+    times, by the last state of each key in a feed (key, state, ts). ``keyed.due_stream`` is the form for streams, with timers."""
     last = feed.groupBy(key).agg(F.max_by("state", ts).alias("state"), F.max(ts).alias("at"), F.count_if(F.col("state") == "error").alias("retries"))
     stuck = (F.col("state") == "in_progress") & (F.col("at") < now - F.expr(f"interval {minutes} minutes"))
     return last.where(stuck | ((F.col("state") == "error") & (F.col("retries") < most))).select(key, "state", "retries")

@@ -38,20 +38,6 @@ def test_turns(spark):
     assert V.turns(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
 
 
-def test_coalesce_equals_sequential_rule(spark):
-    rng, start = random.Random(3), datetime(2024, 1, 1)
-    rows = [(f"k{rng.randrange(40)}", rng.choice(["created", "updated", "deleted"]), start + timedelta(milliseconds=i)) for i in range(600)]
-    state = {}
-    for k, c, t in rows:
-        old = state.get(k)
-        rank = {"deleted": 2, "updated": 1, "created": 0}
-        if old is None or rank[c] >= rank[old[0]]:
-            state[k] = (c, t)
-    rng.shuffle(rows)
-    got = feed.coalesce_changes(spark.createDataFrame(rows, "key string, change_type string, ts timestamp"), seconds=3600).collect()
-    assert {r.key: (r.change_type, r.ts) for r in got} == state
-
-
 def test_stream_equals_batch(spark):
     rows = [(f"k{i % 5}", "updated" if i % 3 else "created", datetime(2024, 1, 1) + timedelta(seconds=i)) for i in range(60)]
     src, out, mark = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
