@@ -85,13 +85,19 @@ def fixed_chunks(text: Column, size: int = 2000, overlap: int = 200) -> Column:
     per_step = F.transform(F.sequence(F.lit(0), n - 1), lambda i: breaks(F.substring(text, i * step + 1, F.lit(step))))
     before = F.aggregate(per_step, F.array(F.lit(0)), lambda got, x: F.concat(got, F.array(F.element_at(got, -1) + x)))
 
-    def one(i):
+    def one(i, known):
         start = i * step
         body = F.substring(text, start + 1, F.lit(size))
-        line = F.get(before, i) + 1
-        return F.struct(i.alias("index"), body.alias("text"), start.alias("start_char"), (start + F.length(body)).alias("end_char"), line.alias("start_line"), (line + breaks(body)).alias("end_line"))
-
-    return F.transform(F.sequence(F.lit(0), n - 1), one)
+        line = F.get(known["before"], i) + 1
+        shared = breaks(F.substring(text, start + step + 1, F.lit(overlap))) if overlap else F.lit(0)
+        return F.struct(
+            i.alias("index"), body.alias("text"), start.alias("start_char"), F.least(start + size, known["length"]).alias("end_char"), line.alias("start_line"),
+            (F.get(known["before"], i + 1) + 1 + shared).alias("end_line"),
+        )
+
+    # what is known of the whole text is the one element of an array, so that it is computed once a text and not once a chunk
+    known = F.array(F.struct(before.alias("before"), F.length(text).alias("length")))
+    return F.get(F.transform(known, lambda k: F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(i, k))), 0)
 
 
 def chunks(text: Column, size: int = 2000, overlap: int = 200, least: int = 100, strategy: str = "fixed") -> Column:

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import incremental as I
 from tessera.operators import search as S
+from tessera.operators.ranking import page
+from tessera.operators.running import ranked
+from tessera.plans import graph
 from tessera.plans.graph import table
 from tessera.plans.stored import new_folder, stored
-from tessera.queries import _HYBRID, _bm25, r6, vec_of, vectors
+from tessera.queries import _CH, _HYBRID, _bm25, _changes, r6, vec_of, vectors
 from tessera.registry import ORACLE_SQL, query
+from tessera.sources import buckets as B
 from tessera.sources import line_index, text_index, vector_index
 
 _built: dict[tuple[str, str, str], str] = {}
@@ -115,3 +120,78 @@ def s17_indexed(spark, d):
 def s18_indexed(spark, d):
     hits = line_index.indexed_fuzzy_grep(spark, line_root(spark, d), text_root(spark, d), ["thing", "pour"], 0.8)
     return hits.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"))
+
+
+# --- merges into stored snapshots -----------------------------------------------------------------------------------
+
+
+@query(
+    "a8_bucket_merge",
+    "SELECT o_orderkey AS id, CASE WHEN o_custkey = 7 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_custkey = 7 THEN 0.0 ELSE o_totalprice END AS price FROM orders WHERE o_custkey <> 4 UNION ALL SELECT o_orderkey + 100000000, 'N', o_totalprice FROM orders WHERE o_custkey = 10",
+)
+def a8_buckets(spark, d):
+    """Orders in buckets by key, then a batch for three customers: changed, deleted and new rows; only buckets that hold one are rewritten."""
+    orders = table(spark, d, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(False).alias("gone"))
+    mine = orders.where("o_custkey in (4, 7, 10)").select(
+        F.when(F.col("o_custkey") == 10, F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey")).alias("id"), F.when(F.col("o_custkey") == 10, "N").otherwise("X").alias("status"),
+        F.when(F.col("o_custkey") == 10, F.col("o_totalprice")).otherwise(0.0).alias("price"), (F.col("o_custkey") == 4).alias("gone"),
+    )
+
+    def make(root):
+        B.create(rows, root, ["id"], 64)
+        B.merge(spark, root, stored(mine), lambda old, new: I.upsert(old, new, ["id"]).where("not gone"), batch=1)
+
+    return B.Bucketed(spark, built(spark, d, "orders_merged", make)).read().select("id", "status", "price")
+
+
+@query("a9_bucket_edges", "SELECT DISTINCT 'orders:' || l_orderkey AS src, 'part:' || l_partkey AS dst FROM lineitem WHERE l_partkey % 3 <> 0 OR l_orderkey % 5 = 0")
+def a9_buckets(spark, d):
+    """Edges in buckets by source; a batch of edges of some sources is laid over them, each triple once."""
+    edges = graph.edges(spark, d, ["CONTAINS"])
+    part, order = F.substring_index("dst", ":", -1).cast("long"), F.substring_index("src", ":", -1).cast("long")
+
+    def make(root):
+        B.create(edges.where(part % 3 != 0), root, ["src"], 64)
+        new = edges.where((part % 3 == 0) & (order % 5 == 0))
+        B.merge(spark, root, stored(new.unionByName(new)), lambda old, more: old.unionByName(more).distinct(), batch=1)
+
+    return B.Bucketed(spark, built(spark, d, "edges_merged", make)).read().select("src", "dst")
+
+
+# --- ranks over all rows, and the forms of change history for users --------------------------------------------------
+
+
+@query("w3_global_ranks", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
+def w3_global(spark, d):
+    return ranked(table(spark, d, "documents").select("doc_id", "n_chars"), [], [F.desc("n_chars"), F.col("doc_id").asc()]).select("doc_id", "rank")
+
+
+def _log(spark, d):
+    return _changes(table(spark, d, "events")).withColumnsRenamed({"event_id": "id", "user_id": "entity"})
+
+
+@query("c6_user_recent", f"SELECT event_id AS id FROM {_CH} WHERE entity_type IN ('u1', 'u2') ORDER BY ts DESC, event_id LIMIT 50")
+def c6_recent(spark, d):
+    return I.user_recent(_log(spark, d), ["u1", "u2"], 500).select("id")
+
+
+@query("c6_user_range", f"SELECT event_id AS id FROM {_CH} WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' AND change_type = 'deleted' ORDER BY ts DESC, event_id LIMIT 30")
+def c6_range(spark, d):
+    at = lambda s: F.lit(s).cast("timestamp")
+    return I.user_range(_log(spark, d), at("2024-01-05"), at("2024-01-09"), "deleted", 30).select("id")
+
+
+@query(
+    "c6_user_statistics",
+    f"""SELECT 'change_type' AS kind, change_type AS name, count(*) AS n, CAST(sum(lines_added) AS BIGINT) AS added, CAST(sum(lines_removed) AS BIGINT) AS removed FROM {_CH} GROUP BY 2 UNION ALL SELECT 'entity_type', entity_type, count(*), CAST(sum(lines_added) AS BIGINT), CAST(sum(lines_removed) AS BIGINT) FROM {_CH} GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'entity', CAST(user_id AS VARCHAR), count(*), CAST(sum(lines_added) AS BIGINT), CAST(sum(lines_removed) AS BIGINT) FROM {_CH} GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""",
+)
+def c6_statistics(spark, d):
+    return I.user_statistics(_log(spark, d)).drop("latest")
+
+
+@query("c4_most_modified", f"SELECT CAST(user_id AS VARCHAR) AS name, count(*) AS n FROM {_CH} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def c4_most(spark, d):
+    counts = _log(spark, d).groupBy(F.col("entity").cast("string").alias("name")).agg(F.count("*").alias("n"))
+    return page(counts, [F.desc("n"), F.col("name")], 20)

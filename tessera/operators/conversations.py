@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import running
+
 
 def turns(messages: DataFrame) -> DataFrame:
     """(conv_id, turn_id, question, answer, n_messages) of messages (conv_id, turn, role, text).
@@ -59,17 +61,17 @@ def recall(hits: DataFrame, now: Column, boosts: dict[int, float], decay_days: f
 
 def recent(messages: DataFrame, chars: int, most_turns: int) -> DataFrame:
     """The newest messages within both limits, of characters and of user turns; the first overflow ends the list."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    m = messages.withColumns({"used": F.sum(F.length("text")).over(w), "users": F.sum((F.col("role") == "user").cast("int")).over(w)})
+    m = running(messages, ["conv_id"], [F.desc("turn")], {"used": F.length("text").cast("long"), "users": (F.col("role") == "user").cast("long")})
     return m.where((F.col("used") <= chars) & (F.col("users") <= most_turns)).drop("used", "users")
 
 
 def combine(regex_hits: DataFrame, semantic_hits: DataFrame, budget: int) -> DataFrame:
     """Both hit lists (file, start_line, content, score, seq) under one budget in order of arrival, one a (file, start line), best first."""
     both = regex_hits.withColumns({"source": F.lit(0), "score": F.lit(0.8), "confidence": F.lit(0.3)}).unionByName(semantic_hits.withColumns({"source": F.lit(1), "confidence": F.lit(0.5)}))
-    run = F.sum(F.length("content")).over(Window.orderBy("source", "seq").rowsBetween(Window.unboundedPreceding, 0))  # a result list
-    first = F.row_number().over(Window.partitionBy("file", "start_line").orderBy("source", "seq"))
-    return both.withColumn("run", run).where(F.col("run") <= budget).withColumn("r", first).where("r = 1").drop("run", "r").orderBy(F.desc("score"), "file", "start_line")
+    fits = running(both, [], [F.col("source"), F.col("seq")], {"run": F.length("content").cast("long")}).where(F.col("run") <= budget).drop("run")
+    rest = [c for c in fits.columns if c not in ("file", "start_line")]
+    first = fits.groupBy("file", "start_line").agg(F.min_by(F.struct(*rest), F.struct("source", "seq")).alias("r"))
+    return first.select("file", "start_line", "r.*").select(*fits.columns).orderBy(F.desc("score"), "file", "start_line")
 
 
 def tool_mentions(calls: DataFrame) -> DataFrame:

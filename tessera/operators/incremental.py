@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,21 @@ def diff_counts(statuses: DataFrame) -> DataFrame:
     return statuses.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("created", "modified", "unchanged", "deleted")))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows with the new values laid over them; columns and values that new lacks keep the old ones."""
+def last_of_each(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row a key: the greatest by the order columns, then by all others; of equal rows one."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    by = [*(order or []), *(f.name for f in rows.schema if f.name not in key and not f.dataType.simpleString().startswith("map"))]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(by)))).alias("_r"))
+    return best.select(*key, "_r.*").select(*rows.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Old rows with the new values laid over them; columns and values that new lacks keep the old ones.
+
+    Of several new rows of one key the last by ``order`` counts, else the greatest by its other columns in turn."""
+    new = last_of_each(new, key, order)
     rest = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in key]
     o, n = old.select(*key, *(F.col(c).alias(f"_o_{c}") for c in old.columns if c not in key)), new.select(*key, *(F.col(c).alias(f"_n_{c}") for c in new.columns if c not in key))
     pick = lambda c: F.coalesce(*(F.col(p + c) for p, cols in (("_n_", new.columns), ("_o_", old.columns)) if c in cols)).alias(c)
@@ -79,13 +93,31 @@ def schema_fingerprint(label: str, fields: list[str]) -> Column:
 def transition(state: DataFrame, updates: DataFrame, allowed: DataFrame, enforce: bool = True) -> tuple[DataFrame, DataFrame]:
     """State rows (id, state, retries, changed_at, error) after updates (id, to, at, message), and the rejected updates.
 
-    allowed: (from, to). retries grows on error and is 0 on pending."""
-    j = state.join(updates, "id", "left")
-    legal = j.join(F.broadcast(allowed.select(F.col("from").alias("state"), "to", F.lit(True).alias("_ok"))), ["state", "to"], "left")
-    go = F.col("to").isNotNull() & (F.coalesce("_ok", F.lit(False)) if enforce else F.lit(True))
-    retries = F.when(go & (F.col("to") == "error"), F.col("retries") + 1).when(go & (F.col("to") == "pending"), 0).otherwise(F.col("retries"))
-    after = legal.select("id", F.when(go, F.col("to")).otherwise(F.col("state")).alias("state"), retries.alias("retries"), F.when(go, F.col("at")).otherwise(F.col("changed_at")).alias("changed_at"), F.when(go & (F.col("to") == "error"), F.col("message")).alias("error"))
-    return after, legal.where(F.col("to").isNotNull() & ~go).select("id", "state", "to")
+    allowed: (from, to). retries grows on error and is 0 on pending. Several updates of one id are applied one after the other by their time
+    (then by state and message), each to the state that the one before left; an update to null is none."""
+    legal = [(r["from"], r["to"]) for r in allowed.distinct().collect()]  # a few pairs of states
+    ok = lambda a, b: reduce(lambda x, y: x | y, ((a == f) & (b == t) for f, t in legal), F.lit(False)) if enforce else F.lit(True)
+    per_id = updates.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "to", "message"))).alias("_u"))
+    s, at, err = (dict((f.name, f.dataType.simpleString()) for f in state.schema)[c] for c in ("state", "changed_at", "error"))
+    start = F.struct(
+        F.col("state").alias("state"), F.col("retries").cast("long").alias("retries"), F.col("changed_at").alias("changed_at"), F.lit(None).cast(err).alias("error"),
+        F.expr(f"cast(array() as array<struct<state:{s},to:{s}>>)").alias("rejected"),
+    )
+
+    def step(x, u):
+        go = ok(x["state"], u["to"]) & u["to"].isNotNull()
+        retries = F.when(go & (u["to"] == "error"), x["retries"] + 1).when(go & (u["to"] == "pending"), F.lit(0).cast("long")).otherwise(x["retries"])
+        refused = F.when(go | u["to"].isNull(), x["rejected"]).otherwise(F.concat(x["rejected"], F.array(F.struct(x["state"].alias("state"), u["to"].cast(s).alias("to")))))
+        return F.struct(
+            F.when(go, u["to"].cast(s)).otherwise(x["state"]).alias("state"), retries.alias("retries"), F.when(go, u["at"].cast(at)).otherwise(x["changed_at"]).alias("changed_at"),
+            F.when(go & (u["to"] == "error"), u["message"].cast(err)).when(~go, x["error"]).alias("error"), refused.alias("rejected"),
+        )
+
+    none = F.expr("cast(array() as array<struct<at:timestamp,to:string,message:string>>)")
+    j = state.join(per_id, "id", "left").withColumn("_s", F.aggregate(F.coalesce("_u", none), start, step))
+    kind = dict((f.name, f.dataType.simpleString()) for f in state.schema)["retries"]
+    after = j.select("id", "_s.state", F.col("_s.retries").cast(kind).alias("retries"), "_s.changed_at", "_s.error")
+    return after, j.select("id", F.inline("_s.rejected"))
 
 
 def retry_errors(state: DataFrame, most: int = 3) -> DataFrame:
@@ -97,14 +129,20 @@ def reset_stuck(state: DataFrame, now: Column, minutes: int = 5, busy: str = "in
 
 
 def change_records(old: DataFrame, new: DataFrame, key: str, text: str, at: Column) -> DataFrame:
-    """One record a changed row: type, hashes and the lines that a shortest edit adds and removes."""
+    """One record a changed row: type, hashes and the lines that a shortest edit adds and removes. Python sees the lines between the equal
+    ends of rows that both sides have; where one text only gains lines at an end, that is none."""
     o, n = old.select(key, F.col(text).alias("_o")), new.select(key, F.col(text).alias("_n"))
     j = o.join(n, key, "full").where(~F.col("_o").eqNullSafe(F.col("_n")))
-    lines = lambda c: F.coalesce(F.split(c, "\n"), F.expr("cast(array() as array<string>)"))
-    keep = F.when(F.col("_o").isNull() | F.col("_n").isNull(), 0).otherwise(kept_lines(F.col("_o"), F.col("_n")))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
+    # a text that another one begins or ends with, at a line end, is kept whole
+    inside = lambda a, b: F.startswith(F.col(a), F.concat(b, F.lit("\n"))) | F.endswith(F.col(a), F.concat(F.lit("\n"), b))
+    one_sided = F.col("_o").isNull() | F.col("_n").isNull()
+    plain = F.when(one_sided, 0).when(inside("_n", "_o"), count("_o")).when(inside("_o", "_n"), count("_n"))
+    j = j.withColumn("_plain", plain)
+    keep = F.coalesce("_plain", kept_lines(F.when(F.col("_plain").isNull(), F.col("_o")), F.when(F.col("_plain").isNull(), F.col("_n"))))
     kind = F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "deleted").otherwise("updated")
     h = content_hash(F.col("_n"))
-    return j.select(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), at.cast("string"), h), 256), 1, 16).alias("id"), key, kind.alias("change_type"), content_hash(F.col("_o")).alias("old_hash"), h.alias("new_hash"), (F.size(lines(F.col("_n"))) - keep).alias("lines_added"), (F.size(lines(F.col("_o"))) - keep).alias("lines_removed"))
+    return j.select(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), at.cast("string"), h), 256), 1, 16).alias("id"), key, kind.alias("change_type"), content_hash(F.col("_o")).alias("old_hash"), h.alias("new_hash"), (count("_n") - keep).alias("lines_added"), (count("_o") - keep).alias("lines_removed"))
 
 
 @F.pandas_udf(IntegerType())
@@ -133,8 +171,38 @@ def longest_common(a: list[str], b: list[str]) -> int:
     return lo + hi + len(ends)
 
 
-def history(changes: DataFrame, where: Column, order: list[Column], limit: int, cap: int = 50) -> DataFrame:
-    return changes.where(where).orderBy(*order).limit(min(limit, cap))
+def history(changes: DataFrame, where: Column, order: list[Column], limit: int, cap: int | None = None) -> DataFrame:
+    """The first ``limit`` changes in order; forms for users cap what they may ask for."""
+    return changes.where(where).orderBy(*order).limit(limit if cap is None else min(limit, cap))
+
+
+#: What a user may ask for at once.
+USER_CAP = 50
+
+
+def user_history(changes: DataFrame, entity: Column, limit: int = 20) -> DataFrame:
+    """History of one entity (changes with entity, ts, id), newest first, at most ``USER_CAP`` rows."""
+    return history(changes, entity, [F.desc("ts"), F.col("id")], limit, USER_CAP)
+
+
+def user_recent(changes: DataFrame, types: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """Recent changes, of some entity types only if named, newest first, at most ``USER_CAP`` rows."""
+    return history(changes, F.lit(True) if types is None else F.col("entity_type").isin(*types), [F.desc("ts"), F.col("id")], limit, USER_CAP)
+
+
+def user_statistics(changes: DataFrame, limit: int = 10) -> DataFrame:
+    """(kind, name, n, added, removed, latest): counts and lines by change type and entity type, and the most modified entities, at most
+    ``USER_CAP`` of them, with their latest change."""
+    sums = [F.count("*").alias("n"), F.sum("lines_added").alias("added"), F.sum("lines_removed").alias("removed"), F.max("ts").alias("latest")]
+    parts = [changes.groupBy(F.col(c).alias("name")).agg(*sums).select(F.lit(c).alias("kind"), "*") for c in ("change_type", "entity_type")]
+    most = changes.groupBy(F.col("entity").cast("string").alias("name")).agg(*sums).orderBy(F.desc("n"), "name").limit(min(limit, USER_CAP))
+    return parts[0].unionByName(parts[1]).unionByName(most.select(F.lit("entity").alias("kind"), "*"))
+
+
+def user_range(changes: DataFrame, start: Column, end: Column, change_type: str | None = None, limit: int = 20) -> DataFrame:
+    """Changes from start to end, both included, of one type if named, newest first, at most ``USER_CAP`` rows."""
+    inside = F.col("ts").between(start, end)
+    return history(changes, inside if change_type is None else inside & (F.col("change_type") == change_type), [F.desc("ts"), F.col("id")], limit, USER_CAP)
 
 
 #: The way of a document through its states; from any it may fail, and from a failure or the end start again.

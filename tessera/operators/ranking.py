@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.running import ranked, running
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
@@ -19,8 +21,8 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "id", least: f
 
 
 def ranks(df: DataFrame, score: str = "score", key: str = "id", within: list[str] | None = None) -> DataFrame:
-    """1-based rank by score. Over a whole table (no ``within``) the table should be a result list."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*(within or [])).orderBy(F.desc(score), key)))
+    """1-based rank by score, ties by key; groups, and a table without any, may be of any size."""
+    return ranked(df, within or [], [F.desc(score), F.col(key).asc()])
 
 
 def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -30,24 +32,20 @@ def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def budget_suffix(df: DataFrame, by: list[str], newest: list[Column], size: Column, budget: int) -> DataFrame:
-    """The newest rows of each group whose sizes together fit: the first that doesn't fit ends the list."""
-    run = F.sum(size).over(Window.partitionBy(*by).orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", run).where(F.col("used") <= budget)
+    """The newest rows of each group whose sizes together fit: the first that doesn't fit ends the list. A null size counts 0."""
+    return running(df, by, newest, {"used": size.cast("long")}).where(F.col("used") <= budget)
 
 
 def budget_cut(df: DataFrame, by: list[str], best: list[Column], text: str, budget: int, least: int = 100) -> DataFrame:
     """Rows by rank while they fit; the first that doesn't is cut to what remains if that is more than ``least`` characters."""
-    w = Window.partitionBy(*by).orderBy(*best)
-    run = F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    before = run - F.length(text)
-    left = F.lit(budget) - before
-    out = df.withColumns({"used": run, "left": left}).where((F.col("left") > 0) & ((F.col("used") <= budget) | (F.col("left") > least)))
+    left = F.lit(budget) - F.col("used") + F.length(text)
+    out = running(df, by, best, {"used": F.length(text).cast("long")}).withColumn("left", left).where((F.col("left") > 0) & ((F.col("used") <= budget) | (F.col("left") > least)))
     return out.withColumn(text, F.when(F.col("used") <= budget, F.col(text)).otherwise(F.concat(F.substring(F.col(text), F.lit(1), F.col("left").cast("int")), F.lit("...")))).drop("used", "left")
 
 
 def budget_skip(df: DataFrame, by: str, newest: list[str], key: str, size: str, budget: int, gap: int = 100) -> DataFrame:
     """(by, key) of the rows that fit, in order; one that doesn't is skipped if at most ``gap`` remains, else it ends the list."""
-    rows = df.select(*dict.fromkeys([by, *newest, key]), F.col(size).cast("long").alias("_size"))
+    rows = df.select(*dict.fromkeys([by, *newest, key]), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("_size"))
 
     def step(state, n):
         used, over = state or (0, False)
@@ -79,8 +77,8 @@ def _folded(df: DataFrame, by: list[str], order: list[str], value: str, step: Ca
 
 def pack(df: DataFrame, by: list[str], order: list[str], tokens: Column, limit: int, base: int = 500, most: int = 1 << 30) -> DataFrame:
     """(by, order, tokens, pack): consecutive packs of each group's rows: a row that would pass the limit of tokens or of rows opens the
-    next pack. ``base`` tokens are spent on each pack. A group is streamed by one task, whatever its size."""
-    rows = df.select(*by, *order, tokens.cast("long").alias("tokens"))
+    next pack. ``base`` tokens are spent on each pack, and null counts as 0 tokens. A group is streamed by one task, whatever its size."""
+    rows = df.select(*by, *order, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("tokens"))
 
     def step(state, t):
         number, used, n = state or (0, base, 0)
@@ -92,8 +90,7 @@ def pack(df: DataFrame, by: list[str], order: list[str], tokens: Column, limit:
 
 
 def batches(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / n))
+    return ranked(df, by, [F.col(c).asc() for c in order], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / n))
 
 
 def lines_around(lines: DataFrame, hit: Column, before: int, after: int, key: str = "doc_id", line: str = "line") -> DataFrame:

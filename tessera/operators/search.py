@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import edit_similarity
 from tessera.functions.vectors import cosine, vector
 from tessera.operators.predicates import glob_regex
-from tessera.operators.ranking import page, top_k
+from tessera.operators.ranking import page, ranks, top_k
 from tessera.operators.similar import similar
 
 
@@ -109,9 +109,10 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, limit: int | None, boos
     """Vector hits boosted by 1 + boost / sqrt(full-text rank); the first ``extra`` text-only hits follow at 0.4, 0.35, ...
 
     A minimum score cuts at the end, appended hits too. Without a limit all hits are returned, in no order."""
-    ranked = text_hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "rank")  # a result list
-    both = vector_hits.join(ranked, "id", "left").select("id", (F.col("score") * F.when(F.col("rank").isNull(), 1.0).otherwise(1 + boost / F.sqrt("rank"))).alias("score"))
-    only = ranked.join(vector_hits.select("id"), "id", "left_anti").withColumn("i", F.row_number().over(Window.orderBy("rank"))).where(F.col("i") <= extra)
+    # ranks matter for hits of both kinds and the first others: at most all of vector_hits and as many more as are appended
+    place = ranks(text_hits.select("id", "score")).select("id", "rank")
+    both = vector_hits.join(place, "id", "left").select("id", (F.col("score") * F.when(F.col("rank").isNull(), 1.0).otherwise(1 + boost / F.sqrt("rank"))).alias("score"))
+    only = place.join(vector_hits.select("id"), "id", "left_anti").orderBy("rank").limit(extra).withColumn("i", F.row_number().over(Window.orderBy("rank")))  # so many rows
     every = both.unionByName(only.select("id", (extra_top - extra_step * (F.col("i") - 1)).alias("score")))
     if limit is None:
         return every if least is None else every.where(F.col("score") >= least)
@@ -152,7 +153,7 @@ def merge_scores(results: DataFrame, evaluations: DataFrame, strategy: str = "we
 
 def search(vector_hits: DataFrame | None, text_hits: DataFrame | None, rows: DataFrame, limit: int, offset: int = 0, where: Column | None = None, glob: str | None = None, path: str = "path", least: float | None = None) -> DataFrame:
     """The front door: hits of one kind, or of both as ``hybrid`` ranks them, with the fields of rows (id, ...). Filters, a glob over the
-    path and the minimum score hold before the page is cut; total is how many hits passed them."""
+    path and the minimum score hold before the page is cut; total is how many hits passed them. A page past the end is one row without an id."""
     if vector_hits is not None and text_hits is not None:
         hits = hybrid(vector_hits, text_hits, None)
     else:
@@ -161,7 +162,9 @@ def search(vector_hits: DataFrame | None, text_hits: DataFrame | None, rows: Dat
     for test in (where, None if glob is None else F.col(path).rlike(glob_regex(glob, path=True)), None if least is None else F.col("score") >= least):
         passed = passed if test is None else passed.where(test)
     total = passed.agg(F.count("*").alias("total"))
-    return page(passed, [F.desc("score"), F.col("id")], limit, offset).crossJoin(F.broadcast(total))  # one row
+    shown = page(passed, [F.desc("score"), F.col("id")], limit, offset).withColumn("_there", F.lit(1))
+    out = total.withColumn("_there", F.lit(1)).join(shown, "_there", "left")  # the one row of the total with the rows of a page
+    return out.select(*passed.columns, "total")
 
 
 def grep(docs: DataFrame, pattern: str, ignore_case: bool = False, key: str = "doc_id", text: str = "text", glob: str | None = None, path: str = "path", context: int = 0, most: int | None = None) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.stored import stored
+from tessera.sources import buckets
+
 
 def coalesce_changes(feed: DataFrame, key: str = "key", ts: str = "ts", seconds: int = 1, delay: str = "10 seconds") -> DataFrame:
     """(window_start, key, change_type, ts): one change a key and interval of a feed (key, change_type, ts).
@@ -59,3 +62,13 @@ def apply_to_snapshots(root: str, apply: Callable[[DataFrame, DataFrame], DataFr
         apply(old, batch).write.mode("overwrite").parquet(f"{root}/batch={n}")
 
     return run
+
+
+def apply_to_buckets(spark: SparkSession, root: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """As ``apply_to_snapshots`` for a table in buckets (``sources.buckets``) under ``root``: a batch rewrites the buckets that it touches, and one
+    that comes twice changes nothing."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        buckets.merge(spark, root, stored(batch), apply, n)
+
+    return run
