@@ -17,7 +17,7 @@ from tessera.operators import traverse as X
 from tessera.plans import frame, graph
 from tessera.plans.graph import table
 from tessera.registry import query, simple
-from tessera.sources import files
+from tessera.sources import data_files, files
 from tessera.streaming import feed
 
 
@@ -212,7 +212,7 @@ def s20b(spark, d):
 
 @query(
     "a2_data_entries",
-    """SELECT event_id, 'kind' AS key, event_type AS value FROM events UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events""",
+    """SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'r.kind' ELSE 'kind' END AS key, event_type AS value FROM events UNION ALL SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'r.user' ELSE 'user' END, CAST(user_id AS VARCHAR) FROM events""",
 )
 def a2(spark, d):
     k, kind, user = F.col("event_id") % 4, F.col("event_type"), s("user_id")
@@ -223,7 +223,7 @@ def a2(spark, d):
         .otherwise(F.concat(F.lit("kind: "), kind, F.lit("\nuser: "), user))
     )
     ending = F.when(k == 0, ".json").when(k == 1, ".xml").when(k == 2, ".env").otherwise(".yaml")
-    got = files.data_entries(table(spark, d, "events").select(F.concat(s("event_id"), ending).alias("path"), text.alias("content")))
+    got = data_files.data_entries(table(spark, d, "events").select(F.concat(s("event_id"), ending).alias("path"), text.alias("content")))
     return got.select(F.substring_index("path", ".", 1).cast("long").alias("event_id"), "key", "value")
 
 

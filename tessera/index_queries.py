@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.operators import incremental as I
 from tessera.operators import search as S
+from tessera.operators import traverse as X
 from tessera.operators.ranking import page
 from tessera.operators.running import ranked
 from tessera.plans import graph
 from tessera.plans.graph import table
 from tessera.plans.stored import new_folder, stored
-from tessera.queries import _CH, _HYBRID, _bm25, _changes, r6, vec_of, vectors
+from tessera.queries import _CH, _HYBRID, _T8, _bm25, _changes, r6, vec_of, vectors
 from tessera.registry import ORACLE_SQL, query
 from tessera.sources import buckets as B
-from tessera.sources import line_index, text_index, vector_index
+from tessera.sources import data_files, files, line_index, text_index, vector_index
 
 _built: dict[tuple[str, str, str], str] = {}
 
@@ -195,3 +196,61 @@ def c6_statistics(spark, d):
 def c4_most(spark, d):
     counts = _log(spark, d).groupBy(F.col("entity").cast("string").alias("name")).agg(F.count("*").alias("n"))
     return page(counts, [F.desc("n"), F.col("name")], 20)
+
+
+# --- walks of many levels, nested data, a scorer ---------------------------------------------------------------------
+
+_WALK = """WITH RECURSIVE e AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst, 'IN_NATION' AS type FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IN_REGION' FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'SUPPLIER_IN' FROM supplier),
+w AS (SELECT * FROM e UNION ALL SELECT dst, src, type FROM e), r(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT w.dst, depth + 1 FROM r JOIN w ON w.src = r.id WHERE depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1)"""
+
+
+@query("t3_reach", _WALK + " SELECT m.id, m.depth, string_agg(DISTINCT w.type, ',' ORDER BY w.type) AS types FROM m JOIN w ON w.dst = m.id JOIN m p ON p.id = w.src AND p.depth = m.depth - 1 GROUP BY 1, 2")
+def t3_reach(spark, d):
+    """Five levels from one customer over edges walked both ways, which lead in circles."""
+    edges = graph.edges(spark, d, ["IN_NATION", "IN_REGION", "SUPPLIER_IN"])
+    found = X.reach(spark.createDataFrame([("customer:1",)], "id string"), edges, 5, direction="both")
+    return found.select("id", "depth", F.array_join("types", ",").alias("types"))
+
+
+@query(
+    "t8_edges",
+    _T8[: _T8.index("a AS (")].replace("k AS (SELECT id, nxt FROM", "k AS (SELECT id, nxt, type, way FROM")
+    + "f AS (SELECT id FROM s UNION SELECT nxt FROM k JOIN s USING (id)) SELECT DISTINCT CASE way WHEN 'o' THEN id ELSE nxt END AS src, CASE way WHEN 'o' THEN nxt ELSE id END AS dst, type FROM k JOIN f USING (id)",
+)
+def t8_edges(spark, d):
+    hits = table(spark, d, "customer").select(graph.node_id("customer", "c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return X.neighbourhood(hits, graph.edges(spark, d, ["PLACED_BY", "IN_NATION", "CONTAINS"]), depth=2)[1]
+
+
+@query(
+    "a3_nested_sections",
+    """SELECT n_nationkey, path, depth, kind, value FROM nation, LATERAL (VALUES ('name', 1, 'STRING', n_name), ('in', 1, 'OBJECT', NULL), ('in.region', 2, 'OBJECT', NULL), ('in.region.key', 3, 'BIGINT', CAST(n_regionkey AS VARCHAR)), ('tags', 1, 'ARRAY', NULL), ('tags.[0]', 2, 'STRING', 'a'), ('tags.[1]', 2, 'STRING', n_name)) t(path, depth, kind, value)""",
+)
+def a3_nested(spark, d):
+    body = F.to_json(F.struct(F.col("n_name").alias("name"), F.struct(F.struct(F.col("n_regionkey").alias("key")).alias("region")).alias("in"), F.array(F.lit("a"), "n_name").alias("tags")))
+    found = files.json_sections(table(spark, d, "nation").select("n_nationkey", body.alias("body")), "body", ["n_nationkey"])
+    return found.select("n_nationkey", "path", "depth", F.col("type").alias("kind"), F.when(~F.col("type").isin("OBJECT", "ARRAY"), F.col("value")).alias("value"))
+
+
+@query(
+    "a2_nested_entries",
+    """WITH s AS (SELECT s_suppkey AS k, s_name AS n, CAST(s_nationkey AS VARCHAR) AS c FROM supplier) SELECT k, CASE k % 3 WHEN 1 THEN 'r.who.name' ELSE 'who.name' END AS key, n AS value FROM s
+UNION ALL SELECT k, CASE k % 3 WHEN 1 THEN 'r.place.[0]' ELSE 'place.[0]' END, c FROM s UNION ALL SELECT k, CASE k % 3 WHEN 1 THEN 'r.place.[1]' ELSE 'place.[1]' END, 'x' FROM s""",
+)
+def a2_nested(spark, d):
+    """The same nested content as TOML, XML and YAML."""
+    k, n, c = F.col("s_suppkey"), F.col("s_name"), F.col("s_nationkey").cast("string")
+    toml = F.concat(F.lit('place = ["'), c, F.lit('", "x"]\n[who]\nname = "'), n, F.lit('"\n'))
+    xml = F.concat(F.lit("<r><who><name>"), n, F.lit("</name></who><place>"), c, F.lit("</place><place>x</place></r>"))
+    yaml = F.concat(F.lit("# a note\nwho:\n  name: "), n, F.lit('\nplace:\n- "'), c, F.lit('"\n- x\n'))
+    text, end = F.when(k % 3 == 0, toml).when(k % 3 == 1, xml).otherwise(yaml), F.when(k % 3 == 0, ".toml").when(k % 3 == 1, ".xml").otherwise(".yml")
+    found = data_files.data_entries(table(spark, d, "supplier").select(F.concat(k.cast("string"), end).alias("path"), text.alias("content")))
+    return found.select(F.substring_index("path", ".", 1).cast("long").alias("k"), "key", "value")
+
+
+@query("x4_scorer", "SELECT doc_id AS id, CAST(CASE WHEN lang = 'en' THEN round(0.3 * 0.5 + 0.7 * least(n_chars / 1000.0, 1), 6) ELSE 0.5 END AS DOUBLE) AS score FROM documents")
+def x4(spark, d):
+    """A scorer that judges English texts by their length and no others."""
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    judge = lambda p: (p["n_chars"] / 1000).clip(upper=1).where(p["lang"] == "en")
+    return S.evaluated(docs.select("id", F.lit(0.5).alias("score")), docs, ["lang", "n_chars"], judge).withColumn("score", r6(F.col("score")))

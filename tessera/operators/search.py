@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +152,23 @@ def merge_scores(results: DataFrame, evaluations: DataFrame, strategy: str = "we
     return results.join(evaluations, "id").select("id", merged.alias("score"))
 
 
+def evaluated(hits: DataFrame, rows: DataFrame, fields: list[str], scorer: Callable[[pd.DataFrame], pd.Series], strategy: str = "weighted", weights: tuple[float, float] = (0.3, 0.7), batch: int = 1000) -> DataFrame:
+    """Hits (id, score) re-scored by a user's function: it gets frames of id, score and the named fields of rows, of at most ``batch`` hits,
+    and gives a score each. A null score leaves the hit its own; the others are merged as ``merge_scores`` does."""
+    asked = hits.select("id", "score").join(rows.select("id", *fields), "id")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for lo in range(0, len(p), batch):
+                cut = p.iloc[lo : lo + batch].reset_index(drop=True)
+                yield pd.DataFrame({"id": cut["id"], "evaluation": pd.Series(scorer(cut)).astype("float64").to_numpy()})
+
+    kind = hits.schema["id"].dataType.simpleString()
+    given = asked.mapInPandas(run, f"id {kind}, evaluation double").where(F.col("evaluation").isNotNull() & ~F.isnan("evaluation"))
+    new = merge_scores(hits, given, strategy, weights).withColumnRenamed("score", "_new")
+    return hits.join(new, "id", "left").withColumn("score", F.coalesce("_new", "score")).drop("_new")
+
+
 def search(vector_hits: DataFrame | None, text_hits: DataFrame | None, rows: DataFrame, limit: int, offset: int = 0, where: Column | None = None, glob: str | None = None, path: str = "path", least: float | None = None) -> DataFrame:
     """The front door: hits of one kind, or of both as ``hybrid`` ranks them, with the fields of rows (id, ...). Filters, a glob over the
     path and the minimum score hold before the page is cut; total is how many hits passed them. A page past the end is one row without an id."""

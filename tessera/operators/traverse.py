@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import file_kind
+from tessera.plans.stored import stored
 
 
 def directed(edges: DataFrame, direction: str = "out", kind: str | None = None) -> DataFrame:
@@ -35,7 +39,8 @@ def related_to(nodes: DataFrame, edges: DataFrame, kind: str, name: str, directi
 def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, direction: str = "out", target: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(start, id, depth): nodes reached in 1..depth steps, each with its smallest number of steps; target restricts the reached ones.
 
-    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
+    Beyond two levels each one is stored (or kept by ``cut``), and an empty level ends the walk."""
+    cut = cut or (stored if depth > 2 else None)
     walk = directed(edges, direction, kind).select("src", "dst")
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
     seen = None
@@ -44,12 +49,34 @@ def expand(starts: DataFrame, edges: DataFrame, kind: str | None, depth: int, di
         if seen is not None:  # what was reached before is not walked from again
             front = front.join(seen.select("start", F.col("id").alias("at")), ["start", "at"], "left_anti")
         front = cut(front) if cut else front
+        if cut and seen is not None and front.isEmpty():
+            break
         now = front.select("start", F.col("at").alias("id"), F.lit(level).alias("depth"))
         seen = now if seen is None else seen.unionByName(now)
     out = seen.groupBy("start", "id").agg(F.min("depth").alias("depth")).where("start <> id")
     return out.join(target.select("id"), "id", "left_semi") if target is not None else out
 
 
+def reach(starts: DataFrame, edges: DataFrame, depth: int | None = None, kind: str | None = None, direction: str = "out", target: DataFrame | None = None) -> DataFrame:
+    """(start, id, depth, types): nodes reached from each start, with their smallest number of steps and the sorted types of the edges that
+    reach them in so many; without a depth as far as edges lead.
+
+    One stored frontier a level, walked from once: a cycle ends where it meets what was reached, so jobs grow with the depth alone."""
+    walk = directed(edges, direction, kind)
+    front = stored(starts.select(F.col("id").alias("start"), "id").distinct())
+    seen, level = front.withColumns({"depth": F.lit(0), "types": F.expr("cast(array() as array<string>)")}), 0
+    while depth is None or level < depth:
+        level += 1
+        step = front.join(walk.withColumnRenamed("src", "id"), "id").groupBy("start", F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("type")).alias("types"))
+        new = stored(step.join(seen.select("start", "id"), ["start", "id"], "left_anti"))
+        if new.isEmpty():
+            break
+        front = new.select("start", "id")
+        seen = seen.unionByName(new.select("start", "id", F.lit(level).alias("depth"), "types"))
+    out = seen.where("depth > 0")
+    return out.join(target.select("id"), "id", "left_semi").select("start", "id", "depth", "types") if target is not None else out
+
+
 def enrich(df: DataFrame, edges: DataFrame, nodes: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """For each {column: edge type}, the sorted distinct names of neighbours; one aggregate an edge type, so rows don't multiply."""
     for column, kind in kinds.items():
@@ -70,7 +97,8 @@ def hierarchy(start: DataFrame, edges: DataFrame, uses: str, inherits: str, dept
 def neighbourhood(hits: DataFrame, edges: DataFrame, depth: int = 1, seeds: int = 10, per_node: int = 15, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around the best ``seeds`` hits (id, score): per node and direction the first ``per_node`` edges by type and id.
 
-    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
+    Beyond two levels each one is stored (or kept by ``cut``)."""
+    cut = cut or (stored if depth > 2 else None)
     front = hits.orderBy(F.desc("score"), "id").limit(seeds).select("id")
     nodes, kept = front.withColumn("depth", F.lit(0)), None
     for level in range(1, depth + 1):
@@ -95,11 +123,46 @@ def explore(node: str, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back).join(nodes.select("id"), "id", "left_semi").groupBy("type").agg(F.count_distinct("id").alias("n"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
 
 
+#: Lines of a file that one task sweeps at a time.
+BLOCK = 10_000
+
+
 def innermost(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """For points (file, line) the smallest of the ranges (file, id, start_line, end_line) that contain the line."""
-    j = points.join(ranges, "file").where("line between start_line and end_line")
-    rank = F.row_number().over(Window.partitionBy("file", *keys).orderBy(F.col("end_line") - F.col("start_line"), "start_line", "id"))
-    return j.withColumn("r", rank).where("r = 1").drop("r")
+    """For points (file, line, ...) the smallest of the ranges (file, id, start_line, end_line) that contain the line, of equal ones the first
+    by start and id. Points that share ``keys`` within a file are one; nulls are in no range.
+
+    One sweep in order of lines over starts of ranges and points, with the open ranges in a heap: rows grow with ranges plus points, not with
+    their product. A file goes to tasks by blocks of lines; a range is handed to each block that it reaches into."""
+    spans = ranges.where("start_line <= end_line").withColumn("_block", F.explode(F.sequence(F.expr(f"start_line div {BLOCK}"), F.expr(f"end_line div {BLOCK}"))))
+    spans = spans.withColumns({"_at": F.greatest(F.col("start_line").cast("long"), F.col("_block") * BLOCK), "_point": F.lit(False)})
+    asked = points.where("line is not null").dropDuplicates(["file", *keys])
+    asked = asked.withColumns({"_block": F.expr(f"line div {BLOCK}"), "_at": F.col("line").cast("long"), "_point": F.lit(True)})
+    mine, theirs = points.columns, [c for c in ranges.columns if c != "file"]
+    both = asked.unionByName(spans, allowMissingColumns=True).select(*mine, *theirs, "_block", "_at", "_point")
+    schema = both.select(*mine, *theirs).schema
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, count = None, [], itertools.count()
+        for b in batches:
+            rows, found, ids = b.to_pydict(), [], []
+            for i in range(b.num_rows):
+                here = rows["file"][i], rows["_block"][i]
+                if here != place:
+                    place, held = here, []
+                if not rows["_point"][i]:
+                    start, end, name = rows["start_line"][i], rows["end_line"][i], rows["id"][i]
+                    heappush(held, (end - start, start, (name is not None, name), end, next(count), tuple(rows[c][i] for c in theirs)))
+                    continue
+                while held and held[0][3] < rows["line"][i]:
+                    heappop(held)
+                if held:
+                    found.append(i)
+                    ids.append(held[0][5])
+            if found:
+                data = {c: [rows[c][i] for i in found] for c in mine} | {c: [x[k] for x in ids] for k, c in enumerate(theirs)}
+                yield pa.RecordBatch.from_pydict(data, pa.schema([b.schema.field(c) for c in (*mine, *theirs)]))
+
+    return both.repartition("file", "_block").sortWithinPartitions("file", "_block", "_at", "_point").mapInArrow(sweep, schema)
 
 
 def attribute(refs: DataFrame, scopes: DataFrame, key: str = "ref") -> DataFrame:

@@ -57,6 +57,10 @@ class Hits:
     def evaluated(self, evaluations: DataFrame, strategy: str = "weighted") -> Hits:
         return Hits(search.merge_scores(self.df.select("id", "score"), evaluations, strategy))
 
+    def scored(self, rows: DataFrame, fields: list[str], scorer: Callable[[pd.DataFrame], pd.Series], strategy: str = "weighted") -> Hits:
+        """Re-scored by a user's function over batches of hits with fields of rows."""
+        return Hits(search.evaluated(self.df.select("id", "score"), rows, fields, scorer, strategy))
+
     def top(self, k: int, least: float | None = None) -> DataFrame:
         return top_k(self.df, k, least=least)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import headings, hrefs, normalise_url, page_title, plain_text, url_host, url_path
 from tessera.operators.predicates import glob_regex
+from tessera.plans.stored import stored
 
 
 def discover(paths: DataFrame, include: list[str], exclude: list[str] = (), path: str = "path") -> DataFrame:
@@ -59,7 +60,8 @@ def page_links(df: DataFrame, inside: bool = True) -> DataFrame:
 def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | None = None, exclude: str | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(url, depth) reached from a start URL over a link table (src, dst), breadth first; excludes win. ``limit`` is the page cap.
 
-    Each level reads the ones before it; for more than a few, ``cut`` (DataFrame.checkpoint, say) keeps what they gave."""
+    Beyond two levels each one is stored (or kept by ``cut``), and an empty level ends the walk."""
+    cut = cut or (stored if depth > 2 else None)
     ok = links
     if include:
         ok = ok.where(F.col("dst").rlike(include))
@@ -70,6 +72,8 @@ def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | N
     for d in range(1, depth + 1):
         front = front.join(ok, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti")
         front = cut(front) if cut else front
+        if cut and front.isEmpty():
+            break
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
     return seen.orderBy("depth", "url").limit(limit)
 
@@ -96,19 +100,3 @@ def write_snapshot(df: DataFrame, path: str, *by: str) -> None:
 
 
 __all__ = ["absolute", "crawl", "directory_edges", "discover", "json_sections", "page_links", "pages", "read_files", "reassign", "url_path", "write_snapshot"]
-
-
-def data_entries(files: DataFrame) -> DataFrame:
-    """(path, key, value): top-level entries of data files (path, content), read by extension: json, xml, and line formats (env, toml,
-    yaml, yml), of which sections prefix the key. Null or broken content has no entries."""
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    as_map = F.from_json("content", "map<string,string>")
-    from_json = F.transform(F.map_entries(as_map), lambda e: pair(e["key"], e["value"]))
-    tag = r"<(\w+)(?:\s[^>]*)?>([^<]*)</\1>"
-    from_xml = F.transform(F.regexp_extract_all("content", F.lit(tag), F.lit(0)), lambda m: pair(F.regexp_extract(m, tag, 1), F.regexp_extract(m, tag, 2)))
-    line = r"^\s*(?:export\s+)?([\w.-]+)\s*[=:]\s*(.*?)\s*$"
-    lines = F.filter(F.split("content", r"\r?\n"), lambda s: s.rlike(line) & ~s.rlike(r"^\s*#"))
-    from_lines = F.transform(lines, lambda s: pair(F.regexp_extract(s, line, 1), F.regexp_replace(F.regexp_extract(s, line, 2), "^[\"']|[\"']$", "")))
-    found = F.when(ext == "json", from_json).when(ext == "xml", from_xml).when(ext.isin("env", "toml", "yaml", "yml"), from_lines)
-    return files.select("path", F.explode(found).alias("e")).select("path", "e.key", "e.value")
