@@ -20,4 +20,24 @@ above as (select list_slice(node, 1, u) as node, u as d, sum((n_children = 0)::i
 select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, a.n_leaves::bigint as n_leaves, a.saved::bigint as saved_tokens, sha256(n.ids) as ends_sha256
 from full_nodes n join above a on a.node = n.node and a.d = n.d left join nodes p on p.node = list_slice(n.node, 1, n.d - 1) and p.d = n.d - 1"""
 
-ORACLE_SQL = {"op13_prefix_trie": PREFIX_TRIE}
+SUBSTRING_DEDUP = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+p as (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) as h from w, unnest(range(1, len(ws) - 48)) as t(i)),
+f as (select h, min(doc_id) as first from p group by h having count(*) > 1),
+gone as (select distinct p.doc_id, p.i + o as k from p join f using (h), unnest(range(50)) as t(o) where f.first < p.doc_id),
+kept as (select w.doc_id, string_agg(ws[k], ' ' order by k) as s from w, unnest(range(1, len(ws) + 1)) as t(k) where not exists (select 1 from gone where gone.doc_id = w.doc_id and gone.k = t.k) group by 1),
+n as (select doc_id, count(*) as n from gone group by 1)
+select w.doc_id, len(ws) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(s, '')) as kept_sha256 from w left join n using (doc_id) left join kept using (doc_id)"""
+
+NGRAM_JOIN = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, md5(array_to_string(list_slice(ws, i, i + 2), ' ')) as g from w, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) as t(i)),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+both_ways as (select a, b from links union select b, a from links),
+reach(id, top) as (select a, a from both_ways union select both_ways.b, reach.top from reach join both_ways on both_ways.a = reach.id and reach.top < both_ways.b),
+top as (select id, min(top) as top from reach group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(top.top, w.doc_id)) as component_id from w left join n using (doc_id) left join top on top.id = w.doc_id"""
+
+ORACLE_SQL = {"op5_ngram_join": NGRAM_JOIN, "op7_substring_dedup": SUBSTRING_DEDUP, "op13_prefix_trie": PREFIX_TRIE}

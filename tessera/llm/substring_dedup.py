@@ -1,9 +1,11 @@
 """Removal of repeated word sequences with suffix automata of reference shards.
 
-A shard holds what one document is the first to hold of the stretches that later documents repeat. Its suffix automaton is sent to
-the tasks that stream the repeating documents and gives their matching statistics: at each word, the longest text ending there that
-the shard knows. Every maximal match of at least ``window`` words is removed. As the shards together grow with the corpus, they
-are not broadcast to all tasks: a document is streamed through those shards alone that hold some of its windows.
+Windows of a text are told apart by an anchor, the smallest hash of the shorter runs of words in them, which equal windows share wherever they
+stand. A piece is a run of windows with one anchor. The pieces of one anchor make a shard: it is read in order of the documents that hold a
+piece first; each piece is streamed through the automaton of those before it, whose matching statistics (at each word, the longest text ending
+there that the shard knows) tell what smaller documents hold, and is then added to it. Every maximal match of at least ``window`` words is
+removed. As the shards together grow with the corpus they are not broadcast to all tasks: anchors name the shard that a piece is streamed
+through. A shard that would be too large is split by anchors of longer runs, at last by whole windows, where each shard is one piece.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +23,13 @@ from tessera.llm.batches import U64, Words, gram_hash, lists, map_texts, mix, ru
 from tessera.llm.bitmap import maybe
 from tessera.llm.keyed import shared_keys
 
-#: Stretches that one task streams through one copy of a shard's automaton.
-STREAM = 512
+#: Different pieces that a shard may hold before it is split.
+SHARD = 1000
 
 
-def anchors(own: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of words, the smallest gram hash in it, and the window's first word. Equal windows have equal anchors."""
-    gram = max(1, window // 3)
-    ok = np.flatnonzero(words.within(window))
+def anchors(own: np.ndarray, docs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of words that lies in one document, the smallest hash of ``gram`` words in it, and the window's first word."""
+    ok = np.flatnonzero(docs[: max(0, len(docs) - window + 1)] == docs[window - 1 :])
     if not len(ok):
         return np.zeros(0, U64), ok
     g = gram_hash(own, gram)
@@ -44,13 +44,16 @@ def anchors(own: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.
 class Automaton:
     """Suffix automaton of sequences, one after the other with a break between them."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]] = ()):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         for seq in sequences:
-            last = 0
-            for w in seq:
-                last = self._extend(last, w)
+            self.add(seq)
+
+    def add(self, seq: list[int]) -> None:
+        last = 0
+        for w in seq:
+            last = self._extend(last, w)
 
     def _extend(self, last: int, w: int) -> int:
         step, link, length = self.next, self.link, self.length
@@ -113,7 +116,7 @@ def repeats(automaton: Automaton, seq: list[int], window: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text", stream: int = STREAM) -> DataFrame:
+def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """(doc_id, tag, spans): for each text with words to remove, disjoint spans (start, end) of word numbers, ascending; tag is a hash
     of the text.
 
@@ -121,11 +124,12 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     Rows with a null id neither lose words nor make others lose some. Rows that share an id are texts of their own, none of which
     makes another lose words; equal rows get equal spans."""
     rows = _tagged(df, doc_id, text).where("doc_id is not null")
+    grams = sorted({max(1, window // 3), max(1, 2 * window // 3), window})
 
     def anchors_of():
         def f(batch, data, at):
             words = Words(data, at)
-            low, first = anchors(words.hashes(), words, window)
+            low, first = anchors(words.hashes(), words.docs, window, grams[0])
             doc = words.docs[first]
             # an anchor serves neighbouring windows: once for each run of them is enough
             new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))[: len(low)]
@@ -138,99 +142,39 @@ def repeated_spans(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     mine = written(held.groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
     texts = maybe(rows, mine, "doc_id").join(mine, "doc_id")
 
-    def stretches():
+    def shared_pieces():
         def f(batch, data, at):
             words = Words(data, at)
             own = words.hashes()
-            low, first = anchors(own, words, window)
+            low, first = anchors(own, words.docs, window, grams[0])
             doc = words.docs[first]
             keys = batch.column(2)
             flat = keys.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(keys)), np.diff(np.asarray(keys.offsets)))
-            # pairs of document and anchor as one number each; equal numbers of unequal pairs only keep a stretch too many
+            # pairs of document and anchor as one number each; equal numbers of unequal pairs only keep a piece too many
             pair = lambda k, d: mix(k ^ mix(d.astype(U64) + U64(11)))
             hit = np.isin(pair(low, doc), pair(flat.astype(np.int64).view(U64), of))
-            cover = np.zeros(len(own) + 1, np.int64)
-            np.add.at(cover, first[hit], 1)
-            np.add.at(cover, first[hit] + window, -1)
-            inside = np.cumsum(cover)[:-1] > 0
-            begin = inside & np.append(True, ~inside[:-1] | (words.docs[1:] != words.docs[:-1]))[: len(inside)]
-            starts = np.flatnonzero(begin)
-            which = np.cumsum(begin) - 1
-            sizes = np.bincount(which[inside], minlength=len(starts))
-            doc = words.docs[starts]
-            return [batch.column(0).take(pa.array(doc)), batch.column(3).take(pa.array(doc)), pa.array((starts - words.first[doc]).astype(np.int32)), lists(signed(own[inside]), sizes)]
+            key, start, sizes, at_word = _pieces(low[hit], first[hit], words.docs, window)
+            doc = pa.array(words.docs[start])
+            return [pa.array(signed(key)), batch.column(0).take(doc), batch.column(3).take(doc), pa.array((start - words.first[words.docs[start]]).astype(np.int32)), lists(signed(own[at_word]), sizes)]
 
         return f
 
-    found = written(map_texts(texts.select("doc_id", "text", "keys", "tag"), stretches, "doc_id long, tag long, start int, words array<long>").dropDuplicates(["doc_id", "tag", "start"]))
-
-    def windows_of(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                lists_ = part.column(3)
-                own = lists_.flatten().to_numpy().view(U64)
-                n = np.diff(np.asarray(lists_.offsets))
-                which = np.repeat(np.arange(len(n)), n)
-                ok = np.flatnonzero(which[: max(0, len(own) - window + 1)] == which[window - 1 :])
-                if not len(ok):
-                    continue
-                place = runs(n)[ok] + np.asarray(part.column(2))[which[ok]]
-                key = gram_hash(own, window)[ok]
-                # a window that one stretch holds often, as periodic text does, is one row
-                one, more = _grouped(mix(key ^ mix(which[ok].astype(U64))), place.astype(np.int32))
-                which = pa.array(which[ok][one])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[one])), part.column(0).take(which), part.column(1).take(which), pa.array(place[one].astype(np.int32)), more], ["key", "doc_id", "tag", "place", "more"])
-
-    windows = shared_keys(found.mapInArrow(windows_of, "key long, doc_id long, tag long, place int, more array<int>"), with_first=True)
-
-    # lists of a text's own windows, by the document that has them first
-    routed = windows.groupBy("doc_id", "tag", "first").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places"))
-    per_doc = routed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "places")).alias("owners"))
-    pieces_in = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "words")).alias("stretches")).join(per_doc, ["doc_id", "tag"])
-
-    def cut(batches):
-        """Pieces of texts: for each owner, the words that its windows cover, run by run."""
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                out: dict[str, list] = {"owner": [], "doc_id": [], "tag": [], "start": [], "words": []}
-                for row in batch.slice(lo, 16).to_pylist():
-                    held = sorted((x["start"], np.array(x["words"], np.int64)) for x in row["stretches"])
-                    heads = np.array([s for s, _ in held])
-                    for owner in row["owners"]:
-                        p = np.unique(owner["places"])
-                        new = np.flatnonzero(np.append(True, np.diff(p) > 1))
-                        for a, z in zip(p[new], p[np.append(new[1:], len(p)) - 1], strict=True):
-                            k = int(np.searchsorted(heads, a, "right")) - 1
-                            out["owner"].append(owner["first"])
-                            out["doc_id"].append(row["doc_id"])
-                            out["tag"].append(row["tag"])
-                            out["start"].append(int(a))
-                            out["words"].append(held[k][1][a - heads[k] : z + window - heads[k]])
-                sizes = np.array([len(w) for w in out["words"]], np.int64)
-                if len(sizes):
-                    flat = pa.array(np.concatenate(out["words"]))
-                    yield pa.RecordBatch.from_arrays([pa.array(out["owner"]), pa.array(out["doc_id"]), pa.array(out["tag"]), pa.array(out["start"], pa.int32()), lists(flat, sizes)], list(out))
-
-    parts = written(pieces_in.mapInArrow(cut, "owner long, doc_id long, tag long, start int, words array<long>"))
-    # equal pieces of one owner are streamed once; a much repeated owner gets a copy of its automaton for every ``stream`` of them
-    keyed = parts.withColumn("piece", F.xxhash64("words"))
-    distinct = keyed.where("doc_id <> owner").groupBy("owner", "piece").agg(F.any_value("words").alias("words"))
-    copies = distinct.groupBy("owner").agg(F.ceil(F.count("*") / stream).cast("int").alias("copies"))
-    salted = distinct.join(copies, "owner").select("owner", F.pmod("piece", F.col("copies")).cast("int").alias("copy"), "piece", "words")
-    shard = parts.where("doc_id = owner").groupBy("owner").agg(F.collect_list("words").alias("shard")).join(copies, "owner").select("owner", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "shard")
-    both = salted.select("owner", "copy", "piece", "words", F.lit(None).cast("array<array<bigint>>").alias("shard")).unionByName(shard.select("owner", "copy", F.lit(0).cast("long").alias("piece"), F.lit(None).cast("array<bigint>").alias("words"), "shard"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["shard"].dropna()
-        automaton = Automaton([list(map(int, w)) for shard in own for w in shard])
-        ask = pdf[pdf["words"].notna()]
-        spans = [repeats(automaton, w.tolist(), window) for w in ask["words"]]
-        return pd.DataFrame({"owner": ask["owner"], "piece": ask["piece"], "found": [[{"a": a, "b": b} for a, b in s] for s in spans]})
-
-    matched = both.groupBy("owner", "copy").applyInPandas(match, "owner long, piece long, found array<struct<a:int,b:int>>")
-    spans = keyed.where("doc_id <> owner").select("owner", "piece", "doc_id", "tag", "start").join(matched, ["owner", "piece"]).select("doc_id", "tag", F.explode("found").alias("s"), "start")
+    kind = "key long, doc_id long, tag long, start int, words array<long>"
+    pieces = map_texts(texts.select("doc_id", "text", "keys", "tag"), shared_pieces, kind)
+    spans = None
+    for level, gram in enumerate(grams):
+        pieces = written(pieces.withColumn("piece", F.xxhash64("words")))
+        distinct = written(pieces.groupBy("key", "piece").agg(F.min("doc_id").alias("first"), F.any_value("words").alias("words"), F.max("doc_id").alias("last")))
+        large = distinct.groupBy("key").count().where(F.col("count") > shard).select("key") if gram < window else None
+        fits = distinct if large is None else distinct.join(large, "key", "left_anti")
+        streamed = fits.select("key", "piece", "first", "words", (F.col("last") > F.col("first")).alias("more")).repartition("key").sortWithinPartitions("key", "first").mapInArrow(_streamed(window), "key long, piece long, first long, own array<struct<a:int,b:int>>, others array<struct<a:int,b:int>>")
+        place = pieces.select("key", "piece", "doc_id", "tag", "start").join(streamed, ["key", "piece"])
+        now = place.select("doc_id", "tag", "start", F.explode(F.when(F.col("doc_id") > F.col("first"), F.col("others")).otherwise(F.col("own"))).alias("s"))
+        spans = now if spans is None else spans.unionByName(now)
+        if large is None:
+            break
+        pieces = pieces.join(large, "key", "left_semi").select("key", "doc_id", "tag", "start", "words").mapInArrow(_split(window, grams[level + 1]), kind)
     ends = spans.select("doc_id", "tag", F.struct((F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("end")).alias("s")).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("s")).alias("s"))
     merged = F.aggregate("s", F.expr("cast(array() as array<struct<start:int,end:int>>)"), _join_spans)
     return ends.select("doc_id", "tag", merged.alias("spans"))
@@ -242,16 +186,61 @@ def _join_spans(done, s):
     return F.when((F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(-1)) >= s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
 
-def _grouped(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """A place of each distinct key, and the values at its other places; null where there are none."""
-    order = np.argsort(key)
-    head = np.append(True, np.diff(key[order]) != 0)
-    if head.all():
-        return np.arange(len(key)), pa.nulls(len(key), pa.list_(pa.int32()))
-    n = np.diff(np.append(np.flatnonzero(head), len(key))) - 1
-    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    offsets = pa.array(ends, mask=np.append(n == 0, False))
-    return order[head], pa.ListArray.from_arrays(offsets, pa.array(values[order[~head]]))
+def _pieces(low: np.ndarray, first: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows of one document and anchor: anchor, first word and number of words of each, and the places of their words."""
+    new = np.append(True, (low[1:] != low[:-1]) | (first[1:] != first[:-1] + 1) | (docs[first[1:]] != docs[first[:-1]]))[: len(low)]
+    head = np.flatnonzero(new)
+    sizes = np.diff(np.append(head, len(low))) + window - 1 if len(head) else np.zeros(0, np.int64)
+    start = first[head]
+    return low[head], start, sizes, np.repeat(start, sizes) + runs(sizes)
+
+
+def _split(window: int, gram: int):
+    """Pieces (key, doc_id, tag, start, words) cut into pieces of anchors of longer runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                own = part.column(4).flatten().to_numpy().view(U64)
+                n = np.diff(np.asarray(part.column(4).offsets))
+                which = np.repeat(np.arange(len(n)), n)
+                low, first = anchors(own, which, window, gram)
+                if len(low):
+                    key, start, sizes, at_word = _pieces(low, first, which, window)
+                    of = pa.array(which[start])
+                    place = runs(n)[start] + np.asarray(part.column(3))[which[start]]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), part.column(1).take(of), part.column(2).take(of), pa.array(place.astype(np.int32)), lists(signed(own[at_word]), sizes)], batch.schema.names)
+
+    return run
+
+
+def _streamed(window: int):
+    """For pieces (key, piece, first, words, more) in order of key and first: the spans that pieces of smaller documents cover (own), and, if
+    there are more documents that hold the piece, what its first one covers of theirs (others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = automaton = None
+        held: list[list[int]] = []  # of the document at hand: none of its pieces counts against another of its own
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                own, others = [], []
+                for key, first, words, more in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                    if now is None or key != now[0]:
+                        automaton, held = Automaton(), []
+                    elif first != now[1]:
+                        for seq in held:
+                            automaton.add(seq)
+                        held = []
+                    now = key, first
+                    own.append([{"a": a, "b": b} for a, b in repeats(automaton, words, window)])
+                    held.append(words)
+                    others.append([{"a": a, "b": b} for a, b in repeats(Automaton([words]), words, window)] if more else [])
+                kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, kind), pa.array(others, kind)], ["key", "piece", "first", "own", "others"])
+
+    return run
 
 
 def _tagged(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -323,4 +312,4 @@ def strip(df: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "
     own, tag, new = (f"{k}_{uuid.uuid4().hex}" for k in ("doc", "tag", "text"))
     cut = removal(df, spans, doc_id, text).select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("text").alias(new))
     kept = df.join(cut, (F.col(doc_id).cast("long") == F.col(own)) & (F.xxhash64(F.col(text).cast("string")) == F.col(tag)), "left")
-    return kept.withColumn(text, F.coalesce(new, F.col(text))).select(*df.columns)
+    return kept.withColumn(text, F.coalesce(new, F.col(text))).select(*(f"`{c}`" for c in df.columns))

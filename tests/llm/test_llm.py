@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -303,3 +304,45 @@ def test_pipeline(spark):
             break
         now = {r.doc_id: r.text for r in after.collect()}
         stage = spark.createDataFrame(pd.DataFrame([r.asDict() for r in after.collect()]), docs.schema)
+
+
+def odd_repeats():
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    rows = [(rng.randrange(60), say(rng.randrange(60))) for _ in range(90)] + [(None, say(30)), (3, None), (4, "")]
+    return rows + [(200 + i, rows[i][1]) for i in range(10)] + [(300, "x y z " * 40), (301, "z x y " * 30), (5, rows[5][1])]
+
+
+@pytest.mark.parametrize(("window", "shard"), [(4, 1000), (4, 2), (9, 3), (1, 1)])
+def test_repeats_in_split_shards(spark, window, shard):
+    """Shards too large for their anchor are split by longer ones, down to single windows; nothing changes."""
+    rows = odd_repeats()
+    spans = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), window, shard=shard)
+    gone = Counter()
+    for r in spans.collect():
+        gone[r.doc_id] += sum(s.end - s.start for s in r.spans)
+    want = {}
+    for d, t, (_, _, n, _) in ((d, t, x) for (d, t), x in zip(rows, brute.dedup_rows(rows, window), strict=True)):
+        if n:
+            want.setdefault(d, {})[t] = n
+    assert gone == Counter({d: sum(v.values()) for d, v in want.items()})
+
+
+def test_repeats_come_from_the_automaton(monkeypatch):
+    """Matching statistics alone decide: without them nothing goes, exact copies neither."""
+    import pyarrow as pa
+
+    words = [[1, 2, 3, 4, 5, 6], [9, 2, 3, 4, 5, 9], [9, 9, 2, 3, 4, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 3), pa.array([1, 2, 3]), pa.array([10, 20, 20]), pa.array(words), pa.array([True, False, False])], ["key", "piece", "first", "words", "more"])
+    spans = lambda: [tuple([(s["a"], s["b"]) for s in r[c]] for c in ("own", "others")) for b in substring_dedup._streamed(4)([batch]) for r in b.to_pylist()]
+    assert spans() == [([], [(0, 6)]), ([(1, 5)], []), ([(2, 6)], [])]
+    monkeypatch.setattr(substring_dedup.Automaton, "statistics", lambda self, seq: iter([0] * len(seq)))
+    assert spans() == [([], []), ([], []), ([], [])]
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_join", "op7_substring_dedup"])
+def test_sql_gives_the_same_rows(spark, name):
+    import oracle
+
+    d = "/root/testdata/sf0.001"
+    assert oracle.compare(spark, oracle.connect(d), queries.QUERIES[name], queries.ORACLE_SQL[name], d) == ""
