@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from tessera.llm import quality_rules, queries
 from tessera.llm.batches import Words
 
-MORE = ["score", "key", "tag", "_doc", "_text", "words", "first", "item_id", "label", "row", "part"]
+MORE = ["score", "key", "tag", "_doc", "_text", "words", "first", "item_id", "label", "row", "part", "a.b"]
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +46,7 @@ def write(spark, to, rows):
     items = [(1, " ".join(f"q{i}" for i in range(25))), (2, None), (None, "a b c d"), (3, ""), (1, " ".join(f"q{i}" for i in range(25)))]
     labels = [(d, q, x) for d, (q, x) in {d: (int(bool(t) and len(t) > 60), int("idiot" in (t or ""))) for d, t in rows if d is not None}.items()] + [(None, 1, 1), (3, None, None), (9999, 1, 0)]
     data = [(d, t, "en", "src", len(t) if t is not None else None, *MORE) for d, t in rows]
-    spark.createDataFrame(data, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{c} string" for c in MORE)])).repartition(3).write.parquet(f"{to}/documents.parquet")
+    spark.createDataFrame(data, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` string" for c in MORE)])).repartition(3).write.parquet(f"{to}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{to}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{to}/labels.parquet")
     return str(to)
