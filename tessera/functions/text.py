@@ -44,6 +44,11 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
 
 
+def same_host(a: Column, b: Column) -> Column:
+    """Whether two URLs name one host, whatever its case, port and path; false if either names none."""
+    return F.coalesce((url_host(a) == url_host(b)) & (url_host(a) != ""), F.lit(False))
+
+
 def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)", 1)
 

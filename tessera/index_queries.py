@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import incremental as I
+from tessera.operators import resolution as E
 from tessera.operators import search as S
 from tessera.operators import traverse as X
 from tessera.operators.ranking import page
@@ -254,3 +256,32 @@ def x4(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
     judge = lambda p: (p["n_chars"] / 1000).clip(upper=1).where(p["lang"] == "en")
     return S.evaluated(docs.select("id", F.lit(0.5).alias("score")), docs, ["lang", "n_chars"], judge).withColumn("score", r6(F.col("score")))
+
+
+# --- hosts and names ------------------------------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
+
+
+@query("f7_same_host", f"SELECT a.page_id, b.page_id AS other, {_HOST.format('a.url')} = {_HOST.format('b.url')} AS same FROM pages a JOIN pages b ON b.page_id = a.page_id - a.page_id % 7")
+def f7_same(spark, d):
+    a = table(spark, d, "pages").select("page_id", "url", (F.col("page_id") - F.col("page_id") % 7).alias("other"))
+    b = table(spark, d, "pages").select(F.col("page_id").alias("other"), F.col("url").alias("there"))
+    return a.join(b, "other").select("page_id", "other", T.same_host(F.col("url"), F.col("there")).alias("same"))
+
+
+@query("e6_best_tag", "SELECT p_brand, p_type AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY (p_type <> lower(p_type)), length(p_type), p_type) AS r FROM (SELECT p_brand, CASE p_partkey % 2 WHEN 0 THEN lower(p_type) ELSE p_type END AS p_type FROM part)) WHERE r = 1")
+def e6_tag(spark, d):
+    t = table(spark, d, "part").select("p_brand", F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("name"))
+    return t.groupBy("p_brand").agg(F.min_by("name", E.name_rank(F.col("name"), "tag")).alias("name"))
+
+
+@query(
+    "e6_best_person",
+    r"""SELECT n, name FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY -len(regexp_split_to_array(trim(name), '\s+')), CASE WHEN regexp_matches(name, '^[A-Z]') THEN 0 ELSE 1 END, CASE WHEN name = upper(name) THEN 1 ELSE 0 END, -length(name), name) AS r
+FROM (SELECT c_nationkey AS n, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) WHEN 1 THEN c_name || ' ' || lower(c_mktsegment) ELSE upper(c_name) || ' X' END AS name FROM customer)) WHERE r = 1""",
+)
+def e6_person(spark, d):
+    k, name = F.col("c_custkey") % 3, F.col("c_name")
+    told = F.when(k == 0, F.lower(name)).when(k == 1, F.concat_ws(" ", name, F.lower("c_mktsegment"))).otherwise(F.concat(F.upper(name), F.lit(" X")))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), told.alias("name")).groupBy("n").agg(F.min_by("name", E.name_rank(F.col("name"), "person")).alias("name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -46,7 +46,7 @@ simple("p3_in_lists", "customer", lambda t: t.where(P.compare("c_nationkey", "IN
 simple("p4_operator_map", "lineitem", lambda t: t.where(P.where_map({"l_quantity": {"gte": 10, "lt": 20}, "l_returnflag": "R", "l_linestatus": None, "l_linenumber": {"in": [1, 2]}})).select("l_orderkey", "l_linenumber", "l_quantity"), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_returnflag = 'R' AND l_linenumber IN (1, 2)")
 simple("p5_regex", "customer", lambda t: t.where(P.where_pattern("c_name", "0[13]")).withColumn("whole", P.where_pattern("c_name", "Customer#.*[02468]", whole=True)).select("c_custkey", "whole"), "SELECT c_custkey, regexp_full_match(c_name, 'Customer#.*[02468]') AS whole FROM customer WHERE regexp_matches(c_name, '0[13]')")
 simple("p6_glob_path", "pages", lambda t: t.withColumn("path", T.url_path(F.col("url"))).where(F.col("path").rlike(P.glob_regex("/**/*[0-9]*", path=True))).select("page_id", "path"), r"SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path FROM pages) WHERE regexp_matches(path, '^/([^/]+/)*[^/]*[0-9][^/]*$')")
-simple("p7_glob_search", "part", lambda t: P.glob_search(t.select("p_type").distinct(), "p_type", "*t?el*"), "SELECT DISTINCT p_type FROM part WHERE p_type ILIKE '%t_el%' ORDER BY p_type LIMIT 50")
+simple("p7_glob_search", "part", lambda t: P.glob_search(t.select("p_type").distinct(), "p_type", "*t?nd*"), "SELECT DISTINCT p_type FROM part WHERE p_type ILIKE '%t_nd%' ORDER BY p_type LIMIT 50")
 simple("p8_result_glob", "pages", lambda t: t.where(F.col("url").rlike(P.glob_regex("https://*.*"))).select("page_id"), "SELECT page_id FROM pages WHERE url LIKE 'https://%.%'")
 simple("p9_dispatch", "part", lambda t: t.where(P.compare("p_type", "GLOB", "*S*") & P.compare("p_name", "REGEX", ".*e.*") & P.compare("p_size", "<=", 30)).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_type LIKE '%S%' AND p_name LIKE '%e%' AND p_size <= 30")
 
@@ -354,7 +354,7 @@ def u5(spark, d):
     return old.select("id").join(new.select("id"), "id", "left_anti")
 
 
-simple("u6_first", "documents", lambda t: t.withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("doc_id"))).where("r = 1").select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+simple("u6_first", "documents", lambda t: t.groupBy(T.content_hash(F.col("text"))).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 
 # --- functions ------------------------------------------------------------------------------------------------------
 

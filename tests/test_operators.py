@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import random
 import tempfile
 from datetime import datetime, timedelta
 
