@@ -1,13 +1,11 @@
-"""Ordering, ranks, budgets and packing: window work."""
+"""Ordering, ranks and budgets: window work; what is filled row by row is in ``packing``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.packing import budget_skip, pack  # noqa: F401
 from tessera.operators.running import ranked, running
 
 
@@ -43,52 +41,6 @@ def budget_cut(df: DataFrame, by: list[str], best: list[Column], text: str, budg
     return out.withColumn(text, F.when(F.col("used") <= budget, F.col(text)).otherwise(F.concat(F.substring(F.col(text), F.lit(1), F.col("left").cast("int")), F.lit("...")))).drop("used", "left")
 
 
-def budget_skip(df: DataFrame, by: str, newest: list[str], key: str, size: str, budget: int, gap: int = 100) -> DataFrame:
-    """(by, key) of the rows that fit, in order; one that doesn't is skipped if at most ``gap`` remains, else it ends the list."""
-    rows = df.select(*dict.fromkeys([by, *newest, key]), F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("_size"))
-
-    def step(state, n):
-        used, over = state or (0, False)
-        fits = not over and used + n <= budget
-        return (used + n if fits else used, over or (not fits and budget - used > gap)), fits
-
-    return _folded(rows, [by], newest, "_size", step, "boolean").where("_out").select(by, key)
-
-
-def _folded(df: DataFrame, by: list[str], order: list[str], value: str, step: Callable, kind: str) -> DataFrame:
-    """df with _out, what ``step(state, value) -> state, out`` gives along each group's rows in order; a group begins with state None.
-
-    Sorted partitions are streamed with one state at a time: no group is held in memory."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = state = None
-        for p in parts:
-            out, groups = [], list(zip(*(p[c].astype(object).where(p[c].notna(), None) for c in by), strict=True))
-            for g, v in zip(groups, p[value].tolist(), strict=True):
-                if g != last:
-                    last, state = g, None
-                state, o = step(state, v)
-                out.append(o)
-            yield p.assign(_out=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", _out {kind}"
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
-
-
-def pack(df: DataFrame, by: list[str], order: list[str], tokens: Column, limit: int, base: int = 500, most: int = 1 << 30) -> DataFrame:
-    """(by, order, tokens, pack): consecutive packs of each group's rows: a row that would pass the limit of tokens or of rows opens the
-    next pack. ``base`` tokens are spent on each pack, and null counts as 0 tokens. A group is streamed by one task, whatever its size."""
-    rows = df.select(*by, *order, F.coalesce(tokens.cast("long"), F.lit(0).cast("long")).alias("tokens"))
-
-    def step(state, t):
-        number, used, n = state or (0, base, 0)
-        if n and (used + t > limit or n >= most):
-            number, used, n = number + 1, base, 0
-        return (number, used + t, n + 1), number
-
-    return _folded(rows, by, order, "tokens", step, "int").withColumnRenamed("_out", "pack")
-
-
 def batches(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return ranked(df, by, [F.col(c).asc() for c in order], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / n))
 
