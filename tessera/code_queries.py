@@ -369,13 +369,17 @@ def v11(spark, d):
 
 @query(
     "v13_combine",
-    """WITH a AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS file, 1 AS start_line, substr(text, 1, 40) AS content, doc_id AS seq FROM documents WHERE doc_id < 30), x AS (SELECT file, start_line, content, seq, 0 AS src, CAST(0.8 AS DOUBLE) AS score, CAST(0.3 AS DOUBLE) AS confidence FROM a WHERE seq % 2 = 0
-UNION ALL SELECT file, start_line, content, seq, 1, (seq % 10) / 10.0, 0.5 FROM a WHERE seq % 3 = 0), r AS (SELECT *, sum(length(content)) OVER (ORDER BY src, seq ROWS UNBOUNDED PRECEDING) AS run FROM x)
-SELECT file, start_line, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY file, start_line ORDER BY src, seq) AS n FROM r WHERE run <= 900) WHERE n = 1""",
+    """WITH x AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS file, CAST(len(string_split(split_part(text, 'thing', 1), chr(10))) AS INTEGER) AS start_line, text AS content, doc_id AS seq, 0 AS src, CAST(0.8 AS DOUBLE) AS score, CAST(0.3 AS DOUBLE) AS confidence FROM documents WHERE contains(text, 'thing')
+UNION ALL SELECT 'd' || CAST(doc_id AS VARCHAR), 1, text, doc_id, 1, least(CAST(n_chars AS DOUBLE) / 1000, 1), 0.5 FROM documents WHERE lang <> 'en'), r AS (SELECT *, sum(length(content)) OVER (ORDER BY src, seq ROWS UNBOUNDED PRECEDING) AS run FROM x)
+SELECT file, start_line, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY file, start_line ORDER BY src, seq) AS n FROM r WHERE run <= 2000000) WHERE n = 1""",
 )
 def v13(spark, d):
-    hits = table(spark, d, "documents").where("doc_id < 30").select(F.concat(F.lit("d"), s("doc_id")).alias("file"), F.lit(1).alias("start_line"), F.substring("text", 1, 40).alias("content"), F.col("doc_id").alias("seq"))
-    return V.combine(hits.where("seq % 2 = 0"), hits.where("seq % 3 = 0").withColumn("score", (F.col("seq") % 10) / 10.0), 900).select("file", "start_line", "score", "confidence")
+    """Texts with a word, at the line of it, and texts of other languages, scored by length, under a budget of two million characters."""
+    hits = table(spark, d, "documents").select(F.concat(F.lit("d"), s("doc_id")).alias("file"), F.col("text").alias("content"), F.col("doc_id").alias("seq"), "n_chars", "lang")
+    line = F.size(F.split(F.substring_index("content", "thing", 1), "\n"))
+    found = hits.where(F.contains("content", F.lit("thing"))).withColumn("start_line", line).drop("n_chars", "lang")
+    near = hits.where("lang <> 'en'").withColumns({"start_line": F.lit(1), "score": F.least(F.col("n_chars") / 1000, F.lit(1.0))}).drop("n_chars", "lang")
+    return V.combine(found, near, 2_000_000).select("file", "start_line", "score", "confidence")
 
 
 @query(

@@ -19,8 +19,9 @@ def similar(left: DataFrame, right: DataFrame, least: float, by: list[str] | Non
     """(by, a, b, similarity): names of left (by, name) and right (by, name) of equal ``by`` whose edit similarity is at least ``least``.
 
     Complete: names of n letters within d edits share all but 2 d of their n + 1 letter pairs, so one of the 2 d + 1 pairs that come first
-    in any one order. In the order used the rarest pairs of right come first, so what many names share is seldom looked at. Null names
-    match nothing; each two names are returned once. Needs ``least`` over 0.5."""
+    in any one order. In the order used the rarest pairs of right come first, so what many names share is seldom looked at. Names meet by
+    such a pair and a length of right that left can be similar to, so one pair's block is split by length, and no two names meet that their
+    lengths keep apart. Null names match nothing; each two names are returned once. Needs ``least`` over 0.5."""
     by = by or []
 
     def distinct(df: DataFrame, c: str) -> DataFrame:
@@ -36,6 +37,8 @@ def similar(left: DataFrame, right: DataFrame, least: float, by: list[str] | Non
         grams = df.select(*by, c, edits.alias("d"), F.explode(_pairs(F.col(c))).alias("g")).join(seen, "g", "left")
         return grams.withColumn("r", rank).where(F.col("r") <= 2 * F.col("d") + 1).select(*by, c, "g")
 
-    near = F.least(F.length("a"), F.length("b")) >= least * F.greatest(F.length("a"), F.length("b")) - 1e-9
-    found = first(a, "a").join(first(b, "b"), [*by, "g"]).where(near).select(*by, "a", "b").distinct()
+    n = F.length("a")
+    lengths = F.explode(F.sequence(F.ceil(least * n - 1e-9), F.floor(n / least + 1e-9))).alias("_n")
+    mine, theirs = first(a, "a").select(*by, "a", "g", lengths), first(b, "b").withColumn("_n", F.length("b").cast("long"))
+    found = mine.join(theirs, [*by, "g", "_n"]).select(*by, "a", "b").distinct()
     return found.withColumn("similarity", edit_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)

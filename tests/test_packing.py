@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.packing import budget_skip, pack
+from tessera.operators.search import resolve_loose
 
 
 @pytest.fixture
@@ -82,3 +83,36 @@ def test_budget_skip(many_parts, budget, gap, top):
     got = [(r.g, r.i) for r in budget_skip(df, "g", ["i"], "i", "n", budget, gap).collect()]
     assert len(got) == len(set(got)) and set(got) == skipped(rows, budget, gap)
     assert budget_skip(df.limit(0), "g", ["i"], "i", "n", budget, gap).count() == 0
+
+
+def test_loose_references_meet_names_once(spark):
+    """A name that very many files have is one row before it meets a reference; the result is that of a plain scan."""
+    paths = [f"{d}/index.ts" for d in ("a", "b/c", "b", "x/b/c")] + ["src/Main.py", "lib/main.js", "src/util/strings.py", "docs/read me.md", "/top/only.go", "top"]
+    asked = ["index.ts", "./c/index.ts", "b/c/index.ts", "zz/index.ts", "MAIN.PY", "string.py", "util/strings.ts", "top", "/top/only.go", "nothing-like-it.rs", "indexx.ts", "index.ts"]
+    refs, files = spark.createDataFrame([(r,) for r in asked], "ref string"), spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def near(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, e = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(e[j] + 1, d[-1] + 1, e[j - 1] + (x != y)))
+        return 1 - d[-1] / max(len(a), len(b), 1)
+
+    name = lambda p: p.split("/")[-1].lower()
+    cut = lambda n: (n[: n.rindex(".")], n[n.index(".") :]) if "." in n else (n, "")
+    want = {}
+    for r in set(asked):
+        clean, found = r.removeprefix("./"), []
+        same = [p for p in paths if name(p) == name(clean)]
+        for p in paths:
+            if p in same:
+                found.append((1.0 if p == clean or p.endswith("/" + clean) else 0.95 if len(same) == 1 else 0.7, p))
+            elif not same:
+                (s, e), (t, f) = cut(name(clean)), cut(name(p))
+                found += [(v, p) for v in (near(name(clean), name(p)) if e == f else 0, 0.9 * near(s, t)) if v >= 0.7]
+        if found:
+            score, path = min(found, key=lambda x: (-round(x[0], 9), x[1]))
+            want[r] = path, round(score, 6)
+    got = [(r.ref, (r.path, round(r.score, 6))) for r in resolve_loose(refs, files).collect()]
+    assert dict(got) == want and len(got) == len(want)
