@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.packing import budget_skip
 from tessera.operators.running import running
 
 
@@ -95,10 +98,11 @@ def messages_with_tools(messages: DataFrame, calls: DataFrame) -> DataFrame:
 def turns_with_tools(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """(conv_id, turn_id, question, answer, tools): turns as in ``turns``, with the calls of all their assistant messages in order; a turn
     with calls and no text stays, its answer empty."""
+    more = [c for c in calls.columns if c not in ("conv_id", "turn", "call", "tool", "success")]
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     m = messages.where("role <> 'system'").withColumn("turn_id", F.sum((F.col("role") == "user").cast("int")).over(w)).where("turn_id > 0")
     said = (F.col("role") == "assistant") & (F.trim("text") != "")
-    full = messages_with_tools(m, calls).withColumn("tools", F.when(F.col("role") == "assistant", F.transform("tools", lambda c: F.struct(F.col("turn").alias("turn"), c["call"].alias("call"), c["tool"].alias("tool"), c["success"].alias("success")))))
+    full = messages_with_tools(m, calls).withColumn("tools", F.when(F.col("role") == "assistant", F.transform("tools", lambda c: F.struct(F.col("turn").alias("turn"), c["call"].alias("call"), c["tool"].alias("tool"), c["success"].alias("success"), *(c[m].alias(m) for m in more)))))
     g = full.groupBy("conv_id", "turn_id").agg(
         F.max(F.when(F.col("role") == "user", F.col("text"))).alias("question"),
         F.coalesce(F.max_by("text", F.when(said, F.col("turn"))), F.lit("")).alias("last"),
@@ -131,6 +135,72 @@ def enriched_context(messages: DataFrame, history: DataFrame, summaries: DataFra
     return {"queries": queries, "recent": recent(messages, recent_chars, most_turns), "history": history, "summaries": newest}
 
 
+def recent_turns(turns: DataFrame, budget: int) -> DataFrame:
+    """The newest turns (conv_id, turn_id, question, answer, tools) of each conversation, with chars, their characters with those of
+    arguments and results, as long as all fit; the first that doesn't ends the list. A null text counts 0."""
+    n = lambda c: F.coalesce(F.length(c), F.lit(0))
+    chars = n(F.col("question")) + n(F.col("answer")) + F.aggregate("tools", F.lit(0), lambda x, t: x + n(t["arguments"]) + n(t["result"]))
+    sized = turns.withColumn("chars", chars.cast("long"))
+    return running(sized, ["conv_id"], [F.desc("turn_id")], {"used": F.col("chars")}).where(F.col("used") <= budget).drop("used")
+
+
+def recent_summaries(summaries: DataFrame, budget: int, gap: int = 100) -> DataFrame:
+    """The newest level-1 summaries (conv_id, id, level, end, chars) within the budget. One that doesn't fit is passed over while at most
+    ``gap`` characters remain, and else ends the list."""
+    first = summaries.where("level = 1").withColumn("_newest", -F.col("end"))
+    kept = budget_skip(first, "conv_id", ["_newest", "id"], "id", "chars", budget, gap)
+    return first.drop("_newest").join(kept, ["conv_id", "id"], "left_semi")
+
+
+def context_parts(messages: DataFrame, calls: DataFrame, summaries: DataFrame, query_chars: int, turn_chars: int, summary_chars: int, history: DataFrame | None = None) -> DataFrame:
+    """(conv_id, part, at, chars): what a prompt's context holds of each conversation: the last user queries, recent turns with their calls,
+    and recent level-1 summaries, each within its budget, and hits of a search (conv_id, at, chars) if given."""
+    length = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    asked = running(messages.where("role = 'user'"), ["conv_id"], [F.desc("turn")], {"used": length}).where(F.col("used") <= query_chars)
+    parts = {
+        "queries": asked.select("conv_id", F.col("turn").alias("at"), length.alias("chars")),
+        "turns": recent_turns(turns_with_tools(messages, calls), turn_chars).select("conv_id", F.col("turn_id").alias("at"), "chars"),
+        "summaries": recent_summaries(summaries, summary_chars).select("conv_id", F.col("end").alias("at"), "chars"),
+    }
+    if history is not None:
+        parts["history"] = history.select("conv_id", "at", "chars")
+    named = [p.select("conv_id", F.lit(name).alias("part"), F.col("at").cast("long").alias("at"), F.col("chars").cast("long").alias("chars")) for name, p in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def context_report(parts: DataFrame, limit: int) -> DataFrame:
+    """(conv_id, part, n, chars, percent): what each part of a context takes of the limit, and a row ``total`` for each conversation."""
+    sums = parts.groupingSets([["conv_id", "part"], ["conv_id"]], "conv_id", "part").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    return sums.select("conv_id", F.coalesce("part", F.lit("total")).alias("part"), "n", "chars", F.round(100 * F.col("chars") / limit).alias("percent"))
+
+
+def turn_text(question: Column, tools: Column, answer: Column, reasoning: Column | None = None, cut: int = 200) -> Column:
+    """What a turn's vector is made of: the question, a line for each call with the first ``cut`` characters of its arguments and of its
+    result or error, the answer and the reasoning. What is null or empty is left out; a call without a verdict succeeded."""
+    dots = lambda c: F.concat(c, F.when(F.length(c) >= cut, "...").otherwise(""))
+    said = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
+
+    def line(t):
+        given, got = F.substring(F.coalesce(t["arguments"], F.lit("")), 1, cut), F.substring(F.coalesce(t["result"], F.lit("")), 1, cut)
+        got = F.when(F.coalesce(t["success"], F.lit(True)), got).otherwise(F.concat(F.lit("Error: "), got))
+        return F.concat(F.lit("- "), F.coalesce(t["tool"], F.lit("unknown")), F.when(given != "", F.concat(F.lit("("), dots(given), F.lit(")"))).otherwise(""), F.lit(": "), dots(got))
+
+    used = F.when(F.size(tools) > 0, F.concat_ws("\n", F.lit("Tools used:"), F.transform(tools, line)))
+    return F.concat_ws("\n", said("User", question), used, said("Assistant", answer), *([] if reasoning is None else [said("Reasoning", reasoning)]))
+
+
+def session_messages(messages: DataFrame, calls: DataFrame, session: int, limit: int) -> DataFrame:
+    """The newest messages of a session (conv_id), at most ``limit``, with their calls; the oldest of them first."""
+    newest = messages.where(F.col("conv_id") == session).orderBy(F.desc("turn")).limit(limit)
+    return messages_with_tools(newest, calls.where(F.col("conv_id") == session)).orderBy("turn")
+
+
+def transcript_json(messages: DataFrame) -> DataFrame:
+    """(conv_id, json): one JSON object a conversation, its messages (turn, role, text) in order; null fields are left out."""
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return messages.groupBy("conv_id").agg(rows.alias("messages")).select("conv_id", F.to_json(F.struct("conv_id", "messages")).alias("json"))
+
+
 def summary_links(summaries: DataFrame, files: DataFrame, nodes: DataFrame, messages: DataFrame) -> DataFrame:
     """(src, dst, type) of summaries (id, conv_id, first_turn, last_turn, files, nodes): to the file of that path or, with the smallest
     path, of a path that ends in it; to existing nodes; to the messages (id, conv_id, turn) in range."""
@@ -139,8 +209,8 @@ def summary_links(summaries: DataFrame, files: DataFrame, nodes: DataFrame, mess
     wanted = summaries.select("id", F.explode("files").alias("f")).withColumn("tail", F.regexp_replace("f", r"^(\./|/)", ""))
     hit = wanted.join(known, "tail").groupBy("id", "f").agg(F.min_by("dst", F.struct(F.length("path"), "path")).alias("dst"))
     to_nodes = summaries.select("id", F.explode("nodes").alias("dst")).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    inside = summaries.where("first_turn is not null").select("id", "conv_id", F.explode(F.sequence("first_turn", "last_turn")).alias("turn"))
-    to_messages = inside.join(messages.select("conv_id", "turn", F.col("id").alias("dst")), ["conv_id", "turn"])
+    inside = messages.select("conv_id", "turn", F.col("id").alias("dst")).join(summaries.select("id", "conv_id", "first_turn", "last_turn"), "conv_id")
+    to_messages = inside.where(F.col("turn").between(F.col("first_turn"), F.col("last_turn")))
     parts = ((hit, "MENTIONS_FILE"), (to_nodes, "MENTIONS_NODE"), (to_messages, "SUMMARIZES"))
     out = [p.select(F.col("id").alias("src"), "dst", F.lit(t).alias("type")).distinct() for p, t in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
