@@ -293,3 +293,42 @@ def cost(tokens: Column, price: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
+
+
+def html_references(html: Column) -> Column:
+    """Array of (source, kind) of local scripts, links, images and anchors of a page, in this order, each in page order: what is on another
+    host, inline data, mail, phone and script targets are left out, and anchors lose their fragment."""
+    outside = r"(?i)^(https?://|data:)"
+    found = lambda tag, name: F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\s[^>]*{name}\s*=\s*['\"]([^'\"]+)['\"]"), F.lit(1)), lambda u: ~u.rlike(outside))
+    other = lambda u, kind: F.when(file_kind(u) == "style", "stylesheet").when(file_kind(u) == "other", kind).otherwise(file_kind(u))
+    pages = F.filter(found("a", "href"), lambda u: ~u.rlike(r"(?i)^(mailto:|tel:|javascript:|#)"))
+    parts = (
+        (found("script", "src"), lambda u: F.lit("code")),
+        (found("link", "href"), lambda u: other(u, "asset")),
+        (found("img", "src"), lambda u: F.lit("asset")),
+        (F.transform(pages, lambda u: F.regexp_replace(u, "#.*$", "")), lambda u: other(u, "document")),
+    )
+    named = lambda sources, kind: F.transform(sources, lambda u: F.struct(u.alias("source"), kind(u).alias("kind")))
+    return F.concat(*(named(sources, kind) for sources, kind in parts))
+
+
+def meta_tags(html: Column) -> Column:
+    """Map of name or property to content of a page's meta tags with both; of several of one name the last counts."""
+    value = lambda tag, names: F.regexp_extract(tag, rf"(?i)\s(?:{names})\s*=\s*['\"]([^'\"]*)['\"]", 1)
+    tags = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0)), lambda t: F.struct(F.coalesce(F.nullif(value(t, "name"), F.lit("")), value(t, "property")).alias("name"), value(t, "content").alias("content")))
+    told = F.filter(tags, lambda t: (t["name"] != "") & (t["content"] != ""))
+    last = F.filter(told, lambda t, i: ~F.exists(F.slice(told, i + 2, F.size(told)), lambda later: later["name"] == t["name"]))
+    return F.map_from_entries(last)
+
+
+def outline(html: Column) -> Column:
+    """Array of (level, text) of a page's headings that have a text, tags inside left out."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>"), F.lit(0))
+    every = F.transform(found, lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), F.trim(F.regexp_replace(h, "<[^>]*>", "")).alias("text")))
+    return F.filter(every, lambda h: h["text"] != "")
+
+
+def format_field(value: Column, limit: int, most: int = 5) -> Column:
+    """An array of strings as prompt text: its first ``most`` items, each cut at ``limit`` characters with dots in them, joined by commas."""
+    short = lambda v: F.when(F.length(v) > limit, F.concat(F.substring(v, 1, limit - 3), F.lit("..."))).otherwise(v)
+    return F.array_join(F.transform(F.slice(value, 1, most), short), ", ")

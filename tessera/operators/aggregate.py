@@ -92,3 +92,17 @@ def section_chunks(sections: DataFrame, documents: DataFrame, key: str, text: st
     """(key, n): chunks of the documents of each section; a section without any has 0."""
     n = documents.groupBy(key).agg(F.sum(chunk_count(F.col(text))).alias("n"))
     return sections.select(key).distinct().join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def vector_backlog(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(linked, dirty, needed): files (state) that wait for vectors, nodes (dirty) whose vectors are old, and whether there is any."""
+    counts = files.select(F.lit("linked").alias("what"), (F.col("state") == "linked").alias("is")).unionByName(nodes.select(F.lit("dirty").alias("what"), F.col("dirty").alias("is")))
+    out = counts.agg(*(F.count_if((F.col("what") == w) & F.col("is")).alias(w) for w in ("linked", "dirty")))
+    return out.withColumn("needed", (F.col("linked") > 0) | (F.col("dirty") > 0))
+
+
+def vector_progress(files: DataFrame) -> DataFrame:
+    """(total, embedded, linked, embedding, error, percent) of files (state): rows with a state, some states, and the embedded share rounded,
+    100 without any row."""
+    out = files.agg(F.count("state").alias("total"), *(F.count_if(F.col("state") == s).alias(s) for s in ("embedded", "linked", "embedding", "error")))
+    return out.withColumn("percent", F.when(F.col("total") == 0, 100.0).otherwise(F.round(100 * F.col("embedded") / F.col("total"))))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tessera.functions.text import content_hash, text_uuid
+from tessera.functions.text import content_hash, fixed_chunks, text_uuid
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, hash_col: str = "hash", dirty: Column | None = None) -> DataFrame:
@@ -292,3 +292,54 @@ def needs_summary(rows: DataFrame, stored: DataFrame, text: str, least: int, key
     """Rows (key, text) longer than ``least`` characters whose text has another hash than that of the stored summary (key, hash)."""
     j = rows.join(stored.select(key, F.col("hash").alias("_h")), key, "left")
     return j.where((F.length(text) > least) & ~content_hash(F.col(text)).eqNullSafe(F.col("_h"))).drop("_h")
+
+
+def mark_changed(rows: DataFrame, statuses: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with dirty true where a diff (key, status) calls them created or modified; others keep theirs, null as false."""
+    changed = statuses.where("status in ('created', 'modified')").select(key).distinct().withColumn("_changed", F.lit(True))
+    before = F.coalesce("dirty", F.lit(False)) if "dirty" in rows.columns else F.lit(False)
+    return rows.join(changed, key, "left").withColumn("dirty", F.coalesce("_changed", before)).drop("_changed")
+
+
+def dirty_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.coalesce("dirty", F.lit(False)))
+
+
+def clear_dirty(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with dirty false for the keys in done (key), whether they were dirty or not."""
+    ids = done.select(key).distinct().withColumn("_done", F.lit(True))
+    return rows.join(ids, key, "left").withColumn("dirty", F.col("_done").isNull() & F.coalesce("dirty", F.lit(False))).drop("_done")
+
+
+def chunk_tasks(rows: DataFrame, text: str, size: int = 2000, overlap: int = 200) -> DataFrame:
+    """Rows as pieces to embed: the row's other columns with chunk, text, start_line and end_line; a text up to ``size`` is one piece. Rows
+    without a text give none."""
+    rest = [c for c in rows.columns if c != text]
+    pieces = rows.where(F.col(text).isNotNull()).select(*rest, F.explode(fixed_chunks(F.col(text), size, overlap)).alias("_c"))
+    return pieces.select(*rest, F.col("_c.index").alias("chunk"), F.col("_c.text").alias("text"), "_c.start_line", "_c.end_line")
+
+
+def store_summaries(rows: DataFrame, summaries: DataFrame, field: str, at: Column, key: str = "id") -> DataFrame:
+    """Rows with the summaries (key, outputs...) of a field laid over them: ``{field}_summary_{output}``, arrays joined by commas, the hash of
+    the field as it is now, and the time. Rows without a summary keep what they had; of two summaries of a key one is taken, as
+    ``last_of_each`` says; summaries without a row are left out."""
+    outputs = [f for f in summaries.schema if f.name != key]
+    flat = {f.name: F.array_join(F.col(f.name), ", ") if f.dataType.typeName() == "array" else F.col(f.name) for f in outputs}
+    new = last_of_each(summaries, [key]).select(key, F.lit(True).alias("_new"), *(c.alias(f"_n_{n}") for n, c in flat.items()))
+    values = {f"{field}_summary_{n}": F.col(f"_n_{n}") for n in flat} | {f"{field}_summary_hash": content_hash(F.col(field)), f"{field}_summarized_at": at}
+    j = rows.join(new, key, "left")
+    return j.withColumns({c: F.when(F.col("_new"), v).otherwise(F.col(c) if c in rows.columns else F.lit(None)) for c, v in values.items()}).drop("_new", *(f"_n_{n}" for n in flat))
+
+
+def load_summaries(rows: DataFrame, field: str, key: str = "id") -> DataFrame:
+    """(key, outputs..., hash, at, current): the stored summaries of a field; current if the field's text is the one summarised."""
+    p = f"{field}_summary_"
+    outputs = [F.col(c).alias(c.removeprefix(p)) for c in rows.columns if c.startswith(p)]
+    return rows.where(F.col(p + "hash").isNotNull()).select(key, *outputs, F.col(f"{field}_summarized_at").alias("at"), content_hash(F.col(field)).eqNullSafe(F.col(p + "hash")).alias("current"))
+
+
+def delete_summaries(rows: DataFrame, gone: DataFrame, field: str, key: str = "id") -> DataFrame:
+    """Rows with null in all summary columns of a field for the keys in gone (key)."""
+    ids = gone.select(key).distinct().withColumn("_gone", F.lit(True))
+    mine = [c for c in rows.columns if c.startswith(f"{field}_summary_") or c == f"{field}_summarized_at"]
+    return rows.join(ids, key, "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in mine}).drop("_gone")

@@ -86,3 +86,22 @@ def entity_vectors(entities: DataFrame, stored: DataFrame) -> DataFrame:
 def tag_usage(nodes: DataFrame) -> DataFrame:
     """(tag, usage) of nodes (tag), null tags left out: what a tag's usage count is set to."""
     return nodes.where("tag is not null").groupBy("tag").agg(F.count("*").alias("usage"))
+
+
+def upsert_tags(tags: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tags (tag, name, category, projects, usage) after uses (node, name, category, project), and the links (node, tag).
+
+    A tag is its normalised name. What is stored keeps its name and category, a new one takes the smallest name and the smallest category,
+    ``other`` without any; each use counts one; projects grow by those not yet listed, in order. Null names are left out."""
+    named = uses.where("name is not null").withColumn("tag", normalise_tag(F.col("name")))
+    new = named.groupBy("tag").agg(
+        F.min("name").alias("_name"), F.min("category").alias("_category"), F.sort_array(F.collect_set("project")).alias("_projects"), F.count("*").alias("_usage"),
+    )
+    none = F.expr("cast(array() as array<string>)")
+    merged = tags.join(new, "tag", "full").select(
+        "tag", F.coalesce("name", "_name").alias("name"),
+        F.when(F.col("usage").isNull() & F.col("category").isNull(), F.coalesce("_category", F.lit("other"))).otherwise(F.col("category")).alias("category"),
+        F.array_union(F.coalesce("projects", none), F.coalesce("_projects", none)).alias("projects"),
+        (F.coalesce("usage", F.lit(0)) + F.coalesce("_usage", F.lit(0))).cast("long").alias("usage"),
+    )
+    return merged, named.where("node is not null").select("node", "tag").distinct()

@@ -123,6 +123,15 @@ def explore(node: str, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back).join(nodes.select("id"), "id", "left_semi").groupBy("type").agg(F.count_distinct("id").alias("n"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
 
 
+def explore_far(node: str, edges: DataFrame, nodes: DataFrame, depth: int = 1, most: int = 20) -> DataFrame:
+    """(type, depth, n, ids): as ``explore``, up to so many steps and over the ``most`` nearest existing nodes, ties by id; each node is listed
+    at its smallest number of steps under every edge type that reaches it in so many."""
+    both = edges.select("src", "dst", "type").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat("type", F.lit("_BY")).alias("type")))
+    start = edges.sparkSession.createDataFrame([(node,)], "id string")
+    near = reach(start, both, depth, target=nodes).orderBy("depth", "id").limit(most)
+    return near.select("depth", "id", F.explode("types").alias("type")).groupBy("type", "depth").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
+
+
 #: Lines of a file that one task sweeps at a time.
 BLOCK = 10_000
 

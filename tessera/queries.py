@@ -810,4 +810,4 @@ def x6(spark, d):
     return spark.sql("SELECT n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 
 
-from tessera import code_queries, index_queries, memory_queries  # noqa: E402, F401 - they register their queries
+from tessera import code_queries, index_queries, memory_queries, upkeep_queries  # noqa: E402, F401 - they register their queries
