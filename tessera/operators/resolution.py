@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalise_tag
@@ -17,10 +17,11 @@ def match(mentions: DataFrame, canonicals: DataFrame, least: float = 0.8) -> Dat
     """(mention, type, name, canonical, similarity): the canonical of the same type with the most similar name; null where none is near
     enough. All names are compared in effect: see ``similar``."""
     close = similar(mentions, canonicals, least, ["type"])
-    pairs = mentions.select("mention", "type", "name").join(close.withColumnRenamed("a", "name"), ["type", "name"])
-    pairs = pairs.join(canonicals.select("canonical", "type", F.col("name").alias("b")), ["type", "b"])
-    best = pairs.groupBy("mention").agg(F.min_by(F.struct("canonical", "similarity"), F.struct((-F.col("similarity")).alias("s"), "canonical")).alias("b"))
-    return mentions.join(best, "mention", "left").select("mention", "type", "name", "b.canonical", "b.similarity")
+    # names meet, not mentions and canonicals: of a name that many canonicals have the smallest id is taken first
+    first = canonicals.groupBy("type", F.col("name").alias("b")).agg(F.min("canonical").alias("canonical"))
+    best = F.min_by(F.struct("canonical", "similarity"), F.struct((-F.col("similarity")).alias("s"), "canonical")).alias("_b")
+    found = close.join(first, ["type", "b"]).groupBy("type", F.col("a").alias("name")).agg(best)
+    return mentions.join(found, ["type", "name"], "left").select("mention", "type", "name", "_b.canonical", "_b.similarity")
 
 
 def name_rank(name: Column, kind: str) -> Column:
@@ -40,8 +41,9 @@ def canonicalise(mentions: DataFrame, kind: str = "other") -> DataFrame:
 
 def merge_duplicates(canonicals: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonicals of one normalised name and type become the one of smallest id; links (mention, canonical) move."""
-    w = Window.partitionBy(F.lower(F.trim("name")), "type")
-    mapped = canonicals.withColumn("survivor", F.min("canonical").over(w))
+    norm = F.lower(F.trim("name"))
+    least = canonicals.groupBy(norm.alias("_norm"), F.col("type").alias("_type")).agg(F.min("canonical").alias("survivor"))
+    mapped = canonicals.join(least, norm.eqNullSafe(F.col("_norm")) & F.col("type").eqNullSafe(F.col("_type")))
     moved = links.join(mapped.select("canonical", "survivor"), "canonical").select("mention", F.col("survivor").alias("canonical")).distinct()
     kept = mapped.groupBy(F.col("survivor").alias("canonical"), "type").agg(F.min_by("name", "canonical").alias("name"), F.count("*").alias("merged"))
     return kept, moved

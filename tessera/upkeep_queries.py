@@ -1,4 +1,4 @@
-"""Queries over upkeep: dirty rows, summaries of fields, backlogs, stored tags; parts of pages; a node's far neighbours."""
+"""Queries over upkeep: dirty rows, summaries of fields, backlogs, stored tags; parts of pages; a node's far neighbours; rows of merges."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from tessera.functions import text as T
 from tessera.operators import aggregate as A
 from tessera.operators import incremental as I
 from tessera.operators import resolution as E
+from tessera.operators import search as S
 from tessera.operators import traverse as X
 from tessera.plans import graph
 from tessera.plans.graph import table
+from tessera.queries import _HYBRID, _SIM, _VQ, _text_hits, r6, vec_of, vectors
 from tessera.registry import query, simple
 
 # --- dirty rows and texts to embed ----------------------------------------------------------------------------------
@@ -168,3 +170,61 @@ SELECT type, CAST(depth AS INTEGER) AS depth, count(*) AS n, string_agg(id, ','
 )
 def t9(spark, d):
     return X.explore_far("region:1", graph.edges(spark, d, ["IN_NATION", "IN_REGION"]), graph.nodes(spark, d), 2, 25)
+
+
+# --- rows of merges and of both kinds of hits -----------------------------------------------------------------------
+
+
+@query(
+    "e2_match_rows",
+    """WITH p AS (SELECT p_partkey, p_name, substr(p_name, 1, length(p_name) - 2) AS cut, CASE p_partkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS type FROM part),
+n AS (SELECT a.cut, a.type, b.p_name AS name, 1 - levenshtein(lower(a.cut), lower(b.p_name)) / greatest(length(a.cut), length(b.p_name)) AS sim FROM (SELECT DISTINCT cut, type FROM p) a JOIN (SELECT DISTINCT p_name, type FROM p) b ON a.type = b.type AND abs(length(a.cut) - length(b.p_name)) <= 0.2 * greatest(length(a.cut), length(b.p_name)) WHERE 1 - levenshtein(lower(a.cut), lower(b.p_name)) / greatest(length(a.cut), length(b.p_name)) >= 0.8)
+SELECT p.p_partkey AS mention, (SELECT min(c.p_partkey) FROM p c JOIN n ON n.name = c.p_name AND n.type = c.type WHERE n.cut = p.cut AND n.type = p.type AND n.sim = (SELECT max(sim) FROM n m WHERE m.cut = p.cut AND m.type = p.type)) AS canonical FROM p""",
+)
+def e2(spark, d):
+    """Names of parts that lost two letters, matched with the whole names."""
+    p = table(spark, d, "part").withColumn("type", F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b"))
+    cut = F.substring(F.col("p_name"), F.lit(1), F.length("p_name") - 2)
+    mentions, canonicals = p.select(F.col("p_partkey").alias("mention"), "type", cut.alias("name")), p.select(F.col("p_partkey").alias("canonical"), "type", F.col("p_name").alias("name"))
+    return E.match(mentions, canonicals).select("mention", "canonical")
+
+
+@query("e5_moved_links", "SELECT doc_id AS mention, min(doc_id) OVER (PARTITION BY lower(trim(lang)), source) AS canonical FROM documents")
+def e5(spark, d):
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("canonical"), F.col("lang").alias("name"), F.col("source").alias("type"))
+    return E.merge_duplicates(c, c.select(F.col("canonical").alias("mention"), "canonical"))[1]
+
+
+@query("a9_edge_rows", "SELECT DISTINCT 'orders:' || o_orderkey AS src, 'customer:' || o_custkey AS dst, 'PLACED_BY' AS type FROM orders WHERE o_orderkey % 4 = 0 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+def a9(spark, d):
+    e = graph.edges(spark, d, ["PLACED_BY"])
+    ends = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(graph.node_id("customer", "c_custkey").alias("id")).unionByName(graph.nodes(spark, d, ["orders"]).select("id"))
+    return I.upsert_edges(e.where(F.regexp_extract("src", r"(\d+)$", 1).cast("long") % 4 == 0), e.unionByName(e), ends)
+
+
+@query("t12_pending_rows", "SELECT o_orderkey AS src, o_custkey AS target, o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS resolved FROM orders")
+def t12(spark, d):
+    pending = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("target"))
+    done, left = X.resolve_pending(pending, table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id")))
+    return done.withColumn("resolved", F.lit(True)).unionByName(left.withColumn("resolved", F.lit(False)))
+
+
+@query(
+    "s1_with_neighbour_names",
+    f"SELECT h.id, round(score, 6) AS score, (SELECT string_agg(DISTINCT s_name, ',' ORDER BY s_name) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = h.id) AS suppliers FROM (SELECT e.vec_id AS id, {_SIM} AS score FROM {_VQ} WHERE e.vec_id IN (SELECT p_partkey FROM part) ORDER BY {_SIM} DESC, e.vec_id LIMIT 15) h",
+)
+def s1(spark, d):
+    """The nearest parts, each with the names of those that supply it."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    hits = S.vector_search(vectors(spark, d).join(parts, "id", "left_semi"), vec_of(spark, d), 15).withColumn("number", F.col("id")).withColumn("id", graph.node_id("part", "number"))
+    found = X.enrich(hits, graph.edges(spark, d, ["SUPPLIED_BY"]), graph.nodes(spark, d, ["supplier"]), {"suppliers": "SUPPLIED_BY"})
+    return found.select(F.col("number").alias("id"), r6(F.col("score")).alias("score"), F.array_join("suppliers", ",").alias("suppliers"))
+
+
+@query("s9_hybrid_page", _HYBRID + " SELECT id, round(score, 6) AS score, lang, total FROM (SELECT x.id, x.score, lang, count(*) OVER () AS total FROM x JOIN documents ON doc_id = x.id WHERE lang IN ('en', 'fr') AND x.score >= 0.12 ORDER BY x.score DESC, x.id LIMIT 10 OFFSET 2)")
+def s9(spark, d):
+    """The front door with hits of both kinds: filter and minimum score hold before the second page is cut."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    near = S.vector_search(vectors(spark, d), vec_of(spark, d), 60, least=0.1)
+    out = S.search(near, _text_hits(spark, d, "thing with", 60), docs, 10, 2, where=F.col("lang").isin("en", "fr"), least=0.12)
+    return out.select("id", r6(F.col("score")).alias("score"), "lang", "total")
