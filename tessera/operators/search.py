@@ -89,7 +89,8 @@ def text_search(docs: DataFrame, query: str, k: int, least: float | None = None,
     if not terms:
         return docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     low, letter = F.lower(text), r"[\p{L}\p{N}]"
-    tf = [F.regexp_count(low, F.lit(f"(?<!{letter}){re.escape(t)}(?!{letter})")) for t in terms]
+    # the word's own letters come first, so that the look around is made only where they stand
+    tf = [F.regexp_count(low, F.lit(f"{re.escape(t)}(?<!{letter}{re.escape(t)})(?!{letter})")) for t in terms]
     counted = docs.select(F.col(key).alias("id"), F.regexp_count(low, F.lit(letter + "+")).alias("length"), F.array(*tf).alias("tf")).repartition("id")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     j = counted.crossJoin(F.broadcast(stats))  # one row
