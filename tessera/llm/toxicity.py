@@ -64,9 +64,10 @@ def noisy_or(p: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 def fit(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, rate: float = 10.0, decay: float = 2e-4) -> Model:
     """Gradient steps on the log-likelihood of document labels under the noisy-or, the classes weighing alike.
 
-    sentence and doc number the words and the sentences. Words start at their log odds between the classes where these are large,
-    else at 0; words of fewer than three documents, or than a hundredth of the toxic ones, keep weight 0, so no document is learnt by heart, as do words that the classes hold about alike. The order of rows has no effect
-    but on rounding."""
+    sentence and doc number the words and the sentences. Words that speak for either class start at a part of their log odds between
+    the classes, those for the clean one below 0. Words that the classes hold about alike keep weight 0, and so that no document is
+    learnt by heart, those of fewer than three documents, or than a hundredth of the toxic ones (of all, if they speak for the clean
+    class). The order of rows has no effect but on rounding."""
     model = Model(np.zeros(BUCKETS), -5.5)
     n_sent, n = len(doc), len(label)
     # buckets and documents as one number each, so that only distinct pairs are counted
@@ -78,8 +79,9 @@ def fit(buckets: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.nd
     del pairs, toxic
     size = [max(1, int((label == k).sum())) for k in (1, 0)]
     odds = np.log((of[0] + 0.1) / (size[0] + 0.2)) - np.log((of[1] + 0.1) / (size[1] + 0.2))
-    used = np.flatnonzero((of[0] + of[1] >= max(3, 0.01 * size[0])) & (odds > 2))
-    w = 1.4 * odds[used]
+    held = of[0] + of[1]
+    used = np.flatnonzero((held >= max(3, 0.01 * size[0])) & ((odds > 2) | (odds < -1) & (held >= 0.01 * n)))
+    w = np.where(odds[used] > 0, 1.4, 0.5) * odds[used]
     # other words have no weight: only the places of these take part
     spot = np.full(BUCKETS, -1, np.int32)
     spot[used] = np.arange(len(used))

@@ -201,6 +201,32 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, df)).count() == 0
 
 
+def test_toxicity_plain_fit(spark):
+    """The scores of the distributed fit are those of a plain one, with words that speak against a label too."""
+    rng = random.Random(16)
+    mild, harsh, calm = ["sun", "low", "tree", "river", "stone", "cloud", "wind"], ["vile", "fool", "scum"], ["please", "thanks"]
+
+    def text(bad):
+        parts = [" ".join(rng.choice(mild) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 5))]
+        at = rng.randrange(len(parts))
+        if bad or rng.random() < 0.1:  # a harsh word beside a calm one is no offence
+            parts[at] += " " + rng.choice(harsh) + ("" if bad else " " + rng.choice(calm))
+        elif rng.random() < 0.5:
+            parts[at] += " " + rng.choice(calm)
+        return rng.choice([". ", "!\n", "? "]).join(parts) + f" n{rng.randrange(10**6)} m{rng.randrange(10**6)}"
+
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    model = toxicity.train(df, df.where("doc_id < 160").select("doc_id", "toxic"))
+    assert (model.weights < 0).any() and (model.weights > 0).any()
+    ask = [*((d, t) for d, t, _ in rows), (900, None), (901, ""), (902, "you vile fool"), (903, "VILE, please! thanks")]
+    plain = brute.noisy_or_scores([(t, y) for d, t, y in rows if d < 160], [t for _, t in ask])
+    mine = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    assert max(abs(mine[d] - p) for (d, _), p in zip(ask, plain, strict=True)) < 1e-4
+    told = [(mine[d] >= 0.7) == y for d, _, y in rows if d >= 160]
+    assert sum(told) >= 0.9 * len(told) and mine[902] > 0.7 > mine[903]
+
+
 def test_differencing():
     rng = np.random.default_rng(0)
     parts = np.zeros((300, 7), np.int64)
