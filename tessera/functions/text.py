@@ -215,7 +215,7 @@ def python_imports(text: Column) -> Column:
     def one(s):
         module = F.concat(F.regexp_extract(s, rx, 1), F.regexp_extract(s, rx, 3))
         names = F.filter(F.transform(F.split(F.regexp_extract(s, rx, 2), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*|[()]|#.*|\s+", " "))), lambda x: x != "")
-        return F.struct(_line_of(s, text).alias("line"), module.alias("module"), names.alias("symbols"), module.startswith(".").alias("local"))
+        return F.struct(line_of(s, text).alias("line"), module.alias("module"), names.alias("symbols"), module.startswith(".").alias("local"))
 
     return F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(rx), F.lit(0))), one))
 
@@ -225,7 +225,7 @@ def _before(part: Column, text: Column) -> Column:
     return F.call_function("substring_index", text, part, F.lit(1))
 
 
-def _line_of(part: Column, text: Column) -> Column:
+def line_of(part: Column, text: Column) -> Column:
     """Number of the line on which a part of a text first begins."""
     before = _before(part, text)
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
@@ -249,7 +249,7 @@ def script_imports(text: Column) -> Column:
         named = F.filter(F.transform(F.split(F.regexp_extract(s, r"\{([^}]*)\}", 1), ","), lambda x: F.trim(F.regexp_replace(x, r"\s+as\s+.*|\btype\s+", ""))), lambda x: x != "")
         head = F.regexp_extract(s, r"^import\s+(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|from)", 1)
         symbols = F.concat(F.when((head != "") & (head != "type"), F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")), F.when(s.rlike(r"^(import|export)\s[^'\"]*\*"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")), named)
-        return F.struct(_line_of(s, text).alias("line"), module.alias("module"), symbols.alias("symbols"), module.rlike(r"^[./]").alias("local"))
+        return F.struct(line_of(s, text).alias("line"), module.alias("module"), symbols.alias("symbols"), module.rlike(r"^[./]").alias("local"))
 
     return F.array_sort(F.transform(found, one))
 

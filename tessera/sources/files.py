@@ -57,6 +57,19 @@ def page_links(df: DataFrame, inside: bool = True) -> DataFrame:
     return links.join(df.select(normalise_url(F.col("url")).alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst") if inside else links
 
 
+def sites(df: DataFrame) -> DataFrame:
+    """(site, n_pages, first_url): hosts of pages (page_id, url, html), each with its number of distinct URLs and the first of them. URLs
+    without a host belong to no site."""
+    p = df.select(url_host(F.col("url")).alias("site"), normalise_url(F.col("url")).alias("url")).where("site <> ''").distinct()
+    return p.groupBy("site").agg(F.count("*").alias("n_pages"), F.min("url").alias("first_url"))
+
+
+def page_graph(df: DataFrame) -> DataFrame:
+    """(src, dst, type), each once: a site has its pages, and a page links to other pages of the table."""
+    has = df.select(url_host(F.col("url")).alias("src"), normalise_url(F.col("url")).alias("dst"), F.lit("HAS_PAGE").alias("type")).where("src <> ''").distinct()
+    return has.unionByName(page_links(df).withColumn("type", F.lit("LINKS_TO")))
+
+
 def crawl(links: DataFrame, start: str, depth: int, limit: int, include: str | None = None, exclude: str | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(url, depth) reached from a start URL over a link table (src, dst), breadth first; excludes win. ``limit`` is the page cap.
 
@@ -99,4 +112,4 @@ def write_snapshot(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
-__all__ = ["absolute", "crawl", "directory_edges", "discover", "json_sections", "page_links", "pages", "read_files", "reassign", "url_path", "write_snapshot"]
+__all__ = ["absolute", "crawl", "directory_edges", "discover", "json_sections", "page_graph", "page_links", "pages", "read_files", "reassign", "sites", "url_path", "write_snapshot"]

@@ -12,8 +12,10 @@ from tessera.operators import search as S
 from tessera.operators import traverse as X
 from tessera.plans import graph
 from tessera.plans.graph import table
-from tessera.queries import _HYBRID, _SIM, _VQ, _text_hits, r6, vec_of, vectors
+from tessera.queries import _HYBRID, _LINKS, _NORM, _SIM, _VQ, _text_hits, r6, vec_of, vectors
 from tessera.registry import query, simple
+from tessera.sources import files
+from tessera.sources.references import file_references
 
 # --- dirty rows and texts to embed ----------------------------------------------------------------------------------
 
@@ -228,3 +230,49 @@ def s9(spark, d):
     near = S.vector_search(vectors(spark, d), vec_of(spark, d), 60, least=0.1)
     out = S.search(near, _text_hits(spark, d, "thing with", 60), docs, 10, 2, where=F.col("lang").isin("en", "fr"), least=0.12)
     return out.select("id", r6(F.col("score")).alias("score"), "lang", "total")
+
+
+# --- sites, and what files of all kinds refer to ---------------------------------------------------------------------
+
+_SITE = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1))"
+simple("a5_sites", "pages", files.sites, f"SELECT {_SITE} AS site, count(DISTINCT {_NORM.format(u='url')}) AS n_pages, min({_NORM.format(u='url')}) AS first_url FROM pages WHERE {_SITE} <> '' GROUP BY 1")
+simple(
+    "a5_page_graph", "pages", files.page_graph,
+    f"SELECT DISTINCT {_SITE} AS src, {_NORM.format(u='url')} AS dst, 'HAS_PAGE' AS type FROM pages WHERE {_SITE} <> '' UNION ALL SELECT src, dst, 'LINKS_TO' FROM {_LINKS} WHERE src <> dst AND dst IN (SELECT {_NORM.format(u='url')} FROM pages)",
+)
+
+
+@query(
+    "f11_file_references",
+    """WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS c, p_size AS z, string_split(p_name, ' ') AS w, CAST(p_size AS VARCHAR) AS s FROM part), r AS (
+SELECT k, '.ts' AS e, z % 4 + 2 AS line, './m' || s AS source, w[1] || ',' || w[2] AS symbols, 'code' AS type, true AS local FROM p WHERE k % 6 = 0 UNION ALL SELECT k, '.ts', z % 4 + 5, '../d' || c, 'x' || s, 'code', true FROM p WHERE k % 6 = 0 UNION ALL SELECT k, '.ts', z % 4 + 5, 'pkg', '*', 'code', false FROM p WHERE k % 6 = 0
+UNION ALL SELECT k, '.py', z % 4 + 2, '.m' || s, w[1] || ',' || w[2], 'code', true FROM p WHERE k % 6 = 1 UNION ALL SELECT k, '.py', z % 4 + 5, 'os.p' || c, '*', 'code', false FROM p WHERE k % 6 = 1
+UNION ALL SELECT k, '.md', z % 4 + 2, 'docs/p' || c || '.md', '', 'document', true FROM p WHERE k % 6 = 2 UNION ALL SELECT k, '.md', z % 4 + 3, 'img/' || s || '.png', '', 'asset', true FROM p WHERE k % 6 = 2 UNION ALL SELECT k, '.md', z % 4 + 3, 'https://www.h' || s || '.example/', '', 'url', false FROM p WHERE k % 6 = 2
+UNION ALL SELECT k, '.css', z % 4 + 2, 'base' || s || '.css', '', 'stylesheet', true FROM p WHERE k % 6 = 3 UNION ALL SELECT k, '.css', z % 4 + 3, 'f/' || c || '.woff2', '', 'asset', true FROM p WHERE k % 6 = 3
+UNION ALL SELECT k, '.html', z % 4 + 2, 'p' || c || '.html', '', 'document', true FROM p WHERE k % 6 = 4 UNION ALL SELECT k, '.html', z % 4 + 3, 's' || s || '.js', '', 'code', true FROM p WHERE k % 6 = 4
+UNION ALL SELECT k, '.vue', z % 4 + 4, './m' || s, 'default', 'code', true FROM p WHERE k % 6 = 5 UNION ALL SELECT k, '.vue', z % 4 + 7, 'v' || c || '.css', '', 'stylesheet', true FROM p WHERE k % 6 = 5)
+SELECT 'src/f' || CAST(k AS VARCHAR) || e AS path, CAST(line AS INTEGER) AS line, source, symbols, type, local FROM r""",
+)
+def f11_files(spark, d):
+    """Files of six kinds, of lines that name nothing and then of such that do, with names from the part's."""
+    c, z, w = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.split("p_name", " ")
+    kind, above = F.col("p_partkey") % 6, F.repeat(F.lit("no words\n"), (F.col("p_size") % 4 + 1).cast("int"))
+    a, b = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    body = (
+        F.when(kind == 0, F.concat(F.lit("import {\n  "), a, F.lit(" as A, "), b, F.lit(" } from './m"), z, F.lit("'\n\nconst { x"), z, F.lit(" } = await import('../d"), c, F.lit("'); export * from \"pkg\"\n")))
+        .when(kind == 1, F.concat(F.lit("from .m"), z, F.lit(" import ("), a, F.lit(",\n  "), b, F.lit(" as B)\n\nimport os.p"), c, F.lit("\n")))
+        .when(kind == 2, F.concat(F.lit("[a](docs/p"), c, F.lit(".md#top) [b](#c)\n![d](img/"), z, F.lit(".png) on www.h"), z, F.lit(".example/, too")))
+        .when(kind == 3, F.concat(F.lit("@import url('base"), z, F.lit(".css');\na { src: url(f/"), c, F.lit(".woff2), url(https://h.example/x.png) }")))
+        .when(kind == 4, F.concat(F.lit("<a href='p"), c, F.lit(".html#q'>a</a>\n<script src=\"s"), z, F.lit(".js\"></script>")))
+        .otherwise(F.concat(F.lit("<template><p/></template>\n<script>\nimport M from './m"), z, F.lit("'\n</script>\n<style>\n@import 'v"), c, F.lit(".css';\n</style>")))
+    )
+    ends = F.get(F.array(*(F.lit(e) for e in (".ts", ".py", ".md", ".css", ".html", ".vue"))), kind.cast("int"))
+    out = file_references(table(spark, d, "part").select(F.concat(F.lit("src/f"), c, ends).alias("path"), F.concat(above, body).alias("content")))
+    return out.withColumn("symbols", F.array_join("symbols", ","))
+
+
+simple(
+    "f20_entity_lines", "part",
+    lambda t: t.select("p_partkey", E.entity_text(F.col("p_name"), F.when(F.col("p_size") > 25, F.split("p_type", " ")).otherwise(F.array().cast("array<string>")), F.lower("p_brand")).alias("t")),
+    "SELECT p_partkey, concat_ws(chr(10), p_name, CASE WHEN p_size > 25 THEN 'Aliases: ' || replace(p_type, ' ', ', ') END, 'Type: ' || lower(p_brand)) AS t FROM part",
+)
