@@ -59,7 +59,8 @@ def normalise_tag(name: Column) -> Column:
 
 def sentences(text: Column, merge_to: int = 100) -> Column:
     """Sentences, cut after . ! ? before white space and a capital, or at line ends; short ones are merged up to merge_to characters."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=\p{Lu})|\n+"), F.trim), lambda s: s != "")
+    # not F.trim alone: transform would hand it the place of a part as the characters to cut off
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=\p{Lu})|\n+"), lambda s: F.trim(s)), lambda s: s != "")
     empty = F.expr("cast(array() as array<string>)")
 
     def step(done, s):
