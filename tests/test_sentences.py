@@ -13,3 +13,11 @@ PARTS = ["A" * 90 + ".", "1 " + "B" * 99 + " 1", "2" + "C" * 99 + "22", "  D" +
 def test_sentences_keep_digits(spark):
     got = spark.createDataFrame([("\n".join(PARTS),)], "t string").select(T.sentences(F.col("t")).alias("s")).first().s
     assert got == [p.strip(" ") for p in PARTS]
+
+
+def chunks_of(spark, text: str, strategy: str) -> list[str]:
+    return [c.text for c in spark.createDataFrame([(text,)], "t string").select(T.chunks(F.col("t"), size=400, overlap=0, least=1, strategy=strategy).alias("c")).first().c]
+
+
+def test_sentence_chunks_keep_digits(spark):
+    assert " ".join(chunks_of(spark, "\n".join(PARTS), "sentence")) == " ".join(p.strip(" ") for p in PARTS)
