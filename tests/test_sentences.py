@@ -21,3 +21,10 @@ def chunks_of(spark, text: str, strategy: str) -> list[str]:
 
 def test_sentence_chunks_keep_digits(spark):
     assert " ".join(chunks_of(spark, "\n".join(PARTS), "sentence")) == " ".join(p.strip(" ") for p in PARTS)
+
+
+def test_paragraph_chunks_keep_digits(spark):
+    # a paragraph of over one and a half times the size is cut into sentences first
+    long = "\n".join([*PARTS, *PARTS])
+    got = chunks_of(spark, "Short 2.\n\n" + long, "paragraph")
+    assert "".join("".join(got).split()) == "".join(("Short 2." + long).split())
