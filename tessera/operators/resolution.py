@@ -20,8 +20,8 @@ def match(mentions: DataFrame, canonicals: DataFrame, least: float = 0.8) -> Dat
     # names meet, not mentions and canonicals: of a name that many canonicals have the smallest id is taken first
     first = canonicals.groupBy("type", F.col("name").alias("b")).agg(F.min("canonical").alias("canonical"))
     best = F.min_by(F.struct("canonical", "similarity"), F.struct((-F.col("similarity")).alias("s"), "canonical")).alias("_b")
-    found = close.join(first, ["type", "b"]).groupBy("type", F.col("a").alias("name")).agg(best)
-    return mentions.join(found, ["type", "name"], "left").select("mention", "type", "name", "_b.canonical", "_b.similarity")
+    found = close.join(first.hint("merge"), ["type", "b"]).groupBy("type", F.col("a").alias("name")).agg(best)
+    return mentions.join(found.hint("merge"), ["type", "name"], "left").select("mention", "type", "name", "_b.canonical", "_b.similarity")
 
 
 def name_rank(name: Column, kind: str) -> Column:

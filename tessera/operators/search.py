@@ -225,19 +225,20 @@ def resolve_loose(refs: DataFrame, files: DataFrame, least: float = 0.7) -> Data
     ext = lambda c: F.regexp_extract(c, r"(\.[^.]*)$", 1)
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.call_function("substring_index", c, F.lit("/"), -i))
-    # a tail or a name that many files share is one row before it meets a reference, with the first of their paths
-    ends = files.select("path", F.explode(F.array_distinct(tails(F.col("path")))).alias("clean")).groupBy("clean").agg(F.min("path").alias("path"))
+    # a tail or a name that many files share is one row before it meets a reference, with the first of their paths. Both grow with the files,
+    # but Spark guesses their size from that of the stored columns: merge joins keep them from being gathered on the driver
+    ends = files.select("path", F.explode(F.array_distinct(tails(F.col("path")))).alias("clean")).groupBy("clean").agg(F.min("path").alias("path")).hint("merge")
     names = files.select("path", F.lower(name(F.col("path"))).alias("name")).groupBy("name").agg(F.min("path").alias("path"), F.count("*").alias("n"))
     r = refs.select("ref", F.regexp_replace("ref", r"^\./", "").alias("clean")).withColumn("name", F.lower(name(F.col("clean")))).distinct()
     whole = r.join(ends, "clean").select("ref", "path", F.lit(1.0).alias("score"))
-    same = r.join(names, "name").select("ref", "path", F.when(F.col("n") == 1, 0.95).otherwise(0.7).alias("score"))
-    left = r.join(names, "name", "left_anti").select("ref", ext(F.col("name")).alias("ext"), "name")
+    same = r.join(names.hint("merge"), "name").select("ref", "path", F.when(F.col("n") == 1, 0.95).otherwise(0.7).alias("score"))
+    left = r.join(names.hint("merge"), "name", "left_anti").select("ref", ext(F.col("name")).alias("ext"), "name")
     best = F.min_by(F.struct("path", "score"), F.struct((-F.col("score")).alias("s"), "path")).alias("b")
 
     def like(mine: DataFrame, theirs: DataFrame, least: float, by: list[str], weight: float) -> DataFrame:
         first = theirs.groupBy(*by, F.col("name").alias("b")).agg(F.min("path").alias("path"))
-        near = similar(mine, theirs, least, by).join(first, [*by, "b"]).withColumn("score", weight * F.col("similarity"))
-        return mine.join(near.groupBy(*by, F.col("a").alias("name")).agg(best), [*by, "name"]).select("ref", "b.path", "b.score")
+        near = similar(mine, theirs, least, by).join(first.hint("merge"), [*by, "b"]).withColumn("score", weight * F.col("similarity"))
+        return mine.join(near.groupBy(*by, F.col("a").alias("name")).agg(best).hint("merge"), [*by, "name"]).select("ref", "b.path", "b.score")
 
     full = like(left, names.select("path", ext(F.col("name")).alias("ext"), "name"), least, ["ext"], 1.0)
     bare = like(left.select("ref", stem(F.col("name")).alias("name")), names.select("path", stem(F.col("name")).alias("name")), min(1.0, least / 0.9), [], 0.9)
