@@ -248,6 +248,6 @@ def resolve_loose(refs: DataFrame, files: DataFrame, least: float = 0.7) -> Data
 
 def resolve_mentions(mentions: DataFrame, files: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Mentions (mention, ref, confidence) of files: resolved ones (mention, path, confidence times match score), and those to try again."""
-    found = resolve_loose(mentions.select("ref").distinct(), files, least)
+    found = resolve_loose(mentions.select("ref").distinct(), files, least).hint("merge")
     resolved = mentions.join(found, "ref").select("mention", "path", (F.coalesce("confidence", F.lit(0.5)) * F.col("score")).alias("confidence"))
     return resolved, mentions.join(found.select("ref").hint("merge"), "ref", "left_anti")

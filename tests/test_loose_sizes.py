@@ -32,6 +32,10 @@ def test_pending_mentions_are_not_broadcast(tables):
     assert wide_broadcasts(S.resolve_mentions(*tables)[1]) == []
 
 
+def test_resolved_mentions_are_not_broadcast(tables):
+    assert wide_broadcasts(S.resolve_mentions(*tables)[0]) == []
+
+
 def test_pairs_of_other_names_do_not_meet(spark):
     left, right = spark.createDataFrame([("none-at-all",)], "name string"), spark.createDataFrame([("p12345.py",), ("none-at-alt",)], "name string")
     assert [(r.a, r.b) for r in similar(left, right, 0.7).collect()] == [("none-at-all", "none-at-alt")]
