@@ -13,29 +13,48 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import edit_similarity
 from tessera.operators.ranking import top_k
-from tessera.operators.search import bm25, postings, words_of
+from tessera.operators.search import bm25, words_of
 from tessera.plans.stored import stored
 from tessera.sources import buckets as B
 
 
 def build(docs: DataFrame, root: str, key: str = "id", text: str = "text", buckets: int = 64) -> None:
     """Write the index of docs under root: ``postings`` (term, id, tf, length) by term, ``terms`` (size, term, df) by the term's length and
-    ``docs`` (id, length, terms) by id. Ids must be unique; a null text has no length and no postings."""
-    rows = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
-    p = stored(postings(rows))
-    B.create(p, f"{root}/postings", ["term"], buckets, ["term", "id"])
-    B.create(_vocabulary(p), f"{root}/terms", ["size"], buckets, ["size", "term"])
-    B.create(_held(rows), f"{root}/docs", ["id"], buckets)
+    ``docs`` (id, length, terms, tfs) by id. Ids must be unique; a null text has no length and no postings.
 
+    A text's words are counted where it is read; it is the counts in ``docs`` that the other two tables are made of, each by one shuffle."""
+    held = B.create(_held(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), f"{root}/docs", ["id"], buckets).read()
+    B.create(_postings(held), f"{root}/postings", ["term"], buckets, ["term", "id"])
+    B.create(_vocabulary(held), f"{root}/terms", ["size"], buckets, ["size", "term"])
 
-def _vocabulary(p: DataFrame) -> DataFrame:
-    return p.groupBy("term").agg(F.count("*").alias("df")).select(F.length("term").alias("size"), "term", "df")
+
+def _vocabulary(held: DataFrame) -> DataFrame:
+    seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return seen.select(F.length("term").alias("size"), "term", "df")
 
 
 def _held(rows: DataFrame) -> DataFrame:
-    """(id, length, terms): what the index holds of a document, which is what must go when it changes."""
-    w = words_of("text")
-    return rows.select("id", F.size(w).alias("length"), F.coalesce(F.array_distinct(w), F.expr("cast(array() as array<string>)")).alias("terms"))
+    """(id, length, terms, tfs): what the index holds of a document, which is what must go when it changes. Words are in order, tfs say how
+    often each stands there."""
+
+    # sorted words, and where their runs end, are each the one element of an array, so that they are computed once a text
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.transform(s, lambda x, i: F.when(~F.get(s, i + 1).eqNullSafe(x), i + 1)), lambda e: e.isNotNull())
+        return F.get(F.transform(F.array(ends), lambda e: counts(s, e)), 0)
+
+    def counts(s: Column, ends: Column) -> Column:
+        tfs = F.transform(ends, lambda e, j: e - F.coalesce(F.get(ends, j - 1), F.lit(0)))
+        return F.struct(F.size(s).alias("length"), F.transform(ends, lambda e: F.get(s, e - 1)).alias("terms"), tfs.alias("tfs"))
+
+    got = rows.select("id", F.explode(F.transform(F.array(F.sort_array(words_of("text"))), runs)).alias("h"))
+    none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() as array<{kind}>)"))
+    return got.select("id", "h.length", none(F.col("h.terms"), "string").alias("terms"), none(F.col("h.tfs"), "int").alias("tfs"))
+
+
+def _postings(held: DataFrame) -> DataFrame:
+    """(term, id, tf, length) of what the index holds of documents."""
+    each = held.select("id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return each.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").cast("long").alias("tf"), "length")
 
 
 def update(spark: SparkSession, root: str, changed: DataFrame, removed: DataFrame | None = None, key: str = "id", text: str = "text", batch: int | None = None) -> None:
@@ -43,20 +62,21 @@ def update(spark: SparkSession, root: str, changed: DataFrame, removed: DataFram
 
     Which terms a document had is read from the index itself. A batch number makes a repeated call count once; where a failure left only
     some of the three tables merged, the same call with the same number completes the others, as each knows its own last batch."""
-    new = stored(changed.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    new = stored(_held(changed.select(F.col(key).alias("id"), F.col(text).alias("text"))))
     ids = new.select("id") if removed is None else new.select("id").unionByName(removed.select(F.col(key).alias("id")))
     ids = stored(ids.distinct())
     table = B.Bucketed(spark, f"{root}/docs")
     hit = [r.b for r in ids.select(B.bucket_of(["id"], table.buckets).alias("b")).distinct().collect()]
     before = _as_of(spark, f"{root}/docs", batch)
     gone = stored(before.read(hit).join(ids, "id", "left_semi").select("id", "terms"))
-    added = stored(postings(new))
+    added = _postings(new)
     old = gone.select("id", F.explode("terms").alias("term"))
-    touched = stored(old.select("term", "id", F.lit(None).cast("long").alias("tf"), F.lit(None).cast("int").alias("length"), F.lit(False).alias("_add")).unionByName(added.select("term", "id", F.col("tf").cast("long"), "length", F.lit(True).alias("_add"))))
+    touched = stored(old.select("term", "id", F.lit(None).cast("long").alias("tf"), F.lit(None).cast("int").alias("length"), F.lit(False).alias("_add")).unionByName(added.select("term", "id", "tf", "length", F.lit(True).alias("_add"))))
 
     def postings_after(have: DataFrame, change: DataFrame) -> DataFrame:
         put = change.where("_add").select("term", "id", "tf", "length")
-        return have.join(change.select("term", "id"), ["term", "id"], "left_anti").select("term", "id", "tf", "length").unionByName(put)
+        # the index held just the old words of a document, so all it has of these ids goes
+        return have.join(ids, "id", "left_anti").select("term", "id", "tf", "length").unionByName(put)
 
     counts = touched.groupBy("term").agg(F.sum(F.when(F.col("_add"), 1).otherwise(-1)).alias("by")).where("by <> 0").select(F.length("term").alias("size"), "term", "by")
 
@@ -64,10 +84,10 @@ def update(spark: SparkSession, root: str, changed: DataFrame, removed: DataFram
         both = have.join(change, ["size", "term"], "full").select("size", "term", (F.coalesce("df", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("df"))
         return both.where("df > 0")
 
-    change_docs = ids.join(_held(new).withColumn("_there", F.lit(True)), "id", "left")
+    change_docs = ids.join(new.withColumn("_there", F.lit(True)), "id", "left")
 
     def docs_after(have: DataFrame, change: DataFrame) -> DataFrame:
-        return have.join(change.select("id"), "id", "left_anti").unionByName(change.where("_there").select("id", "length", "terms"))
+        return have.join(change.select("id"), "id", "left_anti").unionByName(change.where("_there").select("id", "length", "terms", "tfs"))
 
     B.merge(spark, f"{root}/postings", touched, postings_after, batch, ["term", "id"])
     B.merge(spark, f"{root}/terms", stored(counts), terms_after, batch, ["size", "term"])
