@@ -16,8 +16,8 @@ from tessera.operators.ranking import top_k
 
 #: Rows that the centroids are fitted on, at most.
 SAMPLE = 200_000
-#: Rows of a cell that one task compares with its queries, about.
-SLICE = 20_000
+#: Rows of a cell, and queries that probe it, that one task compares at a time, about; and queries whose scores it holds together.
+SLICE, ASKED, TOGETHER = 20_000, 4_096, 128
 
 
 def _unit(field: str) -> Column:
@@ -91,7 +91,8 @@ def cell_search_fields(spark: SparkSession, root: str, query: Sequence[float], f
 
 def search_many(spark: SparkSession, root: str, queries: DataFrame, k: int, probes: int | None = 8) -> DataFrame:
     """(query, id, score): for each of queries (query, vector) what ``cell_search`` gives, in one pass: queries go to the cells they probe and
-    meet the rows there; each cell keeps k rows a query before anything is gathered."""
+    meet the rows there; each cell keeps k rows a query before anything is gathered. Every pair of a cell's rows and queries is compared,
+    in tiles of bounded size: a task's memory does not grow with either."""
     centres = _centres(spark, root)
     norms = np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
     unit, most = centres / norms, len(centres) if probes is None else probes
@@ -106,19 +107,25 @@ def search_many(spark: SparkSession, root: str, queries: DataFrame, k: int, prob
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": [], "id": [], "score": []})]
         if len(q) and len(r):
-            a, b = np.stack(q["vector"]).astype(float), np.stack(r["embedding"]).astype(float)
-            score, ids = a @ b.T / np.maximum(np.linalg.norm(a, axis=1)[:, None] * r["norm"].to_numpy()[None, :], 1e-300), r["id"].to_numpy()
-            for i, name in enumerate(q["query"]):
-                top = np.lexsort((ids, -score[i]))[:k]
-                out.append(pd.DataFrame({"query": name, "id": ids[top], "score": score[i][top]}))
+            b, norm, ids, names = np.stack(r["embedding"]).astype(float), r["norm"].to_numpy(), r["id"].to_numpy(), q["query"].to_numpy()
+            for lo in range(0, len(q), TOGETHER):
+                a = np.stack(q["vector"].iloc[lo : lo + TOGETHER]).astype(float)
+                score = a @ b.T / np.maximum(np.linalg.norm(a, axis=1)[:, None] * norm[None, :], 1e-300)
+                for name, mine in zip(names[lo : lo + TOGETHER], score, strict=True):
+                    top = np.lexsort((ids, -mine))[:k]
+                    out.append(pd.DataFrame({"query": name, "id": ids[top], "score": mine[top]}))
         return pd.concat(out[1:] or out)
 
-    # a cell's rows are cut into slices of bounded size, each of which meets the cell's queries
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / SLICE)).cast("long")
-    sizes = F.broadcast(rows.groupBy("cell").agg(F.count("*").alias("n")))  # one row a cell
-    dealt = rows.join(sizes, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), count)).select("id", "embedding", "norm", "cell", "slice")
-    wide = asked.join(sizes, "cell").select("query", "vector", "cell", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("slice"))
-    found = wide.groupBy("cell", "slice").cogroup(dealt.groupBy("cell", "slice")).applyInPandas(best, "query long, id long, score double")
+    # a cell's rows, and the queries that probe it, are cut into slices of bounded size, each of which meets each of the other kind
+    count = lambda c, size: F.greatest(F.lit(1), F.ceil(F.col(c) / size)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
+    sizes = F.broadcast(sizes.select("cell", count("n", SLICE).alias("n"), count("m", ASKED).alias("m")))  # one row a cell
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    dealt = rows.join(sizes, "cell").select("id", "embedding", "norm", "cell", part("id", "n").alias("slice"), each(F.col("m")).alias("ask"))
+    wide = asked.join(sizes, "cell").select("query", "vector", "cell", part("query", "m").alias("ask"), each(F.col("n")).alias("slice"))
+    by = ["cell", "slice", "ask"]
+    found = wide.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(best, "query long, id long, score double")
     ordered = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("top"))  # k rows a cell slice and query
     return ordered.select("query", F.explode("top").alias("t")).select("query", "t.id", (-F.col("t.s")).alias("score"))
 

@@ -31,3 +31,30 @@ def test_text_index_counts_words_where_they_are_read(spark, tmp_path, monkeypatc
     assert docs == {i: (None if t is None else len(words(t)), sorted(Counter(words(t)).items())) for i, t in TEXTS.items()}
     df = {r.term: r.df for r in B.Bucketed(spark, f"{root}/terms").read().collect()}
     assert df == Counter(w for t in TEXTS.values() for w in set(words(t)))
+
+
+@pytest.fixture
+def cells(spark, tmp_path):
+    v = np.random.default_rng(3).normal(size=(400, 6)).round(3)
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, embedding array<float>")
+    root = f"file://{tmp_path}/cells"
+    vector_index.build_cells(rows, root, 3)
+    return root, v.astype(np.float32).astype(float), rows
+
+
+def test_many_searches_in_tiles(spark, cells, monkeypatch):
+    """Tiles of a few queries and rows give what all pairs give, and no scores of more than TOGETHER queries are held at once."""
+    root, v, rows = cells
+    for name, size in (("SLICE", 50), ("ASKED", 20), ("TOGETHER", 7)):
+        monkeypatch.setattr(vector_index, name, size)
+    asked = rows.where("id % 4 = 0").selectExpr("id AS query", "embedding AS vector")
+    found = vector_index.search_many(spark, root, asked, 5, None)
+    assert "ask" in found._jdf.queryExecution().analyzed().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query, []).append((-round(r.score, 9), r.id))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = unit @ unit.T
+    assert got.keys() == set(range(0, 400, 4))
+    for q, hits in got.items():
+        assert sorted(i for _, i in hits) == sorted(np.lexsort((np.arange(400), -score[q]))[:5].tolist())
