@@ -24,7 +24,9 @@ def _unit(field: str) -> Column:
     """The vector at length 1; a zero vector stays one, with a first entry so that it has a direction for its cell."""
     v = F.transform(field, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x, i: F.when(i == 0, 1.0).otherwise(0.0)))
+    scaled = lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(F.transform(v, lambda x, i: F.when(i == 0, 1.0).otherwise(0.0)))
+    # the norm is the one element of an array, so that it is computed once a vector and not once an entry
+    return F.get(F.transform(F.array(norm), scaled), 0)
 
 
 def build_cells(vectors: DataFrame, root: str, cells: int = 64, key: str = "id", field: str = "embedding", sample: int = SAMPLE, seed: int = 7) -> None:
