@@ -193,9 +193,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     joined = F.concat_ws("/", F.when(folder != "", folder), F.regexp_replace("module", r"^\./", ""))
     base = F.regexp_replace(joined, r"(?:^|(?<=/))[^/]+/\.\./", "")
     endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/__init__.py"]
-    options = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.concat(base, F.lit(x)).alias("path")) for i, x in enumerate(endings)), F.struct(F.lit(0).alias("rank"), F.regexp_replace(base, r"\.js$", ".ts").alias("path")))
-    tried = imports.select("file", "module", F.explode(options).alias("o")).select("file", "module", "o.*")
-    return tried.join(files.select("path"), "path").groupBy("file", "module").agg(F.min_by("path", "rank").alias("target"))
+    options = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.concat("base", F.lit(x)).alias("path")) for i, x in enumerate(endings)), F.struct(F.lit(0).alias("rank"), F.regexp_replace("base", r"\.js$", ".ts").alias("path")))
+    # imports that mean one place are tried once; all sides may grow with the input, so none is gathered on the driver
+    meant = imports.select("file", "module").distinct().withColumn("base", base)
+    tried = meant.select("base").distinct().select("base", F.explode(options).alias("o")).select("base", "o.*")
+    found = tried.join(files.select("path").hint("merge"), "path").groupBy("base").agg(F.min_by("path", "rank").alias("target"))
+    return meant.join(found.hint("merge"), "base").select("file", "module", "target")
 
 
 def scope_edges(relations: DataFrame) -> DataFrame:
