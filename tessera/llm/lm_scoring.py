@@ -1,9 +1,10 @@
 """Language-model scores: a causal self-attention model on subword ids beside an add-0.1 unigram over words.
 
-The network sees subwords and tells, before each word and the end, how likely each class of first subwords is; a word's probability is
-that of its class times its unigram share of the class. The texts are encoded once for training: one pass writes the subword ids of the training documents, dealt into ROUNDS by a hash of the
-text, and the counts of words. From these ids Spark sums integer counts, which give subword classes and the start of the network, and
-then one gradient a round: every window of every training document takes part once, in one step that all tasks make together, so
+The network scores every subword and the end once, in two steps: it tells how likely each class of subwords is, given those before, and
+within its class a subword has a share that depends on the one before it. A word is spelt so, subword by subword up to its end, or it
+comes whole, with its unigram share of the class of its first subword; its probability is a fixed mixture of both. The texts are encoded once for training: one pass writes the subword ids of the training documents, dealt into ROUNDS by a hash of the
+text, and the counts of words. From these ids Spark sums integer counts, which give subword classes, shares and the start of the network,
+and then one gradient a round: every window of every training document takes part once, in one step that all tasks make together, so
 partitions, tasks and the order of rows have no effect but on rounding. Nothing that grows with the vocabulary reaches one place: the
 counts of the most frequent words, a fixed number, are broadcast, and the others are joined.
 """
@@ -26,8 +27,11 @@ from tessera.llm.batches import U64, Memo, Words, fold_of, lists, map_texts, run
 FREQUENT = 1 << 17
 #: Tokens that a window moves on by; each sees itself, what stands before it in its step, and the step before.
 STEP = 16
-#: Size of embeddings, classes of first subwords, classes of one subword, embeddings of inputs, and subwords whose neighbourhood tells classes apart.
-WIDTH, CLASSES, OWN, INPUTS, NEAR = 8, 48, 24, 1024, 32
+#: Size of embeddings, classes of subwords, those of one subword, those of subwords inside words, embeddings of inputs, and subwords whose
+#: neighbourhood tells classes apart.
+WIDTH, CLASSES, OWN, INNER, INPUTS, NEAR = 8, 64, 24, 16, 1024, 32
+#: Most frequent subwords that are counted after each input; the others have one share of their class after all inputs. How many places the latter is worth.
+MEMBERS, BELIEF = 2048, 2.0
 #: Steps of windows that are worked on together.
 BATCH = 128
 #: Tokens of several rows of ids that are worked on together.
@@ -36,6 +40,8 @@ TOGETHER = 1 << 20
 ROUNDS, RATE = 8, 0.05
 #: The network's part in a word's probability; the rest is the smoothed unigram's.
 MIX = 0.95
+#: The part of spelt words in the network's part.
+SPELT = 0.2
 END_KEY = -1  # in the word counts, for the end of a text
 COUNTS = -1  # in the written table, instead of a round
 
@@ -181,8 +187,10 @@ def _joined(batches):
 
 
 class Vocabulary:
-    """Classes of first subwords: the most frequent have one each, the others share classes of like neighbourhood; and the embedding of
-    each subword as an input: one for each of the most frequent, and one for each group of like neighbourhood."""
+    """Classes of subwords: the most frequent ones that begin a word have one each, the others share classes of like neighbourhood, those
+    inside words apart; and the embedding of each subword as an input: one for each of the most frequent, and one for each class.
+
+    ``chance`` is the smoothed unigram, ``share`` the natural log of a subword's part of its class."""
 
     def __init__(self, counts: np.ndarray, near: np.ndarray, leads: np.ndarray):
         """counts of the subwords; near: how often each of the NEAR most frequent ones stands shortly before each."""
@@ -192,14 +200,38 @@ class Vocabulary:
         head = order[leads[order]][:OWN]
         rest = leads.copy()
         rest[head] = False
-        self.kind = np.where(rest, OWN + groups(near, counts, rest, CLASSES - OWN), -1)  # -1: begins no word
+        self.kind = np.where(leads, OWN + groups(near, counts, rest, CLASSES - OWN - INNER), CLASSES - INNER + groups(near, counts, ~leads, INNER))
         self.kind[head] = np.arange(len(head))
-        inside = groups(near, counts, ~leads, CLASSES)
-        self.input = np.where(rank < INPUTS - 2 * CLASSES, rank, INPUTS - 2 * CLASSES + np.where(leads, self.kind, CLASSES + inside))
-        total = np.bincount(self.kind[leads], weights=counts[leads] + 1.0, minlength=CLASSES) + 1e-3
+        self.input = np.where(rank < INPUTS - CLASSES, rank, INPUTS - CLASSES + self.kind)
+        self.rank = rank
+        self.chance = (counts + 0.1) / (counts + 0.1).sum()
+        weight = counts + 0.1
+        total = np.bincount(self.kind, weights=weight, minlength=CLASSES) + 1e-3
+        self.share = np.log(weight / total[self.kind])
         self.prior = np.log(total / total.sum()).astype(np.float32)
 
 
+class Members:
+    """The share of each subword of its class after each input: how often it stands there, and BELIEF times its share after all inputs."""
+
+    def __init__(self, voc: Vocabulary, pairs: np.ndarray):
+        """pairs [INPUTS, MEMBERS]: how often each of the most frequent subwords stands right after each input."""
+        order = np.argsort(voc.rank)[:MEMBERS]
+        kind = voc.kind[order]
+        sums = np.stack([np.bincount(kind, weights=row[: len(kind)], minlength=CLASSES) for row in pairs]) + BELIEF
+        self.table = np.zeros(pairs.shape, np.float32)
+        self.table[:, : len(kind)] = np.log((pairs[:, : len(kind)] + BELIEF * np.exp(voc.share[order])) / sums[:, kind])
+        self.rest = np.log(BELIEF / sums).astype(np.float32)  # to be added to the share of a rare subword
+
+    def logs(self, voc: Vocabulary, shown: np.ndarray, seq: np.ndarray) -> np.ndarray:
+        """Natural log of the share of each subword of seq after the inputs shown."""
+        rank = voc.rank[seq]
+        out = self.table[shown, np.minimum(rank, MEMBERS - 1)].astype(np.float64)
+        rare = np.flatnonzero(rank >= MEMBERS)
+        out[rare] = voc.share[seq[rare]] + self.rest[shown[rare], voc.kind[seq[rare]]]
+        return out
+
+
 def before(use: np.ndarray, sizes: np.ndarray, far: range) -> tuple[np.ndarray, np.ndarray]:
     """Of places ``use`` of tokens, those with a token of their document ``far`` places before them, for each distance: that one and the place."""
     inside = use - np.repeat(np.cumsum(sizes) - sizes, sizes)[use]
@@ -228,6 +260,10 @@ def groups(near: np.ndarray, counts: np.ndarray, use: np.ndarray, k: int, rounds
     return out
 
 
+#: Sums over all classes, and over those that begin a word.
+SUMS = np.stack([np.ones(CLASSES), np.arange(CLASSES) < CLASSES - INNER], axis=1).astype(np.float32)
+
+
 class Attention:
     """One causal self-attention layer over windows and class logits, in numpy with its own gradients."""
 
@@ -301,9 +337,14 @@ class Attention:
 
     def log_probs(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of the class y at each place of ``at``."""
+        return self.log_probs_and_ends(x, first, at, y)[0]
+
+    def log_probs_and_ends(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probability, at each place of ``at``, of the class y, and of all classes that begin a word or end the text."""
         z = self.forward(x, first, at)["z"]
         hit = z.ravel()[np.arange(0, z.size, CLASSES) + y]
-        return hit - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+        sums = np.log(np.exp(z, out=z) @ SUMS)
+        return hit - sums[:, 0], sums[:, 1] - sums[:, 0]
 
     def gradients(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sum over the places of ``at`` of the gradient of the negative log-probability of the class y, packed."""
@@ -388,9 +429,9 @@ def reuse_memory() -> None:
     np.ones(24 << 20, np.uint8)
 
 
-def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
-    """The classes and the network's weights from packed subword ids: counts over all documents, then ROUNDS gradient steps, each on
-    the sum over all windows of that round's documents."""
+def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, np.ndarray, Members]:
+    """The classes, the network's weights and the shares of classes from packed subword ids: counts over all documents, then ROUNDS
+    gradient steps, each on the sum over all windows of that round's documents."""
     spark = packed.sparkSession
     texts = packed.where(F.col("part") >= 0)
     counts = totals(texts, lambda: lambda seq, sizes: np.bincount(seq, minlength=end + 1), end + 1)
@@ -415,17 +456,23 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
 
         def f(seq, sizes):
             shown, kind = voc.input[seq], voc.kind[seq]
-            leads = np.flatnonzero(kind >= 0)
             out = []
             for far in (range(1, 2), range(3, 12, 4)):
-                a, b = before(leads, sizes, far)
+                a, b = before(np.arange(len(seq)), sizes, far)
                 out.append(np.bincount(shown[a] * CLASSES + kind[b], minlength=INPUTS * CLASSES))
+            # the first subword of a document stands after the end of another
+            last = np.roll(shown, 1)
+            last[np.cumsum(sizes) - sizes] = voc.input[end]
+            rank = voc.rank[seq]
+            some = np.flatnonzero(rank < MEMBERS)
+            out.append(np.bincount(last[some] * MEMBERS + rank[some], minlength=INPUTS * MEMBERS))
             return np.concatenate(out)
 
         return f
 
-    pairs = totals(texts, make_pairs, 2 * INPUTS * CLASSES).reshape(2, INPUTS, CLASSES)
-    adam = Adam(Attention.start(voc, *pairs))
+    sums = totals(texts, make_pairs, INPUTS * (2 * CLASSES + MEMBERS))
+    pairs, members = np.split(sums, [2 * INPUTS * CLASSES])
+    adam = Adam(Attention.start(voc, *pairs.reshape(2, INPUTS, CLASSES)))
     for r in range(ROUNDS):
         now = spark.sparkContext.broadcast((voc, adam.model.pack()))
 
@@ -438,9 +485,9 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
                 x, first, spot = windows(seq, sizes, end, voc)
                 y = voc.kind[seq]
                 g = np.zeros(Attention.SIZE + 1)
-                for part in batches_of(x, first, spot[y >= 0], y[y >= 0]):
+                for part in batches_of(x, first, spot, y):
                     g[:-1] += model.gradients(*part)
-                g[-1] = (y >= 0).sum()
+                g[-1] = len(y)
                 return g
 
             return f
@@ -448,7 +495,24 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
         g = totals(packed.where(F.col("part") == r), make_gradient, Attention.SIZE + 1)
         if g[-1]:
             adam.step(g[:-1] / g[-1])
-    return voc, adam.model.pack()
+    return voc, adam.model.pack(), Members(voc, members.reshape(INPUTS, MEMBERS))
+
+
+def word_odds(model: Attention, voc: Vocabulary, members: Members, masses: np.ndarray, seq: np.ndarray, x: np.ndarray, first: np.ndarray, place: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
+    """For each word and end of the subwords seq: by what its unigram probability is to be multiplied, and the natural log of what is to
+    be added, which is that it is spelt as it is."""
+    y = voc.kind[seq]
+    parts = [model.log_probs_and_ends(*part) for part in batches_of(x, first, place, y)]
+    if not parts:
+        return np.zeros(0), np.zeros(0)
+    of_class, ends = (np.concatenate(a).astype(np.float64) for a in zip(*parts, strict=True))
+    of_all = of_class + members.logs(voc, x[place + STEP], seq)
+    lead = np.flatnonzero(subwords.leads[seq])
+    # all subwords of a word, and that another begins after them; that one began here is settled by the one before
+    spelt = np.add.reduceat(of_all, lead) - ends[lead]
+    spelt[:-1] += np.where(seq[lead[:-1]] == subwords.end, 0, ends[lead[1:]])
+    whole = (1 - MIX) + MIX * (1 - SPELT) * np.exp(of_class[lead] - ends[lead] - masses[y[lead]])
+    return whole, spelt + np.log(MIX * SPELT)
 
 
 def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10, add: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,9 +520,10 @@ def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10,
 
     Documents whose crc32 of the id as text is ``held_out_fold`` modulo ``folds`` take no part in counts and training; a row with
     a null id does. base_score is the log10 probability of its words and its end under the smoothed unigram. score is the model's: the
-    network gives the class of each word's first subword (``path``: a rank file) a probability, given the subwords before it in its
-    window; of a known word's probability, MIX is that of its class times its unigram share of the class, 1 - MIX its unigram
-    probability. An unknown word has the unigram's. A null text counts as empty: one token, the end. Rows of
+    network gives the class of each subword (``path``: a rank file) a probability, given the subwords before it in its window. Of a
+    word's probability 1 - MIX is its unigram probability; of the rest, SPELT is the product over its subwords of class and share in
+    the class, up to the word's end, and 1 - SPELT that of the first one's class times the word's unigram share of the class. A word
+    that is not known has the smoothed unigram's probability of one. A null text counts as empty: one token, the end. Rows of
     one id and text have one score. With no training text every word is unknown and base_score uses the smoothing alone.
     """
     spark = df.sparkSession
@@ -480,17 +545,17 @@ def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10,
     frequent = words.where(scale >= F.lit(low if low is not None else 1 << 20))
     top = frequent.orderBy("key").toArrow()  # at most FREQUENT rows
     _, end, leads = _encoding(path)
-    voc, weights = train(packed, end, leads)
+    voc, weights, members = train(packed, end, leads)
     logs = np.log10((top["n"].to_numpy() + add) / (total.n + add * (total.v + 1)))
     # the unigram's probability of each class of words: at most one row for each subword reaches the driver
     by_lead = words.groupBy("lead").agg((F.sum("n") + add * F.count("*")).alias("m")).toArrow()
     mass = np.zeros(CLASSES)
     np.add.at(mass, voc.kind[by_lead["lead"].to_numpy()], by_lead["m"].to_numpy() / (total.n + add * (total.v + 1)))
-    shared = spark.sparkContext.broadcast((voc, weights, top["key"].to_numpy(), logs, np.log(np.maximum(mass, 1e-300) / max(mass.sum(), 1e-300))))
+    shared = spark.sparkContext.broadcast((voc, weights, members, top["key"].to_numpy(), logs, np.log(np.maximum(mass, 1e-300) / max(mass.sum(), 1e-300))))
 
     def make():
         reuse_memory()
-        voc, flat, keys, logs, masses = shared.value
+        voc, flat, members, keys, logs, masses = shared.value
         subwords, model = Subwords(path), Attention.unpack(flat)
 
         def f(batch, data, at):
@@ -499,32 +564,27 @@ def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10,
             own = word_keys(words)
             seq, size, _ = sequences(subwords, data, at, words, own)
             x, first, place = windows(seq, size, subwords.end, voc)
-            lead = subwords.leads[seq]
-            y = voc.kind[seq[lead]]
-            parts = [model.log_probs(*part) for part in batches_of(x, first, place[lead], y)]
-            # how much likelier than by the unigram each word's class is; the end is a word like others
-            by_net = (np.concatenate(parts) - masses[y]) if parts else np.zeros(0)
-            by_net = np.log10((1 - MIX) + MIX * np.exp(by_net))
+            whole, spelt = word_odds(model, voc, members, masses, seq, x, first, place, subwords)
             own, docs = np.insert(own, words.first[1:], END_KEY), np.insert(words.docs, words.first[1:], np.arange(n))
             spot = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
             hit = keys[spot] == own if len(keys) else np.zeros(len(own), bool)
             base = np.bincount(docs[hit], weights=logs[spot[hit]], minlength=n)
-            score = np.bincount(docs[hit], weights=logs[spot[hit]] + by_net[hit], minlength=n)
+            score = np.bincount(docs[hit], weights=np.log10(10 ** logs[spot[hit]] * whole[hit] + np.exp(spelt[hit])), minlength=n)
             per = np.bincount(docs[~hit], minlength=n)
             longs = lambda a: pa.array(a.astype(np.int64))
-            return [batch.column(0), longs(words.counts + 1), longs(np.bincount(docs[hit], minlength=n)), pa.array(base), pa.array(score), longs(size), lists(own[~hit], per), lists(by_net[~hit].astype(np.float32), per)]
+            return [batch.column(0), longs(words.counts + 1), longs(np.bincount(docs[hit], minlength=n)), pa.array(base), pa.array(score), longs(size), lists(own[~hit], per), *(lists(a[~hit].astype(np.float32), per) for a in (whole, spelt))]
 
         return f
 
-    schema = "doc_id long, n_tokens long, n_known long, base double, mixed double, n_subwords long, rare array<long>, net array<float>"
+    schema = "doc_id long, n_tokens long, n_known long, base double, mixed double, n_subwords long, rare array<long>, whole array<float>, spelt array<float>"
     # a row's number in the written table tells rows with one id apart
     scored = written(map_texts(rows, make, schema).withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "net")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.net").alias("net"))
+    each = scored.select("row", F.explode(F.arrays_zip("rare", "whole", "spelt")).alias("r")).select("row", F.col("r.rare").alias("key"), "r.whole", "r.spelt")
     known = words.where(scale < F.lit(low)) if low is not None else words
     chance = (F.coalesce("n", F.lit(0)) + F.lit(add)) / F.lit(total.n + add * (total.v + 1))
-    joined = each.join(known, "key", "left").select("row", F.log10(chance).alias("base"), (F.log10(chance) + F.when(F.col("n").isNotNull(), F.col("net")).otherwise(0.0)).alias("mixed"), F.col("n").isNotNull().cast("int").alias("known"))
+    joined = each.join(known, "key", "left").select("row", F.log10(chance).alias("base"), F.log10(chance * F.col("whole") + F.exp("spelt")).alias("mixed"), F.col("n").isNotNull().cast("int").alias("known"))
     looked = joined.groupBy("row").agg(F.sum("base").alias("more"), F.sum("mixed").alias("more_mixed"), F.sum("known").alias("more_known"))
-    return scored.drop("rare", "net").join(looked, "row", "left").select(
+    return scored.drop("rare", "whole", "spelt").join(looked, "row", "left").select(
         "doc_id", (fold == held_out_fold).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("mixed") + F.coalesce("more_mixed", F.lit(0.0))).alias("score"), "n_subwords",
     )
