@@ -22,9 +22,10 @@ def build(docs: DataFrame, root: str, key: str = "id", text: str = "text", bucke
     """Write the index of docs under root: ``postings`` (term, id, tf, length) by term, ``terms`` (size, term, df) by the term's length and
     ``docs`` (id, length, terms, tfs) by id. Ids must be unique; a null text has no length and no postings.
 
-    A text's words are counted where it is read; it is the counts in ``docs`` that the other two tables are made of, each by one shuffle."""
-    held = B.create(_held(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), f"{root}/docs", ["id"], buckets).read()
-    B.create(_postings(held), f"{root}/postings", ["term"], buckets, ["term", "id"])
+    A text's words are counted where it is read; it is the counts in ``docs`` that the other two tables are made of, each by one shuffle.
+    What is shuffled is one row for a document, or for its terms of one bucket, with the terms in one string."""
+    held = B.create(_packed(_held(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))), f"{root}/docs", ["id"], buckets, unpack=_unpacked).read()
+    B.create(_dealt(held, buckets), f"{root}/postings", ["term"], buckets, ["term", "id"], _postings)
     B.create(_vocabulary(held), f"{root}/terms", ["size"], buckets, ["size", "term"])
 
 
@@ -51,47 +52,59 @@ def _held(rows: DataFrame) -> DataFrame:
     return got.select("id", "h.length", none(F.col("h.terms"), "string").alias("terms"), none(F.col("h.tfs"), "int").alias("tfs"))
 
 
-def _postings(held: DataFrame) -> DataFrame:
-    """(term, id, tf, length) of what the index holds of documents."""
-    each = held.select("id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    return each.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").cast("long").alias("tf"), "length")
+def _packed(held: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their terms, which hold no space, in one string: a fraction of an array's size."""
+    return held.select("id", "length", F.concat_ws(" ", "terms").alias("words"), "tfs")
+
+
+def _terms(words: Column) -> Column:
+    return F.when(words == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(words, " "))
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    return packed.select("id", "length", _terms(F.col("words")).alias("terms"), "tfs", "bucket")
+
+
+def _dealt(held: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, id, length, words, tfs): what the index holds of documents, a row for a document's terms of one bucket."""
+    return B.by_bucket(held, ["id", "length"], F.col("terms"), " ", buckets, "tfs").withColumnRenamed("packed", "words")
+
+
+def _postings(dealt: DataFrame) -> DataFrame:
+    """(term, id, tf, length, bucket) of dealt rows."""
+    each = dealt.select("id", "length", "bucket", F.explode(F.arrays_zip(_terms(F.col("words")).alias("terms"), "tfs")).alias("p"))
+    return each.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").cast("long").alias("tf"), "length", "bucket")
 
 
 def update(spark: SparkSession, root: str, changed: DataFrame, removed: DataFrame | None = None, key: str = "id", text: str = "text", batch: int | None = None) -> None:
-    """Bring the index up to date with changed (and new) documents and removed ids: their old postings are subtracted, their new ones added.
+    """Bring the index up to date with changed (and new) documents and removed ids: what ``docs`` holds of them is put in place of what it
+    held, the terms' counts move by the difference, and the buckets of all terms that they had or have get their postings from ``docs``.
 
     Which terms a document had is read from the index itself. A batch number makes a repeated call count once; where a failure left only
     some of the three tables merged, the same call with the same number completes the others, as each knows its own last batch."""
-    new = stored(_held(changed.select(F.col(key).alias("id"), F.col(text).alias("text"))))
+    new = stored(_packed(_held(changed.select(F.col(key).alias("id"), F.col(text).alias("text")))))
     ids = new.select("id") if removed is None else new.select("id").unionByName(removed.select(F.col(key).alias("id")))
     ids = stored(ids.distinct())
     table = B.Bucketed(spark, f"{root}/docs")
     hit = [r.b for r in ids.select(B.bucket_of(["id"], table.buckets).alias("b")).distinct().collect()]
     before = _as_of(spark, f"{root}/docs", batch)
-    gone = stored(before.read(hit).join(ids, "id", "left_semi").select("id", "terms"))
-    added = _postings(new)
-    old = gone.select("id", F.explode("terms").alias("term"))
-    touched = stored(old.select("term", "id", F.lit(None).cast("long").alias("tf"), F.lit(None).cast("int").alias("length"), F.lit(False).alias("_add")).unionByName(added.select("term", "id", "tf", "length", F.lit(True).alias("_add"))))
-
-    def postings_after(have: DataFrame, change: DataFrame) -> DataFrame:
-        put = change.where("_add").select("term", "id", "tf", "length")
-        # the index held just the old words of a document, so all it has of these ids goes
-        return have.join(ids, "id", "left_anti").select("term", "id", "tf", "length").unionByName(put)
-
-    counts = touched.groupBy("term").agg(F.sum(F.when(F.col("_add"), 1).otherwise(-1)).alias("by")).where("by <> 0").select(F.length("term").alias("size"), "term", "by")
+    gone = _packed(before.read(hit)).select("id", "words").join(ids, "id", "left_semi")
+    each = lambda rows, by: rows.select(F.explode(_terms(F.col("words"))).alias("term"), F.lit(by).alias("by"))
+    # a term that as many documents lost as gained has other postings all the same
+    touched = stored(each(gone, -1).unionByName(each(new, 1)).groupBy("term").agg(F.sum("by").alias("by")))
+    counts = touched.where("by <> 0").select(F.length("term").alias("size"), "term", "by")
 
     def terms_after(have: DataFrame, change: DataFrame) -> DataFrame:
         both = have.join(change, ["size", "term"], "full").select("size", "term", (F.coalesce("df", F.lit(0)) + F.coalesce("by", F.lit(0))).alias("df"))
         return both.where("df > 0")
 
-    change_docs = ids.join(new.withColumn("_there", F.lit(True)), "id", "left")
-
     def docs_after(have: DataFrame, change: DataFrame) -> DataFrame:
-        return have.join(change.select("id"), "id", "left_anti").unionByName(change.where("_there").select("id", "length", "terms", "tfs"))
+        return _packed(have).join(change, "id", "left_anti").unionByName(new)
 
-    B.merge(spark, f"{root}/postings", touched, postings_after, batch, ["term", "id"])
-    B.merge(spark, f"{root}/terms", stored(counts), terms_after, batch, ["size", "term"])
-    B.merge(spark, f"{root}/docs", stored(change_docs), docs_after, batch)
+    now = B.merge(spark, f"{root}/docs", ids, docs_after, batch, unpack=_unpacked)
+    buckets = B.Bucketed(spark, f"{root}/postings").buckets
+    B.merge(spark, f"{root}/postings", touched, lambda have, change: _dealt(now.read(), buckets), batch, ["term", "id"], _postings)
+    B.merge(spark, f"{root}/terms", counts, terms_after, batch, ["size", "term"])
 
 
 def _as_of(spark: SparkSession, root: str, batch: int | None) -> B.Bucketed:

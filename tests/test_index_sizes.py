@@ -58,3 +58,16 @@ def test_many_searches_in_tiles(spark, cells, monkeypatch):
     assert got.keys() == set(range(0, 400, 4))
     for q, hits in got.items():
         assert sorted(i for _, i in hits) == sorted(np.lexsort((np.arange(400), -score[q]))[:5].tolist())
+
+
+def test_a_bucket_gets_one_row_of_a_document(spark):
+    """What is shuffled for postings is one row for a document's terms of one bucket, not one for each term."""
+    texts = {1: " ".join(f"w{i} w{i % 7}" for i in range(300)), **{i + 1: t for i, t in TEXTS.items()}}
+    held = text_index._held(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    dealt = text_index._dealt(held, 4)
+    rows = dealt.collect()
+    assert len({(r.id, r.bucket) for r in rows}) == len(rows) <= 4 * len(texts)
+    got = {(r.term, r.id, r.bucket): (r.tf, r.length) for r in text_index._postings(dealt).collect()}
+    terms = {w for t in texts.values() for w in words(t)}
+    place = {r.w: r.b for r in spark.createDataFrame([(w,) for w in terms], "w string").select("w", B.bucket_of(["w"], 4).alias("b")).collect()}
+    assert got == {(w, i, place[w]): (n, len(words(t))) for i, t in texts.items() for w, n in Counter(words(t)).items()}
