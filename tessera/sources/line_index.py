@@ -21,9 +21,12 @@ def trigrams(text: Column) -> Column:
 
 
 def build(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
-    """Write ``grams`` (gram, key) by gram and ``texts``, all columns of docs, by key. Keys must be unique."""
+    """Write ``grams`` (gram, key) by gram and ``texts``, all columns of docs, by key. Keys must be unique.
+
+    A text's grams of one bucket are shuffled as one string; no gram holds a line break."""
     B.create(docs, f"{root}/texts", [key], buckets)
-    B.create(docs.where(F.col(text).isNotNull()).select(F.explode(trigrams(F.col(text))).alias("gram"), key), f"{root}/grams", ["gram"], buckets, ["gram", key])
+    dealt = B.by_bucket(docs.where(F.col(text).isNotNull()), [key], trigrams(F.col(text)), "\n", buckets)
+    B.create(dealt, f"{root}/grams", ["gram"], buckets, ["gram", key], lambda rows: rows.select(F.explode(F.split("packed", "\n")).alias("gram"), key, "bucket"))
 
 
 def update(spark: SparkSession, root: str, changed: DataFrame, key: str = "doc_id", text: str = "text", batch: int | None = None) -> None:
