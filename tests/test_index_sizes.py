@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessera.sources import buckets as B
-from tessera.sources import text_index, vector_index
+from tessera.sources import line_index, text_index, vector_index
 
 TEXTS = {1: "Red fox, red den. RED", 2: "", 3: None, 4: "den 12 ünd den\nÜnd", 5: "..."}
 
@@ -71,3 +71,22 @@ def test_a_bucket_gets_one_row_of_a_document(spark):
     terms = {w for t in texts.values() for w in words(t)}
     place = {r.w: r.b for r in spark.createDataFrame([(w,) for w in terms], "w string").select("w", B.bucket_of(["w"], 4).alias("b")).collect()}
     assert got == {(w, i, place[w]): (n, len(words(t))) for i, t in texts.items() for w, n in Counter(words(t)).items()}
+
+
+def test_a_bucket_gets_one_row_of_a_text(spark, tmp_path, monkeypatch):
+    """What is shuffled for trigrams is one row for a text's trigrams of one bucket."""
+    create, given = B.create, {}
+
+    def watched(df, root, *args):
+        given[root.rsplit("/", 1)[1]] = df
+        return create(df, root, *args)
+
+    monkeypatch.setattr(B, "create", watched)
+    root = f"file://{tmp_path}/lines"
+    line_index.build(spark.createDataFrame(list(TEXTS.items()), "id long, text string"), root, "id", buckets=4)
+    assert given["grams"].count() <= 4 * len(TEXTS)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lines = [(i, s.translate(low)) for i, t in TEXTS.items() for s in (t or "").split("\n")]
+    want = {(s[j : j + 3], i) for i, s in lines for j in range(len(s) - 2)}
+    rows = B.Bucketed(spark, f"{root}/grams").read().collect()
+    assert {(r.gram, r.id) for r in rows} == want and len(rows) == len(want)
