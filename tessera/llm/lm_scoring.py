@@ -25,6 +25,8 @@ from tessera.llm.batches import U64, Memo, Words, fold_of, lists, map_texts, run
 
 #: Words whose counts are broadcast at most; the counts of others are joined.
 FREQUENT = 1 << 17
+#: Slots of the table that finds them.
+SLOTS = 1 << 19
 #: Tokens that a window moves on by; each sees itself, what stands before it in its step, and the step before.
 STEP = 16
 #: Size of embeddings, classes of subwords, those of one subword, those of subwords inside words, embeddings of inputs, and subwords whose
@@ -36,6 +38,8 @@ MEMBERS, BELIEF = 2048, 2.0
 BATCH = 128
 #: Tokens of several rows of ids that are worked on together.
 TOGETHER = 1 << 20
+#: Tasks a core at most that add up sums.
+TASKS = 3
 #: Gradient steps, each on its own part of the documents, and their size.
 ROUNDS, RATE = 8, 0.05
 #: The network's part in a word's probability; the rest is the smoothed unigram's.
@@ -154,8 +158,9 @@ def gather(df: DataFrame, path: str) -> DataFrame:
 def totals(packed: DataFrame, make, size: int) -> np.ndarray:
     """Sums over all rows of packed (ids, sizes) of an array of ``size`` numbers: make() is called once a task and gives f(ids, sizes) -> array.
 
-    Each task adds up its own; Spark adds up the tasks'. The driver gets ``size`` numbers at most."""
-    whole = packed.select("ids", "sizes")
+    Each task adds up its own; Spark adds up the tasks'. The driver gets ``size`` numbers at most. A task reads its rows in a stream but
+    hands on up to ``size`` sums, so there are a few tasks a core, not one for each small part of the table."""
+    whole = packed.select("ids", "sizes").coalesce(TASKS * packed.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         f, total = make(), np.zeros(size)
@@ -232,11 +237,11 @@ class Members:
         return out
 
 
-def before(use: np.ndarray, sizes: np.ndarray, far: range) -> tuple[np.ndarray, np.ndarray]:
-    """Of places ``use`` of tokens, those with a token of their document ``far`` places before them, for each distance: that one and the place."""
-    inside = use - np.repeat(np.cumsum(sizes) - sizes, sizes)[use]
-    late = [use[inside >= d] for d in far]
-    return np.concatenate([b - d for b, d in zip(late, far, strict=True)]), np.concatenate(late)
+def after(use: np.ndarray, sizes: np.ndarray, far: range) -> Iterator[tuple[np.ndarray, int]]:
+    """For each distance d, those of the places ``use`` of tokens with a token of their document d places after them."""
+    rest = (np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) if len(use) else use)[use] - use
+    for d in far:
+        yield use[rest > d], d
 
 
 def groups(near: np.ndarray, counts: np.ndarray, use: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -309,9 +314,10 @@ class Attention:
     def pack(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
 
-    def forward(self, x: np.ndarray, first: np.ndarray, at: np.ndarray) -> dict:
-        """x: input ids of a step and of the steps to work on, one after the other; first: which of these have nothing before them;
-        at: the places in the steps for which logits are wanted."""
+    def forward(self, x: np.ndarray, first: np.ndarray) -> dict:
+        """x: input ids of a step and of the steps to work on, one after the other; first: which of these have nothing before them.
+
+        Logits are of all places of the steps: padding is little, and picking the other places costs more."""
         n = len(first)
         t = self.table.take(x, axis=0)
         # window i is step i and the one before it: a view, nothing is copied
@@ -329,9 +335,8 @@ class Attention:
         h[:, :WIDTH] = own
         c = c.reshape(n * STEP, -1)
         np.divide(c[:, :-1], c[:, -1:], out=h[:, WIDTH:-1])
-        h = h[at]
         z = h @ self.p["out"]
-        if len(z) and z.max() > 60:
+        if z.max() > 60:
             np.minimum(z, np.float32(60), out=z)
         return {"e": e, "v": v, "own": own, "q": q, "a": a, "sum": c[:, -1:], "h": h, "z": z}
 
@@ -341,24 +346,26 @@ class Attention:
 
     def log_probs_and_ends(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probability, at each place of ``at``, of the class y, and of all classes that begin a word or end the text."""
-        z = self.forward(x, first, at)["z"]
-        hit = z.ravel()[np.arange(0, z.size, CLASSES) + y]
-        sums = np.log(np.exp(z, out=z) @ SUMS)
+        z = self.forward(x, first)["z"]
+        hit = z.ravel()[at * CLASSES + y]
+        sums = np.log((np.exp(z, out=z) @ SUMS)[at])
         return hit - sums[:, 0], sums[:, 1] - sums[:, 0]
 
     def gradients(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sum over the places of ``at`` of the gradient of the negative log-probability of the class y, packed."""
-        p, t, n = self.p, self.forward(x, first, at), len(first)
+        p, t, n = self.p, self.forward(x, first), len(first)
         g = np.exp(t["z"], out=t["z"])
-        g /= (g @ np.ones(CLASSES, np.float32))[:, None]
-        g.ravel()[np.arange(0, g.size, CLASSES) + y] -= 1
-        d = {"out": t["h"].T @ g}
-        gh = np.zeros((n * STEP, 2 * WIDTH), np.float32)
-        gh[at] = g @ p["out"][:-1].T
-        gh[at, WIDTH:] /= t["sum"][at]
-        inner = np.zeros((n * STEP, 1), np.float32)
-        inner[at, 0] = (gh[at, WIDTH:] * t["h"][:, WIDTH:-1]).sum(axis=1)
-        inner, go = inner.reshape(n, STEP, 1), gh[:, WIDTH:].reshape(n, STEP, WIDTH)
+        sums = g @ np.ones(CLASSES, np.float32)
+        # a place's row of g is the gradient times its sum: the narrow factors are divided, and those of padding are 0
+        g.ravel()[at * CLASSES + y] -= sums[at]
+        part = np.zeros((n * STEP, 1), np.float32)
+        part[at, 0] = 1 / sums[at]
+        d = {"out": (t["h"] * part).T @ g}
+        gh = g @ p["out"][:-1].T
+        gh *= part
+        go = gh[:, WIDTH:] / t["sum"]
+        inner = np.einsum("ij,ij->i", go, t["h"][:, WIDTH:-1]).reshape(n, STEP, 1)
+        go = go.reshape(n, STEP, WIDTH)
         gs = go @ t["v"][..., :-1].transpose(0, 2, 1)
         gs -= inner
         gs *= t["a"]
@@ -366,17 +373,18 @@ class Attention:
         gq = (gs @ t["e"]).reshape(-1, WIDTH)
         gm = t["own"].T @ gq * np.float32(WIDTH**-0.5)
         d["q"], d["k"] = gm @ p["k"], gm.T @ p["q"]
-        rows = np.zeros((len(x), 2 * WIDTH), np.float32)
-        rows[STEP:, :WIDTH] = gh[:, :WIDTH] + gq @ self.m.T
-        for side, part in ((slice(0, WIDTH), gs.transpose(0, 2, 1) @ t["q"]), (slice(WIDTH, None), t["a"].transpose(0, 2, 1) @ go)):
-            rows[STEP:, side] += part[:, STEP:].reshape(-1, WIDTH)
-            rows[:-STEP, side] += part[:, :STEP].reshape(-1, WIDTH)
-        order = np.argsort(x, kind="stable")
-        # sums over the places of each input: differences of running sums along the sorted places
-        last = np.cumsum(np.bincount(x, minlength=INPUTS))
-        run = np.concatenate([np.zeros((1, 2 * WIDTH)), np.cumsum(rows.take(order, axis=0), axis=0, dtype=np.float64)])
-        total = np.diff(run.take(last, axis=0), axis=0, prepend=0)
-        d["emb"], d["val"] = total[:, :WIDTH], total[:, WIDTH:]
+        gq = gq @ self.m.T
+        gq += gh[:, :WIDTH]
+        # sums over the places of each input
+        place = (x.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        for name, own, spread in (("emb", gq, gs.transpose(0, 2, 1) @ t["q"]), ("val", None, t["a"].transpose(0, 2, 1) @ go)):
+            rows = np.zeros((n + 1, STEP * WIDTH), np.float32)
+            if own is not None:
+                rows[1:] = own.reshape(n, -1)
+            spread = spread.reshape(n, -1)
+            rows[1:] += spread[:, STEP * WIDTH :]
+            rows[:-1] += spread[:, : STEP * WIDTH]
+            d[name] = np.bincount(place, weights=rows.ravel(), minlength=INPUTS * WIDTH)
         return np.concatenate([d[k].ravel() for k in self.SHAPES])
 
 
@@ -436,15 +444,14 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
     texts = packed.where(F.col("part") >= 0)
     counts = totals(texts, lambda: lambda seq, sizes: np.bincount(seq, minlength=end + 1), end + 1)
     top = np.argsort(-counts, kind="stable")[:NEAR]
-    slot = np.full(end + 1, -1, np.int64)
+    slot = np.full(end + 1, -1, np.int8)
     slot[top] = np.arange(NEAR)
 
     def make_near():
         def f(seq, sizes):
-            a, b = before(np.arange(len(seq)), sizes, range(1, 4))
-            a, b = slot[seq].take(a), seq.take(b)
-            some = np.flatnonzero(a >= 0)
-            return np.bincount(b[some] * NEAR + a[some], minlength=(end + 1) * NEAR)
+            own = slot[seq]
+            pairs = [seq[a + d] * NEAR + own[a] for a, d in after(np.flatnonzero(own >= 0), sizes, range(1, 4))]
+            return np.bincount(np.concatenate(pairs), minlength=(end + 1) * NEAR)
 
         return f
 
@@ -457,9 +464,10 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
         def f(seq, sizes):
             shown, kind = voc.input[seq], voc.kind[seq]
             out = []
+            inside = runs(sizes)
             for far in (range(1, 2), range(3, 12, 4)):
-                a, b = before(np.arange(len(seq)), sizes, far)
-                out.append(np.bincount(shown[a] * CLASSES + kind[b], minlength=INPUTS * CLASSES))
+                pairs = ((shown[:-d] * CLASSES + kind[d:])[inside[d:] >= d] for d in far)
+                out.append(sum(np.bincount(p, minlength=INPUTS * CLASSES) for p in pairs))
             # the first subword of a document stands after the end of another
             last = np.roll(shown, 1)
             last[np.cumsum(sizes) - sizes] = voc.input[end]
@@ -515,6 +523,26 @@ def word_odds(model: Attention, voc: Vocabulary, members: Members, masses: np.nd
     return whole, spelt + np.log(MIX * SPELT)
 
 
+class Frequent:
+    """The places of words among the sorted keys of the frequent ones: most are found in a table of slots, the others by a search."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.slots = keys, np.zeros(SLOTS, np.int32)
+        order = np.argsort(logs, kind="stable")
+        self.slots[keys[order] & (SLOTS - 1)] = order  # of two words in a slot the more frequent one has it
+
+    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each word, and whether it is there at all."""
+        if not len(self.keys):
+            return np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+        spot = self.slots[own & (SLOTS - 1)].astype(np.int64)
+        hit = self.keys[spot] == own
+        other = np.flatnonzero(~hit)
+        spot[other] = np.minimum(np.searchsorted(self.keys, own[other]), len(self.keys) - 1)
+        hit[other] = self.keys[spot[other]] == own[other]
+        return spot, hit
+
+
 def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10, add: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords: one row per input row.
 
@@ -556,7 +584,7 @@ def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10,
     def make():
         reuse_memory()
         voc, flat, members, keys, logs, masses = shared.value
-        subwords, model = Subwords(path), Attention.unpack(flat)
+        subwords, model, find, odds = Subwords(path), Attention.unpack(flat), Frequent(keys, logs), 10**logs
 
         def f(batch, data, at):
             n = len(at) - 1
@@ -566,10 +594,9 @@ def lm_score(df: DataFrame, path: str, held_out_fold: int = 0, folds: int = 10,
             x, first, place = windows(seq, size, subwords.end, voc)
             whole, spelt = word_odds(model, voc, members, masses, seq, x, first, place, subwords)
             own, docs = np.insert(own, words.first[1:], END_KEY), np.insert(words.docs, words.first[1:], np.arange(n))
-            spot = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-            hit = keys[spot] == own if len(keys) else np.zeros(len(own), bool)
+            spot, hit = find(own)
             base = np.bincount(docs[hit], weights=logs[spot[hit]], minlength=n)
-            score = np.bincount(docs[hit], weights=np.log10(10 ** logs[spot[hit]] * whole[hit] + np.exp(spelt[hit])), minlength=n)
+            score = np.bincount(docs[hit], weights=np.log10(odds[spot[hit]] * whole[hit] + np.exp(spelt[hit])), minlength=n)
             per = np.bincount(docs[~hit], minlength=n)
             longs = lambda a: pa.array(a.astype(np.int64))
             return [batch.column(0), longs(words.counts + 1), longs(np.bincount(docs[hit], minlength=n)), pa.array(base), pa.array(score), longs(size), lists(own[~hit], per), *(lists(a[~hit].astype(np.float32), per) for a in (whole, spelt))]

@@ -63,3 +63,33 @@ def test_each_subword_is_scored(spark):
         score += np.log10(chance(w) * whole + L.MIX * L.SPELT * np.exp(spelt))
         at = after
     assert abs(row.score - score) < 1e-3 * abs(score)
+
+
+def test_few_tasks_hand_on_sums(spark):
+    """Sums are handed on by a few tasks a core, not by one for each small part of a table."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make():
+        made.add(1)
+        return lambda ids, sizes: np.bincount(ids, minlength=10).astype(float)
+
+    pack = lambda *ids: np.array(ids, "<i4").tobytes()
+    rows = [(bytearray(pack(i % 10, 3)), bytearray(pack(2))) for i in range(100)]
+    got = L.totals(spark.createDataFrame(rows, "ids binary, sizes binary").repartition(100), make, 10)
+    assert got.tolist() == [10, 10, 10, 110, 10, 10, 10, 10, 10, 10]
+    assert made.value <= L.TASKS * spark.sparkContext.defaultParallelism < 100
+
+
+def test_frequent_words_are_found():
+    """A word is found by its slot, or by a search if a more frequent one has that slot; others are not."""
+    keys = np.sort(np.array([5, 5 + L.SLOTS, 5 - L.SLOTS, -9, 70, 2**62]))
+    own = np.array([5, 5 + L.SLOTS, 5 - L.SLOTS, -9, 70, 2**62, 6, 5 + 2 * L.SLOTS, -10])
+    spot, hit = L.Frequent(keys, np.log(np.arange(6) + 1.0))(own)
+    assert hit.tolist() == [True] * 6 + [False] * 3 and keys[spot[hit]].tolist() == own[:6].tolist()
+    assert not L.Frequent(keys[:0], keys[:0].astype(float))(own)[1].any()
+
+
+def test_neighbours_stay_in_their_text():
+    sizes = np.array([3, 0, 1, 5])
+    got = {d: use.tolist() for use, d in L.after(np.array([0, 1, 2, 3, 4, 7, 8]), sizes, range(1, 4))}
+    assert got == {1: [0, 1, 4, 7], 2: [0, 4], 3: [4]}
