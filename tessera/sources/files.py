@@ -26,17 +26,23 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def json_sections(df: DataFrame, col: str, keys: list[str], depth: int = 10) -> DataFrame:
-    """(keys, path, key, depth, parent, type, value) of a JSON text, one row a value, level by level down to a depth."""
-    level = df.select(*keys, F.lit("").alias("parent"), F.try_parse_json(col).alias("v"))
-    out = None
+    """(keys, path, key, depth, parent, type, value) of a JSON text, one row a value, down to a depth.
+
+    One pass: at each level a container of the level before gives itself and its members, so a text is read and parsed once."""
+    top = df.select(*keys, F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("depth"), F.lit("").alias("parent"), F.lit("OBJECT").alias("type"), F.try_parse_json(col).alias("value"))
+    rows, old = top, ["path", "key", "depth", "parent", "type", "value"]
     for d in range(1, depth + 1):
-        parts = level.select(*keys, "parent", "v").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        rows = parts.select(*keys, "parent", F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("key"), F.col("value"))
-        rows = rows.withColumn("path", F.when(F.col("parent") == "", F.col("key")).otherwise(F.concat_ws(".", "parent", "key"))).withColumn("type", F.schema_of_variant("value"))
-        now = rows.select(*keys, "path", "key", F.lit(d).alias("depth"), "parent", F.regexp_extract("type", "^[A-Z]+", 0).alias("type"), F.col("value").cast("string").alias("value"))
-        out = now if out is None else out.unionByName(now)
-        level = rows.where(F.col("type").rlike("^(OBJECT|ARRAY)")).select(*keys, F.col("path").alias("parent"), F.col("value").alias("v"))
-    return out
+        opened = (F.col("depth") == d - 1) & F.col("type").isin("OBJECT", "ARRAY")
+        both = rows.select(*keys, *old, F.explode(F.when(opened, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("_in")) if d > 1 else rows.withColumn("_in", F.lit(True))
+        parts = both.withColumnsRenamed({c: f"_{c}" for c in old}).lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.when(F.col("_in"), F.col("_value")).outer()))
+        parts = parts.where("not _in or pos is not null")
+        name = F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        new = {
+            "path": F.when(F.coalesce("_path", F.lit("")) == "", name).otherwise(F.concat_ws(".", "_path", name)), "key": name, "depth": F.lit(d), "parent": F.coalesce("_path", F.lit("")),
+            "type": F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0), "value": F.col("value"),
+        }
+        rows = parts.select(*keys, *(F.when(F.col("_in"), new[c]).otherwise(F.col(f"_{c}")).alias(c) for c in old))
+    return rows.withColumn("value", F.col("value").cast("string"))
 
 
 def pages(df: DataFrame) -> DataFrame:
