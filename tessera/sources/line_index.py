@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,32 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(r"(?=([^\n]{3}))"), 1))
 
 
+def _packed(texts: pd.Series) -> pd.Series:
+    """The trigrams of each text, each followed by a line break, which none holds."""
+
+    def one(text: str | None) -> str:
+        c = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+        c += 32 * ((c >= 0x41) & (c <= 0x5A))
+        runs = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+        runs = np.unique(runs[(c[:-2] != 10) & (c[1:-1] != 10) & (c[2:] != 10)])
+        out = np.stack([runs >> 42, (runs >> 21) & 0x1FFFFF, runs & 0x1FFFFF, np.full(len(runs), 10)], axis=1)
+        return out.astype("<u4").tobytes().decode("utf-32-le")
+
+    return texts.map(one, na_action=None)
+
+
+def _trigrams_of_many(text: Column) -> Column:
+    """``trigrams`` of whole tables of texts: without a match of an expression at each place."""
+    packed = F.pandas_udf(_packed, "string")(text)
+    return F.filter(F.split(packed, "\n"), lambda g: g != "")
+
+
 def build(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
     """Write ``grams`` (gram, key) by gram and ``texts``, all columns of docs, by key. Keys must be unique.
 
     A text's grams of one bucket are shuffled as one string; no gram holds a line break."""
     B.create(docs, f"{root}/texts", [key], buckets)
-    dealt = B.by_bucket(docs.where(F.col(text).isNotNull()), [key], trigrams(F.col(text)), "\n", buckets)
+    dealt = B.by_bucket(docs.where(F.col(text).isNotNull()), [key], _trigrams_of_many(F.col(text)), "\n", buckets)
     B.create(dealt, f"{root}/grams", ["gram"], buckets, ["gram", key], lambda rows: rows.select(F.explode(F.split("packed", "\n")).alias("gram"), key, "bucket"))
 
 
@@ -35,7 +57,7 @@ def update(spark: SparkSession, root: str, changed: DataFrame, key: str = "doc_i
     now = B.Bucketed(spark, f"{root}/texts")
     before = B.Bucketed(spark, f"{root}/texts", now.version - 1) if batch is not None and now.batch == batch and now.version else now
     hit = [r.b for r in changed.select(B.bucket_of([key], now.buckets).alias("b")).distinct().collect()]
-    gram = lambda df: df.where(F.col(text).isNotNull()).select(F.explode(trigrams(F.col(text))).alias("gram"), key)
+    gram = lambda df: df.where(F.col(text).isNotNull()).select(F.explode(_trigrams_of_many(F.col(text))).alias("gram"), key)
     old = gram(before.read(hit).join(changed.select(key), key, "left_semi")).withColumn("_add", F.lit(False))
     new = gram(changed).withColumn("_add", F.lit(True))
     moved = stored(old.unionByName(new))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import buckets as B
 from tessera.sources import line_index, text_index, vector_index
@@ -90,3 +91,13 @@ def test_a_bucket_gets_one_row_of_a_text(spark, tmp_path, monkeypatch):
     want = {(s[j : j + 3], i) for i, s in lines for j in range(len(s) - 2)}
     rows = B.Bucketed(spark, f"{root}/grams").read().collect()
     assert {(r.gram, r.id) for r in rows} == want and len(rows) == len(want)
+
+
+def test_index_trigrams_are_runs_of_whole_characters(spark):
+    """Grams of an index are made without an expression's match at each place, which began one within a character beyond 16 bits, too."""
+    texts = [(1, "ABcab\nab\r\nab\tABC"), (2, "ÄÜß\U0001f600x\U0001f600 Ünd\n\nZz"), (3, ""), (4, None), (5, "ab"), (6, "aaaa\u2028bbb")]
+    made = line_index._trigrams_of_many(F.col("text"))
+    assert "regexp" not in str(made)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r.id: sorted(r.g) for r in spark.createDataFrame(texts, "id long, text string").where("text is not null").select("id", made.alias("g")).collect()}
+    assert got == {i: sorted({s[j : j + 3] for s in t.translate(low).split("\n") for j in range(len(s) - 2)}) for i, t in texts if t is not None}
