@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.parts import map_parts
 from tessera.functions.text import edit_similarity
 from tessera.functions.vectors import cosine, vector
 from tessera.operators.predicates import glob_regex
@@ -165,7 +166,7 @@ def evaluated(hits: DataFrame, rows: DataFrame, fields: list[str], scorer: Calla
                 yield pd.DataFrame({"id": cut["id"], "evaluation": pd.Series(scorer(cut)).astype("float64").to_numpy()})
 
     kind = hits.schema["id"].dataType.simpleString()
-    given = asked.mapInPandas(run, f"id {kind}, evaluation double").where(F.col("evaluation").isNotNull() & ~F.isnan("evaluation"))
+    given = map_parts(asked, run, f"id {kind}, evaluation double").where(F.col("evaluation").isNotNull() & ~F.isnan("evaluation"))
     new = merge_scores(hits, given, strategy, weights).withColumnRenamed("score", "_new")
     return hits.join(new, "id", "left").withColumn("score", F.coalesce("_new", "score")).drop("_new")
 

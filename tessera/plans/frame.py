@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.parts import map_parts
 from tessera.operators import predicates, search, traverse
 from tessera.operators.ranking import page, top_k
 
@@ -34,7 +35,7 @@ class Hits:
             for p in parts:
                 yield p[predicate(p)]
 
-        return Hits(self.df.mapInPandas(run, self.df.schema))
+        return Hits(map_parts(self.df, run, self.df.schema))
 
     def semantic(self, vectors: DataFrame, query: Sequence[float], k: int, least: float = -1.0) -> Hits:
         """Nearest hits; after an earlier ranking the scores are weighted 0.3 to 0.7."""
@@ -78,7 +79,7 @@ def embed(df: DataFrame, text: str, provider: Callable[[pd.Series], Any], out: s
 
 def generate(packs: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, base: DataFrame, key: str, merge: str = "append") -> DataFrame:
     """Columns that a user's function makes for packed rows, joined back by key: append keeps the row's own values, replace takes the new."""
-    made = packs.mapInPandas(fn, schema)
+    made = map_parts(packs, fn, schema)
     both = [c for c in made.columns if c in base.columns and c != key]
     new = made.select(key, *(F.col(c).alias(f"_{c}") for c in made.columns if c != key))
     pick = lambda c: F.coalesce(*((F.col(c), F.col(f"_{c}")) if merge == "append" else (F.col(f"_{c}"), F.col(c)))).alias(c)
