@@ -47,7 +47,7 @@ MIX = 0.95
 #: The part of spelt words in the network's part.
 SPELT = 0.2
 END_KEY = -1  # in the word counts, for the end of a text
-COUNTS = -1  # in the written table, instead of a round
+COUNTS, PLAIN = -1, -2  # in the written table, instead of a round: counts of words, and of subwords
 
 
 @lru_cache(maxsize=2)
@@ -105,10 +105,13 @@ def sequences(subwords: Subwords, data: np.ndarray, at: np.ndarray, words: Words
 
 def gather(df: DataFrame, path: str) -> DataFrame:
     """(part, ids, sizes, key, n, lead) of the texts of df (text), written to the shared folder: in part COUNTS, partial counts of words
-    and ends with the first subword of each; in the part of a round, the subword ids of some documents one after the other and the size of each, as little-endian numbers."""
+    and ends with the first subword of each; in part PLAIN, partial counts of subwords, by id; in the part of a round, the subword ids of
+    some documents one after the other (``id_type``) and the size of each, as little-endian numbers."""
 
     def make():
+        reuse_memory()
         subwords = Subwords(path)
+        kind, plain = id_type(subwords.end), np.zeros(subwords.end + 1, np.int64)
         held: list[tuple[np.ndarray, ...]] = []
 
         def counted():
@@ -126,13 +129,14 @@ def gather(df: DataFrame, path: str) -> DataFrame:
             words = Words(data, at)
             keys = word_keys(words)
             seq, size, _ = sequences(subwords, data, at, words, keys)
+            plain[:] += np.bincount(seq, minlength=len(plain))
             leads = seq[subwords.leads[seq]]
             key, place, n = np.unique(np.insert(keys, words.first[1:], END_KEY), return_index=True, return_counts=True)
             held.append((key, n, leads[place]))
             part = np.asarray(batch.column(1))
             of = np.repeat(part, size)
             own = np.unique(part)
-            out = [[pa.array(own, pa.int32()), pa.array([seq[of == r].astype("<i4").tobytes() for r in own], pa.binary()), pa.array([size[part == r].astype("<i4").tobytes() for r in own], pa.binary()), *(pa.nulls(len(own), pa.list_(kind)) for kind in (pa.int64(), pa.int64(), pa.int32()))]]
+            out = [[pa.array(own, pa.int32()), pa.array([seq[of == r].astype(kind).tobytes() for r in own], pa.binary()), pa.array([size[part == r].astype("<i4").tobytes() for r in own], pa.binary()), *(pa.nulls(len(own), pa.list_(x)) for x in (pa.int64(), pa.int64(), pa.int32()))]]
             if len(held) >= 8:
                 squeeze()
             if len(held[0][0]) > 500_000:  # a task's memory stays bounded: Spark adds up what was handed on before
@@ -144,6 +148,9 @@ def gather(df: DataFrame, path: str) -> DataFrame:
             if held:
                 squeeze()
                 yield counted()
+                some = np.flatnonzero(plain)
+                one = np.array([len(some)])
+                yield [pa.array([PLAIN], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), lists(some, one), lists(plain[some], one), pa.nulls(1, pa.list_(pa.int32()))]
 
         f.end = end
         return f
@@ -155,16 +162,22 @@ def gather(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(packed.schema).parquet(out)
 
 
-def totals(packed: DataFrame, make, size: int) -> np.ndarray:
-    """Sums over all rows of packed (ids, sizes) of an array of ``size`` numbers: make() is called once a task and gives f(ids, sizes) -> array.
+def id_type(end: int) -> str:
+    """The type of ids up to ``end`` where they are written: half as wide if they fit."""
+    return "<u2" if end < 1 << 16 else "<i4"
+
+
+def totals(packed: DataFrame, make, size: int, kind: str = "<i4") -> np.ndarray:
+    """Sums over all rows of packed (ids of the type ``kind``, sizes) of an array of ``size`` numbers: make() is called once a task and gives f(ids, sizes) -> array.
 
     Each task adds up its own; Spark adds up the tasks'. The driver gets ``size`` numbers at most. A task reads its rows in a stream but
     hands on up to ``size`` sums, so there are a few tasks a core, not one for each small part of the table."""
     whole = packed.select("ids", "sizes").coalesce(TASKS * packed.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
+        reuse_memory()
         f, total = make(), np.zeros(size)
-        for ids, sizes in _joined(batches):
+        for ids, sizes in _joined(batches, kind):
             total += f(ids, sizes)
         some = np.flatnonzero(total)
         for lo in range(0, len(some), 100_000):
@@ -177,12 +190,12 @@ def totals(packed: DataFrame, make, size: int) -> np.ndarray:
     return out
 
 
-def _joined(batches):
+def _joined(batches, kind: str):
     """Ids and sizes of rows (ids, sizes) as arrays, some rows together."""
     held, n = [], 0
     for batch in batches:
         for row in zip(batch.column(0), batch.column(1), strict=True):
-            held.append(tuple(np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in row))
+            held.append(tuple(np.frombuffer(x.as_buffer(), t).astype(np.int64) for x, t in zip(row, (kind, "<i4"), strict=True)))
             n += len(held[-1][0])
             if n > TOGETHER:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -268,6 +281,9 @@ def groups(near: np.ndarray, counts: np.ndarray, use: np.ndarray, k: int, rounds
 #: Sums over all classes, and over those that begin a word.
 SUMS = np.stack([np.ones(CLASSES), np.arange(CLASSES) < CLASSES - INNER], axis=1).astype(np.float32)
 
+#: Where each weight of an input stands among those of all inputs.
+PLACES = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+
 
 class Attention:
     """One causal self-attention layer over windows and class logits, in numpy with its own gradients."""
@@ -283,6 +299,11 @@ class Attention:
         self.bias = np.where(self.hidden, np.float32(-1e9), p["far"][self.gap])
         self.table = np.concatenate([p["emb"], p["val"], np.ones((INPUTS, 1), np.float32)], axis=1)
         self.m = (p["q"] @ p["k"].T) * np.float32(WIDTH**-0.5)
+        self.asks = p["emb"] @ self.m
+        self.turned = np.ascontiguousarray(p["emb"].T)
+        # whether what is raised to a power can pass 60 at all: what is attended to is a mean of rows of val
+        self.steep = (self.asks @ p["emb"].T).max() + p["far"].max() > 60
+        self.high = ((p["emb"] @ p["out"][:WIDTH]).max(0) + (p["val"] @ p["out"][WIDTH:-1]).max(0) + p["out"][-1]).max() > 60
 
     @classmethod
     def start(cls, voc: Vocabulary, next_: np.ndarray, later: np.ndarray) -> Attention:
@@ -322,23 +343,25 @@ class Attention:
         t = self.table.take(x, axis=0)
         # window i is step i and the one before it: a view, nothing is copied
         win = np.lib.stride_tricks.as_strided(t, (n, 2 * STEP, t.shape[1]), (STEP * t.strides[0], *t.strides))
-        e, v, own = win[..., :WIDTH], win[..., WIDTH:], t[STEP:, :WIDTH]
-        q = (own @ self.m).reshape(n, STEP, WIDTH)
+        e, v = win[..., :WIDTH], win[..., WIDTH:]
+        q = self.asks.take(x[STEP:], axis=0).reshape(n, STEP, WIDTH)
         s = q @ e.transpose(0, 2, 1)
         s += self.bias
         s[first, :, :STEP] = -1e9
-        if s.max() > 60:
+        if self.steep:
             np.minimum(s, np.float32(60), out=s)
         a = np.exp(s, out=s)
-        c = a @ v  # the last column of v is 1: it gives the sum of a
-        h = np.ones((n * STEP, 2 * WIDTH + 1), np.float32)
-        h[:, :WIDTH] = own
-        c = c.reshape(n * STEP, -1)
-        np.divide(c[:, :-1], c[:, -1:], out=h[:, WIDTH:-1])
-        z = h @ self.p["out"]
-        if z.max() > 60:
+        # what is narrow lies with the places side by side: numpy is slow over short rows
+        c = np.empty((WIDTH + 1, n, STEP), np.float32)
+        np.matmul(v.transpose(0, 2, 1), a.transpose(0, 2, 1), out=c.transpose(1, 0, 2))
+        c = c.reshape(WIDTH + 1, -1)  # the last row of v is 1: it gives the sum of a
+        h = np.ones((2 * WIDTH + 1, n * STEP), np.float32)
+        self.turned.take(x[STEP:], axis=1, out=h[:WIDTH], mode="clip")
+        np.divide(c[:-1], c[-1], out=h[WIDTH:-1])
+        z = h.T @ self.p["out"]
+        if self.high:
             np.minimum(z, np.float32(60), out=z)
-        return {"e": e, "v": v, "own": own, "q": q, "a": a, "sum": c[:, -1:], "h": h, "z": z}
+        return {"e": e, "v": v, "q": q, "a": a, "sum": c[-1], "h": h, "z": z}
 
     def log_probs(self, x: np.ndarray, first: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of the class y at each place of ``at``."""
@@ -358,32 +381,35 @@ class Attention:
         sums = g @ np.ones(CLASSES, np.float32)
         # a place's row of g is the gradient times its sum: the narrow factors are divided, and those of padding are 0
         g.ravel()[at * CLASSES + y] -= sums[at]
-        part = np.zeros((n * STEP, 1), np.float32)
-        part[at, 0] = 1 / sums[at]
-        d = {"out": (t["h"] * part).T @ g}
-        gh = g @ p["out"][:-1].T
+        part = np.zeros(n * STEP, np.float32)
+        part[at] = 1 / sums[at]
+        d = {"out": (t["h"] * part) @ g}
+        gh = p["out"][:-1] @ g.T
         gh *= part
-        go = gh[:, WIDTH:] / t["sum"]
-        inner = np.einsum("ij,ij->i", go, t["h"][:, WIDTH:-1]).reshape(n, STEP, 1)
-        go = go.reshape(n, STEP, WIDTH)
-        gs = go @ t["v"][..., :-1].transpose(0, 2, 1)
-        gs -= inner
+        # with minus what all keys have in common beside the 1 of v
+        go = np.empty((WIDTH + 1, n * STEP), np.float32)
+        np.divide(gh[WIDTH:], t["sum"], out=go[:-1])
+        np.negative((go[:-1] * t["h"][WIDTH:-1]).sum(0), out=go[-1])
+        go = go.reshape(WIDTH + 1, n, STEP).transpose(1, 2, 0)
+        gs = go @ t["v"].transpose(0, 2, 1)
         gs *= t["a"]
         d["far"] = np.bincount(self.gap.ravel(), weights=np.where(self.hidden, 0, gs.sum(0)).ravel(), minlength=2 * STEP)
-        gq = (gs @ t["e"]).reshape(-1, WIDTH)
-        gm = t["own"].T @ gq * np.float32(WIDTH**-0.5)
+        gq = np.empty((WIDTH, n, STEP), np.float32)
+        np.matmul(t["e"].transpose(0, 2, 1), gs.transpose(0, 2, 1), out=gq.transpose(1, 0, 2))
+        gq = gq.reshape(WIDTH, -1)
+        gm = t["h"][:WIDTH] @ gq.T * np.float32(WIDTH**-0.5)
         d["q"], d["k"] = gm @ p["k"], gm.T @ p["q"]
-        gq = gq @ self.m.T
-        gq += gh[:, :WIDTH]
+        own = self.m @ gq
+        own += gh[:WIDTH]
         # sums over the places of each input
-        place = (x.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        for name, own, spread in (("emb", gq, gs.transpose(0, 2, 1) @ t["q"]), ("val", None, t["a"].transpose(0, 2, 1) @ go)):
-            rows = np.zeros((n + 1, STEP * WIDTH), np.float32)
-            if own is not None:
-                rows[1:] = own.reshape(n, -1)
+        place = PLACES.take(x, axis=0).ravel()
+        for name, rest, spread in (("emb", own, gs.transpose(0, 2, 1) @ t["q"]), ("val", None, t["a"].transpose(0, 2, 1) @ go[..., :-1])):
             spread = spread.reshape(n, -1)
-            rows[1:] += spread[:, STEP * WIDTH :]
+            rows = np.zeros((n + 1, STEP * WIDTH), np.float32)
+            rows[1:] = spread[:, STEP * WIDTH :]
             rows[:-1] += spread[:, : STEP * WIDTH]
+            if rest is not None:
+                rows.reshape(-1, WIDTH)[STEP:] += rest.T
             d[name] = np.bincount(place, weights=rows.ravel(), minlength=INPUTS * WIDTH)
         return np.concatenate([d[k].ravel() for k in self.SHAPES])
 
@@ -442,7 +468,10 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
     gradient steps, each on the sum over all windows of that round's documents."""
     spark = packed.sparkSession
     texts = packed.where(F.col("part") >= 0)
-    counts = totals(texts, lambda: lambda seq, sizes: np.bincount(seq, minlength=end + 1), end + 1)
+    kind = id_type(end)
+    counts = np.zeros(end + 1)
+    plain = packed.where(F.col("part") == PLAIN).select(F.explode(F.arrays_zip("key", "n")).alias("c")).groupBy("c.key").agg(F.sum("c.n").alias("n")).toArrow()
+    counts[plain["key"].to_numpy()] = plain["n"].to_numpy()
     top = np.argsort(-counts, kind="stable")[:NEAR]
     slot = np.full(end + 1, -1, np.int8)
     slot[top] = np.arange(NEAR)
@@ -455,7 +484,7 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
 
         return f
 
-    voc = Vocabulary(counts, totals(texts, make_near, (end + 1) * NEAR).reshape(-1, NEAR), leads)
+    voc = Vocabulary(counts, totals(texts, make_near, (end + 1) * NEAR, kind).reshape(-1, NEAR), leads)
     shared = spark.sparkContext.broadcast(voc)
 
     def make_pairs():
@@ -478,14 +507,13 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
 
         return f
 
-    sums = totals(texts, make_pairs, INPUTS * (2 * CLASSES + MEMBERS))
+    sums = totals(texts, make_pairs, INPUTS * (2 * CLASSES + MEMBERS), kind)
     pairs, members = np.split(sums, [2 * INPUTS * CLASSES])
     adam = Adam(Attention.start(voc, *pairs.reshape(2, INPUTS, CLASSES)))
     for r in range(ROUNDS):
         now = spark.sparkContext.broadcast((voc, adam.model.pack()))
 
         def make_gradient(now=now):
-            reuse_memory()
             voc, flat = now.value
             model = Attention.unpack(flat)
 
@@ -500,7 +528,7 @@ def train(packed: DataFrame, end: int, leads: np.ndarray) -> tuple[Vocabulary, n
 
             return f
 
-        g = totals(packed.where(F.col("part") == r), make_gradient, Attention.SIZE + 1)
+        g = totals(packed.where(F.col("part") == r), make_gradient, Attention.SIZE + 1, kind)
         if g[-1]:
             adam.step(g[:-1] / g[-1])
     return voc, adam.model.pack(), Members(voc, members.reshape(INPUTS, MEMBERS))

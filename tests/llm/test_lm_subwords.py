@@ -93,3 +93,21 @@ def test_neighbours_stay_in_their_text():
     sizes = np.array([3, 0, 1, 5])
     got = {d: use.tolist() for use, d in L.after(np.array([0, 1, 2, 3, 4, 7, 8]), sizes, range(1, 4))}
     assert got == {1: [0, 1, 4, 7], 2: [0, 4], 3: [4]}
+
+
+def test_subwords_are_counted_as_they_are_written(spark, monkeypatch):
+    """No pass of its own counts the subwords, and their ids take two bytes where they fit."""
+    path = queries.tokenizer("byte_bpe_50k.tiktoken")
+    encoding, end, leads = L._encoding(path)
+    packed = L.gather(spark.createDataFrame([(t,) for t in [*TEXTS, "", None]], "text string").repartition(3), path)
+    want = [s for t in [*TEXTS, "", ""] for s in [*encoding.encode_ordinary("".join(f" {w}" for w in t.split())), end]]
+    rows = packed.where("part >= 0").collect()
+    assert L.id_type(end) == "<u2" and L.id_type(1 << 16) == "<i4"
+    assert sorted(s for r in rows for s in np.frombuffer(r.ids, "<u2").tolist()) == sorted(want)
+    passes, seen, totals = [], [], L.totals
+    monkeypatch.setattr(L, "totals", lambda *a: passes.append(a[2]) or totals(*a))
+    made = L.Vocabulary.__init__
+    monkeypatch.setattr(L.Vocabulary, "__init__", lambda self, counts, *a: seen.append(counts) or made(self, counts, *a))
+    L.train(packed, end, leads)
+    assert passes == [(end + 1) * L.NEAR, L.INPUTS * (2 * L.CLASSES + L.MEMBERS)] + [L.Attention.SIZE + 1] * L.ROUNDS
+    assert seen[0].tolist() == np.bincount(want, minlength=end + 1).tolist()
